@@ -142,3 +142,99 @@ def verdicts_sql() -> str:
 SELECT printf('t%07d', doc_id) AS question_ref, 'm1' AS model, 'direct' AS setting,
        CASE WHEN quality = 1 THEN ' Yes, it matches.' ELSE 'No.' END AS verdict
 FROM labels"""
+
+
+# -------------------------------------------------------------------- bank
+RELATIONSHIPS = ["Border", "Distance", "Equal", "Intersect", "Orientation", "Within"]
+
+
+def _rel_at(idx_col):
+    return F.element_at(F.array(*[F.lit(r) for r in RELATIONSHIPS]), (idx_col % 6 + 1).cast("int"))
+
+
+def bank(spark: SparkSession, sf: str) -> DataFrame:
+    """Question bank, one question per document (images named from its id)."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    k = F.col("doc_id")
+    img = lambda n, suffix: F.concat(F.col("lang"), F.lit("/image"), n.cast("string"), suffix, F.lit(".png"))
+    targets = F.when(k % 3 == 0, F.array(img(k, F.lit("")),
+                                         img(k, F.concat(F.lit("_m"), (k % 5).cast("string")))))\
+        .otherwise(F.array(img(k, F.lit(""))))
+    ctx = F.array(img(k + 1, F.lit("")), img(k + 2, F.lit("")),
+                  img(k + 3, F.concat(F.lit("_"), (k % 4).cast("string"))))
+    return d.select(
+        F.format_string("q_%04d", k).alias("question_ref"),
+        F.col("text").alias("question_text"),
+        F.col("n_chars").cast("string").alias("expected_answer"),
+        targets.alias("image_urls"),
+        F.when(k % 3 == 0, F.lit("Multi")).otherwise(F.lit("Single")).alias("map_count"),
+        _rel_at(k).alias("spatial_relationship"),
+        F.element_at(F.array(F.lit("distance"), F.lit("textual"), F.lit("cardinal")),
+                     (k % 3 + 1).cast("int")).alias("answer_type"),
+        ctx.alias("contextual_urls"),
+        F.col("source"), F.col("lang"), k.alias("doc_id"))
+
+
+def rel_list() -> str:
+    return "[" + ", ".join(q(r) for r in RELATIONSHIPS) + "]"
+
+
+def bank_sql() -> str:
+    img = lambda n, suffix: f"(lang || '/image' || CAST({n} AS VARCHAR) || {suffix} || '.png')"
+    return f"""
+SELECT printf('q_%04d', doc_id) AS question_ref, text AS question_text,
+       CAST(n_chars AS VARCHAR) AS expected_answer,
+       CASE WHEN doc_id % 3 = 0 THEN [{img('doc_id', "''")}, {img('doc_id', "'_m' || CAST(doc_id % 5 AS VARCHAR)")}]
+            ELSE [{img('doc_id', "''")}] END AS image_urls,
+       CASE WHEN doc_id % 3 = 0 THEN 'Multi' ELSE 'Single' END AS map_count,
+       {rel_list()}[CAST(doc_id % 6 AS INTEGER) + 1] AS spatial_relationship,
+       ['distance', 'textual', 'cardinal'][CAST(doc_id % 3 AS INTEGER) + 1] AS answer_type,
+       [{img('doc_id + 1', "''")}, {img('doc_id + 2', "''")},
+        {img('doc_id + 3', "'_' || CAST(doc_id % 4 AS VARCHAR)")}] AS contextual_urls,
+       source, lang, doc_id
+FROM documents"""
+
+
+# ------------------------------------------------------------- annotations
+NOINFO = "Map doesn't contain information to answer the question"
+
+
+def submissions(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotation form posts, one per event (validity/necessary variants)."""
+    e = read_table(spark, sf, "events")
+    et = F.col("event_type")
+    kq = F.get_json_object("props", "$.k").cast("int")
+    return e.select(
+        F.col("event_id"),
+        F.format_string("%03d", F.col("user_id")).alias("user"),
+        F.format_string("q_%04d", kq).alias("question_ref"),
+        F.concat(F.lit('Is "'), et, F.lit('", near\n'), F.col("props")).alias("question_text"),
+        F.when(F.col("value") > 250, F.lit("Multi")).otherwise(F.lit("Single")).alias("map_count"),
+        F.when(F.col("event_id") % 17 == 0, F.lit("Nearby")).otherwise(_rel_at(F.col("event_id")))
+        .alias("spatial_relationship"),
+        F.when(F.col("event_id") % 23 == 0, F.lit("None"))
+        .otherwise(F.concat(F.col("value").cast("string"), F.lit(" km"))).alias("answer"),
+        F.when(et == "view", F.lit(NOINFO)).when(et == "error", F.lit("Unsure"))
+        .otherwise(F.lit("Can be answered")).alias("validity"),
+        F.when(et == "click", F.lit("Yes")).when(et == "purchase", F.lit("no"))
+        .when(et == "signup", F.lit("")).alias("necessary"),
+        F.when(F.col("event_id") % 2 == 0, F.lit("legend missing")).alias("noinfo_reason"),
+        F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+def submissions_sql() -> str:
+    return f"""
+SELECT event_id, printf('%03d', user_id) AS "user",
+       printf('q_%04d', CAST(json_extract_string(props, '$.k') AS INTEGER)) AS question_ref,
+       'Is "' || event_type || '", near' || chr(10) || props AS question_text,
+       CASE WHEN value > 250 THEN 'Multi' ELSE 'Single' END AS map_count,
+       CASE WHEN event_id % 17 = 0 THEN 'Nearby' ELSE {rel_list()}[CAST(event_id % 6 AS INTEGER) + 1] END
+         AS spatial_relationship,
+       CASE WHEN event_id % 23 = 0 THEN 'None' ELSE CAST(value AS VARCHAR) || ' km' END AS answer,
+       CASE WHEN event_type = 'view' THEN {q(NOINFO)} WHEN event_type = 'error' THEN 'Unsure'
+            ELSE 'Can be answered' END AS validity,
+       CASE WHEN event_type = 'click' THEN 'Yes' WHEN event_type = 'purchase' THEN 'no'
+            WHEN event_type = 'signup' THEN '' END AS necessary,
+       CASE WHEN event_id % 2 = 0 THEN 'legend missing' END AS noinfo_reason,
+       ts AS "timestamp"
+FROM events"""
