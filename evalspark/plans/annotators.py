@@ -1 +1,297 @@
-"""Stand-in queries (filled in below)."""
+"""Annotator stand-in queries: W1–W6, P8, G15, X11, X12, P10, P11, G1–G6."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalspark.functions.assets import add_ok, page_ref
+from evalspark.operators import annotations, assign, ordinals, scoring, stats
+from evalspark.plans import sqlfrag as S
+from evalspark.plans import standins
+from evalspark.plans.registry import register
+from evalspark.session import read_table
+
+N_BOOT = 1000
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    o = read_table(spark, sf, "orders").select("o_orderkey")
+    return ordinals.number_questions(o, ["o_orderkey"])
+
+
+def _roster(spark: SparkSession, sf: str) -> DataFrame:
+    c = read_table(spark, sf, "customer")
+    return c.select(F.format_string("%05d", "c_custkey").alias("user_id"),
+                    F.col("c_name").alias("user_name"))
+
+
+Q_SQL = """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS ordinal,
+       printf('q_%04d', row_number() OVER (ORDER BY o_orderkey)) AS question_ref FROM orders"""
+
+ASSIGN_SQL = f"""
+WITH q AS ({Q_SQL}),
+u AS (SELECT printf('%05d', c_custkey) AS user_id,
+             row_number() OVER (ORDER BY printf('%05d', c_custkey)) - 1 AS idx FROM customer),
+n AS (SELECT count(*) AS n FROM customer),
+s AS (SELECT q.question_ref, q.ordinal, t.slot, ((q.ordinal - 1) * 2 + t.slot) % n.n AS idx
+      FROM q, (VALUES (0), (1)) t(slot), n)
+SELECT s.question_ref, s.ordinal, s.slot, u.user_id, false AS user_repeated
+FROM s JOIN u ON s.idx = u.idx"""
+
+PAGES_SQL = f"""
+WITH a AS ({ASSIGN_SQL})
+SELECT user_id, question_ref, ordinal, slot,
+       row_number() OVER (PARTITION BY user_id ORDER BY ordinal, slot) AS page_idx,
+       count(*) OVER (PARTITION BY user_id) AS n_pages,
+       user_id || '_' || question_ref || '.html' AS page,
+       printf('Q%d/%d', row_number() OVER (PARTITION BY user_id ORDER BY ordinal, slot),
+              count(*) OVER (PARTITION BY user_id)) AS progress
+FROM a"""
+
+
+@register("number_questions", "W1", f"SELECT * FROM ({Q_SQL})")
+def q_number_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return _questions(spark, sf).select("o_orderkey", "ordinal", "question_ref")
+
+
+def _assignments(spark: SparkSession, sf: str) -> DataFrame:
+    return assign.assign_round_robin(_questions(spark, sf), _roster(spark, sf), r=2)
+
+
+@register("assign_round_robin", "W2", ASSIGN_SQL)
+def q_assign_round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    return _assignments(spark, sf)
+
+
+@register("page_ordinals", "W3", PAGES_SQL)
+def q_page_ordinals(spark: SparkSession, sf: str) -> DataFrame:
+    return assign.page_ordinals(_assignments(spark, sf))
+
+
+@register("next_page", "W4", f"""
+SELECT user_id, page_idx, page,
+       lead(page, 1, 'thankyou.html') OVER (PARTITION BY user_id ORDER BY page_idx) AS next_page
+FROM ({PAGES_SQL})""")
+def q_next_page(spark: SparkSession, sf: str) -> DataFrame:
+    pages = assign.page_ordinals(_assignments(spark, sf))
+    return assign.next_page(pages).select("user_id", "page_idx", "page", "next_page")
+
+
+def _conv_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = read_table(spark, sf, "conversations")
+    a = c.select(F.format_string("u%04d", "conv_id").alias("user_id"),
+                 F.format_string("q_%04d", "turn").alias("question_ref"),
+                 F.col("turn").alias("ordinal"), F.lit(0).alias("slot"), "role")
+    pages = assign.page_ordinals(a.drop("role"))
+    answered = a.filter(F.col("role") == "assistant").select("user_id", "question_ref")
+    users = (read_table(spark, sf, "customer").select(F.format_string("u%04d", "c_custkey").alias("user_id"))
+             .unionByName(a.select("user_id")).distinct())
+    return pages, answered, users
+
+
+@register("resume_pointer", "W5", """
+WITH p AS (
+  SELECT printf('u%04d', conv_id) AS user_id, printf('q_%04d', turn) AS question_ref, role,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_idx,
+         count(*) OVER (PARTITION BY conv_id) AS n_pages,
+         printf('u%04d', conv_id) || '_' || printf('q_%04d', turn) || '.html' AS page
+  FROM conversations),
+t AS (SELECT user_id, coalesce(least(max(CASE WHEN role = 'assistant' THEN page_idx END) + 1, max(n_pages)), 1)
+             AS page_idx FROM p GROUP BY user_id),
+users AS (SELECT printf('u%04d', c_custkey) AS user_id FROM customer
+          UNION SELECT printf('u%04d', conv_id) FROM conversations)
+SELECT u.user_id, t.page_idx, coalesce(p.page, 'thankyou.html') AS resume_page
+FROM users u LEFT JOIN t ON u.user_id = t.user_id
+LEFT JOIN p ON t.user_id = p.user_id AND t.page_idx = p.page_idx""")
+def q_resume_pointer(spark: SparkSession, sf: str) -> DataFrame:
+    pages, answered, users = _conv_pages(spark, sf)
+    return assign.resume_pointer(pages, answered, users)
+
+
+@register("shard_rows", "P8", """
+SELECT o_orderkey, o_totalprice FROM (
+  SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+WHERE i >= 1000 AND i < 9000""")
+def q_shard_rows(spark: SparkSession, sf: str) -> DataFrame:
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return ordinals.shard_rows(o, ["o_orderkey"], start=1000, last=9000)
+
+
+@register("batch_id", "W6", """
+SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 20) AS BIGINT) AS batch_id
+FROM orders""")
+def q_batch_id(spark: SparkSession, sf: str) -> DataFrame:
+    o = read_table(spark, sf, "orders").select("o_orderkey")
+    return ordinals.batch_id(o, ["o_orderkey"], 20)
+
+
+@register("workload", "G15", """
+SELECT printf('%05d', c.c_custkey) AS user_id, CAST(coalesce(o.n, 0) AS BIGINT) AS n_pages
+FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o
+  ON c.c_custkey = o.o_custkey""")
+def q_workload(spark: SparkSession, sf: str) -> DataFrame:
+    o = read_table(spark, sf, "orders").select(F.format_string("%05d", "o_custkey").alias("user_id"))
+    return assign.workload(o, _roster(spark, sf))
+
+
+@register("page_ref", "X11", """
+SELECT o_orderkey, regexp_extract(printf('%05d_q_%04d.html', o_custkey, o_orderkey),
+                                  '^[^_]*_(.*?)(\\.html)?$', 1) AS question_ref
+FROM orders""")
+def q_page_ref(spark: SparkSession, sf: str) -> DataFrame:
+    o = read_table(spark, sf, "orders")
+    return o.select("o_orderkey", page_ref(F.format_string("%05d_q_%04d.html", "o_custkey", "o_orderkey"))
+                    .alias("question_ref"))
+
+
+@register("add_ok", "X12", """
+SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'ok=1' AS redirect FROM pages""")
+def q_add_ok(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "pages").select("page_id", add_ok("url").alias("redirect"))
+
+
+def _reasons_sql() -> str:
+    a = annotations
+    inlist = lambda xs: "(" + ", ".join(S.q(x) for x in xs) + ")"
+    checks = [
+        "CASE WHEN coalesce(trim(\"user\") = '', true) THEN 'user_missing' END",
+        "CASE WHEN coalesce(question_ref = '', true) THEN 'question_ref_missing' END",
+        f"CASE WHEN NOT coalesce(validity IN {inlist(a.VALIDITY)}, false) THEN 'validity' END",
+        f"CASE WHEN NOT coalesce(map_count IN {inlist(a.MAP_COUNT)}, false) THEN 'map_count' END",
+        f"CASE WHEN NOT coalesce(spatial_relationship IN {inlist(a.SPATIAL)}, false) "
+        "THEN 'spatial_relationship' END",
+        f"CASE WHEN necessary IS NOT NULL AND necessary <> '' AND necessary NOT IN {inlist(a.NECESSARY)} "
+        "THEN 'necessary' END",
+        f"CASE WHEN validity = {S.q(a.NOINFO)} AND coalesce({S.ustrip('noinfo_reason')}, '') = '' "
+        "THEN 'noinfo_reason' END",
+    ]
+    for c, n in a.MAX_LEN.items():
+        x = "trim(\"user\")" if c == "user" else c
+        checks.append(f"CASE WHEN length({x}) > {n} THEN '{c}_too_long' END")
+    return "list_filter([" + ", ".join(checks) + "], lambda r_: r_ IS NOT NULL)"
+
+
+@register("validate_annotation", "P10", lambda: f"""
+SELECT event_id, array_to_string(r, ',') AS reasons, CAST(len(r) = 0 AS INTEGER) AS accepted
+FROM (SELECT event_id, {_reasons_sql()} AS r FROM ({standins.submissions_sql()}))""")
+def q_validate_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    v = annotations.validate_annotation(standins.submissions(spark, sf))
+    return v.select("event_id", F.array_join("reasons", ",").alias("reasons"),
+                    F.col("accepted").cast("int").alias("accepted"))
+
+
+@register("normalise_necessary", "P11", lambda: f"""
+SELECT event_id, nullif(lower(trim(necessary)), '') AS necessary FROM ({standins.submissions_sql()})""")
+def q_normalise_necessary(spark: SparkSession, sf: str) -> DataFrame:
+    s = standins.submissions(spark, sf)
+    return s.select("event_id", annotations.normalise_necessary("necessary").alias("necessary"))
+
+
+@register("canonical_answers", "G1", lambda: f"""
+SELECT question_ref, map_count, spatial_relationship, answer_type,
+       array_to_string({S.split_answers('question_text')}, '|') AS expected_answer,
+       len({S.split_answers('question_text')}) AS n_answers
+FROM ({standins.bank_sql()})""")
+def q_canonical_answers(spark: SparkSession, sf: str) -> DataFrame:
+    b = standins.bank(spark, sf).drop("expected_answer").withColumnRenamed("question_text", "expected_answer")
+    c = stats.canonical_answers(b)
+    return c.select("question_ref", "map_count", "spatial_relationship", "answer_type",
+                    F.array_join("expected_answer", "|").alias("expected_answer"),
+                    F.size("expected_answer").alias("n_answers"))
+
+
+def _spread_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    a = standins.answers(spark, sf).filter(F.col("answer_type") == "distance")
+    li = read_table(spark, sf, "lineitem")
+    ann = li.select(
+        F.format_string("d%07d", "l_orderkey").alias("question_ref"),
+        F.when(F.col("l_suppkey") % 13 == 0, F.lit("None"))
+        .when(F.col("l_suppkey") % 17 == 0, F.lit(""))
+        .otherwise(F.concat(F.lit("about "), F.col("l_quantity").cast("string"), F.lit(" miles")))
+        .alias("answer"))
+    return a, ann
+
+
+def _spread_values_sql() -> str:
+    return f"""
+a AS ({standins.answers_sql()}),
+v AS (
+  SELECT question_ref, {S.first_number('expected_answer')} AS x, true AS is_expected
+  FROM a WHERE answer_type = 'distance' AND {S.first_number('expected_answer')} IS NOT NULL
+  UNION ALL
+  SELECT question_ref, x, false FROM (
+    SELECT printf('d%07d', l_orderkey) AS question_ref,
+           {S.first_number("'about ' || CAST(l_quantity AS VARCHAR) || ' miles'")} AS x
+    FROM lineitem WHERE l_suppkey % 13 <> 0 AND l_suppkey % 17 <> 0)
+  WHERE x IS NOT NULL AND question_ref IN (SELECT question_ref FROM a WHERE answer_type = 'distance'))"""
+
+
+@register("annotator_spread", "G2", lambda: f"""
+WITH {_spread_values_sql()}
+SELECT question_ref, count(*) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median,
+       round(stddev_samp(x), 6) AS std, max(CASE WHEN is_expected THEN x END) AS expected_value
+FROM v GROUP BY question_ref""")
+def q_annotator_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.annotator_spread(*_spread_inputs(spark, sf))
+
+
+@register("flag_spread_outliers", "G3", lambda: f"""
+WITH {_spread_values_sql()},
+st AS (SELECT question_ref, stddev_samp(x) AS sd, max(CASE WHEN is_expected THEN x END) AS e
+       FROM v GROUP BY question_ref)
+SELECT v.question_ref, CAST(coalesce(bool_or(abs(v.x - st.e) > 1.0 * st.sd), false) AS INTEGER) AS has_outlier
+FROM v JOIN st ON v.question_ref = st.question_ref GROUP BY v.question_ref""")
+def q_flag_spread_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.flag_spread_outliers(*_spread_inputs(spark, sf))
+
+
+@register("annotation_agreement", "G6", lambda: f"""
+WITH a AS ({standins.answers_sql()}), r AS ({standins.responses_sql()}),
+s AS (SELECT r.question_ref,
+             {S.distance_correct(S.split_answers('r.response'), S.split_answers('a.expected_answer'))} AS correct
+      FROM r JOIN a ON r.question_ref = a.question_ref WHERE a.answer_type = 'distance')
+SELECT question_ref, count(*) AS n, CAST(sum(correct) AS BIGINT) AS n_agree,
+       CASE WHEN sum(correct) = count(*) THEN 'all' WHEN sum(correct) > 0 THEN 'partial' ELSE 'none' END
+         AS tier
+FROM s GROUP BY question_ref""")
+def q_annotation_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    a = standins.answers(spark, sf).filter(F.col("answer_type") == "distance").drop("answer_type")
+    scored = scoring.score_distance(standins.responses(spark, sf).join(a, "question_ref", "inner"))
+    return stats.annotation_agreement(scored)
+
+
+def _draws_sql(n_boot: int) -> str:
+    return f"""
+r AS (SELECT user_id, CAST(user_id AS VARCHAR) AS g, value AS x,
+             row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS j,
+             count(*) OVER (PARTITION BY user_id) AS n
+      FROM events WHERE value IS NOT NULL),
+s AS (SELECT DISTINCT user_id, g, n FROM r),
+sb AS (SELECT user_id, g, n, unnest(range({n_boot})) AS b FROM s),
+d AS (SELECT user_id, g, n, b, unnest(range(n)) AS i FROM sb),
+dj AS (SELECT user_id, n, b,
+              ('0x' || substr(md5(g || '|' || CAST(b AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % n
+                AS j FROM d),
+dv AS (SELECT dj.user_id, dj.n, dj.b, r.x FROM dj JOIN r ON dj.user_id = r.user_id AND dj.j = r.j)"""
+
+
+@register("bootstrap_se", "G4", lambda: f"""
+WITH {_draws_sql(N_BOOT)},
+m AS (SELECT user_id, n, b, sum(x) / n AS m FROM dv GROUP BY user_id, n, b)
+SELECT user_id, n, round(stddev_samp(m), 6) AS se, 'bootstrap' AS method FROM m GROUP BY user_id, n""")
+def q_bootstrap_se(spark: SparkSession, sf: str) -> DataFrame:
+    e = read_table(spark, sf, "events").select("user_id", "value")
+    return stats.bootstrap_se(e, "user_id", "value", n_boot=N_BOOT)
+
+
+@register("winsorized_bootstrap", "G5", lambda: f"""
+WITH {_draws_sql(N_BOOT)},
+w AS (SELECT user_id, n, b, list_sort(list(x)) AS s, CAST(floor(0.25 * n) AS INTEGER) AS k
+      FROM dv GROUP BY user_id, n, b),
+m AS (SELECT user_id, n, b,
+             list_sum(list_transform(s, lambda x: greatest(s[k + 1], least(s[n - k], x)))) / n AS m FROM w)
+SELECT user_id, n, round(stddev_samp(m), 6) AS se, 'bootstrap' AS method FROM m GROUP BY user_id, n""")
+def q_winsorized_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    e = read_table(spark, sf, "events").select("user_id", "value")
+    return stats.winsorized_bootstrap(e, "user_id", "value", p=0.25, n_boot=N_BOOT)
