@@ -95,3 +95,13 @@ def yes_verdict(c) -> Column:
 
 def nonblank(c) -> Column:
     return F.coalesce(ustrip(_c(c)) != "", F.lit(False))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda-bound name.
+
+    Catalyst does not share sub-expressions across ``CASE`` branches or inside
+    higher-order functions, so an expensive value used several times (a
+    normalised token list, a sorted array) would be recomputed each time.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

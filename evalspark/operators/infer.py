@@ -209,18 +209,20 @@ def infer(df: DataFrame, provider: Provider, batch_size: int = 1,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider.load()
         for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size]
-                reqs = chunk[req_cols].to_dict("records")
+            reqs = pdf[req_cols].to_dict("records")
+            got: list = []
+            for start in range(0, len(reqs), batch_size):
+                chunk = reqs[start:start + batch_size]
                 try:
-                    got = list(provider.respond(reqs))
-                    if len(got) != len(reqs):
-                        got = [None] * len(reqs)
+                    res = list(provider.respond(chunk))
+                    if len(res) != len(chunk):
+                        res = [None] * len(chunk)
                 except Exception:  # noqa: BLE001 - any model failure -> retry later
-                    got = [None] * len(reqs)
-                res = chunk[keep_cols].copy()
-                res["raw_response"] = [None if g is None else str(g) for g in got]
-                yield res
+                    res = [None] * len(chunk)
+                got.extend(None if g is None else str(g) for g in res)
+            out = pdf[keep_cols].copy()
+            out["raw_response"] = got
+            yield out
 
     raw = src.mapInPandas(run, schema)
     resp = extract_final_answer(F.col("raw_response")) if final_answer else F.col("raw_response")

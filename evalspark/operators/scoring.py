@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.ring import accepted_directions
 from evalspark.functions.text import (
-    all_numbers, first_number, is_numeric_list, nonblank, normalise_list,
+    all_numbers, first_number, is_numeric_list, let, nonblank, normalise_list,
     same_set, split_answers, ustrip, yes_verdict,
 )
 
@@ -41,13 +41,14 @@ def distance_correct(resp_list: Column, exp_list: Column) -> Column:
     else 0.  No number on either side -> 0.  Units are ignored (D10).
     """
     exp0 = _first(exp_list)
-    nums = all_numbers(exp0)
-    e = F.try_element_at(nums, F.lit(1))
-    tol = F.when(exp0.contains("±"), F.coalesce(F.try_element_at(nums, F.lit(2)), F.lit(0.0))) \
-        .otherwise(F.lit(0.0))
-    v = first_number(_first(resp_list))
-    hit = v.between(e - tol, e + tol)
-    return F.when(F.coalesce(hit, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+
+    def body(nums: Column) -> Column:
+        e = F.try_element_at(nums, F.lit(1))
+        tol = F.when(exp0.contains("±"), F.coalesce(F.try_element_at(nums, F.lit(2)), F.lit(0.0))) \
+            .otherwise(F.lit(0.0))
+        hit = first_number(_first(resp_list)).between(e - tol, e + tol)
+        return F.when(F.coalesce(hit, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+    return let(all_numbers(exp0), body)
 
 
 def cardinal_correct(resp_list: Column, exp_list: Column, exact_only: bool = False) -> Column:
@@ -63,21 +64,24 @@ def text_correct(resp_list: Column, exp_list: Column, resp_raw: Column | None =
     Both normalised lists all-numeric -> ordered equality decides 1 or 0.
     Otherwise equal sets -> 1; anything else is undecided (null).  With
     ``strict_empty`` two empty lists count only if both originals are blank
-    (D11), otherwise they are undecided.
+    (D11), otherwise they are undecided.  The two normalised lists are
+    computed once (``let``) and shared by every branch.
     """
-    r = normalise_list(resp_list)
-    e = normalise_list(exp_list)
-    both_numeric = is_numeric_list(r) & is_numeric_list(e)
-    empty_both = (F.size(r) == 0) & (F.size(e) == 0)
     if strict_empty and resp_raw is not None and exp_raw is not None:
         empty_ok = ~nonblank(resp_raw) & ~nonblank(exp_raw)
     else:
         empty_ok = F.lit(True)
-    return (
-        F.when(both_numeric, F.when(r == e, F.lit(1)).otherwise(F.lit(0)))
-        .when(empty_both, F.when(empty_ok, F.lit(1)))
-        .when(same_set(r, e), F.lit(1))
-    )
+
+    def body(p: Column) -> Column:
+        r, e = p["r"], p["e"]
+        both_numeric = is_numeric_list(r) & is_numeric_list(e)
+        empty_both = (F.size(r) == 0) & (F.size(e) == 0)
+        return (
+            F.when(both_numeric, F.when(r == e, F.lit(1)).otherwise(F.lit(0)))
+            .when(empty_both, F.when(empty_ok, F.lit(1)))
+            .when(same_set(r, e), F.lit(1))
+        )
+    return let(F.struct(normalise_list(resp_list).alias("r"), normalise_list(exp_list).alias("e")), body)
 
 
 def score_distance(df: DataFrame, response: str = "response",
@@ -103,13 +107,18 @@ def score_text(df: DataFrame, response: str = "response", expected: str = "expec
 def score_expr(answer_type: Column, resp_list: Column, exp_list: Column,
                resp_raw: Column, exp_raw: Column, strict_empty: bool = True,
                exact_only: bool = False) -> Column:
-    """E5 dispatch: distance / textual / anything else -> cardinal."""
-    return (
-        F.when(answer_type == DISTANCE, distance_correct(resp_list, exp_list))
-        .when(answer_type == TEXTUAL, text_correct(resp_list, exp_list, resp_raw, exp_raw,
-                                                   strict_empty))
-        .otherwise(cardinal_correct(resp_list, exp_list, exact_only))
-    )
+    """E5 dispatch: distance / textual / anything else -> cardinal.
+
+    The split answer lists are bound once and shared by the branches.
+    """
+    def body(p: Column) -> Column:
+        r, e = p["r"], p["e"]
+        return (
+            F.when(answer_type == DISTANCE, distance_correct(r, e))
+            .when(answer_type == TEXTUAL, text_correct(r, e, resp_raw, exp_raw, strict_empty))
+            .otherwise(cardinal_correct(r, e, exact_only))
+        )
+    return let(F.struct(resp_list.alias("r"), exp_list.alias("e")), body)
 
 
 def judge_prompt(question_ref: Column, expected: Column, response: Column) -> Column:

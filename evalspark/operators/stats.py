@@ -1,10 +1,11 @@
 """Curation statistics (G1–G6): canonical answers, spread, agreement, bootstrap.
 
-Bootstrap replicates are computed *inside* expressions over a per-group
-sorted array, never by exploding ``n × n_boot`` rows.  Draw ``i`` of replicate
-``b`` in group ``g`` is ``hex8(md5('g|b|i')) mod n`` — deterministic, so runs
-are reproducible and an SQL oracle can recompute every draw.  Arrays are only
-built for groups whose size was *measured* to be at most ``max_group``;
+Bootstrap replicates are computed per group inside a grouped task with
+numpy, never by exploding ``n × n_boot`` rows.  Draw ``i`` of replicate ``b``
+in group ``g`` is an integer mix of (md5 seed of ``g``, ``b``, ``i``) modulo
+``n`` — deterministic, so runs are reproducible and an SQL oracle recomputes
+every draw.  Groups are only handed over whole when their size was *measured*
+to be at most ``max_group``;
 larger groups get the closed-form standard error of the mean
 (``stddev_pop / sqrt(n)``, the limit the bootstrap estimates), so no group is
 ever collected without a bound and no row is dropped.
@@ -12,7 +13,9 @@ ever collected without a bound and no row is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import first_number, split_answers
@@ -87,70 +90,78 @@ def annotation_agreement(scored: DataFrame, key: str = "question_ref",
 
 
 # --------------------------------------------------------------- bootstrap
-def draw_index(g: Column, b: Column, i: Column, n: Column) -> Column:
-    """0-based index of draw ``i`` of replicate ``b`` in group ``g``."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", g.cast("string"), b.cast("string"),
-                                              i.cast("string"))), 1, 8), 16, 10)
-    return h.cast("bigint") % n
+# Fixed values of the draw function (any change alters every replicate).
+MIX_MOD = 2 ** 31
+MIX_B, MIX_I = 1_000_003, 7_919
+MIX_A1, MIX_C1 = 1_103_515_245, 12_345
+MIX_A2, MIX_C2 = 1_664_525, 1_013_904_223
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (a lambda-bound name).
-
-    Catalyst does not share sub-expressions inside higher-order functions, so
-    an expensive value referenced in a lambda would be recomputed per element.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _resample(v: Column, g: Column, b: Column, n: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
-                       lambda i: F.element_at(v, (draw_index(g, b, i, n) + 1).cast("int")))
-
-
-def _mean(arr: Column, n: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / n
+def group_seed(g) -> int:
+    """Per-group seed: first 8 hex digits of md5 of the key's text."""
+    import hashlib
+    return int(hashlib.md5(str(g).encode("utf-8")).hexdigest()[:8], 16)
 
 
-def _sd(arr: Column, n_boot: int) -> Column:
-    """Sample standard deviation (ddof=1) of an array, two-pass."""
-    def body(m: Column) -> Column:
-        return let(F.aggregate(m, F.lit(0.0), lambda acc, x: acc + x) / F.lit(float(n_boot)),
-                   lambda mu: F.sqrt(F.aggregate(m, F.lit(0.0), lambda acc, x: acc + (x - mu) * (x - mu))
-                                     / F.lit(float(n_boot - 1))))
-    return let(arr, body)
+def draw_indices(seed: int, b: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
+    """0-based draw ``i`` of replicate ``b`` (broadcast arrays) in a group of ``n``.
 
-
-def _winsorized_mean(sample: Column, n: Column, p: float) -> Column:
-    k = F.floor(F.lit(p) * n).cast("int")
-
-    def clip(s: Column) -> Column:
-        bounds = F.struct(F.element_at(s, k + 1).alias("lo"), F.element_at(s, (n - k).cast("int")).alias("hi"))
-        return let(bounds, lambda lh: _mean(F.transform(s, lambda x: F.greatest(lh["lo"], F.least(lh["hi"], x))),
-                                            n))
-    return let(F.array_sort(sample), clip)
+    Integer mixing with every product below 2**62, so numpy, Spark SQL and
+    DuckDB compute identical indices (see the oracle).
+    """
+    x = (np.int64(seed) + b.astype(np.int64) * MIX_B + i.astype(np.int64) * MIX_I) % MIX_MOD
+    x = (x * MIX_A1 + MIX_C1) % MIX_MOD
+    x = x ^ (x >> 13)
+    x = (x * MIX_A2 + MIX_C2) % MIX_MOD
+    x = x ^ (x >> 17)
+    return x % n
+
+
+def _replicate_means(values: np.ndarray, seed: int, n_boot: int, winsor: float | None,
+                     chunk: int = 64) -> np.ndarray:
+    v = np.sort(values.astype(np.float64))
+    n = v.size
+    i = np.arange(n, dtype=np.int64)[None, :]
+    out = np.empty(n_boot, dtype=np.float64)
+    k = int(winsor * n) if winsor is not None else 0
+    for b0 in range(0, n_boot, chunk):
+        b = np.arange(b0, min(n_boot, b0 + chunk), dtype=np.int64)[:, None]
+        sample = v[draw_indices(seed, b, i, n)]
+        if winsor is not None and k > 0:
+            s = np.sort(sample, axis=1)
+            sample = np.clip(sample, s[:, k][:, None], s[:, n - 1 - k][:, None])
+        out[b0:b0 + b.shape[0]] = sample.sum(axis=1) / n
+    return out
+
+
+def _boot_fn(group: str, n_boot: int, winsor: float | None):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf[group].iloc[0]
+        vals = pdf["_x"].to_numpy(np.float64)
+        means = _replicate_means(vals, group_seed(g), n_boot, winsor)
+        se = float(np.std(means, ddof=1)) if n_boot > 1 else float("nan")
+        return pd.DataFrame({group: [g], "n": [vals.size], "se": [round(se, 6)], "method": ["bootstrap"]})
+    return fn
 
 
 def _bootstrap(values: DataFrame, group: str, x: str, n_boot: int, winsor: float | None,
                max_group: int) -> DataFrame:
+    """Per-group bootstrap with Arrow-batched numpy inside grouped tasks.
+
+    Group sizes are measured first; only groups of at most ``max_group`` rows
+    are handed to a task as one array (a proven bound); larger groups take the
+    closed form.  Replicates are generated in chunks so a task holds at most
+    ``64 × max_group`` draws at once.
+    """
     if n_boot < 2:
         raise ValueError("n_boot must be >= 2")
     vals = values.select(F.col(group), F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    sizes = vals.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
-                                    F.stddev_pop("_x").alias("_sdp"))
+    sizes = vals.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_x").alias("_sdp"))
     small_keys = sizes.filter(F.col("n") <= max_group).select(group)
-    small = (vals.join(broadcast_if_small(small_keys), group, "left_semi")
-             .groupBy(group).agg(F.array_sort(F.collect_list("_x")).alias("_v"),
-                                 F.count(F.lit(1)).alias("n")))
-    g = F.col(group)
-    n = F.col("n")
-    if winsor is None:
-        rep = lambda b: _mean(_resample(F.col("_v"), g, b, n), n)
-    else:
-        rep = lambda b: _winsorized_mean(_resample(F.col("_v"), g, b, n), n, winsor)
-    means = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), rep)
-    boot = small.select(group, "n", F.round(_sd(means, n_boot), 6).alias("se"),
-                        F.lit("bootstrap").alias("method"))
+    gtype = dict(vals.dtypes)[group]
+    schema = f"`{group}` {gtype}, n long, se double, method string"
+    boot = (vals.join(broadcast_if_small(small_keys), group, "left_semi")
+            .groupBy(group).applyInPandas(_boot_fn(group, n_boot, winsor), schema))
     large = sizes.filter(F.col("n") > max_group).select(
         group, "n", F.round(F.col("_sdp") / F.sqrt(F.col("n")), 6).alias("se"),
         F.lit("closed_form").alias("method"))

@@ -261,18 +261,27 @@ def q_annotation_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return stats.annotation_agreement(scored)
 
 
+def _mix_sql(seed: str, b: str, i: str, n: str) -> str:
+    """DuckDB twin of ``stats.draw_indices``."""
+    m = stats.MIX_MOD
+    x0 = f"(({seed} + {b} * {stats.MIX_B} + {i} * {stats.MIX_I}) % {m})"
+    x1 = f"(({x0} * {stats.MIX_A1} + {stats.MIX_C1}) % {m})"
+    x2 = f"xor({x1}, {x1} >> 13)"
+    x3 = f"(({x2} * {stats.MIX_A2} + {stats.MIX_C2}) % {m})"
+    return f"(xor({x3}, {x3} >> 17) % {n})"
+
+
 def _draws_sql(n_boot: int) -> str:
     return f"""
-r AS (SELECT user_id, CAST(user_id AS VARCHAR) AS g, value AS x,
+r AS (SELECT user_id, value AS x,
              row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS j,
              count(*) OVER (PARTITION BY user_id) AS n
       FROM events WHERE value IS NOT NULL),
-s AS (SELECT DISTINCT user_id, g, n FROM r),
-sb AS (SELECT user_id, g, n, unnest(range({n_boot})) AS b FROM s),
-d AS (SELECT user_id, g, n, b, unnest(range(n)) AS i FROM sb),
-dj AS (SELECT user_id, n, b,
-              ('0x' || substr(md5(g || '|' || CAST(b AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % n
-                AS j FROM d),
+s AS (SELECT DISTINCT user_id, n,
+             ('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT AS seed FROM r),
+sb AS (SELECT user_id, n, seed, unnest(range({n_boot})) AS b FROM s),
+d AS (SELECT user_id, n, seed, b, unnest(range(n)) AS i FROM sb),
+dj AS (SELECT user_id, n, b, {_mix_sql('seed', 'b', 'i', 'n')} AS j FROM d),
 dv AS (SELECT dj.user_id, dj.n, dj.b, r.x FROM dj JOIN r ON dj.user_id = r.user_id AND dj.j = r.j)"""
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.functions.ring import accepted_directions
+from evalspark.functions.text import all_numbers, first_number, is_numeric_list, normalise_list, split_answers
 from evalspark.operators import report, scoring
 from evalspark.plans import sqlfrag as S
 from evalspark.plans import standins
@@ -115,3 +117,34 @@ def q_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluate every response and report accuracy by model/setting/type."""
     return q_accuracy(spark, sf)
+
+
+@register("accepted_directions", "J9", lambda: f"""
+SELECT l_orderkey, l_linenumber, array_to_string({S.accepted_directions(
+    f"CASE WHEN l_partkey % 9 = 0 THEN 'Up' ELSE {S.ring_list()}[CAST(l_partkey % 8 AS INTEGER) + 1] END")}, '|')
+    AS accepted
+FROM lineitem""")
+def q_accepted_directions(spark: SparkSession, sf: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf.rstrip('/')}/lineitem.parquet")
+    exp = F.when(F.col("l_partkey") % 9 == 0, F.lit("Up")).otherwise(standins._ring_at(F.col("l_partkey")))
+    return li.select("l_orderkey", "l_linenumber",
+                     F.array_join(accepted_directions(exp), "|").alias("accepted"))
+
+
+@register("answer_text_functions", "X1-X7", lambda: f"""
+SELECT doc_id,
+       len({S.split_answers('text')}) AS n_parts,
+       {S.first_number('text')} AS first_number,
+       len({S.all_numbers('text')}) AS n_numbers,
+       len({S.normalise_list(S.split_answers('text'))}) AS n_tokens,
+       CAST({S.is_numeric_list(S.normalise_list(S.split_answers('text')))} AS INTEGER) AS all_numeric,
+       coalesce(({S.normalise_list(S.split_answers('text'))})[1], '') AS first_token
+FROM documents""")
+def q_answer_text_functions(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
+    parts = split_answers("text")
+    toks = normalise_list(parts)
+    return d.select("doc_id", F.size(parts).alias("n_parts"), first_number("text").alias("first_number"),
+                    F.size(all_numbers("text")).alias("n_numbers"), F.size(toks).alias("n_tokens"),
+                    is_numeric_list(toks).cast("int").alias("all_numeric"),
+                    F.coalesce(F.try_element_at(toks, F.lit(1)), F.lit("")).alias("first_token"))
