@@ -16,8 +16,11 @@ ANSWER_SEPARATOR = ";"                 # multi-answer separator
 FINAL_ANSWER_MARKER = "Final answer:"  # reasoning/answer marker in responses
 NUMERIC_TOKEN = r"^\d+(\.\d+)?$"       # an all-numeric normalised token
 NON_ALNUM = r"[^a-zA-Z0-9]+"           # removed when normalising text answers
-# Unicode-aware strip: whitespace plus every separator (no-break space etc.).
-STRIP_PATTERN = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# Unicode-aware strip: every character Python's ``str.strip()`` removes (the
+# reference's semantics), derived by rule from ``str.isspace``.
+STRIP_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+STRIP_CLASS = "".join("\\x{%04x}" % ord(ch) for ch in STRIP_CHARS)
+STRIP_PATTERN = f"^[{STRIP_CLASS}]+|[{STRIP_CLASS}]+$"
 
 
 def _c(c) -> Column:
@@ -25,8 +28,17 @@ def _c(c) -> Column:
 
 
 def ustrip(c) -> Column:
-    """Strip whitespace *and* Unicode separators at both ends."""
-    return F.regexp_replace(_c(c), STRIP_PATTERN, "")
+    """Strip Unicode whitespace at both ends, as ``str.strip()`` does.
+
+    ``trim`` with an explicit character set: no regex, codegen'd, and it only
+    touches the ends of the string.
+    """
+    return F.trim(_c(c), F.lit(STRIP_CHARS))
+
+
+def first_answer(c) -> Column:
+    """First ``;``-separated answer, stripped (no array is built)."""
+    return ustrip(F.substring_index(_c(c), ANSWER_SEPARATOR, 1))
 
 
 def split_answers(c, sep: str = ANSWER_SEPARATOR) -> Column:
@@ -53,8 +65,11 @@ def all_numbers(c) -> Column:
 
 
 def normalise_list(c) -> Column:
-    """Lower-case, drop ``[^a-zA-Z0-9]+``, drop empty tokens."""
-    cleaned = F.transform(_c(c), lambda x: F.regexp_replace(F.lower(ustrip(x)), NON_ALNUM, ""))
+    """Lower-case, drop ``[^a-zA-Z0-9]+``, drop empty tokens.
+
+    (Stripping first would be redundant: whitespace is non-alphanumeric.)
+    """
+    cleaned = F.transform(_c(c), lambda x: F.regexp_replace(F.lower(x), NON_ALNUM, ""))
     return F.filter(cleaned, lambda x: x != "")
 
 

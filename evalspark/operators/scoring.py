@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.ring import accepted_directions
 from evalspark.functions.text import (
-    all_numbers, first_number, is_numeric_list, let, nonblank, normalise_list,
+    NUMBER_PATTERN, first_answer, first_number, is_numeric_list, let, nonblank, normalise_list,
     same_set, split_answers, ustrip, yes_verdict,
 )
 
@@ -34,29 +34,40 @@ def _first(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 
 
-def distance_correct(resp_list: Column, exp_list: Column) -> Column:
-    """1 iff first number of the response lies in ``e ± tol`` (inclusive).
+def _nth_number(nums: Column, i: int) -> Column:
+    return F.try_element_at(nums, F.lit(i)).try_cast("double")
+
+
+def distance_scalar(resp0: Column, exp0: Column) -> Column:
+    """E1 on the first (stripped) answers: 1 iff the response's first number
+    lies in ``e ± tol`` (inclusive).
 
     ``tol`` is the second number of the expected answer when it holds ``±``,
-    else 0.  No number on either side -> 0.  Units are ignored (D10).
+    else 0.  No number on either side -> 0.  Units are ignored (D10).  No
+    higher-order function: stays in generated code.
     """
-    exp0 = _first(exp_list)
+    nums = F.regexp_extract_all(exp0, F.lit(f"({NUMBER_PATTERN})"), F.lit(1))
+    e = _nth_number(nums, 1)
+    tol = F.when(exp0.contains("±"), F.coalesce(_nth_number(nums, 2), F.lit(0.0))).otherwise(F.lit(0.0))
+    hit = first_number(resp0).between(e - tol, e + tol)
+    return F.when(F.coalesce(hit, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
 
-    def body(nums: Column) -> Column:
-        e = F.try_element_at(nums, F.lit(1))
-        tol = F.when(exp0.contains("±"), F.coalesce(F.try_element_at(nums, F.lit(2)), F.lit(0.0))) \
-            .otherwise(F.lit(0.0))
-        hit = first_number(_first(resp_list)).between(e - tol, e + tol)
-        return F.when(F.coalesce(hit, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-    return let(all_numbers(exp0), body)
 
-
-def cardinal_correct(resp_list: Column, exp_list: Column, exact_only: bool = False) -> Column:
+def cardinal_scalar(resp0: Column, exp0: Column, exact_only: bool = False) -> Column:
     """Response is the expected direction or a ring neighbour of it."""
-    ok = F.array_contains(accepted_directions(_first(exp_list), exact_only), _first(resp_list))
+    ok = F.array_contains(accepted_directions(exp0, exact_only), resp0)
     return F.when(F.coalesce(ok, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
 
 
+def distance_correct(resp_list: Column, exp_list: Column) -> Column:
+    """E1 on split answer lists (first elements are used, D8)."""
+    return distance_scalar(_first(resp_list), _first(exp_list))
+
+
+def cardinal_correct(resp_list: Column, exp_list: Column, exact_only: bool = False) -> Column:
+    return cardinal_scalar(_first(resp_list), _first(exp_list), exact_only)
+
+
 def text_correct(resp_list: Column, exp_list: Column, resp_raw: Column | None = None,
                  exp_raw: Column | None = None, strict_empty: bool = True) -> Column:
     """1/0 when decided by rule, null when it needs a judge.
@@ -84,15 +95,18 @@ def text_correct(resp_list: Column, exp_list: Column, resp_raw: Column | None =
     return let(F.struct(normalise_list(resp_list).alias("r"), normalise_list(exp_list).alias("e")), body)
 
 
+def _first_of(df: DataFrame, c: str) -> Column:
+    return first_answer(c) if dict(df.dtypes)[c] == "string" else ustrip(_first(F.col(c)))
+
+
 def score_distance(df: DataFrame, response: str = "response",
                    expected: str = "expected_answer", out: str = "correct") -> DataFrame:
-    return df.withColumn(out, distance_correct(as_answer_list(response), as_answer_list(expected)))
+    return df.withColumn(out, distance_scalar(_first_of(df, response), _first_of(df, expected)))
 
 
 def score_cardinal(df: DataFrame, response: str = "response", expected: str = "expected_answer",
                    out: str = "correct", exact_only: bool = False) -> DataFrame:
-    return df.withColumn(out, cardinal_correct(as_answer_list(response), as_answer_list(expected),
-                                               exact_only))
+    return df.withColumn(out, cardinal_scalar(_first_of(df, response), _first_of(df, expected), exact_only))
 
 
 def score_text(df: DataFrame, response: str = "response", expected: str = "expected_answer",
@@ -104,21 +118,21 @@ def score_text(df: DataFrame, response: str = "response", expected: str = "expec
                                            resp_raw, exp_raw_s, strict_empty))
 
 
-def score_expr(answer_type: Column, resp_list: Column, exp_list: Column,
-               resp_raw: Column, exp_raw: Column, strict_empty: bool = True,
+def score_expr(answer_type: Column, resp_raw: Column, exp_raw: Column, exp_list: Column,
+               resp0: Column, exp0: Column, strict_empty: bool = True,
                exact_only: bool = False) -> Column:
     """E5 dispatch: distance / textual / anything else -> cardinal.
 
-    The split answer lists are bound once and shared by the branches.
+    ``CASE`` evaluates only the taken branch: distance and cardinal rows use
+    the first answers as plain strings (generated code); only textual rows
+    split and normalise whole lists.
     """
-    def body(p: Column) -> Column:
-        r, e = p["r"], p["e"]
-        return (
-            F.when(answer_type == DISTANCE, distance_correct(r, e))
-            .when(answer_type == TEXTUAL, text_correct(r, e, resp_raw, exp_raw, strict_empty))
-            .otherwise(cardinal_correct(r, e, exact_only))
-        )
-    return let(F.struct(resp_list.alias("r"), exp_list.alias("e")), body)
+    return (
+        F.when(answer_type == DISTANCE, distance_scalar(resp0, exp0))
+        .when(answer_type == TEXTUAL, text_correct(split_answers(resp_raw), exp_list, resp_raw,
+                                                   exp_raw, strict_empty))
+        .otherwise(cardinal_scalar(resp0, exp0, exact_only))
+    )
 
 
 def judge_prompt(question_ref: Column, expected: Column, response: Column) -> Column:
@@ -171,14 +185,18 @@ def evaluate(responses: DataFrame, answers: DataFrame, verdicts: DataFrame | Non
     """
     joined = responses.join(answers, on=key, how="full").filter(F.col(key).isNotNull())
     exp_is_str = dict(answers.dtypes)["expected_answer"] == "string"
-    exp_list = split_answers("expected_answer") if exp_is_str else F.transform(
-        F.col("expected_answer"), lambda x: ustrip(x))
-    exp_raw = F.col("expected_answer") if exp_is_str else F.array_join("expected_answer", ";")
-    resp_list = split_answers(response)
+    if exp_is_str:
+        exp_list = split_answers("expected_answer")
+        exp0 = first_answer("expected_answer")
+        exp_raw = F.col("expected_answer")
+    else:
+        exp_list = F.transform(F.col("expected_answer"), lambda x: ustrip(x))
+        exp0 = ustrip(_first(F.col("expected_answer")))
+        exp_raw = F.array_join("expected_answer", ";")
     out = joined.withColumn(
         "correct",
-        score_expr(F.col("answer_type"), resp_list, exp_list, F.col(response), exp_raw,
-                   strict_empty, exact_only),
+        score_expr(F.col("answer_type"), F.col(response), exp_raw, exp_list,
+                   first_answer(response), exp0, strict_empty, exact_only),
     )
     if verdicts is not None:
         pk = [c for c in ("question_ref", "model", "setting") if c in out.columns]

@@ -32,7 +32,7 @@ def all_numbers(x: str) -> str:
 
 
 def normalise_list(x: str) -> str:
-    return (f"list_filter(list_transform({x}, lambda t_: regexp_replace(lower({ustrip('t_')}), "
+    return (f"list_filter(list_transform({x}, lambda t_: regexp_replace(lower(t_), "
             f"{q(NON_ALNUM)}, '', 'g')), lambda t_: t_ <> '')")
 
 

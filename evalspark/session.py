@@ -74,5 +74,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+MIN_SPLIT_BYTES = 4 * 1024 * 1024
+_SIZE_CACHE: dict[str, int] = {}
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` via the Hadoop FileSystem API."""
+    if path not in _SIZE_CACHE:
+        jvm = spark.sparkContext._jvm
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        _SIZE_CACHE[path] = int(p.getFileSystem(conf).getContentSummary(p).getLength())
+    return _SIZE_CACHE[path]
+
+
+def ensure_parallelism(df: DataFrame, path: str | None = None,
+                       min_bytes: int = MIN_SPLIT_BYTES) -> DataFrame:
+    """Spread a scan over the cluster's cores when the files are not splittable
+    enough (one large row group gives one task).
+
+    Plan-time check only: the scan's partition count against the default
+    parallelism, and the input size.  A table of thousands of files already
+    has enough partitions, so this is a no-op at scale; a small table is left
+    alone (not worth a shuffle).
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    if path is not None and input_bytes(spark, path) < min_bytes:
+        return df
+    return df.repartition(target)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return ensure_parallelism(spark.read.parquet(path), path)
