@@ -77,8 +77,8 @@ def resume_pointer(pages: DataFrame, answered: DataFrame, users: DataFrame | Non
     last = done.groupBy("user_id").agg(F.max("page_idx").alias("_last"))
     per_user = pages.groupBy("user_id").agg(F.max("n_pages").alias("_n"))
     target = (per_user.join(last, "user_id", "left")
-              .select("user_id", F.coalesce(F.least(F.col("_last") + 1, F.col("_n")), F.lit(1))
-                      .cast("bigint").alias("page_idx")))
+              .select("user_id", F.when(F.col("_last").isNull(), F.lit(1))
+                      .otherwise(F.least(F.col("_last") + 1, F.col("_n"))).cast("bigint").alias("page_idx")))
     landed = target.join(pages.select("user_id", "page_idx", "page"), ["user_id", "page_idx"], "inner")
     if users is not None:
         landed = users.select("user_id").distinct().join(landed, "user_id", "left")

@@ -97,7 +97,8 @@ WITH p AS (
          count(*) OVER (PARTITION BY conv_id) AS n_pages,
          printf('u%04d', conv_id) || '_' || printf('q_%04d', turn) || '.html' AS page
   FROM conversations),
-t AS (SELECT user_id, coalesce(least(max(CASE WHEN role = 'assistant' THEN page_idx END) + 1, max(n_pages)), 1)
+t AS (SELECT user_id, CASE WHEN max(CASE WHEN role = 'assistant' THEN page_idx END) IS NULL THEN 1
+                          ELSE least(max(CASE WHEN role = 'assistant' THEN page_idx END) + 1, max(n_pages)) END
              AS page_idx FROM p GROUP BY user_id),
 users AS (SELECT printf('u%04d', c_custkey) AS user_id FROM customer
           UNION SELECT printf('u%04d', conv_id) FROM conversations)
