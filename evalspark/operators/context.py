@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.assets import SENTINEL_MISSING, parse_asset, split_path
-from evalspark.operators.ordinals import broadcast_if_small, group_ordinal
+from evalspark.operators.ordinals import group_ordinal
 
 DEFAULT_BLOCK = 4096
 IP_DECIMALS = 9
@@ -47,7 +47,8 @@ def _chunk_counts(queries: DataFrame, cands: DataFrame, group: str, block: int)
 
 def _blocked(queries: DataFrame, cands: DataFrame, group: str, block: int):
     """Replicate each side across the other side's chunks of the same folder."""
-    counts = broadcast_if_small(_chunk_counts(queries, cands, group, block))
+    # one row per folder; AQE broadcasts it from its measured size
+    counts = _chunk_counts(queries, cands, group, block)
     q = (queries.join(counts, group, "inner")
          .withColumn("_qc", F.pmod(F.xxhash64("qid"), F.col("_qchunks")).cast("int"))
          .withColumn("_cc", F.explode(F.sequence(F.lit(0), F.col("_cchunks") - 1))))

@@ -66,7 +66,8 @@ def group_ordinal(df: DataFrame, group: list[str], order: list, out: str = "ordi
     """
     g = global_ordinal(df, [*group, *order], out="_g")
     starts = g.groupBy(*group).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_total"))
-    res = (g.join(broadcast_if_small(starts), group, "inner")
+    # one row per group: AQE broadcasts it when small, else splits skewed keys
+    res = (g.join(starts, group, "inner")
            .withColumn(out, F.col("_g") - F.col("_start") + 1))
     if total:
         res = res.withColumnRenamed("_total", total)

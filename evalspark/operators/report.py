@@ -8,6 +8,8 @@ over fact-sized data, which is why an unpartitioned window is acceptable in
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +76,11 @@ def bank_profile(bank: DataFrame, parent: str = "spatial_relationship",
 def category_share(df: DataFrame, col: str, label_sep: str = "\n") -> DataFrame:
     """Count, share of total and a ``name\\n(n)`` label per category.
 
-    The total is a window over the already-aggregated rows (one per category).
+    The total is a scalar subquery over the per-category counts (evaluated
+    once, no window over a single partition, no join).
     """
     agg = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = agg.agg(F.sum("n")).scalar()
     return agg.select(
         col, "n",
         F.round(F.col("n") / total, 6).alias("share"),
@@ -89,9 +92,8 @@ def country_counts(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str
     """Rows per country plus the number of countries and the total."""
     per = facts.groupBy(fact_key).agg(F.count(F.lit(1)).alias("n"))
     named = per.join(dim.select(F.col(dim_key).alias(fact_key), name), fact_key, "inner")
-    w = Window.partitionBy()
-    return named.select(name, "n", F.count(F.lit(1)).over(w).alias("n_countries"),
-                        F.sum("n").over(w).alias("n_total"))
+    return named.select(name, "n", named.agg(F.count(F.lit(1))).scalar().alias("n_countries"),
+                        named.agg(F.sum("n")).scalar().alias("n_total"))
 
 
 def coverage(dim: DataFrame, facts: DataFrame, dim_key: str, fact_key: str) -> DataFrame:
@@ -179,25 +181,44 @@ def log_scale(c: Column, base: float | None = None) -> Column:
     return F.ln(c) if base is None else F.log(float(base), c)
 
 
+def exact_quantiles(values: DataFrame, col: str, probs: tuple[float, ...]) -> list[float]:
+    """Exact linear-interpolation quantiles without gathering the column.
+
+    The values are ranked with a range-partitioned global ordinal; only the
+    (at most ``2·len(probs)``) rows at the needed ranks reach the driver.
+    """
+    from evalspark.operators.ordinals import global_ordinal
+    v = values.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    n = v.count()
+    if n == 0:
+        return []
+    pos = [(n - 1) * p for p in probs]
+    need = sorted({int(math.floor(h)) + 1 for h in pos} | {int(math.ceil(h)) + 1 for h in pos})
+    o = global_ordinal(v, ["_v"], out="_o")
+    at = {r["_o"]: r["_v"] for r in o.filter(F.col("_o").isin(need)).collect()}
+    out = []
+    for h in pos:
+        lo, hi = at[int(math.floor(h)) + 1], at[int(math.ceil(h)) + 1]
+        out.append(lo + (hi - lo) * (h - math.floor(h)))
+    return out
+
+
 def quantile_bins(values: DataFrame, col: str,
-                  probs: tuple[float, ...] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0),
-                  exact: bool = True, accuracy: int = 10000) -> DataFrame:
+                  probs: tuple[float, ...] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> DataFrame:
     """Bin edges over positive values, one row per edge (``edge``).
 
-    Exact ``percentile`` (linear interpolation, numpy's default), distinct
-    edges; when at most two distinct edges remain the distinct positive values
-    are the edges instead; ``[0, 1]`` when there are no positives.  The
-    decision uses a single one-row aggregate; the fallback edges stay a
-    distributed ``distinct`` (never collected).  ``exact=False`` switches to
-    ``percentile_approx`` for very large inputs.
+    Exact linear interpolation (numpy's default), distinct edges; when at most
+    two distinct edges remain the distinct positive values are the edges
+    instead; ``[0, 1]`` when there are no positives.  Quantiles come from a
+    distributed ranking (:func:`exact_quantiles`), so no task ever holds the
+    whole column; the fallback edges stay a distributed ``distinct``.
     """
     spark = values.sparkSession
     pos = values.filter(F.col(col) > 0).select(F.col(col).cast("double").alias("edge"))
-    arr = F.array(*[F.lit(p) for p in probs])
-    q = F.percentile("edge", arr) if exact else F.percentile_approx("edge", arr, accuracy)
-    head = pos.agg(F.array_distinct(q).alias("q"), F.count(F.lit(1)).alias("n_pos")).first()
-    if head["n_pos"] == 0:
+    q = exact_quantiles(pos, "edge", probs)
+    if not q:
         return spark.createDataFrame([(0.0,), (1.0,)], "edge double")
-    if len(head["q"]) > 2:
-        return spark.createDataFrame([(float(x),) for x in head["q"]], "edge double")
+    uniq = sorted(set(q))
+    if len(uniq) > 2:
+        return spark.createDataFrame([(float(x),) for x in uniq], "edge double")
     return pos.distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.ring import accepted_directions
+from evalspark.operators.shape import align_skew_safe
 from evalspark.functions.text import (
     NUMBER_PATTERN, first_answer, first_number, is_numeric_list, let, nonblank, normalise_list,
     same_set, split_answers, ustrip, yes_verdict,
@@ -180,10 +181,11 @@ def evaluate(responses: DataFrame, answers: DataFrame, verdicts: DataFrame | Non
     ``responses``: ``question_ref, [model, setting,] response`` (long form).
     ``answers``: ``question_ref, answer_type, expected_answer`` (string or list).
     A full outer align keeps answers with no response and responses with no
-    answer (the reference's ``align``); null keys are dropped (P9).  Rows whose
+    answer (the reference's ``align``), built skew-safe (one hot question
+    cannot pin one task); null keys are dropped (P9).  Rows whose
     response is missing score 0 except textual ones, which stay undecided.
     """
-    joined = responses.join(answers, on=key, how="full").filter(F.col(key).isNotNull())
+    joined = align_skew_safe(responses, answers, [key]).filter(F.col(key).isNotNull())
     exp_is_str = dict(answers.dtypes)["expected_answer"] == "string"
     if exp_is_str:
         exp_list = split_answers("expected_answer")

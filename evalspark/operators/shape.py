@@ -34,6 +34,20 @@ def align(left: DataFrame, right: DataFrame, on: list[str] | None = None,
     return out.orderBy(*keys) if sort else out
 
 
+def align_skew_safe(facts: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
+    """Full outer align of a (possibly skewed) fact side with a one-row-per-key
+    side, as a left join plus the unmatched keys.
+
+    AQE can split a skewed key's partition for a left outer join (the fact
+    side) but not for a full outer join; the unmatched ``dim`` rows come from
+    an anti join against the *distinct* fact keys (partially aggregated, so a
+    hot key is one row).  Same rows as ``join(how="full")``.
+    """
+    matched = facts.join(dim, on=on, how="left")
+    unmatched = dim.join(facts.select(*on).distinct(), on=on, how="left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
 def align_left(left: DataFrame, right: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Left join on all shared column names."""
     keys = on or shared_columns(left, right)

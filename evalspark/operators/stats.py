@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import first_number, split_answers
-from evalspark.operators.ordinals import broadcast_if_small
+from evalspark.operators.ordinals import group_ordinal
 
 DEFAULT_MAX_GROUP = 20_000
 
@@ -51,20 +51,34 @@ def spread_values(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
     return vals.unionByName(exp)
 
 
+def exact_median(values: DataFrame, key: str, x: str = "x") -> DataFrame:
+    """Exact per-group median (mean of the two middle values for even n).
+
+    Ranks come from the skew-safe :func:`group_ordinal` (range-partitioned), so
+    a group holding a third of all rows is spread over many tasks; only the one
+    or two middle rows per group are aggregated.
+    """
+    r = group_ordinal(values.select(key, x), [key], [x], out="_r", total="_n")
+    mid = (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.ceil((F.col("_n") + 1) / 2))
+    return r.filter(mid).groupBy(key).agg(F.avg(x).alias("median"))
+
+
 def annotator_spread(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
                      answer: str = "answer", expected: str = "expected_answer") -> DataFrame:
     """Per question n, mean, median, sample std (ddof=1), expected value.
 
-    "None"/empty answers are skipped; n < 2 gives a null std (D13).  One
-    grouped aggregation with map-side partial aggregation.
+    "None"/empty answers are skipped; n < 2 gives a null std (D13).  Moments
+    are one grouped aggregation (map-side partial aggregation); the median is
+    exact and distributed (:func:`exact_median`).
     """
     v = spread_values(bank, ann, key, answer, expected)
-    return v.groupBy(key).agg(
+    moments = v.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("x"), 6).alias("mean"),
-        F.round(F.median("x"), 6).alias("median"),
         F.round(F.stddev_samp("x"), 6).alias("std"),
         F.max(F.when(F.col("is_expected"), F.col("x"))).alias("expected_value"))
+    med = exact_median(v, key, "x").select(key, F.round("median", 6).alias("median"))
+    return moments.join(med, key, "inner").select(key, "n", "mean", "median", "std", "expected_value")
 
 
 def flag_spread_outliers(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
@@ -74,7 +88,7 @@ def flag_spread_outliers(bank: DataFrame, ann: DataFrame, key: str = "question_r
     v = spread_values(bank, ann, key, answer, expected)
     st = v.groupBy(key).agg(F.stddev_samp("x").alias("_std"),
                             F.max(F.when(F.col("is_expected"), F.col("x"))).alias("_e"))
-    j = v.join(broadcast_if_small(st), key, "inner")
+    j = v.join(st, key, "inner")  # one row per key: AQE broadcasts it from measured size
     out = F.abs(F.col("x") - F.col("_e")) > F.lit(k) * F.col("_std")
     return j.groupBy(key).agg(F.coalesce(F.bool_or(out), F.lit(False)).cast("int").alias("has_outlier"))
 
@@ -160,7 +174,7 @@ def _bootstrap(values: DataFrame, group: str, x: str, n_boot: int, winsor: float
     small_keys = sizes.filter(F.col("n") <= max_group).select(group)
     gtype = dict(vals.dtypes)[group]
     schema = f"`{group}` {gtype}, n long, se double, method string"
-    boot = (vals.join(broadcast_if_small(small_keys), group, "left_semi")
+    boot = (vals.join(small_keys, group, "left_semi")
             .groupBy(group).applyInPandas(_boot_fn(group, n_boot, winsor), schema))
     large = sizes.filter(F.col("n") > max_group).select(
         group, "n", F.round(F.col("_sdp") / F.sqrt(F.col("n")), 6).alias("se"),

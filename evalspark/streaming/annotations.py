@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from evalspark.operators.annotations import validate_annotation
+from evalspark.operators.ordinals import broadcast_if_small
 
 KEY = ["user", "question_ref"]
 
@@ -53,14 +54,17 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str,
     v = validate_annotation(batch).cache()
     valid = v.filter(F.col("accepted"))
     # first valid write per key inside the batch (window over the full key)
-    from pyspark.sql import Window
     w = Window.partitionBy(*KEY).orderBy(*[F.col(c) for c in order])
     ranked = valid.withColumn("_rn", F.row_number().over(w))
     first = ranked.filter(F.col("_rn") == 1).drop("_rn")
     prior = _existing(spark, accepted_path, batch_id, KEY)
     if prior is not None:
-        new = first.join(prior.distinct(), KEY, "left_anti")
-        dup_prior = first.join(prior.distinct(), KEY, "left_semi")
+        # Semi-join reduction: only earlier keys that occur in this batch
+        # (the batch's keys are small and broadcast after a size check).
+        batch_keys = broadcast_if_small(first.select(*KEY).distinct())
+        clash = prior.join(batch_keys, KEY, "left_semi").distinct()
+        new = first.join(clash, KEY, "left_anti")
+        dup_prior = first.join(clash, KEY, "left_semi")
     else:
         new, dup_prior = first, first.limit(0)
     dups = ranked.filter(F.col("_rn") > 1).drop("_rn").unionByName(dup_prior)
