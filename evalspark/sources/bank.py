@@ -69,6 +69,21 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_annotation_store(spark: SparkSession, url: str, table: str, properties: dict,
+                          lower: int, upper: int, num_partitions: int = 64) -> DataFrame:
+    """The relational annotation table, read in parallel ranges of ``id``.
+
+    Credentials come from ``properties`` supplied by the caller, never from
+    code.  Rows get the same typing as the CSV export.
+    """
+    df = spark.read.jdbc(url, table, column="id", lowerBound=lower, upperBound=upper,
+                         numPartitions=num_partitions, properties=properties)
+    for c in schemas.ANNOTATION_COLUMNS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return df.withColumn("necessary", F.nullif(F.lower(F.trim(F.col("necessary"))), F.lit("")))
+
+
 def write_annotations_csv(df: DataFrame, path: str) -> str:
     (df.write.mode("overwrite").option("header", True).option("quote", '"')
      .option("escape", '"').option("quoteAll", False).csv(path))
