@@ -39,10 +39,12 @@ def _cols(order) -> list[Column]:
 def global_ordinal(df: DataFrame, order: list, out: str = "ordinal",
                    num_partitions: int | None = None) -> DataFrame:
     """1-based position of each row in ``order`` (keys should be unique)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _cols(order)
-    staged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # Without an explicit count AQE may coalesce *adjacent* range partitions
+    # by measured size (order is kept); the checkpoint fixes the result.
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
+    staged = (ranged.sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     staged = cut_lineage(staged)

@@ -95,3 +95,26 @@ def test_group_ordinal(spark):
     df = spark.createDataFrame([("x", 3), ("x", 1), ("y", 2), ("x", 2)], "g string, v int")
     got = sorted((r["g"], r["v"], r["o"], r["t"]) for r in ordinals.group_ordinal(df, ["g"], ["v"], "o", "t").collect())
     assert got == [("x", 1, 1, 3), ("x", 2, 2, 3), ("x", 3, 3, 3), ("y", 2, 1, 1)]
+
+
+def test_group_ordinal_with_a_hot_group(spark):
+    """One group holds a third of all rows: ordinals stay exact."""
+    rows = [("hot", i) for i in range(3000)] + [(f"g{i % 50}", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(8)
+    got = {(r["g"], r["v"]): (r["o"], r["t"]) for r in ordinals.group_ordinal(df, ["g"], ["v"], "o", "t").collect()}
+    assert all(got[("hot", i)] == (i + 1, 3000) for i in range(3000))
+    assert got[("g0", 0)] == (1, 120) and got[("g0", 5950)] == (120, 120)
+
+
+def test_skewed_evaluate_matches_plain_full_outer(spark):
+    from evalspark.operators import scoring
+    responses = spark.createDataFrame([("hot", f"m{i}", "s", f"{i % 40} miles") for i in range(2000)]
+                                      + [("q1", "m", "s", "North")], "question_ref string, model string, "
+                                      "setting string, response string")
+    answers = spark.createDataFrame([("hot", "distance", "20 ± 5"), ("q1", "cardinal", "North West"),
+                                     ("q2", "textual", "x")], "question_ref string, answer_type string, "
+                                     "expected_answer string")
+    out = scoring.evaluate(responses, answers)
+    assert out.count() == 2002
+    assert out.filter("question_ref = 'hot'").agg(F.sum("correct")).first()[0] == 2000 * 11 // 40
+    assert out.filter("question_ref = 'q2'").first()["correct"] is None
