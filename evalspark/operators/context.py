@@ -20,8 +20,6 @@ Ties rank by the rounded score, then by candidate id/path, on every engine.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -248,6 +246,3 @@ def append_contextual(bank: DataFrame, manifest: DataFrame, k: int = 10, exclude
             .withColumn("contextual_urls", F.when(F.col("missing_asset"), sentinel)
                         .otherwise(F.coalesce(F.col("contextual_urls"), F.array().cast("array<string>")))))
 
-
-def chunk_count(n: int, block: int = DEFAULT_BLOCK) -> int:
-    return max(1, math.ceil(n / block))

@@ -45,9 +45,6 @@ def cap_images(c, limit: int, compat: bool = True) -> Column:
     return F.slice(arr, 1, limit + 1 if compat else limit)
 
 
-_PART = "struct<type:string,text:string,image:string>"
-
-
 def _text(s: Column) -> Column:
     return F.struct(F.lit("text").alias("type"), s.alias("text"), F.lit(None).cast("string").alias("image"))
 

@@ -11,8 +11,6 @@ answers them.  Nothing is re-pickled or rewritten per chunk.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
