@@ -192,7 +192,7 @@ def q_normalise_necessary(spark: SparkSession, sf: str) -> DataFrame:
 @register("canonical_answers", "G1", lambda: f"""
 SELECT question_ref, map_count, spatial_relationship, answer_type,
        array_to_string({S.split_answers('question_text')}, '|') AS expected_answer,
-       len({S.split_answers('question_text')}) AS n_answers
+       CAST(len({S.split_answers('question_text')}) AS INTEGER) AS n_answers
 FROM ({standins.bank_sql()})""")
 def q_canonical_answers(spark: SparkSession, sf: str) -> DataFrame:
     b = standins.bank(spark, sf).drop("expected_answer").withColumnRenamed("question_text", "expected_answer")

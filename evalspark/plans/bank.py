@@ -109,7 +109,7 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
 REQUESTS_SQL = """
 SELECT printf('q_%04d', b.conv_id) AS key,
        coalesce(s.system_text, 'Answer the question.') AS system_text,
-       1 + coalesce(len(i.turns), 0) AS n_contents,
+       CAST(1 + coalesce(len(i.turns), 0) AS INTEGER) AS n_contents,
        md5(coalesce(u.question, '')) AS question_md5,
        coalesce(array_to_string(list_transform(i.turns, lambda t: printf('files/c%d_%d', b.conv_id, t)), '|'), '')
          AS uris

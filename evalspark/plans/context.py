@@ -99,7 +99,8 @@ c AS (SELECT t.question_ref, m.path,
                AS score
       FROM t JOIN qd ON t.question_ref = qd.question_ref JOIN m ON m.dir = qd.dir
       GROUP BY t.question_ref, m.path),
-r AS (SELECT question_ref, row_number() OVER (PARTITION BY question_ref ORDER BY score, path) AS rank, path, score
+r AS (SELECT question_ref, CAST(row_number() OVER (PARTITION BY question_ref ORDER BY score, path) AS INTEGER) AS rank,
+             path, CAST(score AS DOUBLE) AS score
       FROM c)"""
 
 
@@ -111,7 +112,7 @@ def q_nearest_named(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("parse_asset", "X8", lambda: f"""
 SELECT path, {parse_sql('name')['main']} AS main, {parse_sql('name')['letters']} AS letters,
-       {parse_sql('name')['sub']} AS sub, {parse_sql('name')['ls']} AS letter_sum
+       {parse_sql('name')['sub']} AS sub, CAST({parse_sql('name')['ls']} AS BIGINT) AS letter_sum
 FROM ({MANIFEST_SQL})""")
 def q_parse_asset(spark: SparkSession, sf: str) -> DataFrame:
     p = parse_asset(F.col("name"))
@@ -144,7 +145,7 @@ s AS (SELECT t.question_ref, t.target_pos, c.vec_id, round(list_inner_product(q.
       FROM t JOIN e q ON t.vec_id = q.vec_id JOIN qd ON t.question_ref = qd.question_ref
       JOIN e c ON c.label = qd.label),
 r AS (SELECT question_ref, target_pos, vec_id, score,
-             row_number() OVER (PARTITION BY question_ref, target_pos ORDER BY score DESC, vec_id) AS rank
+             CAST(row_number() OVER (PARTITION BY question_ref, target_pos ORDER BY score DESC, vec_id) AS INTEGER) AS rank
       FROM s)"""
 
 
@@ -160,7 +161,7 @@ def q_knn_context(spark: SparkSession, sf: str) -> DataFrame:
 WITH {KNN_SQL},
 top AS (SELECT * FROM r WHERE rank <= {K}),
 b AS (SELECT question_ref, vec_id, min((rank, target_pos)) AS best FROM top GROUP BY question_ref, vec_id),
-o AS (SELECT question_ref, vec_id, row_number() OVER (PARTITION BY question_ref ORDER BY best) AS rank FROM b)
+o AS (SELECT question_ref, vec_id, CAST(row_number() OVER (PARTITION BY question_ref ORDER BY best) AS INTEGER) AS rank FROM b)
 SELECT question_ref, rank, vec_id FROM o WHERE rank <= {K}""")
 def q_interleave_ranked(spark: SparkSession, sf: str) -> DataFrame:
     r = context.knn_context(*_vec_targets(spark, sf), k=K)

@@ -120,7 +120,7 @@ def q_resolve_assets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("length_buckets", "G17", lambda: f"""
-SELECT question_ref, len(image_lists) AS n_images,
+SELECT question_ref, CAST(len(image_lists) AS INTEGER) AS n_images,
        CAST(floor((row_number() OVER (PARTITION BY len(image_lists) ORDER BY question_ref) - 1) / 8) AS BIGINT)
          AS batch_in_bucket
 FROM ({LISTS_SQL()})""")
@@ -134,7 +134,7 @@ SELECT question_ref,
        CASE WHEN length(question_text) % {FAIL_EVERY} = 0 THEN NULL
             ELSE CAST(length(question_text) % 50 AS VARCHAR) || ' miles' END AS rule_response,
        CAST(length(question_text) % {FAIL_EVERY} <> 0 AS INTEGER) AS q_answered,
-       'rule' AS model, 0.0 AS temperature, 2048 AS max_new_tokens
+       'rule' AS model, CAST(0.0 AS DOUBLE) AS temperature, 2048 AS max_new_tokens
 FROM ({LISTS_SQL()})""")
 def q_infer(spark: SparkSession, sf: str) -> DataFrame:
     provider = infer.RuleProvider("rule", fail_every=FAIL_EVERY)
@@ -145,7 +145,7 @@ def q_infer(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("json_fields", "X17", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-       to_json({'event_type': event_type, 'k': CAST(json_extract_string(props, '$.k') AS INTEGER)}) AS packed
+       CAST(to_json({'event_type': event_type, 'k': CAST(json_extract_string(props, '$.k') AS INTEGER)}) AS VARCHAR) AS packed
 FROM events""")
 def q_json_fields(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events")

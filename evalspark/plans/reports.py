@@ -50,7 +50,7 @@ def q_accuracy_by_tier(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("bank_profile", "G10", """
 SELECT lang AS spatial_relationship, source AS map_count, count(*) AS n,
-       CAST(grouping(lang, source) AS INTEGER) AS level
+       CAST(grouping(lang, source) AS BIGINT) AS level
 FROM documents GROUP BY ROLLUP (lang, source)""")
 def q_bank_profile(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").select(
@@ -76,7 +76,7 @@ def q_log_scale(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("country_counts", "G12", """
-SELECT n.n_name, c.n, count(*) OVER () AS n_countries, sum(c.n) OVER () AS n_total
+SELECT n.n_name, c.n, count(*) OVER () AS n_countries, CAST(sum(c.n) OVER () AS BIGINT) AS n_total
 FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) c
 JOIN nation n ON c.c_nationkey = n.n_nationkey""")
 def q_country_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +136,7 @@ _FALLBACK = [(0, 103.8198, 1.3521), (5, 55.4920, -4.6796)]
 @register("unmatched", "J4", f"""
 SELECT k.c_nationkey, f.lon, f.lat
 FROM (SELECT DISTINCT c_nationkey FROM customer) k
-LEFT JOIN (VALUES {", ".join(f"({a}, {b}, {c})" for a, b, c in _FALLBACK)}) f(c_nationkey, lon, lat)
+LEFT JOIN (VALUES {", ".join(f"({a}, CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))" for a, b, c in _FALLBACK)}) f(c_nationkey, lon, lat)
   ON k.c_nationkey = f.c_nationkey
 WHERE k.c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0)""")
 def q_unmatched(spark: SparkSession, sf: str) -> DataFrame:

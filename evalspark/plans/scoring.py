@@ -133,10 +133,10 @@ def q_accepted_directions(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("answer_text_functions", "X1-X7", lambda: f"""
 SELECT doc_id,
-       len({S.split_answers('text')}) AS n_parts,
+       CAST(len({S.split_answers('text')}) AS INTEGER) AS n_parts,
        {S.first_number('text')} AS first_number,
-       len({S.all_numbers('text')}) AS n_numbers,
-       len({S.normalise_list(S.split_answers('text'))}) AS n_tokens,
+       CAST(len({S.all_numbers('text')}) AS INTEGER) AS n_numbers,
+       CAST(len({S.normalise_list(S.split_answers('text'))}) AS INTEGER) AS n_tokens,
        CAST({S.is_numeric_list(S.normalise_list(S.split_answers('text')))} AS INTEGER) AS all_numeric,
        coalesce(({S.normalise_list(S.split_answers('text'))})[1], '') AS first_token
 FROM documents""")

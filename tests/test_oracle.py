@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from oracle_check import TABLES, digest  # noqa: E402
+from oracle_check import TABLES, digest, type_mismatches  # noqa: E402
 
 SQL = E.oracle_sql()
 NAMES = sorted(E.queries())
@@ -37,6 +37,7 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
+    assert type_mismatches(df, res.description) == []
     sc, sh, _ = digest(df.columns, srows)
     dc, dh, _ = digest(dcols, drows)
     assert sc == dc
