@@ -137,7 +137,7 @@ def score_expr(answer_type: Column, resp_raw: Column, exp_raw: Column, exp_list:
 
 
 def judge_prompt(question_ref: Column, expected: Column, response: Column) -> Column:
-    """Prompt text for the yes/no judge (E4), lists rendered joined by ``, ``."""
+    """Prompt text for the yes/no judge."""
     return F.concat(
         F.lit("Question reference: "), question_ref,
         F.lit("\nExpected answer: "), expected,
@@ -147,12 +147,25 @@ def judge_prompt(question_ref: Column, expected: Column, response: Column) -> Co
     )
 
 
+def list_repr(arr: Column) -> Column:
+    """Render a token list the way the reference's prompt shows it: ``['a', 'b']``.
+
+    Normalised tokens are ``[a-z0-9]`` only, so no quote escaping is needed.
+    """
+    return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: F.concat(F.lit("'"), x, F.lit("'"))),
+                                             ", "), F.lit("]"))
+
+
 def judge_queue(scored: DataFrame, key: list[str] | None = None,
                 correct: str = "correct") -> DataFrame:
-    """Undecided rows -> judge input ``(keys.., expected, response, prompt)``."""
+    """Undecided rows -> judge input ``(keys.., expected, response, prompt)``.
+
+    ``expected``/``response`` are the normalised token lists rendered as the
+    reference's prompt renders them.
+    """
     key = key or ["question_ref", "model", "setting"]
-    exp = F.array_join(normalise_list(as_answer_list("expected_answer")), ", ")
-    resp = F.array_join(normalise_list(as_answer_list("response")), ", ")
+    exp = list_repr(normalise_list(as_answer_list("expected_answer")))
+    resp = list_repr(normalise_list(as_answer_list("response")))
     return (scored.filter(F.col(correct).isNull())
             .select(*key, exp.alias("expected"), resp.alias("response"))
             .withColumn("prompt", judge_prompt(F.col("question_ref"), F.col("expected"),

@@ -61,15 +61,19 @@ s AS (
   FROM j WHERE question_ref IS NOT NULL)"""
 
 
+def _repr_sql(x: str) -> str:
+    return f"('[' || array_to_string(list_transform({x}, lambda t_: chr(39) || t_ || chr(39)), ', ') || ']')"
+
+
 @register("judge_queue", "E4", lambda: f"""
 WITH {_scored_sql()}
 SELECT question_ref, model, setting,
-       array_to_string({S.normalise_list(S.split_answers('expected_answer'))}, ', ') AS expected,
-       array_to_string({S.normalise_list(S.split_answers('response'))}, ', ') AS response,
+       {_repr_sql(S.normalise_list(S.split_answers('expected_answer')))} AS expected,
+       {_repr_sql(S.normalise_list(S.split_answers('response')))} AS response,
        md5('Question reference: ' || question_ref || chr(10) || 'Expected answer: ' ||
-           array_to_string({S.normalise_list(S.split_answers('expected_answer'))}, ', ') || chr(10) ||
+           {_repr_sql(S.normalise_list(S.split_answers('expected_answer')))} || chr(10) ||
            'Given response: ' ||
-           array_to_string({S.normalise_list(S.split_answers('response'))}, ', ') || chr(10) || chr(10) ||
+           {_repr_sql(S.normalise_list(S.split_answers('response')))} || chr(10) || chr(10) ||
            'Does the response correctly answer the question based on expected answer? ' ||
            'Answer strictly ''yes'' or ''no''.') AS prompt_md5
 FROM s WHERE correct IS NULL""")

@@ -98,3 +98,14 @@ def test_text_invariant_to_order_and_duplicates(spark, items):
     resp = "; ".join(shuffled + shuffled[:1])
     got = score(spark, scoring.score_text, [(resp, ";".join(items))])
     assert got == [1]
+
+
+def test_judge_prompt_renders_lists_like_the_reference(spark):
+    scored = spark.createDataFrame([("q7", "m", "s", "Old Town; Bay", "Ridge", None)],
+                                   "question_ref string, model string, setting string, response string, "
+                                   "expected_answer string, correct int")
+    r = scoring.judge_queue(scored).first()
+    assert r["expected"] == "['ridge']" and r["response"] == "['oldtown', 'bay']"
+    assert r["prompt"] == ("Question reference: q7\nExpected answer: ['ridge']\nGiven response: ['oldtown', 'bay']"
+                           "\n\nDoes the response correctly answer the question based on expected answer? "
+                           "Answer strictly 'yes' or 'no'.")
