@@ -63,40 +63,55 @@ def _merge_topk(partial: DataFrame, k: int, descending: bool) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _topk_rows(qids: np.ndarray, scores: np.ndarray, cids: np.ndarray, k: int, descending: bool):
-    """Top-k per query row of a dense (n_q × n_c) score matrix; ties by cid."""
-    out_q, out_c, out_s = [], [], []
+SUB_CHUNK = 512  # queries scored at once inside a cell (bounds the score matrix)
+
+
+def _empty(cid_dtype) -> pd.DataFrame:
+    return pd.DataFrame({"qid": pd.Series([], dtype=object), "cid": pd.Series([], dtype=cid_dtype),
+                         "score": pd.Series([], dtype="float64")})
+
+
+def _topk_rows(qids: np.ndarray, scores: np.ndarray, cids: np.ndarray, k: int, descending: bool) -> pd.DataFrame:
+    """Top-k per row of a dense (n_q × n_c) score matrix; ties by candidate id.
+
+    Vectorised: a per-row ``np.partition`` threshold keeps the k best (plus
+    ties at the threshold), then one ``lexsort`` over the survivors orders
+    them by (row, score, candidate id) and the first k per row are kept.
+    """
     order_cid = np.argsort(cids, kind="stable")
     cids_sorted = cids[order_cid]
-    for r, qid in enumerate(qids):
-        s = scores[r, order_cid]
-        key = -s if descending else s
-        finite = np.isfinite(key)
-        idx = np.nonzero(finite)[0]
-        if idx.size == 0:
-            continue
-        # lexsort on (cid position, score): stable order by cid within equal scores
-        sel = idx[np.lexsort((idx, key[idx]))][:k]
-        out_q.append(np.full(sel.size, qid, dtype=object))
-        out_c.append(cids_sorted[sel])
-        out_s.append(s[sel])
-    if not out_q:
+    sc = scores[:, order_cid]
+    key = -sc if descending else sc
+    key = np.where(np.isfinite(key), key, np.inf)
+    kk = min(k, key.shape[1])
+    thr = np.partition(key, kk - 1, axis=1)[:, kk - 1]
+    rows, cols = np.nonzero((key <= thr[:, None]) & np.isfinite(key))
+    if rows.size == 0:
         return pd.DataFrame({"qid": [], "cid": [], "score": []})
-    return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
-                         "score": np.concatenate(out_s).astype("float64")})
+    vals = key[rows, cols]
+    o = np.lexsort((cols, vals, rows))
+    rows, cols = rows[o], cols[o]
+    pos = np.arange(rows.size) - np.searchsorted(rows, rows, side="left")
+    keep = pos < k
+    rows, cols = rows[keep], cols[keep]
+    return pd.DataFrame({"qid": qids[rows], "cid": cids_sorted[cols],
+                         "score": sc[rows, cols].astype("float64")})
 
 
 # ---------------------------------------------------------- J7: by vectors
 def _ip_cell(k: int):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype=object), "cid": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        qv = np.stack(q["vec"].to_numpy()).astype(np.float64)
+            return _empty("int64")
         cv = np.stack(c["vec"].to_numpy()).astype(np.float64)
-        scores = np.round(qv @ cv.T, IP_DECIMALS)
-        res = _topk_rows(q["qid"].to_numpy(), scores, c["cid"].to_numpy(), k, True)
-        return res.astype({"cid": "int64"})
+        cids = c["cid"].to_numpy()
+        parts = []
+        for s0 in range(0, len(q), SUB_CHUNK):
+            qq = q.iloc[s0:s0 + SUB_CHUNK]
+            qv = np.stack(qq["vec"].to_numpy()).astype(np.float64)
+            scores = np.round(qv @ cv.T, IP_DECIMALS)
+            parts.append(_topk_rows(qq["qid"].to_numpy(object), scores, cids, k, True))
+        return pd.concat(parts, ignore_index=True).astype({"cid": "int64"})
     return fn
 
 
@@ -142,25 +157,35 @@ def interleave_ranked(ranked: DataFrame, k: int = 10, item: str = "vec_id") -> D
 # ------------------------------------------------------------ J8: by names
 def _name_cell(k: int, exclude_targets: bool):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series([], dtype=object), "cid": pd.Series([], dtype=object),
-                              "score": pd.Series([], dtype="float64")})
         if q.empty or c.empty:
-            return empty
-        cm = c["main"].to_numpy(np.int64)
-        cl = c["letter_sum"].to_numpy(np.int64)
-        cs = c["sub"].to_numpy(np.int64)
+            return _empty(object)
+        cm = c["main"].to_numpy(np.int64)[None, :]
+        cl = c["letter_sum"].to_numpy(np.int64)[None, :]
+        cs = c["sub"].to_numpy(np.int64)[None, :]
         cids = c["cid"].to_numpy(object)
-        frames = []
-        for qid, grp in q.groupby("qid", sort=False):
-            tm = grp["main"].to_numpy(np.int64)[:, None]
-            tl = grp["letter_sum"].to_numpy(np.int64)[:, None]
-            ts = grp["sub"].to_numpy(np.int64)[:, None]
+        pos_of = {cid: i for i, cid in enumerate(cids)} if exclude_targets else {}
+        q = q.sort_values("qid", kind="stable")
+        qids_all = q["qid"].to_numpy(object)
+        uniq, first = np.unique(qids_all, return_index=True)
+        parts = []
+        for u0 in range(0, len(uniq), SUB_CHUNK):
+            lo = first[u0]
+            hi = first[u0 + SUB_CHUNK] if u0 + SUB_CHUNK < len(uniq) else len(qids_all)
+            sub = q.iloc[lo:hi]
+            tm = sub["main"].to_numpy(np.int64)[:, None]
+            tl = sub["letter_sum"].to_numpy(np.int64)[:, None]
+            ts = sub["sub"].to_numpy(np.int64)[:, None]
             d = np.abs(tm - cm).astype(np.float64) + 0.01 * (np.abs(tl - cl) + np.abs(ts - cs))
-            dmin = np.round(d.min(axis=0), DIST_DECIMALS)
+            starts = first[u0:u0 + SUB_CHUNK] - lo
+            dmin = np.round(np.minimum.reduceat(d, starts, axis=0), DIST_DECIMALS)
             if exclude_targets:
-                dmin = np.where(np.isin(cids, grp["target_path"].to_numpy(object)), np.inf, dmin)
-            frames.append(_topk_rows(np.array([qid], dtype=object), dmin[None, :], cids, k, False))
-        return pd.concat(frames, ignore_index=True) if frames else empty
+                row_of = np.searchsorted(starts, np.arange(len(sub)), side="right") - 1
+                for r, path in zip(row_of, sub["target_path"].to_numpy(object)):
+                    j = pos_of.get(path)
+                    if j is not None:
+                        dmin[r, j] = np.inf
+            parts.append(_topk_rows(uniq[u0:u0 + SUB_CHUNK], dmin, cids, k, False))
+        return pd.concat(parts, ignore_index=True) if parts else _empty(object)
     return fn
 
 
