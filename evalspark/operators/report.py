@@ -204,7 +204,8 @@ def exact_quantiles(values: DataFrame, col: str, probs: tuple[float, ...]) -> li
 
 
 def quantile_bins(values: DataFrame, col: str,
-                  probs: tuple[float, ...] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> DataFrame:
+                  probs: tuple[float, ...] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0),
+                  approx_accuracy: int | None = None) -> DataFrame:
     """Bin edges over positive values, one row per edge (``edge``).
 
     Exact linear interpolation (numpy's default), distinct edges; when at most
@@ -212,10 +213,17 @@ def quantile_bins(values: DataFrame, col: str,
     instead; ``[0, 1]`` when there are no positives.  Quantiles come from a
     distributed ranking (:func:`exact_quantiles`), so no task ever holds the
     whole column; the fallback edges stay a distributed ``distinct``.
+    ``approx_accuracy`` opts into ``percentile_approx`` (one pass, bounded
+    sketch) instead; never the default.
     """
     spark = values.sparkSession
     pos = values.filter(F.col(col) > 0).select(F.col(col).cast("double").alias("edge"))
-    q = exact_quantiles(pos, "edge", probs)
+    if approx_accuracy:
+        row = pos.agg(F.percentile_approx("edge", list(probs), approx_accuracy).alias("q"),
+                      F.count(F.lit(1)).alias("n")).first()
+        q = list(row["q"]) if row["n"] else []
+    else:
+        q = exact_quantiles(pos, "edge", probs)
     if not q:
         return spark.createDataFrame([(0.0,), (1.0,)], "edge double")
     uniq = sorted(set(q))

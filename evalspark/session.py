@@ -48,6 +48,30 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 8,
+                 advisory_mb: int = 256) -> dict[str, str]:
+    """Settings for a large cluster (≈100 TB inputs); pass as ``extra``.
+
+    Shuffle partitions start high (AQE coalesces them to ``advisory_mb`` by
+    measured size, ``parallelismFirst`` off so the advisory size wins); skewed
+    join partitions are split at 4× the median; scans split at 256 MB.  The
+    checkpoint folder must be a shared path and is *not* set here.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.shuffle.partitions": str(max(2000, 4 * cores)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory_mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
     path = spark.conf.get(CHECKPOINT_CONF, None)

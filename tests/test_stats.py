@@ -80,3 +80,17 @@ def test_quantile_bins_fallbacks(spark):
     assert edges([0, -1]) == [0.0, 1.0]
     assert edges([5, 5, 5]) == [5.0]
     assert edges([1, 2, 3, 4, 5, 6]) == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+
+
+def test_quantile_bins_approx_opt_in(spark):
+    df = spark.range(1, 1001).select(F.col("id").cast("double").alias("v"))
+    exact = sorted(r["edge"] for r in report.quantile_bins(df, "v").collect())
+    approx = sorted(r["edge"] for r in report.quantile_bins(df, "v", approx_accuracy=10000).collect())
+    assert len(exact) == len(approx) == 6 and all(abs(a - b) <= 2 for a, b in zip(exact, approx))
+
+
+def test_cluster_conf_keeps_checkpoint_dir_unset():
+    from evalspark.session import cluster_conf
+    conf = cluster_conf(1000, 8)
+    assert conf["spark.sql.adaptive.enabled"] == "true" and "spark.checkpoint.dir" not in conf
+    assert int(conf["spark.sql.shuffle.partitions"]) >= 2000
