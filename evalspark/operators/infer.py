@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.functions.text import extract_final_answer
+from evalspark.functions.text import extract_final_answer, marker_count
 from evalspark.operators.ordinals import group_ordinal
 
 # Prompt pieces used by the reference runners.
@@ -169,6 +169,13 @@ class ProviderBase:
     def load(self) -> None:
         return None
 
+    def upload(self, paths: list[str]) -> list[str | None]:
+        """Asset path -> URI the model can read.  Default: join the path to an
+        optional ``image_prefix`` (local or mounted images); hosted providers
+        upload the file here and return its service URI."""
+        prefix = getattr(self, "image_prefix", None)
+        return [p if not prefix else prefix.rstrip("/") + "/" + p for p in paths]
+
     def respond(self, requests: list[dict]) -> list[str | None]:  # pragma: no cover - abstract
         raise NotImplementedError
 
@@ -176,6 +183,32 @@ class ProviderBase:
         return self.name
 
 
+def upload_assets(paths: DataFrame, provider, path: str = "path", batch_size: int = 64) -> DataFrame:
+    """Map every distinct asset path to a provider URI (lifecycle step 2).
+
+    Distinct paths (one shuffle) are uploaded in parallel tasks through
+    ``provider.upload``; a failed batch yields null URIs, which
+    :func:`resolve_assets` then reports as missing.  Output ``(path, uri)``.
+    """
+    distinct = paths.select(F.col(path).alias("path")).filter(F.col("path").isNotNull()).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider.load()
+        for pdf in batches:
+            ps = pdf["path"].tolist()
+            uris: list = []
+            for s0 in range(0, len(ps), batch_size):
+                chunk = ps[s0:s0 + batch_size]
+                try:
+                    got = list(provider.upload(chunk))
+                    uris.extend(got if len(got) == len(chunk) else [None] * len(chunk))
+                except Exception:  # noqa: BLE001 - report as missing, retry later
+                    uris.extend([None] * len(chunk))
+            yield pd.DataFrame({"path": ps, "uri": uris})
+
+    return distinct.mapInPandas(run, "path string, uri string")
+
+
 def response_column(provider_name: str) -> str:
     return f"{provider_name}_response"
 
@@ -225,6 +258,8 @@ def infer(df: DataFrame, provider: Provider, batch_size: int = 1,
     resp = extract_final_answer(F.col("raw_response")) if final_answer else F.col("raw_response")
     return (raw.withColumn(response_column(provider.name), resp)
             .withColumn("q_answered", F.col("raw_response").isNotNull())
+            # More than one marker usually means the prompt was echoed back
+            .withColumn("flag_echo", F.coalesce(marker_count(F.col("raw_response")) > 1, F.lit(False)))
             .withColumn("model", F.lit(provider.name))
             .withColumn("temperature", F.lit(float(provider.temperature)))
             .withColumn("max_new_tokens", F.lit(int(provider.max_new_tokens))))

@@ -192,3 +192,15 @@ def winsorized_bootstrap(values: DataFrame, group: str, x: str, p: float = 0.25,
                          n_boot: int = 1000, max_group: int = DEFAULT_MAX_GROUP) -> DataFrame:
     """As G4 but each resample is winsorised at ``int(p·n)`` ranks per side."""
     return _bootstrap(values, group, x, n_boot, p, max_group)
+
+
+def spread_report(bank: DataFrame, ann: DataFrame, key: str = "question_ref", answer: str = "answer",
+                  expected: str = "expected_answer", n_boot: int = 1000, p: float = 0.25,
+                  max_group: int = DEFAULT_MAX_GROUP) -> DataFrame:
+    """Spread statistics with ``std``, ``boot_se`` and ``wins_se`` as
+    separate columns (the reference overwrote one with the other)."""
+    base = annotator_spread(bank, ann, key, answer, expected)
+    v = spread_values(bank, ann, key, answer, expected)
+    boot = bootstrap_se(v, key, "x", n_boot, max_group).select(key, F.col("se").alias("boot_se"))
+    wins = winsorized_bootstrap(v, key, "x", p, n_boot, max_group).select(key, F.col("se").alias("wins_se"))
+    return base.join(boot, key, "left").join(wins, key, "left")

@@ -153,6 +153,15 @@ def write_bank_partitioned(df: DataFrame, path: str, by: list[str]) -> str:
     return path
 
 
+def read_bank_slice(spark: SparkSession, path: str, **values: str) -> DataFrame:
+    """Read the folders of one slice only (``tier="all"``, ``spatial_relationship=...``):
+    equality filters on partition columns become ``PartitionFilters``."""
+    df = spark.read.parquet(path)
+    for c, v in values.items():
+        df = df.filter(F.col(c) == F.lit(v))
+    return df
+
+
 # --------------------------------------------------------------- S7 / S8
 def batch_request_column(key, system_text, question, uris, mime_types) -> F.Column:
     """One hosted-batch request (text first, then the images) as JSON."""
@@ -191,6 +200,8 @@ def read_batch_results(spark: SparkSession, path: str, requests: DataFrame | Non
     ``missing`` (left join from the requests).  A failed job yields no rows.
     """
     if job_state != "JOB_STATE_SUCCEEDED":
+        import warnings
+        warnings.warn(f"batch job did not succeed: {job_state}; no results read", stacklevel=2)
         return spark.createDataFrame([], "key string, status string, text string, error string")
     raw = spark.read.text(path).select(F.col("value").alias("_line"))
     parsed = raw.select("_line", F.from_json("_line", schemas.BATCH_RESULT).alias("r"))

@@ -71,3 +71,18 @@ def test_provider_protocol():
     assert isinstance(infer.RuleProvider(), infer.Provider)
     p = infer.EchoProvider()
     assert p.temperature == 0.0 and p.max_new_tokens == 2048 and repr(p) == "echo"
+
+
+def test_upload_assets_and_echo_flag(spark):
+    class Prefix(infer.ProviderBase):
+        image_prefix = "https://img.example/base"
+
+        def respond(self, requests):
+            return ["Final answer: x Final answer: y" for _ in requests]
+
+    p = Prefix("prefix")
+    paths = spark.createDataFrame([("a/1.png",), ("a/1.png",), ("b/2.png",), (None,)], "path string")
+    got = {r["path"]: r["uri"] for r in infer.upload_assets(paths, p).collect()}
+    assert got == {"a/1.png": "https://img.example/base/a/1.png", "b/2.png": "https://img.example/base/b/2.png"}
+    out = infer.infer(infer.build_image_list(bank(spark), False), p).collect()
+    assert all(r["flag_echo"] and r["prefix_response"] == "y" for r in out)

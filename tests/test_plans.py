@@ -38,3 +38,15 @@ def test_scoring_is_one_pass(spark):
     filters = [line for line in p.splitlines() if "Filter" in line and "answer_type" in line]
     assert not filters
     assert "CASE WHEN (answer_type" in p
+
+
+def test_bank_slice_prunes_partitions(spark, tmp_dir):
+    import os
+    from evalspark.plans import standins
+    from evalspark.sources import bank as io
+    path = io.write_bank_partitioned(standins.bank(spark, SF_SMALL).drop("doc_id"), os.path.join(tmp_dir, "b"),
+                                     ["answer_type", "spatial_relationship"])
+    df = io.read_bank_slice(spark, path, spatial_relationship="Border")
+    p = plan(df)
+    assert "PartitionFilters: [isnotnull(spatial_relationship" in p and "Border" in p
+    assert df.count() == standins.bank(spark, SF_SMALL).filter("spatial_relationship = 'Border'").count()

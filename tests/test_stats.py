@@ -94,3 +94,11 @@ def test_cluster_conf_keeps_checkpoint_dir_unset():
     conf = cluster_conf(1000, 8)
     assert conf["spark.sql.adaptive.enabled"] == "true" and "spark.checkpoint.dir" not in conf
     assert int(conf["spark.sql.shuffle.partitions"]) >= 2000
+
+
+def test_spread_report_columns(spark):
+    bank = spark.createDataFrame([("q", "10"), ("p", "5")], "question_ref string, expected_answer string")
+    ann = spark.createDataFrame([("q", "9"), ("q", "11"), ("q", "30"), ("p", "None")], "question_ref string, answer string")
+    r = {x["question_ref"]: x for x in stats.spread_report(bank, ann, n_boot=50).collect()}
+    assert r["q"]["n"] == 4 and r["q"]["boot_se"] > 0 and r["q"]["wins_se"] >= 0 and r["q"]["std"] > 0
+    assert r["p"]["n"] == 1 and r["p"]["std"] is None
