@@ -16,6 +16,7 @@ ANSWER_SEPARATOR = ";"                 # multi-answer separator
 FINAL_ANSWER_MARKER = "Final answer:"  # reasoning/answer marker in responses
 NUMERIC_TOKEN = r"^\d+(\.\d+)?$"       # an all-numeric normalised token
 NON_ALNUM = r"[^a-zA-Z0-9]+"           # removed when normalising text answers
+ALNUM_RUN = r"[a-zA-Z0-9]+"            # ... i.e. only these runs are kept
 # Unicode-aware strip: every character Python's ``str.strip()`` removes (the
 # reference's semantics), derived by rule from ``str.isspace``.
 STRIP_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
@@ -67,9 +68,12 @@ def all_numbers(c) -> Column:
 def normalise_list(c) -> Column:
     """Lower-case, drop ``[^a-zA-Z0-9]+``, drop empty tokens.
 
-    (Stripping first would be redundant: whitespace is non-alphanumeric.)
+    Implemented as "keep the alphanumeric runs and join them", which is the
+    same string and several times faster than ``regexp_replace`` on long
+    texts.  (Stripping first would be redundant: whitespace is removed.)
     """
-    cleaned = F.transform(_c(c), lambda x: F.regexp_replace(F.lower(x), NON_ALNUM, ""))
+    cleaned = F.transform(_c(c), lambda x: F.array_join(
+        F.regexp_extract_all(F.lower(x), F.lit(ALNUM_RUN), F.lit(0)), ""))
     return F.filter(cleaned, lambda x: x != "")
 
 
