@@ -72,11 +72,19 @@ def cluster_conf(executors: int = 1000, cores_per_executor: int = 8,
     }
 
 
+def _spark_context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
+    sc = _spark_context(spark)
     path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
         # Only reached when nothing names a shared folder (local tests).
         path = tempfile.mkdtemp(prefix="evalspark-ckpt-")
@@ -84,8 +92,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.conf.set(CHECKPOINT_CONF, path)
         except Exception:  # noqa: BLE001 - some deployments reject core confs at runtime
             pass
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return spark.conf.get(CHECKPOINT_CONF, None) or path
 
 
@@ -126,10 +134,13 @@ def ensure_parallelism(df: DataFrame, path: str | None = None,
     alone (not worth a shuffle).
     """
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    if path is not None and input_bytes(spark, path) < min_bytes:
+    try:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+        if path is not None and input_bytes(spark, path) < min_bytes:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD/JVM access: leave the scan as planned
         return df
     return df.repartition(target)
 
