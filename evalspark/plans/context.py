@@ -219,3 +219,15 @@ def q_append_contextual(spark: SparkSession, sf: str) -> DataFrame:
 SELECT DISTINCT unnest(image_urls || contextual_urls) AS path FROM ({standins.bank_sql()})""")
 def q_asset_set(spark: SparkSession, sf: str) -> DataFrame:
     return context.asset_set(standins.bank(spark, sf))
+
+
+@register("nearest_named_exclusive", "J8/D1", lambda: f"""
+WITH {_named_sql()},
+rx AS (SELECT c.question_ref, c.path, c.score,
+              CAST(row_number() OVER (PARTITION BY c.question_ref ORDER BY c.score, c.path) AS INTEGER) AS rank
+       FROM c WHERE NOT EXISTS (SELECT 1 FROM t0 WHERE t0.question_ref = c.question_ref AND t0.path = c.path))
+SELECT question_ref, rank, path, CAST(score AS DOUBLE) AS score FROM rx WHERE rank <= {K}""")
+def q_nearest_named_exclusive(spark: SparkSession, sf: str) -> DataFrame:
+    """``exclude_targets=True``: a question's own images never rank (D1 flag)."""
+    r = context.nearest_named(_name_targets(spark, sf), _manifest(spark, sf), k=K, exclude_targets=True)
+    return r.select("question_ref", "rank", "path", F.round("score", 6).alias("score"))

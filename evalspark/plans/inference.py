@@ -152,3 +152,26 @@ def q_json_fields(spark: SparkSession, sf: str) -> DataFrame:
     parsed = e.withColumn("p", F.from_json("props", "k int"))
     return parsed.select("event_id", F.col("p.k").alias("k"),
                          F.to_json(F.struct("event_type", F.col("p.k").alias("k"))).alias("packed"))
+
+
+@register("cap_images_strict", "P2/D7", lambda: f"""
+SELECT question_ref, array_to_string(image_lists[1:{IMG_LIMIT}], '|') AS capped FROM ({LISTS_SQL()})""")
+def q_cap_images_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """``compat=False``: exactly ``limit`` images."""
+    return _lists(spark, sf).select(
+        "question_ref", F.array_join(infer.cap_images("image_lists", IMG_LIMIT, compat=False), "|").alias("capped"))
+
+
+@register("assemble_prompt_styles", "P3", lambda: f"""
+SELECT question_ref,
+       array_to_string(list_transform(image_lists[1:{IMG_LIMIT + 1}], lambda u: '<image:' || u || '>'), chr(10))
+       || chr(10) || question_text AS prompt_text_last,
+       question_text || chr(10) ||
+       array_to_string(list_transform(image_lists, lambda u: '<image:' || u || '>'), chr(10)) AS prompt_text_first
+FROM ({LISTS_SQL()})""")
+def q_assemble_prompt_styles(spark: SparkSession, sf: str) -> DataFrame:
+    df = _lists(spark, sf)
+    last = infer.prompt_content(F.col("question_text"), F.col("image_lists"), "text_last", IMG_LIMIT)
+    first = infer.prompt_content(F.col("question_text"), F.col("image_lists"), "text_first")
+    return df.select("question_ref", infer.render_content(last).alias("prompt_text_last"),
+                     infer.render_content(first).alias("prompt_text_first"))

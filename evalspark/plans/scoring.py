@@ -152,3 +152,11 @@ def q_answer_text_functions(spark: SparkSession, sf: str) -> DataFrame:
                     F.size(all_numbers("text")).alias("n_numbers"), F.size(toks).alias("n_tokens"),
                     is_numeric_list(toks).cast("int").alias("all_numeric"),
                     F.coalesce(F.try_element_at(toks, F.lit(1)), F.lit("")).alias("first_token"))
+
+
+@register("score_cardinal_exact", "E2/D25", lambda: _typed_sql(
+    "cardinal", "(CASE WHEN coalesce(" + S.ustrip("string_split(r.response, ';')[1]") + " = "
+    + S.ustrip("string_split(a.expected_answer, ';')[1]") + ", false) THEN 1 ELSE 0 END)"))
+def q_score_cardinal_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact-only variant of the direction scorer (no ring neighbours)."""
+    return scoring.score_cardinal(_typed(spark, sf, "cardinal"), exact_only=True).select(*KEYS, "correct")

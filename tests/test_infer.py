@@ -86,3 +86,13 @@ def test_upload_assets_and_echo_flag(spark):
     assert got == {"a/1.png": "https://img.example/base/a/1.png", "b/2.png": "https://img.example/base/b/2.png"}
     out = infer.infer(infer.build_image_list(bank(spark), False), p).collect()
     assert all(r["flag_echo"] and r["prefix_response"] == "y" for r in out)
+
+
+def test_pending_and_answered_partition_the_bank(spark):
+    """Property: pending ∪ answered = bank, disjoint."""
+    b = bank(spark)
+    answered = infer.infer(infer.build_image_list(b, False), infer.RuleProvider("rule", fail_every=97))
+    ok = infer.drop_failed_responses(answered, "rule_response").select("question_ref")
+    todo = infer.pending(b, answered, response="rule_response").select("question_ref")
+    assert ok.join(todo, "question_ref").count() == 0
+    assert sorted(r[0] for r in ok.union(todo).collect()) == sorted(r[0] for r in b.select("question_ref").collect())
