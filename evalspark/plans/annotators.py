@@ -305,3 +305,28 @@ SELECT user_id, n, round(stddev_samp(m), 6) AS se, 'bootstrap' AS method FROM m
 def q_winsorized_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events").select("user_id", "value")
     return stats.winsorized_bootstrap(e, "user_id", "value", p=0.25, n_boot=N_BOOT)
+
+
+@register("write_stats_csv", "S9", lambda: f"""
+WITH {_spread_values_sql()}
+SELECT question_ref, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std
+FROM v GROUP BY question_ref""")
+def q_write_stats_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Spread statistics written as CSV and read back with an explicit schema."""
+    from evalspark.operators import basic
+    from evalspark.session import scratch_path
+    st = stats.annotator_spread(*_spread_inputs(spark, sf)).select("question_ref", "n", "mean", "std")
+    path = basic.write_stats_csv(st, scratch_path(spark, "spread_csv"))
+    return spark.read.schema("question_ref string, n bigint, mean double, std double").option("header", True).csv(path)
+
+
+@register("drop_null_keys", "P9", """
+SELECT event_id, printf('q_%04d', CAST(json_extract_string(props, '$.k') AS INTEGER)) AS question_ref
+FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) < 90""")
+def q_drop_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Submissions whose reference is unknown (k >= 90 -> null key) are dropped."""
+    from evalspark.operators import basic
+    e = read_table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    df = e.select("event_id", F.when(k < 90, F.format_string("q_%04d", k)).alias("question_ref"))
+    return basic.drop_null_keys(df)

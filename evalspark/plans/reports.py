@@ -196,3 +196,23 @@ def q_local_maxima(spark: SparkSession, sf: str) -> DataFrame:
     out = report.local_maxima(curve, "day", "y")
     return out.select(F.col("day").cast("string").alias("day"), "y",
                       F.col("is_local_max").cast("int").alias("is_local_max"))
+
+
+# Fixed stand-in set for the membership flag (nations treated as "primary").
+_MEMBERS = ["NATION_1", "NATION_4", "NATION_9", "NATION_16"]
+
+
+@register("flag_membership", "P13", f"""
+SELECT n_nationkey, n_name IN ({", ".join(q(m) for m in _MEMBERS)}) AS is_member FROM nation""")
+def q_flag_membership(spark: SparkSession, sf: str) -> DataFrame:
+    from evalspark.operators import basic
+    n = read_table(spark, sf, "nation").select("n_nationkey", "n_name")
+    return basic.flag_membership(n, "n_name", set(_MEMBERS)).select("n_nationkey", "is_member")
+
+
+@register("drop_excluded", "P14", """
+SELECT n_nationkey, n_name FROM nation WHERE n_name <> 'NATION_0' AND n_regionkey > 0""")
+def q_drop_excluded(spark: SparkSession, sf: str) -> DataFrame:
+    from evalspark.operators import basic
+    n = read_table(spark, sf, "nation")
+    return basic.drop_excluded(n, "n_name", "NATION_0", "n_regionkey").select("n_nationkey", "n_name")

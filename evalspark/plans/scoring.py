@@ -160,3 +160,10 @@ def q_answer_text_functions(spark: SparkSession, sf: str) -> DataFrame:
 def q_score_cardinal_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The exact-only variant of the direction scorer (no ring neighbours)."""
     return scoring.score_cardinal(_typed(spark, sf, "cardinal"), exact_only=True).select(*KEYS, "correct")
+
+
+@register("filter_answer_type", "P7", lambda: f"""
+SELECT question_ref, expected_answer FROM ({standins.answers_sql()}) WHERE answer_type = 'textual'""")
+def q_filter_answer_type(spark: SparkSession, sf: str) -> DataFrame:
+    from evalspark.operators import basic
+    return basic.filter_answer_type(standins.answers(spark, sf), "textual").select("question_ref", "expected_answer")
