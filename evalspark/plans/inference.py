@@ -175,3 +175,21 @@ def q_assemble_prompt_styles(spark: SparkSession, sf: str) -> DataFrame:
     first = infer.prompt_content(F.col("question_text"), F.col("image_lists"), "text_first")
     return df.select("question_ref", infer.render_content(last).alias("prompt_text_last"),
                      infer.render_content(first).alias("prompt_text_first"))
+
+
+class _PrefixProvider(infer.ProviderBase):
+    """Uploads nothing: serves images from a mounted prefix (the local runners)."""
+
+    image_prefix = "https://assets.example/maps"
+
+    def respond(self, requests):  # pragma: no cover - not used for uploads
+        return [None for _ in requests]
+
+
+@register("upload_assets", "I3", lambda: f"""
+SELECT path, 'https://assets.example/maps/' || path AS uri
+FROM (SELECT DISTINCT unnest(image_urls || contextual_urls) AS path FROM ({standins.bank_sql()}))""")
+def q_upload_assets(spark: SparkSession, sf: str) -> DataFrame:
+    """Asset map of lifecycle step 2: every distinct image -> provider URI."""
+    from evalspark.operators import context
+    return infer.upload_assets(context.asset_set(standins.bank(spark, sf)), _PrefixProvider("prefix"))
