@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import ustrip
@@ -60,11 +60,14 @@ def validate_annotation(df: DataFrame) -> DataFrame:
             .withColumn("user", F.trim(F.col("user"))))
 
 
-def first_write_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
+def first_write_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Within one batch: keep the earliest row per key, flag the rest.
 
-    Adds ``duplicate`` (bool).  The window is partitioned by the *full* key
-    (user, question), which is unique per form and therefore tiny per group.
+    Adds ``duplicate`` (bool).  The earliest row per key is found with a
+    ``min(struct(order.., row))`` aggregate (combined map-side), not a window,
+    so a key flooded with posts is never sorted inside one task.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("duplicate", F.row_number().over(w) > 1)
+    rowed = df.withColumn("_row", F.monotonically_increasing_id())
+    best = rowed.groupBy(*key).agg(F.min(F.struct(*[F.col(c) for c in order], F.col("_row"))).alias("_b"))
+    return (rowed.join(best.select(*key, F.col("_b._row").alias("_win")), key, "inner")
+            .withColumn("duplicate", F.col("_row") != F.col("_win")).drop("_row", "_win"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -51,11 +51,16 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str,
     quarantine_path = os.path.join(out_dir, "quarantine")
     users_path = os.path.join(out_dir, "users")
 
-    v = validate_annotation(batch).cache()
+    v = validate_annotation(batch).withColumn("_row", F.monotonically_increasing_id()).cache()
     valid = v.filter(F.col("accepted"))
-    # first valid write per key inside the batch (window over the full key)
-    w = Window.partitionBy(*KEY).orderBy(*[F.col(c) for c in order])
-    ranked = valid.withColumn("_rn", F.row_number().over(w))
+    # First valid write per key inside the batch: ``min(struct(order, row))``
+    # is combined map-side, so even a flood of posts for one key never lands
+    # in one task's sort; the winner is joined back (AQE splits a hot key).
+    best = valid.groupBy(*KEY).agg(F.min(F.struct(*[F.col(c) for c in order], F.col("_row"))).alias("_b"))
+    marked = (valid.join(best.select(*KEY, F.col("_b._row").alias("_win")), KEY, "inner")
+              .withColumn("_rn", F.when(F.col("_row") == F.col("_win"), F.lit(1)).otherwise(F.lit(2)))
+              .drop("_win"))
+    ranked = marked
     first = ranked.filter(F.col("_rn") == 1).drop("_rn")
     prior = _existing(spark, accepted_path, batch_id, KEY)
     if prior is not None:

@@ -98,3 +98,12 @@ def test_progress(spark, tmp_dir):
     sa.run_progress(spark, src, pages, SCHEMA, os.path.join(tmp_dir, "ckpt_p"), out)
     got = {r["user_id"]: r["last_idx"] for r in spark.read.parquet(out).collect()}
     assert got == {"007": 2, "013": 1}
+
+
+def test_first_write_wins_batch_helper(spark):
+    from evalspark.operators.annotations import first_write_wins
+    df = spark.createDataFrame([("u", "q", 3), ("u", "q", 1), ("u", "p", 2), ("v", "q", 5)],
+                               "user string, question_ref string, ts int")
+    got = sorted((r["user"], r["question_ref"], r["ts"], r["duplicate"])
+                 for r in first_write_wins(df, ["user", "question_ref"], ["ts"]).collect())
+    assert got == [("u", "p", 2, False), ("u", "q", 1, False), ("u", "q", 3, True), ("v", "q", 5, False)]
