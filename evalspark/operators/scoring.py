@@ -3,8 +3,9 @@
 The reference partitions the response table by answer type, runs a Python row
 callback per partition and unions the parts.  Here the dispatch is a single
 ``CASE`` over ``answer_type`` evaluated in the same projection, so scoring a
-table is one scan with no shuffle; the only shuffle in :func:`evaluate` is
-the join of responses to canonical answers.
+table is one scan with no shuffle; the shuffles in :func:`evaluate` are the
+skew-safe outer align of responses with canonical answers (a left join plus
+an anti join on distinct keys).
 """
 
 from __future__ import annotations
