@@ -137,15 +137,16 @@ def score_expr(answer_type: Column, resp_raw: Column, exp_raw: Column, exp_list:
     )
 
 
+# The judge prompt's labels and closing instruction, verbatim.
+JUDGE_LABELS = ("Question reference: ", "\nExpected answer: ", "\nGiven response: ")
+JUDGE_INSTRUCTION = ("\n\nDoes the response correctly answer the question based on expected answer? "
+                     "Answer strictly 'yes' or 'no'.")
+
+
 def judge_prompt(question_ref: Column, expected: Column, response: Column) -> Column:
     """Prompt text for the yes/no judge."""
-    return F.concat(
-        F.lit("Question reference: "), question_ref,
-        F.lit("\nExpected answer: "), expected,
-        F.lit("\nGiven response: "), response,
-        F.lit("\n\nDoes the response correctly answer the question based on expected answer? "
-              "Answer strictly 'yes' or 'no'."),
-    )
+    q, e, r = JUDGE_LABELS
+    return F.concat(F.lit(q), question_ref, F.lit(e), expected, F.lit(r), response, F.lit(JUDGE_INSTRUCTION))
 
 
 def list_repr(arr: Column) -> Column:

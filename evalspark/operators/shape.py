@@ -11,7 +11,7 @@ RESPONSE_SUFFIX = "_response"
 
 
 def _q(name: str) -> str:
-    """Backtick-quote a column name (``ovis2.5_response`` holds a dot)."""
+    """Backtick-quote a column name (``vlm2.5_response`` holds a dot)."""
     return "`" + name.replace("`", "``") + "`"
 
 

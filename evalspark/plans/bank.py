@@ -236,7 +236,7 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
         F.format_string("q_%d_%d", "l_orderkey", "l_linenumber").alias("question_ref"),
         F.col("l_quantity").cast("string").alias("qty_response"),
         F.col("l_extendedprice").cast("string").alias("price_response"),
-        F.col("l_discount").cast("string").alias("ovis2.5_response"))
+        F.col("l_discount").cast("string").alias("vlm2.5_response"))
 
 
 @register("resolve_response_column", "P5", """
@@ -252,8 +252,8 @@ SELECT question_ref, replace(model, '_response', '') AS model, response
 FROM (SELECT printf('q_%d_%d', l_orderkey, l_linenumber) AS question_ref,
              CAST(l_quantity AS VARCHAR) AS qty_response,
              CAST(l_extendedprice AS VARCHAR) AS price_response,
-             CAST(l_discount AS VARCHAR) AS "ovis2.5_response" FROM lineitem)
-UNPIVOT (response FOR model IN (qty_response, price_response, "ovis2.5_response"))""")
+             CAST(l_discount AS VARCHAR) AS "vlm2.5_response" FROM lineitem)
+UNPIVOT (response FOR model IN (qty_response, price_response, "vlm2.5_response"))""")
 def q_melt_responses(spark: SparkSession, sf: str) -> DataFrame:
     return shape.melt_responses(_wide(spark, sf), ids=["question_ref"])
 

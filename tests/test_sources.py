@@ -81,11 +81,11 @@ def test_align_melt_union(spark):
     right = spark.createDataFrame([("q1", "x"), ("q2", "y")], "question_ref string, b string")
     assert shape.align(left, right).count() == 3
     assert shape.align_left(left, right).count() == 2
-    wide = spark.createDataFrame([("q1", "a", "b")], "question_ref string, qwen_response string, `ovis2.5_response` string")
+    wide = spark.createDataFrame([("q1", "a", "b")], "question_ref string, alpha_response string, `beta2.5_response` string")
     long = {r["model"]: r["response"] for r in shape.melt_responses(wide).collect()}
-    assert long == {"qwen": "a", "ovis2.5": "b"}
+    assert long == {"alpha": "a", "beta2.5": "b"}
     assert shape.resolve_response_column(wide).columns[1] == "_response"
-    assert shape.resolve_response_column(wide, "ovis2.5_response").columns[2] == "_response"
+    assert shape.resolve_response_column(wide, "beta2.5_response").columns[2] == "_response"
     u = shape.diagonal_union([left, right])
     assert sorted(u.columns) == ["a", "b", "question_ref"] and u.count() == 4
 
