@@ -69,8 +69,10 @@ def page_name(user_id, question_ref) -> Column:
 
 
 def page_ref(filename) -> Column:
-    """X11: question ref of ``<user>_<ref>.html`` (after first ``_``, no ``.html``)."""
-    return F.regexp_extract(_c(filename), PAGE_REF_PATTERN, 1)
+    """X11: question ref of ``<user>_<ref>.html`` (after first ``_``, no ``.html``);
+    a name without ``_`` is its own reference, as in the reference's fallback."""
+    f = _c(filename)
+    return F.when(f.contains("_"), F.regexp_extract(f, PAGE_REF_PATTERN, 1)).otherwise(f)
 
 
 def add_ok(url) -> Column:

@@ -153,20 +153,34 @@ def local_maxima(curve: DataFrame, x: str, y: str, partition: list[str] | None =
     return curve.withColumn("is_local_max", (F.col(y) >= prev_y) & (F.col(y) >= next_y))
 
 
-def arc_layout(profile: DataFrame, parent: str, child: str, n: str = "n",
-               start: float = 90.0) -> DataFrame:
+def _rank_in(col: str, order: list[str] | None) -> Column:
+    """Sort key: position in an explicit list (unlisted values last), else the value."""
+    if not order:
+        return F.col(col)
+    kv = []
+    for i, v in enumerate(order):
+        kv += [F.lit(v), F.lit(i)]
+    return F.coalesce(F.try_element_at(F.create_map(*kv), F.col(col)), F.lit(len(order)))
+
+
+def arc_layout(profile: DataFrame, parent: str, child: str, n: str = "n", start: float = 90.0,
+               parent_order: list[str] | None = None, child_order: list[str] | None = None) -> DataFrame:
     """Clockwise start/end angles (degrees) for parents, children split
     their parent's span.  Input is the small (parent, child, n) profile.
+
+    Parents and children follow ``parent_order``/``child_order`` when given
+    (the reference lists Single before Multi), else their names.
     """
     parents = profile.groupBy(parent).agg(F.sum(n).alias("p_n"))
-    wp = Window.orderBy(parent).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wp = Window.orderBy(_rank_in(parent, parent_order), F.col(parent)) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("p_n").over(Window.partitionBy())
     parents = parents.select(
         parent, "p_n",
         (F.lit(start) - F.lit(360.0) * (F.sum("p_n").over(wp) - F.col("p_n")) / total).alias("p_start"),
         (F.lit(start) - F.lit(360.0) * F.sum("p_n").over(wp) / total).alias("p_end"))
-    wc = Window.partitionBy(parent).orderBy(child).rowsBetween(Window.unboundedPreceding,
-                                                               Window.currentRow)
+    wc = Window.partitionBy(parent).orderBy(_rank_in(child, child_order), F.col(child)) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     span = F.col("p_start") - F.col("p_end")
     return (profile.join(parents, parent, "inner").select(
         parent, child, F.col(n).alias("n"),

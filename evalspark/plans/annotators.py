@@ -137,13 +137,17 @@ def q_workload(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("page_ref", "X11", """
-SELECT o_orderkey, regexp_extract(printf('%05d_q_%04d.html', o_custkey, o_orderkey),
-                                  '^[^_]*_(.*?)(\\.html)?$', 1) AS question_ref
-FROM orders""")
+SELECT o_orderkey,
+       CASE WHEN contains(f, '_') THEN regexp_extract(f, '^[^_]*_(.*?)(\\.html)?$', 1) ELSE f END AS question_ref
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN printf('q%04d.html', o_orderkey)
+                              ELSE printf('%05d_q_%04d.html', o_custkey, o_orderkey) END AS f
+      FROM orders)""")
 def q_page_ref(spark: SparkSession, sf: str) -> DataFrame:
+    """Page names parsed back to references; every 10th name has no ``_``."""
     o = read_table(spark, sf, "orders")
-    return o.select("o_orderkey", page_ref(F.format_string("%05d_q_%04d.html", "o_custkey", "o_orderkey"))
-                    .alias("question_ref"))
+    f = (F.when(F.col("o_orderkey") % 10 == 0, F.format_string("q%04d.html", "o_orderkey"))
+         .otherwise(F.format_string("%05d_q_%04d.html", "o_custkey", "o_orderkey")))
+    return o.select("o_orderkey", page_ref(f).alias("question_ref"))
 
 
 @register("add_ok", "X12", """

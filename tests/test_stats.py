@@ -102,3 +102,12 @@ def test_spread_report_columns(spark):
     r = {x["question_ref"]: x for x in stats.spread_report(bank, ann, n_boot=50).collect()}
     assert r["q"]["n"] == 4 and r["q"]["boot_se"] > 0 and r["q"]["wins_se"] >= 0 and r["q"]["std"] > 0
     assert r["p"]["n"] == 1 and r["p"]["std"] is None
+
+
+def test_arc_layout_explicit_child_order(spark):
+    prof = spark.createDataFrame([("Border", "Single", 41), ("Border", "Multi", 30), ("Equal", "Multi", 54)],
+                                 "p string, c string, n long")
+    rows = {(r["p"], r["c"]): r for r in report.arc_layout(prof, "p", "c", child_order=["Single", "Multi"]).collect()}
+    b1, b2 = rows[("Border", "Single")], rows[("Border", "Multi")]
+    assert b1["p_start"] == 90.0 and b1["c_start"] == 90.0 and b1["c_end"] == b2["c_start"]
+    assert abs(b2["c_end"] - b1["p_end"]) < 1e-6 and abs(b1["p_end"] - (90 - 360 * 71 / 125)) < 1e-6

@@ -55,3 +55,9 @@ def test_yes_verdict(spark):
 def test_symmetric_difference(spark):
     df = spark.createDataFrame([(["a", "b", "b"], ["b", "c"])], "a array<string>, b array<string>")
     assert df.select(T.symmetric_difference_size("a", "b").alias("n")).first()["n"] == 2
+
+
+def test_page_ref_fallback(spark):
+    from evalspark.functions.assets import page_ref
+    assert one(spark, page_ref, "024_q_0007.html") == "q_0007"
+    assert one(spark, page_ref, "thankyou.html") == "thankyou.html"
