@@ -98,11 +98,17 @@ def diagonal_union(frames: list[DataFrame]) -> DataFrame:
 
 def merge_contextual(bank: DataFrame, variants: dict[str, DataFrame], key: str = "question_ref",
                      column: str = "contextual_urls") -> DataFrame:
-    """One bank copy per distractor variant, long form with ``variant``.
-
-    Each variant table is ``(key, contextual_urls)``; the bank side keeps its
-    own columns except any stale ``contextual_urls``.
+    """One full bank copy per distractor variant, long form with ``variant``.
+
+    Each variant table is ``(key, contextual_urls)``.  Like the reference's
+    per-variant ``align``, every bank question appears once per variant (null
+    list when the variant lacks it) and variant-only questions are kept.  The
+    bank is expanded by the (few, fixed) variant names and full-outer joined
+    with all variants at once on ``(key, variant)``: one shuffle, not one per
+    variant.  Any stale ``contextual_urls`` on the bank side is replaced.
     """
     base = bank.drop(column) if column in bank.columns else bank
+    names = list(variants)
+    expanded = base.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in names])))
     parts = [v.select(key, column).withColumn("variant", F.lit(name)) for name, v in variants.items()]
-    return align_left(base, diagonal_union(parts), on=[key])
+    return align(expanded, diagonal_union(parts), on=[key, "variant"])

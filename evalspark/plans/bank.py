@@ -201,8 +201,11 @@ WITH v AS (
   FROM labels WHERE quality = 1
   UNION ALL
   SELECT printf('q_%04d', doc_id), 'toxic', printf('ctx/%d_t%d.png', doc_id, toxic) FROM labels)
-SELECT printf('q_%04d', d.doc_id) AS question_ref, d.lang, v.variant, v.ctx AS contextual_urls
-FROM documents d LEFT JOIN v ON printf('q_%04d', d.doc_id) = v.question_ref""")
+SELECT coalesce(b.question_ref, v.question_ref) AS question_ref, b.lang,
+       coalesce(b.variant, v.variant) AS variant, v.ctx AS contextual_urls
+FROM (SELECT printf('q_%04d', doc_id) AS question_ref, lang, unnest(['quality', 'toxic']) AS variant
+      FROM documents) b
+FULL OUTER JOIN v ON b.question_ref = v.question_ref AND b.variant = v.variant""")
 def q_merge_contextual(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").select(
         F.format_string("q_%04d", "doc_id").alias("question_ref"), "lang")

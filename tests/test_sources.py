@@ -95,5 +95,7 @@ def test_merge_contextual(spark):
     v1 = spark.createDataFrame([("q1", ["c1"])], "question_ref string, contextual_urls array<string>")
     v2 = spark.createDataFrame([("q1", ["c2"]), ("q2", ["c3"])], "question_ref string, contextual_urls array<string>")
     m = shape.merge_contextual(b, {"names": v1, "vectors": v2})
-    assert sorted((r["question_ref"], r["variant"]) for r in m.collect()) == [
-        ("q1", "names"), ("q1", "vectors"), ("q2", "vectors")]
+    got = sorted((r["question_ref"], r["variant"], r["contextual_urls"]) for r in m.collect())
+    # one full bank copy per variant; a question missing from a variant keeps a null list
+    assert got == [("q1", "names", ["c1"]), ("q1", "vectors", ["c2"]), ("q2", "names", None),
+                   ("q2", "vectors", ["c3"])]
