@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from evalspark.operators.annotations import validate_annotation
-from evalspark.operators.ordinals import broadcast_if_small
 
 KEY = ["user", "question_ref"]
 
@@ -64,9 +63,10 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str,
     first = ranked.filter(F.col("_rn") == 1).drop("_rn")
     prior = _existing(spark, accepted_path, batch_id, KEY)
     if prior is not None:
-        # Semi-join reduction: only earlier keys that occur in this batch
-        # (the batch's keys are small and broadcast after a size check).
-        batch_keys = broadcast_if_small(first.select(*KEY).distinct())
+        # Semi-join reduction: only earlier keys that occur in this batch (the
+        # batch's distinct keys are an aggregate; AQE broadcasts them from the
+        # measured size, without an extra probe job per micro-batch).
+        batch_keys = first.select(*KEY).distinct()
         clash = prior.join(batch_keys, KEY, "left_semi").distinct()
         new = first.join(clash, KEY, "left_anti")
         dup_prior = first.join(clash, KEY, "left_semi")
