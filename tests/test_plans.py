@@ -50,3 +50,12 @@ def test_bank_slice_prunes_partitions(spark, tmp_dir):
     p = plan(df)
     assert "PartitionFilters: [isnotnull(spatial_relationship" in p and "Border" in p
     assert df.count() == standins.bank(spark, SF_SMALL).filter("spatial_relationship = 'Border'").count()
+
+
+def test_ordinal_windows_run_over_partition_counts_only(spark):
+    """SURVEY §5(e): no single-partition window over fact rows."""
+    import __spark_entry__ as E
+    for name in ["number_questions", "page_ordinals", "longest_first", "batch_id"]:
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        windows = [line for line in p.splitlines() if "Window [" in line]
+        assert windows and all("_n#" in line for line in windows), name
