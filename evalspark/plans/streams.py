@@ -119,7 +119,7 @@ def q_progress(spark: SparkSession, sf: str) -> DataFrame:
     src = _feed(spark, sf)
     out = scratch_path(spark, "progress_out")
     sa.run_progress(spark, src, pages, SUBMISSION_WITH_ID, scratch_path(spark, "progress_ckpt"), out)
-    return spark.read.parquet(out).select("user_id", "last_idx")
+    return sa.read_progress(spark, out).select("user_id", "last_idx")
 
 
 @register("resumable_inference", "R5", lambda: f"""

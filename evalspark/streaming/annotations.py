@@ -127,13 +127,24 @@ def progress(answered: DataFrame, pages: DataFrame) -> DataFrame:
 
 def run_progress(spark: SparkSession, source_dir: str, pages: DataFrame, schema: T.StructType,
                  checkpoint: str, out_path: str) -> None:
-    """R4 as a stream: accepted-answer files -> per-user progress table."""
+    """R4 as a stream: accepted-answer files -> per-user progress table.
+
+    ``update`` mode: each micro-batch emits only the users whose maximum
+    changed, written into that batch's own partition (idempotent on replay);
+    :func:`read_progress` takes the latest maximum per user.  No trigger ever
+    rewrites the whole state table.
+    """
     answered = spark.readStream.schema(schema).json(source_dir)
     agg = progress(validate_annotation(answered).filter(F.col("accepted")), pages)
 
     def sink(df: DataFrame, bid: int) -> None:
-        df.write.mode("overwrite").parquet(out_path)
+        _write_batch(df, out_path, bid)
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def read_progress(spark: SparkSession, out_path: str) -> DataFrame:
+    """Current progress: the largest recorded index per user across batches."""
+    return spark.read.parquet(out_path).groupBy("user_id").agg(F.max("last_idx").alias("last_idx"))

@@ -33,6 +33,9 @@ def answer_batch(bank: DataFrame, provider: Provider, out_dir: str, batch_id: in
     todo = bank
     done = _answered(spark, out_dir, batch_id)
     if done is not None:
+        # Semi-join reduction: only answers to questions of this batch are
+        # compared (the batch side is small; AQE broadcasts it by size).
+        done = done.join(bank.select("question_ref").distinct(), "question_ref", "left_semi")
         todo = pending(bank, done, response=response_column(provider.name))
     lists = build_image_list(todo, distractor)
     res = infer(lists, provider, batch_size=batch_size)

@@ -96,7 +96,7 @@ def test_progress(spark, tmp_dir):
                                   "user_id string, question_ref string, page_idx long")
     out = os.path.join(tmp_dir, "prog")
     sa.run_progress(spark, src, pages, SCHEMA, os.path.join(tmp_dir, "ckpt_p"), out)
-    got = {r["user_id"]: r["last_idx"] for r in spark.read.parquet(out).collect()}
+    got = {r["user_id"]: r["last_idx"] for r in sa.read_progress(spark, out).collect()}
     assert got == {"007": 2, "013": 1}
 
 
