@@ -148,40 +148,67 @@ def _replicate_means(values: np.ndarray, seed: int, n_boot: int, winsor: float |
     return out
 
 
-def _boot_fn(group: str, n_boot: int, winsor: float | None):
+def _boot_bucket_fn(group: str, n_boot: int, winsors: tuple):
+    """One call handles every group of a hash bucket (no per-group Python call)."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[group].iloc[0]
+        pdf = pdf.sort_values(group, kind="stable")
+        keys = pdf[group].to_numpy(object)
         vals = pdf["_x"].to_numpy(np.float64)
-        means = _replicate_means(vals, group_seed(g), n_boot, winsor)
-        se = float(np.std(means, ddof=1)) if n_boot > 1 else float("nan")
-        return pd.DataFrame({group: [g], "n": [vals.size], "se": [round(se, 6)], "method": ["bootstrap"]})
+        uniq, first = np.unique(keys, return_index=True)
+        bounds = list(first) + [len(keys)]
+        out = {group: [], "n": []}
+        for j in range(len(winsors)):
+            out[f"se{j}"] = []
+        for gi, g in enumerate(uniq):
+            v = vals[bounds[gi]:bounds[gi + 1]]
+            seed = group_seed(g)
+            out[group].append(g)
+            out["n"].append(v.size)
+            for j, w in enumerate(winsors):
+                means = _replicate_means(v, seed, n_boot, w)
+                out[f"se{j}"].append(round(float(np.std(means, ddof=1)), 6))
+        return pd.DataFrame(out)
     return fn
 
 
-def _bootstrap(values: DataFrame, group: str, x: str, n_boot: int, winsor: float | None,
-               max_group: int) -> DataFrame:
-    """Per-group bootstrap with Arrow-batched numpy inside grouped tasks.
+def _bootstrap_many(values: DataFrame, group: str, x: str, n_boot: int, winsors: tuple,
+                    max_group: int) -> DataFrame:
+    """Per-group bootstrap standard errors, one column ``se<j>`` per winsor level
+    (``None`` = plain), from the *same* draws, in grouped numpy tasks.
 
     Group sizes are measured first; only groups of at most ``max_group`` rows
-    are handed to a task as one array (a proven bound); larger groups take the
-    closed form.  Replicates are generated in chunks so a task holds at most
-    ``64 × max_group`` draws at once.
+    are handed to a task whole (a proven bound); larger groups take the closed
+    form.  Small groups are hashed into as many buckets as there are shuffle
+    partitions, so Python is entered once per bucket, not once per group, and
+    no bucket holds more than its share of values plus one bounded group.
     """
     if n_boot < 2:
         raise ValueError("n_boot must be >= 2")
     vals = values.select(F.col(group), F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     sizes = vals.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_x").alias("_sdp"))
     small_keys = sizes.filter(F.col("n") <= max_group).select(group)
+    shuffle = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(shuffle, 1)
     gtype = dict(vals.dtypes)[group]
-    schema = f"`{group}` {gtype}, n long, se double, method string"
-    boot = (vals.join(small_keys, group, "left_semi")
-            .groupBy(group).applyInPandas(_boot_fn(group, n_boot, winsor), schema))
+    ses = ", ".join(f"se{j} double" for j in range(len(winsors)))
+    schema = f"`{group}` {gtype}, n long, {ses}"
+    bucketed = (vals.join(small_keys, group, "left_semi")
+                .withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(n_buckets))))
+    boot = (bucketed.groupBy("_bucket").applyInPandas(
+        lambda pdf: _boot_bucket_fn(group, n_boot, winsors)(pdf.drop(columns=["_bucket"])), schema)
+        .withColumn("method", F.lit("bootstrap")))
+    closed = F.round(F.col("_sdp") / F.sqrt(F.col("n")), 6)
     large = sizes.filter(F.col("n") > max_group).select(
-        group, "n", F.round(F.col("_sdp") / F.sqrt(F.col("n")), 6).alias("se"),
-        F.lit("closed_form").alias("method"))
+        group, "n", *[closed.alias(f"se{j}") for j in range(len(winsors))], F.lit("closed_form").alias("method"))
     return boot.unionByName(large)
 
 
+def _bootstrap(values: DataFrame, group: str, x: str, n_boot: int, winsor: float | None,
+               max_group: int) -> DataFrame:
+    return _bootstrap_many(values, group, x, n_boot, (winsor,), max_group).withColumnRenamed("se0", "se") \
+        .select(group, "n", "se", "method")
+
+
 def bootstrap_se(values: DataFrame, group: str, x: str, n_boot: int = 1000,
                  max_group: int = DEFAULT_MAX_GROUP) -> DataFrame:
     """Standard deviation (ddof=1) of ``n_boot`` resampled means per group."""
@@ -198,9 +225,10 @@ def spread_report(bank: DataFrame, ann: DataFrame, key: str = "question_ref", an
                   expected: str = "expected_answer", n_boot: int = 1000, p: float = 0.25,
                   max_group: int = DEFAULT_MAX_GROUP) -> DataFrame:
     """Spread statistics with ``std``, ``boot_se`` and ``wins_se`` as
-    separate columns (the reference overwrote one with the other)."""
+    separate columns (the reference overwrote one with the other).  Both
+    standard errors come from one pass over the same draws."""
     base = annotator_spread(bank, ann, key, answer, expected)
     v = spread_values(bank, ann, key, answer, expected)
-    boot = bootstrap_se(v, key, "x", n_boot, max_group).select(key, F.col("se").alias("boot_se"))
-    wins = winsorized_bootstrap(v, key, "x", p, n_boot, max_group).select(key, F.col("se").alias("wins_se"))
-    return base.join(boot, key, "left").join(wins, key, "left")
+    se = _bootstrap_many(v, key, "x", n_boot, (None, p), max_group).select(
+        key, F.col("se0").alias("boot_se"), F.col("se1").alias("wins_se"))
+    return base.join(se, key, "left")

@@ -334,3 +334,34 @@ def q_drop_null_keys(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     df = e.select("event_id", F.when(k < 90, F.format_string("q_%04d", k)).alias("question_ref"))
     return basic.drop_null_keys(df)
+
+
+def _boot_sql(n_boot: int, src: str, g: str, x: str) -> str:
+    """DuckDB twin of the grouped bootstrap over any ``src`` CTE (``g``, ``x``):
+    defines ``br`` (ranked values), ``bdv`` (every draw with its value)."""
+    return f"""
+br AS (SELECT {g} AS g, {x} AS x, row_number() OVER (PARTITION BY {g} ORDER BY {x}) - 1 AS j,
+              count(*) OVER (PARTITION BY {g}) AS n FROM {src} WHERE {x} IS NOT NULL),
+bs AS (SELECT DISTINCT g, n, ('0x' || substr(md5(CAST(g AS VARCHAR)), 1, 8))::BIGINT AS seed FROM br),
+bsb AS (SELECT g, n, seed, unnest(range({n_boot})) AS b FROM bs),
+bd AS (SELECT g, n, seed, b, unnest(range(n)) AS i FROM bsb),
+bdj AS (SELECT g, n, b, {_mix_sql('seed', 'b', 'i', 'n')} AS j FROM bd),
+bdv AS (SELECT bdj.g, bdj.n, bdj.b, br.x FROM bdj JOIN br ON bdj.g = br.g AND bdj.j = br.j)"""
+
+
+@register("spread_report", "G2-G5/D13", lambda: f"""
+WITH {_spread_values_sql()},
+{_boot_sql(N_BOOT, 'v', 'question_ref', 'x')},
+mb AS (SELECT g, b, sum(x) / max(n) AS m FROM bdv GROUP BY g, b),
+boot AS (SELECT g, round(stddev_samp(m), 6) AS boot_se FROM mb GROUP BY g),
+w AS (SELECT g, n, b, list_sort(list(x)) AS s, CAST(floor(0.25 * n) AS INTEGER) AS k FROM bdv GROUP BY g, n, b),
+mw AS (SELECT g, list_sum(list_transform(s, lambda y: greatest(s[k + 1], least(s[n - k], y)))) / n AS m FROM w),
+wins AS (SELECT g, round(stddev_samp(m), 6) AS wins_se FROM mw GROUP BY g),
+base AS (SELECT question_ref, count(*) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median,
+                round(stddev_samp(x), 6) AS std, max(CASE WHEN is_expected THEN x END) AS expected_value
+         FROM v GROUP BY question_ref)
+SELECT base.*, boot.boot_se, wins.wins_se
+FROM base LEFT JOIN boot ON base.question_ref = boot.g LEFT JOIN wins ON base.question_ref = wins.g""")
+def q_spread_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Spread statistics with ``std``, ``boot_se`` and ``wins_se`` side by side."""
+    return stats.spread_report(*_spread_inputs(spark, sf), n_boot=N_BOOT)
