@@ -78,11 +78,21 @@ def write_slices(df: DataFrame, path: str, n_files: int, order: list,
     """Append ``df`` to ``path`` as ``n_files`` JSON slices in ``order``.
 
     Slices are appended one after another, so file times follow ``order`` and
-    a file stream sees them in that order.  Replay/test feeder only.
+    a file stream sees them in that order.  A single integer key is sliced by
+    value range from one min/max aggregate; other keys by a distributed
+    ordinal.  Replay/test feeder only.
     """
-    from evalspark.operators.ordinals import global_ordinal
-    o = global_ordinal(df, order, out="_o")
-    total = max(1, o.count())
-    o = o.withColumn("_slice", F.floor((F.col("_o") - 1) * F.lit(n_files) / F.lit(total)))
+    numeric = (len(order) == 1 and isinstance(order[0], str)
+               and dict(df.dtypes).get(order[0]) in ("bigint", "int", "smallint"))
+    if numeric:
+        k = order[0]
+        lo, hi = df.agg(F.min(k), F.max(k)).first()
+        span = max(1, (hi - lo + 1) if lo is not None else 1)
+        o = df.withColumn("_slice", F.floor((F.col(k) - F.lit(lo or 0)) * F.lit(n_files) / F.lit(span)))
+    else:
+        from evalspark.operators.ordinals import global_ordinal
+        o = global_ordinal(df, order, out="_o")
+        total = max(1, o.count())
+        o = o.withColumn("_slice", F.floor((F.col("_o") - 1) * F.lit(n_files) / F.lit(total))).drop("_o")
     for i in which if which is not None else range(n_files):
-        o.filter(F.col("_slice") == i).drop("_o", "_slice").coalesce(1).write.mode("append").json(path)
+        o.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").json(path)
