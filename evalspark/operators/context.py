@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.assets import SENTINEL_MISSING, parse_asset, split_path
 from evalspark.operators.ordinals import group_ordinal
+from evalspark.session import ship_package
 
 DEFAULT_BLOCK = 4096
 IP_DECIMALS = 9
@@ -45,6 +46,7 @@ def _chunk_counts(queries: DataFrame, cands: DataFrame, group: str, block: int)
 
 def _blocked(queries: DataFrame, cands: DataFrame, group: str, block: int):
     """Replicate each side across the other side's chunks of the same folder."""
+    ship_package(queries.sparkSession)
     # one row per folder; AQE broadcasts it from its measured size
     counts = _chunk_counts(queries, cands, group, block)
     q = (queries.join(counts, group, "inner")

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from evalspark.functions.text import extract_final_answer, marker_count
 from evalspark.operators.ordinals import group_ordinal
+from evalspark.session import ship_package
 
 # Prompt pieces used by the reference runners.
 ANSWER_IN_ENGLISH = "Answer in English only."
@@ -190,6 +191,7 @@ def upload_assets(paths: DataFrame, provider, path: str = "path", batch_size: in
     ``provider.upload``; a failed batch yields null URIs, which
     :func:`resolve_assets` then reports as missing.  Output ``(path, uri)``.
     """
+    ship_package(paths.sparkSession)
     distinct = paths.select(F.col(path).alias("path")).filter(F.col("path").isNotNull()).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,6 +228,7 @@ def infer(df: DataFrame, provider: Provider, batch_size: int = 1,
     """
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
+    ship_package(df.sparkSession)
     cols = [key, *keep, *[c for c in inputs if c in df.columns]]
     if "content" in df.columns and "content" not in cols:
         cols.append("content")

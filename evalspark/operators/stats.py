@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import first_number, split_answers
 from evalspark.operators.ordinals import group_ordinal
+from evalspark.session import ship_package
 
 DEFAULT_MAX_GROUP = 20_000
 
@@ -184,6 +185,7 @@ def _bootstrap_many(values: DataFrame, group: str, x: str, n_boot: int, winsors:
     """
     if n_boot < 2:
         raise ValueError("n_boot must be >= 2")
+    ship_package(values.sparkSession)
     vals = values.select(F.col(group), F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     sizes = vals.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_x").alias("_sdp"))
     small_keys = sizes.filter(F.col("n") <= max_group).select(group)

@@ -148,3 +148,45 @@ def ensure_parallelism(df: DataFrame, path: str | None = None,
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     return ensure_parallelism(spark.read.parquet(path), path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``evalspark`` importable in Python workers (``addPyFile``).
+
+    Grouped-map and map-in-pandas functions are pickled by module reference,
+    so every worker must import this package.  When the driver's working
+    directory is not the repository root the workers cannot; a zip of the
+    package is shipped once per application (the runtime form of
+    ``--py-files``).  On a cluster where the package is installed this is a
+    harmless extra path entry.
+    """
+    import zipfile
+
+    sc = _spark_context(spark)
+    if sc is None:
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    ckpt = ensure_checkpoint_dir(spark) or ""
+    if "://" in ckpt and not ckpt.startswith("file:"):
+        # A shared cluster folder: the package is installed on the executors
+        # (or passed with --py-files); nothing is written to local disk here.
+        _SHIPPED.add(app)
+        return
+    dest = os.path.join(ckpt.replace("file:", "", 1), "evalspark-pyfiles")
+    os.makedirs(dest, exist_ok=True)
+    zpath = os.path.join(dest, f"evalspark-{app}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
