@@ -59,3 +59,17 @@ def test_ordinal_windows_run_over_partition_counts_only(spark):
         p = plan(E.queries()[name](spark, SF_SMALL))
         windows = [line for line in p.splitlines() if "Window [" in line]
         assert windows and all("_n#" in line for line in windows), name
+
+
+def test_ship_package_zips_into_checkpoint_folder(spark):
+    import os
+    import zipfile
+    from evalspark.session import CHECKPOINT_CONF, ship_package, _SHIPPED
+    _SHIPPED.discard(spark.sparkContext.applicationId)
+    ship_package(spark)
+    ship_package(spark)  # idempotent
+    folder = os.path.join(spark.conf.get(CHECKPOINT_CONF).replace("file:", "", 1), "evalspark-pyfiles")
+    zips = [f for f in os.listdir(folder) if f.endswith(".zip")]
+    assert zips
+    names = zipfile.ZipFile(os.path.join(folder, zips[0])).namelist()
+    assert "evalspark/operators/infer.py" in names and "evalspark/__init__.py" in names
