@@ -12,8 +12,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import TABLES, digest, type_mismatches  # noqa: E402
 
+from evalspark.plans.registry import all_queries  # noqa: E402
+
 SQL = E.oracle_sql()
-NAMES = sorted(E.queries())
+NAMES = sorted(all_queries())
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +29,7 @@ def duck():
 
 
 def test_every_query_has_oracle():
-    assert set(SQL) == set(NAMES)
+    assert set(NAMES) <= set(SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
