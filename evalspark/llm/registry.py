@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op4_token_counts", "op5_order_fingerprint", "op7_toxicity_neighbours",
+MODULES = ("op3_source_mix", "op4_token_counts", "op5_order_fingerprint", "op7_toxicity_neighbours",
            "op8_stream_dedup", "op9_order_near_dups", "op10_language_id")
 
 
