@@ -23,14 +23,18 @@ def small_arrow_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set(ARROW_BYTES, size)
 
 
+def written(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet to a fresh place in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (cuts the lineage and
     survives lost executors, like ``checkpoint()``, but columnar)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
 @contextmanager
