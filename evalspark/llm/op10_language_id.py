@@ -57,16 +57,14 @@ def ngram_features(text: str, s: Settings) -> np.ndarray:
     counts = np.zeros(s.dims)
     text = text.lower()
     for at in range(0, len(text), s.block):
-        part = text[max(0, at - 2):at + s.block]  # two back, so no n-gram is lost
+        back = min(at, 2)  # so that no n-gram is lost between blocks
+        part = text[at - back:at + s.block]
         code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         gram = code
         for n in range(3):
             if n:
                 gram = gram[:-1] * np.uint64(0x9E3779B1) + code[n:]
-            if at:  # n-grams that end before this block were counted with the last one
-                fresh = gram[max(0, 2 - n):]
-            else:
-                fresh = gram
+            fresh = gram[max(0, back - n):]  # others end before this block and are counted
             mixed = (fresh + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)
             counts += np.bincount((mixed >> np.uint64(40)).astype(np.int64) % s.dims, minlength=s.dims)
     root = np.sqrt(counts)
