@@ -108,8 +108,10 @@ def marker_count(c, marker: str = FINAL_ANSWER_MARKER) -> Column:
 
 
 def yes_verdict(c) -> Column:
-    """1 when the judge's text starts with 'yes' after strip+lower."""
-    return F.when(F.lower(ustrip(_c(c))).startswith("yes"), F.lit(1)).otherwise(F.lit(0))
+    """1 when the judge's text starts with 'yes' after strip+lower, else 0; a
+    null text (a failed judge call) stays null (X14)."""
+    yes = F.lower(ustrip(_c(c))).startswith("yes")
+    return F.when(yes, F.lit(1)).when(_c(c).isNotNull(), F.lit(0))
 
 
 def nonblank(c) -> Column:

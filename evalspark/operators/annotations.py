@@ -34,10 +34,10 @@ def rejection_reasons(df: DataFrame) -> Column:
     def bad(cond: Column, code: str) -> Column:
         return F.when(F.coalesce(cond, F.lit(True)), F.lit(code))
 
-    user = F.trim(F.col("user"))
+    user, ref = ustrip(F.col("user")), ustrip(F.col("question_ref"))
     checks = [
         bad(user == "", "user_missing"),
-        bad(F.col("question_ref") == "", "question_ref_missing"),
+        bad(ref == "", "question_ref_missing"),
         F.when(~F.coalesce(F.col("validity").isin(VALIDITY), F.lit(False)), F.lit("validity")),
         F.when(~F.coalesce(F.col("map_count").isin(MAP_COUNT), F.lit(False)), F.lit("map_count")),
         F.when(~F.coalesce(F.col("spatial_relationship").isin(SPATIAL), F.lit(False)),
@@ -48,16 +48,17 @@ def rejection_reasons(df: DataFrame) -> Column:
                & (F.coalesce(ustrip(F.col("noinfo_reason")), F.lit("")) == ""), F.lit("noinfo_reason")),
     ]
     for c, n in MAX_LEN.items():
-        x = user if c == "user" else F.col(c)
+        x = {"user": user, "question_ref": ref}.get(c, F.col(c))
         checks.append(F.when(F.length(x) > n, F.lit(f"{c}_too_long")))
     return F.array_compact(F.array(*checks))
 
 
 def validate_annotation(df: DataFrame) -> DataFrame:
-    """Adds ``reasons`` and ``accepted``; ``user`` trimmed."""
+    """Adds ``reasons`` and ``accepted``; ``user`` and ``question_ref`` stripped."""
     return (df.withColumn("reasons", rejection_reasons(df))
             .withColumn("accepted", F.size("reasons") == 0)
-            .withColumn("user", F.trim(F.col("user"))))
+            .withColumn("user", ustrip(F.col("user")))
+            .withColumn("question_ref", ustrip(F.col("question_ref"))))
 
 
 def first_write_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -4,8 +4,7 @@ The reference partitions the response table by answer type, runs a Python row
 callback per partition and unions the parts.  Here the dispatch is a single
 ``CASE`` over ``answer_type`` evaluated in the same projection, so scoring a
 table is one scan with no shuffle; the shuffles in :func:`evaluate` are the
-skew-safe outer align of responses with canonical answers (a left join plus
-an anti join on distinct keys).
+outer align of responses with every (question, run) and the join of answers.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.ring import accepted_directions
-from evalspark.operators.shape import align_skew_safe
+from evalspark.operators.shape import align, align_skew_safe
 from evalspark.functions.text import (
     NUMBER_PATTERN, first_answer, first_number, is_numeric_list, let, nonblank, normalise_list,
     same_set, split_answers, ustrip, yes_verdict,
@@ -178,11 +177,12 @@ def apply_verdicts(scored: DataFrame, verdicts: DataFrame, key: list[str] | None
                    correct: str = "correct", verdict: str = "verdict") -> DataFrame:
     """Join judge verdict text back; undecided rows take ``yes`` -> 1 else 0.
 
-    Rows with no verdict yet stay null (still pending), so a partial verdict
-    table never silently scores anything as wrong.
+    Rows with no verdict yet, or only null verdicts, stay null (still pending),
+    so a partial verdict table never silently scores anything as wrong.
+    Several verdicts of one key count as yes only if all of them say yes.
     """
     key = key or ["question_ref", "model", "setting"]
-    v = verdicts.select(*key, yes_verdict(verdict).alias("_judged"))
+    v = verdicts.groupBy(*key).agg(F.min(yes_verdict(verdict)).alias("_judged"))
     return (scored.join(v, key, "left")
             .withColumn(correct, F.coalesce(F.col(correct), F.col("_judged")))
             .drop("_judged"))
@@ -195,12 +195,24 @@ def evaluate(responses: DataFrame, answers: DataFrame, verdicts: DataFrame | Non
 
     ``responses``: ``question_ref, [model, setting,] response`` (long form).
     ``answers``: ``question_ref, answer_type, expected_answer`` (string or list).
-    A full outer align keeps answers with no response and responses with no
-    answer (the reference's ``align``), built skew-safe (one hot question
-    cannot pin one task); null keys are dropped (P9).  Rows whose
-    response is missing score 0 except textual ones, which stay undecided.
+    Every model and setting is measured against *all* answers: a question
+    that a model skipped is a row without a response.  Question keys (not
+    texts) are expanded by the runs (models x settings), a full outer align on
+    question and run adds them to the responses, and the answers are joined on
+    once.  Keys of the align are near unique, so a question with many
+    responses is spread over its runs; the answers' join is a left join, which
+    AQE can split.  Null keys are dropped (P9).  Rows whose response is
+    missing score 0 except textual ones, which stay undecided.
     """
-    joined = align_skew_safe(responses, answers, [key]).filter(F.col(key).isNotNull())
+    run = [c for c in ("model", "setting") if c in responses.columns]
+    if run:
+        runs = responses.groupBy(*run).agg(F.count(F.lit(1)))
+        every = F.explode_outer(runs.agg(F.collect_list(F.struct(*run))).scalar())
+        wanted = answers.select(key).distinct().withColumn("_run", every).select(key, "_run.*")
+        joined = align(responses, wanted, [key, *run]).join(answers, key, "left")
+    else:
+        joined = align_skew_safe(responses, answers, [key])
+    joined = joined.filter(F.col(key).isNotNull())
     exp_is_str = dict(answers.dtypes)["expected_answer"] == "string"
     if exp_is_str:
         exp_list = split_answers("expected_answer")

@@ -160,7 +160,7 @@ def _reasons_sql() -> str:
     a = annotations
     inlist = lambda xs: "(" + ", ".join(S.q(x) for x in xs) + ")"
     checks = [
-        "CASE WHEN coalesce(trim(\"user\") = '', true) THEN 'user_missing' END",
+        f"CASE WHEN coalesce({S.ustrip(chr(34) + 'user' + chr(34))} = '', true) THEN 'user_missing' END",
         "CASE WHEN coalesce(question_ref = '', true) THEN 'question_ref_missing' END",
         f"CASE WHEN NOT coalesce(validity IN {inlist(a.VALIDITY)}, false) THEN 'validity' END",
         f"CASE WHEN NOT coalesce(map_count IN {inlist(a.MAP_COUNT)}, false) THEN 'map_count' END",
@@ -172,7 +172,7 @@ def _reasons_sql() -> str:
         "THEN 'noinfo_reason' END",
     ]
     for c, n in a.MAX_LEN.items():
-        x = "trim(\"user\")" if c == "user" else c
+        x = S.ustrip('"user"') if c == "user" else S.ustrip(c) if c == "question_ref" else c
         checks.append(f"CASE WHEN length({x}) > {n} THEN '{c}_too_long' END")
     return "list_filter([" + ", ".join(checks) + "], lambda r_: r_ IS NOT NULL)"
 

@@ -274,7 +274,7 @@ def q_diagonal_union(spark: SparkSession, sf: str) -> DataFrame:
 WITH p AS (
   SELECT d.doc_id, b.item_id, string_split(lower(b.text), ' ') AS a,
          string_split(lower(d.text), ' ') AS c
-  FROM documents d JOIN benchmark b ON d.doc_id % {standins.N_BENCH_SLOTS} = b.item_id)
+  FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
 SELECT doc_id, item_id,
        CAST(len(list_distinct(list_filter(a, lambda x: NOT list_contains(c, x))))
           + len(list_distinct(list_filter(c, lambda x: NOT list_contains(a, x)))) AS INTEGER) AS sym_diff
@@ -282,6 +282,6 @@ FROM p""")
 def q_symmetric_difference_size(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     b = read_table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b_text"))
-    j = d.join(b, d.doc_id % standins.N_BENCH_SLOTS == b.item_id, "inner")
+    j = d.withColumn("_item", F.col("doc_id") % standins.row_count(b)).join(b, F.col("_item") == b.item_id)
     return j.select("doc_id", "item_id", symmetric_difference_size(
         F.split(F.lower("b_text"), " "), F.split(F.lower("text"), " ")).alias("sym_diff"))

@@ -94,12 +94,13 @@ def q_quantile_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("size_curve", "G16", f"""
 SELECT p.p_size AS size, round(100.0 * avg(coalesce(s.correct, 0)), 6) AS accuracy, count(*) AS n
-FROM (SELECT 'p' || CAST(doc_id % 20 AS VARCHAR) AS model, correct FROM ({LABELLED_SQL})) s
+FROM (SELECT 'p' || CAST(doc_id % (SELECT count(*) FROM part) + 1 AS VARCHAR) AS model, correct FROM ({LABELLED_SQL})) s
 JOIN (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS model, p_size FROM part) p ON s.model = p.model
 GROUP BY p.p_size""")
 def q_size_curve(spark: SparkSession, sf: str) -> DataFrame:
+    n = standins.row_count(read_table(spark, sf, "part").select("p_partkey"))
     scored = _labelled(spark, sf).select(
-        F.concat(F.lit("p"), (F.col("doc_id") % 20).cast("string")).alias("model"), "correct")
+        F.concat(F.lit("p"), (F.col("doc_id") % n + 1).cast("string")).alias("model"), "correct")
     models = read_table(spark, sf, "part").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("model"), F.col("p_size").alias("size"))
     return report.size_curve(scored, models)

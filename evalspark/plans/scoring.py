@@ -50,10 +50,14 @@ def _scored_sql() -> str:
     r_list, e_list = S.split_answers("r.response"), S.split_answers("a.expected_answer")
     return f"""
 a AS ({standins.answers_sql()}), r AS ({standins.responses_sql()}),
+runs AS (SELECT DISTINCT model, setting FROM r),
 j AS (
-  SELECT coalesce(r.question_ref, a.question_ref) AS question_ref, r.model, r.setting,
-         a.answer_type, a.expected_answer, r.response
-  FROM r FULL OUTER JOIN a ON r.question_ref = a.question_ref),
+  SELECT a.question_ref, runs.model, runs.setting, a.answer_type, a.expected_answer, r.response
+  FROM a CROSS JOIN runs
+  LEFT JOIN r ON r.question_ref = a.question_ref AND r.model = runs.model AND r.setting = runs.setting
+  UNION ALL
+  SELECT r.question_ref, r.model, r.setting, NULL, NULL, r.response
+  FROM r WHERE r.question_ref NOT IN (SELECT question_ref FROM a)),
 s AS (
   SELECT question_ref, model, setting, answer_type, expected_answer, response,
          {S.score('answer_type', S.split_answers('response'), S.split_answers('expected_answer'),

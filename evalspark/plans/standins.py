@@ -20,17 +20,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.ring import DIRECTIONS
+from evalspark.operators.annotations import NOINFO
+from evalspark.operators.report import RELATIONSHIPS
 from evalspark.plans.sqlfrag import q, ring_list
 from evalspark.session import read_table
 
 UNKNOWN_DIRECTION = "Up"
-N_BENCH_SLOTS = 40
 
 
 def _ring_at(idx_col):
     return F.element_at(F.array(*[F.lit(d) for d in DIRECTIONS]), (idx_col % 8 + 1).cast("int"))
 
 
+def row_count(df: DataFrame):
+    """The number of rows as a scalar subquery (one aggregate, no join)."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 # ----------------------------------------------------------------- answers
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """``question_ref, answer_type, expected_answer`` (string)."""
@@ -98,7 +104,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         .when(i == 1, F.coalesce(F.col("b_text"), F.lit("")))
         .when(i == 2, F.array_join(F.reverse(F.split(F.col("text"), ";")), ";"))
         .otherwise(F.concat(F.col("text"), F.lit(" (see map)"))))
-    text = (d.join(b, d.doc_id % N_BENCH_SLOTS == b.item_id, "left")
+    text = (d.withColumn("_item", F.col("doc_id") % row_count(b)).join(b, F.col("_item") == b.item_id, "left")
             .select(F.format_string("t%07d", F.col("doc_id")).alias("question_ref"),
                     F.lit("m1").alias("model"), F.lit("direct").alias("setting"),
                     text_resp.alias("response")))
@@ -124,7 +130,7 @@ SELECT printf('t%07d', d.doc_id), 'm1', 'direct',
             WHEN d.doc_id % 4 = 1 THEN coalesce(b.text, '')
             WHEN d.doc_id % 4 = 2 THEN array_to_string(list_reverse(string_split(d.text, ';')), ';')
             ELSE d.text || ' (see map)' END
-FROM documents d LEFT JOIN benchmark b ON d.doc_id % {N_BENCH_SLOTS} = b.item_id"""
+FROM documents d LEFT JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id"""
 
 
 # ---------------------------------------------------------------- verdicts
@@ -145,9 +151,6 @@ FROM labels"""
 
 
 # -------------------------------------------------------------------- bank
-RELATIONSHIPS = ["Border", "Distance", "Equal", "Intersect", "Orientation", "Within"]
-
-
 def _rel_at(idx_col):
     return F.element_at(F.array(*[F.lit(r) for r in RELATIONSHIPS]), (idx_col % 6 + 1).cast("int"))
 
@@ -196,9 +199,6 @@ FROM documents"""
 
 
 # ------------------------------------------------------------- annotations
-NOINFO = "Map doesn't contain information to answer the question"
-
-
 def submissions(spark: SparkSession, sf: str) -> DataFrame:
     """Annotation form posts, one per event (validity/necessary variants)."""
     e = read_table(spark, sf, "events")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from evalspark import schemas
 from evalspark.operators import assign, ordinals
 from evalspark.operators.infer import RuleProvider
+from evalspark.plans import sqlfrag as S
 from evalspark.plans import standins
 from evalspark.plans.annotators import _reasons_sql
 from evalspark.plans.registry import register
@@ -40,7 +41,7 @@ def _ingested(spark: SparkSession, sf: str) -> str:
     src = _feed(spark, sf)
     out = scratch_path(spark, "annotations_out")
     sa.ingest_annotations(spark, src, out, scratch_path(spark, "annotations_ckpt"), SUBMISSION_WITH_ID,
-                          max_files_per_trigger=1, order=ORDER)
+                          max_files_per_trigger=si.FILES_PER_SLICE, order=ORDER)
     return out
 
 
@@ -48,7 +49,7 @@ def _valid_sql() -> str:
     return f"""
 s AS ({standins.submissions_sql()}),
 v AS (SELECT *, {_reasons_sql()} AS r FROM s),
-ok AS (SELECT *, row_number() OVER (PARTITION BY trim("user"), question_ref ORDER BY event_id) AS rn
+ok AS (SELECT *, row_number() OVER (PARTITION BY {S.ustrip('"user"')}, {S.ustrip('question_ref')} ORDER BY event_id) AS rn
        FROM v WHERE len(r) = 0)"""
 
 
@@ -68,13 +69,22 @@ def q_ingest_annotations(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("first_write_wins", "R2", lambda: f"""
 WITH {_valid_sql()}
-SELECT DISTINCT trim("user") AS "user", question_ref FROM ok""")
+SELECT event_id, {S.ustrip('"user"')} AS "user", {S.ustrip('question_ref')} AS question_ref FROM ok WHERE rn = 1""")
 def q_first_write_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """The row that won each key, by arrival order."""
+    return (spark.read.parquet(os.path.join(_ingested(spark, sf), "accepted"))
+            .select("event_id", "user", "question_ref"))
+
+
+@register("first_write_wins_bounded", "R2", lambda: f"""
+WITH {_valid_sql()}
+SELECT DISTINCT trim("user") AS "user", question_ref FROM ok""")
+def q_first_write_wins_bounded(spark: SparkSession, sf: str) -> DataFrame:
     """Constant-state variant: watermark + dropDuplicatesWithinWatermark."""
     from evalspark.operators.annotations import validate_annotation
     src = _feed(spark, sf)
     out = scratch_path(spark, "fww_out")
-    stream = spark.readStream.schema(SUBMISSION_WITH_ID).option("maxFilesPerTrigger", 1).json(src)
+    stream = spark.readStream.schema(SUBMISSION_WITH_ID).option("maxFilesPerTrigger", si.FILES_PER_SLICE).json(src)
     valid = validate_annotation(stream).filter(F.col("accepted")).drop("reasons", "accepted")
     dedup = sa.first_write_wins_bounded(valid, delay="3650 days")
     q = (dedup.writeStream.format("parquet").option("path", out)
@@ -127,7 +137,7 @@ SELECT question_ref, CAST(length(question_text) % 50 AS VARCHAR) || ' miles' AS
 FROM ({standins.bank_sql()})""")
 def q_resumable_inference(spark: SparkSession, sf: str) -> DataFrame:
     """Stream the first half of the bank files, stop (a run ending half-way),
-    append the rest, restart from the same checkpoint, then retry the rows
+    append the rest, restart from the same checkpoint, then retry twice the rows
     whose model call failed; every question ends answered exactly once."""
     bank = standins.bank(spark, sf).drop("source", "lang", "doc_id")
     src = scratch_path(spark, "bank_stream_src")
@@ -136,8 +146,10 @@ def q_resumable_inference(spark: SparkSession, sf: str) -> DataFrame:
     flaky = RuleProvider("rule", fail_every=97)
     half = N_SLICES // 2
     si.write_slices(bank, src, N_SLICES, ["question_ref"], which=range(0, half))
-    si.resumable_inference(spark, src, out, ckpt, flaky, schemas.BANK, max_files_per_trigger=1)
+    si.resumable_inference(spark, src, out, ckpt, flaky, schemas.BANK, max_files_per_trigger=si.FILES_PER_SLICE)
     si.write_slices(bank, src, N_SLICES, ["question_ref"], which=range(half, N_SLICES))
-    si.resumable_inference(spark, src, out, ckpt, flaky, schemas.BANK, max_files_per_trigger=1)
-    si.retry_pending(spark.read.schema(schemas.BANK).json(src), RuleProvider("rule"), out)
+    si.resumable_inference(spark, src, out, ckpt, flaky, schemas.BANK, max_files_per_trigger=si.FILES_PER_SLICE)
+    files = spark.read.schema(schemas.BANK).json(src)
+    si.retry_pending(files, RuleProvider("rule", fail_every=194), out)  # some calls fail again
+    si.retry_pending(files, RuleProvider("rule"), out)
     return si.responses_table(spark, out).select("question_ref", "rule_response")

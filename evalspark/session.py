@@ -4,8 +4,8 @@ Every job in this package is a plain ``DataFrame -> DataFrame`` function; the
 only process-level concerns are the session settings (AQE, skew handling,
 Arrow) and where intermediate state may be written.  Intermediate state is
 always written under ``spark.checkpoint.dir`` — the shared folder a cluster
-names — never a machine-local temporary folder.  A local default is set only
-when the session has none (tests, bench).
+names — never a machine-local temporary folder.  A local default is set only on
+a ``local`` master whose session has none (tests, bench).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -79,22 +80,30 @@ def _spark_context(spark: SparkSession):
         return None
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.master", "").startswith("local") and \
+        not spark.conf.get("spark.master", "").startswith("local-cluster")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    A session that names none gets a temporary folder on a ``local`` master
+    (tests, bench).  Anywhere else that folder would exist on one machine
+    only, so it is an error.
+    """
     sc = _spark_context(spark)
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
-        # Only reached when nothing names a shared folder (local tests).
+        if not _is_local(spark):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="evalspark-ckpt-")
-        try:
-            spark.conf.set(CHECKPOINT_CONF, path)
-        except Exception:  # noqa: BLE001 - some deployments reject core confs at runtime
-            pass
+        spark.conf.set(CHECKPOINT_CONF, path)
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return spark.conf.get(CHECKPOINT_CONF, None) or path
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -109,45 +118,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-MIN_SPLIT_BYTES = 4 * 1024 * 1024
-_SIZE_CACHE: dict[str, int] = {}
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path`` via the Hadoop FileSystem API."""
-    if path not in _SIZE_CACHE:
-        jvm = spark.sparkContext._jvm
-        conf = spark._jsparkSession.sessionState().newHadoopConf()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        _SIZE_CACHE[path] = int(p.getFileSystem(conf).getContentSummary(p).getLength())
-    return _SIZE_CACHE[path]
-
-
-def ensure_parallelism(df: DataFrame, path: str | None = None,
-                       min_bytes: int = MIN_SPLIT_BYTES) -> DataFrame:
-    """Spread a scan over the cluster's cores when the files are not splittable
-    enough (one large row group gives one task).
-
-    Plan-time check only: the scan's partition count against the default
-    parallelism, and the input size.  A table of thousands of files already
-    has enough partitions, so this is a no-op at scale; a small table is left
-    alone (not worth a shuffle).
-    """
-    spark = df.sparkSession
+def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``, or None if nothing was written there yet.
+    Any other failure (a schema clash, a damaged file) is raised."""
     try:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-        if path is not None and input_bytes(spark, path) < min_bytes:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD/JVM access: leave the scan as planned
-        return df
-    return df.repartition(target)
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return ensure_parallelism(spark.read.parquet(path), path)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 _SHIPPED: set[str] = set()

@@ -9,12 +9,16 @@ every downstream job.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark import schemas
 from evalspark.functions.assets import split_path, strip_leading_slash
+from evalspark.session import read_if_exists
 
 
 # ----------------------------------------------------------------- S1 / S2
@@ -46,10 +50,28 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     missing columns -> null, ``necessary`` lower-cased ('' -> null),
     ``None``/'' answers kept as they are (the scorer decides), timestamps with
     a ``+00`` suffix parsed as UTC.
+
+    Exports with different headers may share a folder: files are grouped by
+    their first line (one row per distinct header reaches the driver), each
+    group is read by its own header, and the groups are unioned by name.
     """
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("quote", '"').option("escape", '"').option("inferSchema", False)
-           .csv(path))
+    first = (spark.read.option("wholetext", False).text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"),
+                     F.monotonically_increasing_id().alias("line"))
+             .groupBy("file").agg(F.min_by("value", "line").alias("header")))
+    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    if len(groups) <= 1:
+        return _typed_annotations(_read_csv(spark, path))
+    return reduce(DataFrame.unionByName, [_typed_annotations(_read_csv(spark, sorted(g["files"])))
+                                          for g in sorted(groups, key=lambda g: g["header"] or "")])
+
+
+def _read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return (spark.read.option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path))
+
+
+def _typed_annotations(raw: DataFrame) -> DataFrame:
     if "question_id" in raw.columns and "question_ref" not in raw.columns:
         raw = raw.withColumnRenamed("question_id", "question_ref")
     for c in schemas.ANNOTATION_COLUMNS:
@@ -109,20 +131,23 @@ def asset_manifest(spark: SparkSession, root: str,
     """Image files under ``root`` as ``(dir, name, path)``, relative to root.
 
     ``binaryFile`` lists files in parallel; only ``path`` is selected, so file
-    contents are never read.
+    contents are never read.  The root may be a plain path or a URI; it is
+    qualified the way the listed paths are.  The listing itself is held by the
+    driver: a store of many millions of files should come as a table of paths
+    instead (:func:`manifest_from_paths`).
     """
     pattern = "*.{" + ",".join(extensions) + "}"
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", recursive).load(root).select("path"))
-    base = root.rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), "^" + _re_escape(base) + "/?", "")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(hadoop)
+    prefix = base.toString().rstrip("/") + "/"
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    prefix = re.sub("^file:/+", "file:/", prefix)
+    rel = F.when(plain.startswith(prefix), F.substring(plain, len(prefix) + 1, 1 << 20)).otherwise(plain)
     return manifest_from_paths(files.select(rel.alias("path")), "path")
 
 
-def _re_escape(s: str) -> str:
-    return "".join("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch for ch in s)
-
-
 def manifest_from_paths(df: DataFrame, path: str = "path") -> DataFrame:
     """``(dir, name, path)`` for a table of relative asset paths."""
     p = strip_leading_slash(F.col(path))
@@ -139,11 +164,15 @@ def response_file_tag(distractor: bool) -> str:
 def write_responses(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Long responses partitioned by ``model`` and ``setting``.
 
-    Appends are idempotent per (model, setting) partition under dynamic
-    partition overwrite.
+    Appends: what was stored stays, and rows whose (question_ref, model,
+    setting) is stored already are left out, so writing the pending rows of a
+    second run, or the same rows again, loses and repeats nothing.
     """
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("model", "setting").format(fmt).save(path))
+    key = ["question_ref", "model", "setting"]
+    stored = read_if_exists(df.sparkSession, path, fmt)
+    if stored is not None:
+        df = df.join(stored.select(*key).distinct(), key, "left_anti").select(*df.columns)
+    df.write.mode("append").partitionBy("model", "setting").format(fmt).save(path)
     return path
 
 
@@ -194,10 +223,13 @@ def read_batch_results(spark: SparkSession, path: str, requests: DataFrame | Non
                        job_state: str = "JOB_STATE_SUCCEEDED") -> DataFrame:
     """Per key ``status`` ok / raw / error, ``text``, ``error``.
 
-    ``ok``: a response with text; ``raw``: a response object without a text
-    field (the raw payload is kept); ``error``: an error entry.  With
-    ``requests``, keys that have no result at all are reported as
-    ``missing`` (left join from the requests).  A failed job yields no rows.
+    ``ok``: a response with text, at its top or in its candidates' parts;
+    ``raw``: a response object without any (the payload is kept); ``error``: an
+    error entry; ``bad_line``: a line that is no result (key null, the line as
+    text).  A key that comes twice counts once: ok before raw before error,
+    then the smaller text.  With ``requests``, keys that have no result at all
+    are reported as ``missing``; bad lines are kept.  A failed job yields no
+    rows.
     """
     if job_state != "JOB_STATE_SUCCEEDED":
         import warnings
@@ -205,17 +237,31 @@ def read_batch_results(spark: SparkSession, path: str, requests: DataFrame | Non
         return spark.createDataFrame([], "key string, status string, text string, error string")
     raw = spark.read.text(path).select(F.col("value").alias("_line"))
     parsed = raw.select("_line", F.from_json("_line", schemas.BATCH_RESULT).alias("r"))
-    res = parsed.select(
+    parts = F.from_json(F.get_json_object("_line", "$.response"), NESTED_RESPONSE)
+    nested = F.array_join(F.filter(F.flatten(F.transform(
+        parts["candidates"], lambda c: F.transform(c["content"]["parts"], lambda p: p["text"]))),
+        lambda t: t.isNotNull()), "")
+    text = F.coalesce(F.col("r.response.text"), F.nullif(nested, F.lit("")))
+    bad = F.col("r.key").isNull()
+    res = parsed.filter(F.trim("_line") != "").select(
         F.col("r.key").alias("key"),
-        F.when(F.col("r.error").isNotNull(), F.lit("error"))
-        .when(F.col("r.response.text").isNotNull(), F.lit("ok"))
-        .otherwise(F.lit("raw")).alias("status"),
-        F.coalesce(F.col("r.response.text"),
-                   F.when(F.col("r.error").isNull(),
-                          F.get_json_object("_line", "$.response"))).alias("text"),
+        F.when(bad, F.lit("bad_line")).when(F.col("r.error").isNotNull(), F.lit("error"))
+        .when(text.isNotNull(), F.lit("ok")).otherwise(F.lit("raw")).alias("status"),
+        F.when(bad, F.col("_line")).when(F.col("r.error").isNull(), F.coalesce(
+            text, F.get_json_object("_line", "$.response"))).alias("text"),
         F.col("r.error").alias("error"))
-    if requests is None:
-        return res
-    keys = requests.select("key").distinct()
-    return (keys.join(res, "key", "left")
-            .withColumn("status", F.coalesce(F.col("status"), F.lit("missing"))))
+    bad_lines = res.filter("status = 'bad_line'")
+    # One row per key: "ok" < "raw" < "error" by rank, then by text.
+    rank = F.when(F.col("status") == "ok", 0).when(F.col("status") == "raw", 1).otherwise(2)
+    res = (res.filter("status <> 'bad_line'").groupBy("key")
+           .agg(F.min(F.struct(rank.alias("rank"), "text", "error", "status")).alias("r"))
+           .select("key", "r.status", "r.text", "r.error"))
+    if requests is not None:
+        keys = requests.select("key").distinct()
+        res = (keys.join(res, "key", "left")
+               .withColumn("status", F.coalesce(F.col("status"), F.lit("missing"))))
+    return res.unionByName(bad_lines)
+
+
+# The nested payload of a hosted result, as far as text goes.
+NESTED_RESPONSE = "candidates array<struct<content: struct<parts: array<struct<text: string>>>>>"

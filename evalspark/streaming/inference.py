@@ -1,12 +1,12 @@
 """Resumable inference as a file stream.
 
 The bank arrives as files; every micro-batch keeps only questions without a
-usable answer yet (J5 against the response table), runs the provider (I1)
-and appends successes into its own ``batch_id`` partition (idempotent on
-replay).  Answered work survives any crash through the stream checkpoint plus
-the append-only table; failed rows (null responses) are not written, so a
-later :func:`retry_pending` pass — a plain batch job over the same bank —
-answers them.  Nothing is re-pickled or rewritten per chunk.
+usable answer yet (J5 against *all* stored responses), runs the provider (I1)
+and appends successes under its ``batch_id``.  The table is append-only: a
+replayed batch finds what it stored before and asks only for the rest, and
+nothing that was answered is ever replaced.  Failed rows (null responses) are
+not written, so a later :func:`retry_pending` pass — a plain batch job over
+the same bank — answers them.
 """
 
 from __future__ import annotations
@@ -14,24 +14,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from evalspark.operators.infer import Provider, build_image_list, infer, pending, response_column
+from evalspark.session import read_if_exists, scratch_path
 
-
-def _answered(spark: SparkSession, out_dir: str, batch_id: int | None = None) -> DataFrame | None:
-    try:
-        df = spark.read.parquet(out_dir)
-    except AnalysisException:
-        return None
-    return df if batch_id is None else df.filter(F.col("batch_id") < batch_id)
+FILES_PER_SLICE = 4
+FIRST_RETRY = 1_000_000  # batch ids of retries start here, above any stream batch
 
 
 def answer_batch(bank: DataFrame, provider: Provider, out_dir: str, batch_id: int,
                  distractor: bool = False, batch_size: int = 1) -> None:
     spark = bank.sparkSession
     todo = bank
-    done = _answered(spark, out_dir, batch_id)
+    done = read_if_exists(spark, out_dir)
     if done is not None:
         # Semi-join reduction: only answers to questions of this batch are
         # compared (the batch side is small; AQE broadcasts it by size).
@@ -40,8 +35,8 @@ def answer_batch(bank: DataFrame, provider: Provider, out_dir: str, batch_id: in
     lists = build_image_list(todo, distractor)
     res = infer(lists, provider, batch_size=batch_size)
     ok = res.filter(F.col("q_answered")).drop("raw_response")
-    (ok.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
+    (ok.withColumn("batch_id", F.lit(batch_id)).write.mode("append")
+     .partitionBy("batch_id").parquet(out_dir))
 
 
 def resumable_inference(spark: SparkSession, bank_dir: str, out_dir: str, checkpoint: str,
@@ -64,8 +59,12 @@ def resumable_inference(spark: SparkSession, bank_dir: str, out_dir: str, checkp
 
 
 def retry_pending(bank: DataFrame, provider: Provider, out_dir: str, distractor: bool = False,
-                  batch_size: int = 1, batch_id: int = 1_000_000) -> None:
-    """Answer what the stream could not (failed rows re-enter through J5)."""
+                  batch_size: int = 1) -> None:
+    """Answer what the stream could not (failed rows re-enter through J5), under
+    a fresh batch id."""
+    done = read_if_exists(bank.sparkSession, out_dir)
+    last = done.agg(F.max("batch_id")).first()[0] if done is not None else None
+    batch_id = max(FIRST_RETRY, (last or 0) + 1)
     answer_batch(bank, provider, out_dir, batch_id, distractor, batch_size)
 
 
@@ -74,11 +73,13 @@ def responses_table(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def write_slices(df: DataFrame, path: str, n_files: int, order: list,
-                 which: range | None = None) -> None:
-    """Append ``df`` to ``path`` as ``n_files`` JSON slices in ``order``.
+                 which: range | None = None, files: int = FILES_PER_SLICE) -> None:
+    """Append ``df`` to ``path`` as ``n_files`` JSON slices in ``order``, each of
+    ``files`` files.
 
     Slices are appended one after another, so file times follow ``order`` and
-    a file stream sees them in that order.  A single integer key is sliced by
+    a file stream that takes ``files`` files a trigger sees one slice a time.
+    The numbered rows are written once and every slice reads its own folder.  A single integer key is sliced by
     value range from one min/max aggregate; other keys by a distributed
     ordinal.  Replay/test feeder only.
     """
@@ -94,5 +95,8 @@ def write_slices(df: DataFrame, path: str, n_files: int, order: list,
         o = global_ordinal(df, order, out="_o")
         total = max(1, o.count())
         o = o.withColumn("_slice", F.floor((F.col("_o") - 1) * F.lit(n_files) / F.lit(total))).drop("_o")
+    staged = scratch_path(df.sparkSession, "slices")
+    o.write.partitionBy("_slice").parquet(staged)
+    rows = df.sparkSession.read.schema(o.schema).parquet(staged)
     for i in which if which is not None else range(n_files):
-        o.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").json(path)
+        rows.filter(F.col("_slice") == i).drop("_slice").repartition(files).write.mode("append").json(path)

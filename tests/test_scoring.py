@@ -109,3 +109,28 @@ def test_judge_prompt_renders_lists_like_the_reference(spark):
     assert r["prompt"] == ("Question reference: q7\nExpected answer: ['ridge']\nGiven response: ['oldtown', 'bay']"
                            "\n\nDoes the response correctly answer the question based on expected answer? "
                            "Answer strictly 'yes' or 'no'.")
+
+
+def test_every_model_is_measured_against_every_question(spark):
+    """A model that skipped questions keeps them in its denominator."""
+    from evalspark.operators.report import accuracy
+    answers = spark.createDataFrame([(f"q{i}", "cardinal", "North") for i in range(4)],
+                                    "question_ref string, answer_type string, expected_answer string")
+    rows = [(f"q{i}", "A", "direct", "North") for i in range(4)] + [("q0", "B", "direct", "North"),
+                                                                   ("x", "B", "direct", "North")]
+    responses = spark.createDataFrame(rows, "question_ref string, model string, setting string, response string")
+    out = scoring.evaluate(responses, answers)
+    got = {r["model"]: (r["n"], r["accuracy"])
+           for r in accuracy(out.filter("answer_type is not null"), ["model"]).collect()}
+    assert got == {"A": (4, 100.0), "B": (4, 25.0)}
+    assert out.filter("question_ref = 'x'").count() == 1  # a response with no answer stays
+
+
+def test_null_and_repeated_verdicts(spark):
+    scored = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("d", 0)],
+                                   "question_ref string, correct int")
+    verdicts = spark.createDataFrame([("a", None), ("b", "yes"), ("b", "Yes."), ("c", "yes"), ("c", "no"),
+                                      ("c", None), ("d", "yes")], "question_ref string, verdict string")
+    got = sorted((r["question_ref"], r["correct"]) for r in
+                 scoring.apply_verdicts(scored, verdicts, ["question_ref"]).collect())
+    assert got == [("a", None), ("b", 1), ("c", 0), ("d", 0)]

@@ -99,3 +99,41 @@ def test_merge_contextual(spark):
     # one full bank copy per variant; a question missing from a variant keeps a null list
     assert got == [("q1", "names", ["c1"]), ("q1", "vectors", ["c2"]), ("q2", "names", None),
                    ("q2", "vectors", ["c3"])]
+
+
+def test_write_responses_keeps_earlier_answers(spark, tmp_dir):
+    schema = "question_ref string, model string, setting string, response string"
+    path = os.path.join(tmp_dir, "resp")
+    for rows in ([("q1", "m", "direct", "a")], [("q2", "m", "direct", "b")],
+                 [("q1", "m", "direct", "again"), ("q3", "m", "direct", "c")]):
+        io.write_responses(spark.createDataFrame(rows, schema), path)
+    got = sorted((r["question_ref"], r["response"]) for r in spark.read.parquet(path).collect())
+    assert got == [("q1", "a"), ("q2", "b"), ("q3", "c")]
+
+
+def test_annotation_folder_with_two_headers(spark, tmp_dir):
+    for name, text in (("a", "id,question_ref,answer,validity\n1,q1,\"x,\ny\",ok\n"),
+                       ("b", "question_id,id,validity,answer\nq2,2,fine,z\n"), ("c", "id,question_ref,answer,validity\n3,q3,w,ok\n")):
+        with open(os.path.join(tmp_dir, name + ".csv"), "w") as f:
+            f.write(text)
+    got = sorted((r["id"], r["question_ref"], r["answer"], r["validity"])
+                 for r in io.read_annotations(spark, tmp_dir).collect())
+    assert got == [(1, "q1", "x,\ny", "ok"), (2, "q2", "z", "fine"), (3, "q3", "w", "ok")]
+
+
+def test_asset_manifest_takes_uri_roots(spark, tmp_dir):
+    os.makedirs(os.path.join(tmp_dir, "a"))
+    open(os.path.join(tmp_dir, "a", "x.png"), "wb").write(b"x")
+    for root in (tmp_dir, tmp_dir + "/", "file:" + tmp_dir, "file://" + tmp_dir):
+        assert [tuple(r) for r in io.asset_manifest(spark, root).collect()] == [("a", "x.png", "a/x.png")]
+
+
+def test_batch_results_repeats_bad_lines_and_nested_text(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "r.jsonl")
+    with open(path, "w") as f:
+        f.write('{"key": "a", "error": "quota"}\n{"key": "a", "response": {"text": "yes"}}\nnot json\n\n'
+                '{"key": "b", "response": {"candidates": [{"content": {"parts": [{"text": "no"}, {"text": "rth"}]}}]}}\n')
+    got = sorted(((r["key"], r["status"], r["text"]) for r in io.read_batch_results(spark, path).collect()), key=str)
+    assert got == [("a", "ok", "yes"), ("b", "ok", "north"), (None, "bad_line", "not json")]
+    keys = spark.createDataFrame([("a",), ("z",)], "key string")
+    assert {r["status"] for r in io.read_batch_results(spark, path, keys).collect()} == {"ok", "missing", "bad_line"}

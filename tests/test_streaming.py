@@ -34,7 +34,7 @@ def run(spark, tmp_dir, n_files, tag):
     si.write_slices(posts(spark), src, n_files, ["event_id"])
     out = os.path.join(tmp_dir, f"out_{tag}")
     sa.ingest_annotations(spark, src, out, os.path.join(tmp_dir, f"ckpt_{tag}"), SCHEMA,
-                          max_files_per_trigger=1, order=("event_id",))
+                          max_files_per_trigger=si.FILES_PER_SLICE, order=("event_id",))
     acc = sorted(r["event_id"] for r in spark.read.parquet(os.path.join(out, "accepted")).collect())
     q = {r["event_id"]: sorted(r["reasons"]) for r in spark.read.parquet(os.path.join(out, "quarantine")).collect()}
     users = sorted(r["user_id"] for r in spark.read.parquet(os.path.join(out, "users")).collect())
@@ -78,11 +78,11 @@ def test_resumable_inference_restart_and_retry(spark, tmp_dir):
     src, out, ckpt = (os.path.join(tmp_dir, n) for n in ("bank", "resp", "ckpt"))
     si.write_slices(bank, src, 4, ["question_ref"], which=range(0, 2))
     si.resumable_inference(spark, src, out, ckpt, RuleProvider("rule", fail_every=97), schemas.BANK,
-                           max_files_per_trigger=1)
+                           max_files_per_trigger=si.FILES_PER_SLICE)
     assert si.responses_table(spark, out).count() == 3          # q_0003 failed
     si.write_slices(bank, src, 4, ["question_ref"], which=range(2, 4))
     si.resumable_inference(spark, src, out, ckpt, RuleProvider("rule", fail_every=97), schemas.BANK,
-                           max_files_per_trigger=1)
+                           max_files_per_trigger=si.FILES_PER_SLICE)
     assert si.responses_table(spark, out).count() == 7          # still pending: q_0003
     si.retry_pending(spark.read.schema(schemas.BANK).json(src), RuleProvider("rule"), out)
     got = si.responses_table(spark, out)
@@ -107,3 +107,44 @@ def test_first_write_wins_batch_helper(spark):
     got = sorted((r["user"], r["question_ref"], r["ts"], r["duplicate"])
                  for r in first_write_wins(df, ["user", "question_ref"], ["ts"]).collect())
     assert got == [("u", "p", 2, False), ("u", "q", 1, False), ("u", "q", 3, True), ("v", "q", 5, False)]
+
+
+def test_retries_and_replays_keep_every_answer(spark, tmp_dir):
+    rows = [(f"q_{i}", "x" * n, None, ["a/i.png"], "Single", "Distance", None, None)
+            for i, n in enumerate([10, 11, 12, 13, 14])]
+    bank, out = spark.createDataFrame(rows, schemas.BANK), os.path.join(tmp_dir, "resp")
+    stored = lambda: sorted(r["question_ref"] for r in si.responses_table(spark, out).collect())
+    si.answer_batch(bank, RuleProvider("rule", fail_every=2), out, 0)      # odd lengths answered
+    assert stored() == ["q_1", "q_3"]
+    si.answer_batch(bank, RuleProvider("rule", fail_every=3), out, 0)      # a replay that fails elsewhere
+    assert stored() == ["q_0", "q_1", "q_3", "q_4"]
+    si.retry_pending(bank, RuleProvider("rule", fail_every=4), out)
+    assert stored() == ["q_0", "q_1", "q_3", "q_4"]
+    si.retry_pending(bank, RuleProvider("rule"), out)
+    assert stored() == ["q_0", "q_1", "q_2", "q_3", "q_4"]
+    si.answer_batch(bank, RuleProvider("rule"), out, 1)                    # listed again in the stream
+    assert stored() == ["q_0", "q_1", "q_2", "q_3", "q_4"]
+
+
+def test_a_trigger_reads_only_touched_buckets(spark, tmp_dir):
+    keys = posts(spark).filter("event_id in (1, 6)")
+    sa.process_batch(keys, 0, tmp_dir, ("event_id",))
+    path = os.path.join(tmp_dir, "accepted")
+    prior = sa.prior_keys(spark, path, 1, sa.KEY, [3])
+    plan = prior._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "key_bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    hit = [r[0] for r in keys.select(sa.key_bucket(sa.KEY)).distinct().collect()]
+    assert sa.prior_keys(spark, path, 1, sa.KEY, hit).count() == 2
+    assert sa.prior_keys(spark, path, 0, sa.KEY, hit).count() == 0
+
+
+def test_blank_and_padded_keys(spark, tmp_dir):
+    rows = posts(spark).filter("event_id = 1").drop("user", "question_ref")
+    variants = spark.createDataFrame([("\t", "q_1"), ("u", "  "), ("u", " q_1"), ("u", "q_1\u3000")],
+                                     "user string, question_ref string")
+    df = rows.withColumn("_j", F.lit(1)).join(variants.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    sa.process_batch(df, 0, tmp_dir, ("event_id",))
+    acc = spark.read.parquet(os.path.join(tmp_dir, "accepted")).collect()
+    assert [(r["user"], r["question_ref"]) for r in acc] == [("u", "q_1")]
+    why = sorted(r["reasons"][0] for r in spark.read.parquet(os.path.join(tmp_dir, "quarantine")).collect())
+    assert why == ["duplicate", "question_ref_missing", "user_missing"]
