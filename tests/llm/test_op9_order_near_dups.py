@@ -4,7 +4,7 @@ import numpy as np
 from llm_cases import SF, no_docs, odd_docs
 
 from evalspark.llm import op9_order_near_dups as op
-from evalspark.llm.components import connected_components
+from evalspark.llm.components import add_links, connected_components
 
 
 def plain_distance(a, b):
@@ -85,6 +85,28 @@ def test_chain_is_one_component(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_random_links_in_two_steps(spark):
+    r = random.Random(6)
+    links = [(r.randrange(120), r.randrange(120)) for _ in range(90)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for x, y in links:
+        a, b = find(x), find(y)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in parent}
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    collect = lambda df: {x["node"]: x["component"] for x in df.collect()}
+    assert collect(connected_components(frame(links))) == want
+    first = connected_components(frame(links[:50]))
+    assert collect(add_links(first, frame(links[50:]))) == want
+    assert collect(add_links(first, frame([]))) == collect(first)
+
+
 def test_keys_do_not_depend_on_the_step(monkeypatch):
     s = op.Settings()
     tokens = [f"w{i % 97}" for i in range(30_000)]
