@@ -47,9 +47,12 @@ def mark_revisits(records: DataFrame, least: int = 1000) -> DataFrame:
     ``least`` bytes the one with the largest ``rank`` is a response, the others
     revisit it.  ``records``: record_id, rank (unique), payload."""
     digest, size = F.sha2("payload", 256), F.octet_length("payload")
-    firsts = (records.filter(size >= least).groupBy(digest.alias("_digest"))
-              .agg(F.max(F.struct("rank", "record_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-              .filter("_n > 1").drop("_n"))
+    # Written first, so that the join stands alone in its stage and Spark can
+    # split the partition of a payload with very many records.
+    firsts = materialise(
+        records.filter(size >= least).groupBy(digest.alias("_digest"))
+        .agg(F.max(F.struct("rank", "record_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1").drop("_n"), "warc-firsts")
     revisit = (size >= least) & (F.col("_first.record_id") != F.col("record_id"))
     return (records.withColumn("_digest", digest).join(firsts, "_digest", "left")
             .withColumn("refers_to", F.when(revisit, F.col("_first.record_id")))
@@ -227,7 +230,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = pages.select(_uri("page_id", "at").alias("record_id"), "target", "payload",
                            F.struct("page_id", "at").alias("rank"))
     manifest = write_archives(to_chunks(mark_revisits(records)), scratch_path(spark, "warc"))
-    page = lambda c: F.split(c, ":")[2].cast("bigint")
+    page = lambda c: F.split(c, ":")[2].try_cast("bigint")
     return checked(read_archives(manifest)).select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page("refers_to").alias("refers_to"))
