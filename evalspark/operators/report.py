@@ -202,13 +202,14 @@ def exact_quantiles(values: DataFrame, col: str, probs: tuple[float, ...]) -> li
     (at most ``2·len(probs)``) rows at the needed ranks reach the driver.
     """
     from evalspark.operators.ordinals import global_ordinal
+    from evalspark.operators.stats import salted
     v = values.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     n = v.count()
     if n == 0:
         return []
     pos = [(n - 1) * p for p in probs]
     need = sorted({int(math.floor(h)) + 1 for h in pos} | {int(math.ceil(h)) + 1 for h in pos})
-    o = global_ordinal(v, ["_v"], out="_o")
+    o = global_ordinal(salted(v), ["_v", "_salt"], out="_o")
     at = {r["_o"]: r["_v"] for r in o.filter(F.col("_o").isin(need)).collect()}
     out = []
     for h in pos:

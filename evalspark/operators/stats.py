@@ -1,18 +1,21 @@
 """Curation statistics (G1–G6): canonical answers, spread, agreement, bootstrap.
 
-Bootstrap replicates are computed per group inside a grouped task with
-numpy, never by exploding ``n × n_boot`` rows.  Draw ``i`` of replicate ``b``
-in group ``g`` is an integer mix of (md5 seed of ``g``, ``b``, ``i``) modulo
-``n`` — deterministic, so runs are reproducible and an SQL oracle recomputes
-every draw.  Groups are only handed over whole when their size was *measured*
-to be at most ``max_group``;
-larger groups get the closed-form standard error of the mean
-(``stddev_pop / sqrt(n)``, the limit the bootstrap estimates), so no group is
-ever collected without a bound and no row is dropped.
+One bootstrap definition holds at every group size.  The values of a group are
+ranked and cut into chunks of ``CHUNK_ROWS`` ranks; a replicate's ``n`` draws
+first fall to chunks (a binomial at each node of a binary tree over the
+chunks, so every chunk finds its own share and the draws below it without
+hearing from the others), then to ranks within the chunk.  Chunks are the unit
+of work: a group of any size is never in one task, and its chunks only hand
+over one sum and at most two order statistics per replicate.  A group of one
+chunk draws ranks directly: draw ``i`` of replicate ``b`` in group ``g`` is an
+integer mix of (md5 seed of ``g``, ``b``, ``i``) modulo ``n``, which an SQL
+oracle recomputes.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,9 +23,15 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import first_number, split_answers
 from evalspark.operators.ordinals import group_ordinal
-from evalspark.session import ship_package
+from evalspark.session import cut_lineage, ship_package
+
+CHUNK_ROWS = 4096
 
-DEFAULT_MAX_GROUP = 20_000
+
+def salted(values: DataFrame) -> DataFrame:
+    """Add ``_salt``, which tells equal values apart, so that a value held by
+    most rows is ranked by many tasks and not by one."""
+    return values.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
 
 
 def canonical_answers(bank: DataFrame, keys: list[str] | None = None,
@@ -55,11 +64,11 @@ def spread_values(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
 def exact_median(values: DataFrame, key: str, x: str = "x") -> DataFrame:
     """Exact per-group median (mean of the two middle values for even n).
 
-    Ranks come from the skew-safe :func:`group_ordinal` (range-partitioned), so
-    a group holding a third of all rows is spread over many tasks; only the one
-    or two middle rows per group are aggregated.
+    Ranks come from the skew-safe :func:`group_ordinal` (range-partitioned, ties
+    salted), so a group or a value holding a third of all rows is spread over
+    many tasks; only the one or two middle rows per group are aggregated.
     """
-    r = group_ordinal(values.select(key, x), [key], [x], out="_r", total="_n")
+    r = group_ordinal(salted(values.select(key, x)), [key], [x, "_salt"], out="_r", total="_n")
     mid = (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.ceil((F.col("_n") + 1) / 2))
     return r.filter(mid).groupBy(key).agg(F.avg(x).alias("median"))
 
@@ -82,6 +91,15 @@ def annotator_spread(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
     return moments.join(med, key, "inner").select(key, "n", "mean", "median", "std", "expected_value")
 
 
+def spread_rows(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
+                answer: str = "answer", expected: str = "expected_answer") -> DataFrame:
+    """G2, one row per value: every annotator number (and the expected one) of a
+    question beside the question's statistics."""
+    values = spread_values(bank, ann, key, answer, expected)
+    # One row per question on the right: AQE can split a question of many values.
+    return values.join(annotator_spread(bank, ann, key, answer, expected), key, "left")
+
+
 def flag_spread_outliers(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
                          answer: str = "answer", expected: str = "expected_answer",
                          k: float = 1.0) -> DataFrame:
@@ -132,105 +150,144 @@ def draw_indices(seed: int, b: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
     return x % n
 
 
-def _replicate_means(values: np.ndarray, seed: int, n_boot: int, winsor: float | None,
-                     chunk: int = 64) -> np.ndarray:
-    v = np.sort(values.astype(np.float64))
-    n = v.size
-    i = np.arange(n, dtype=np.int64)[None, :]
-    out = np.empty(n_boot, dtype=np.float64)
-    k = int(winsor * n) if winsor is not None else 0
-    for b0 in range(0, n_boot, chunk):
-        b = np.arange(b0, min(n_boot, b0 + chunk), dtype=np.int64)[:, None]
-        sample = v[draw_indices(seed, b, i, n)]
-        if winsor is not None and k > 0:
-            s = np.sort(sample, axis=1)
-            sample = np.clip(sample, s[:, k][:, None], s[:, n - 1 - k][:, None])
-        out[b0:b0 + b.shape[0]] = sample.sum(axis=1) / n
+def chunk_draws(seed: int, n: int, chunk: int, at: int, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per replicate: the draws below chunk ``at`` and those in it, of the ``n``
+    draws over ``ceil(n / chunk)`` chunks."""
+    lo, hi = 0, -(-n // chunk)
+    below, here = np.zeros(n_boot, dtype=np.int64), np.full(n_boot, n, dtype=np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left, both = mid * chunk - lo * chunk, min(n, hi * chunk) - lo * chunk
+        drawn = np.random.default_rng([seed, lo, hi]).binomial(here, left / both)
+        if at < mid:
+            here, hi = drawn, mid
+        else:
+            below, here, lo = below + drawn, here - drawn, mid
+    return below, here
+
+
+def chunk_sums(values: np.ndarray, seed: int, n: int, below: np.ndarray, here: np.ndarray,
+               winsors: tuple, block: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each winsor level (None: plain) and replicate: the sum of the chunk's
+    draws whose rank in the whole sample is kept, and the sample's lowest and
+    highest kept values if they are drawn here (else NaN).
+
+    ``values`` are the chunk's, rising; ``seed`` is the chunk's own."""
+    size, n_boot = values.size, below.size
+    out = [tuple(np.full(n_boot, np.nan) for _ in range(3)) for _ in winsors]
+    for b0 in range(0, n_boot, block):
+        b = np.arange(b0, min(n_boot, b0 + block))
+        p, k = below[b], here[b]
+        i = np.arange(k.max(initial=0), dtype=np.int64)
+        at = draw_indices(seed, b[:, None], i[None, :], size) + (np.arange(b.size) * size)[:, None]
+        weight = np.bincount(at[i[None, :] < k[:, None]], minlength=b.size * size).reshape(b.size, size)
+        upto = np.cumsum(weight, axis=1)
+        for (inner, low, high), w in zip(out, winsors):
+            cut = int(w * n) if w is not None else 0
+            first, last = np.clip(cut - p, 0, k), np.clip(n - cut - p, 0, k)
+            kept = np.clip(upto, first[:, None], last[:, None])
+            kept[:, 1:] -= kept[:, :-1].copy()
+            kept[:, 0] -= first
+            inner[b] = kept @ values
+            for found, rank in ((low, cut - p), (high, n - 1 - cut - p)):
+                has = (rank >= 0) & (rank < k)
+                found[b[has]] = values[(upto[has] <= rank[has, None]).sum(axis=1)]
     return out
 
 
-def _boot_bucket_fn(group: str, n_boot: int, winsors: tuple):
-    """One call handles every group of a hash bucket (no per-group Python call)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(group, kind="stable")
-        keys = pdf[group].to_numpy(object)
-        vals = pdf["_x"].to_numpy(np.float64)
-        uniq, first = np.unique(keys, return_index=True)
-        bounds = list(first) + [len(keys)]
-        out = {group: [], "n": []}
-        for j in range(len(winsors)):
-            out[f"se{j}"] = []
-        for gi, g in enumerate(uniq):
-            v = vals[bounds[gi]:bounds[gi + 1]]
-            seed = group_seed(g)
-            out[group].append(g)
-            out["n"].append(v.size)
-            for j, w in enumerate(winsors):
-                means = _replicate_means(v, seed, n_boot, w)
-                out[f"se{j}"].append(round(float(np.std(means, ddof=1)), 6))
-        return pd.DataFrame(out)
+def _chunks(group: str, n_boot: int, winsors: tuple, chunk: int):
+    """Stream of sorted (group, chunk) rows -> one row per chunk and winsor level."""
+    def one(g, n: int, c: int, values: np.ndarray):
+        seed = group_seed(g)
+        below, here = chunk_draws(seed, n, chunk, c, n_boot)
+        whole = n <= chunk
+        sums = chunk_sums(values, seed if whole else group_seed(f"{g}/{c}"), n, below, here, winsors)
+        for j, (inner, low, high) in enumerate(sums):
+            if not whole:
+                yield g, n, j, None, inner, low, high
+                continue
+            cut = int(winsors[j] * n) if winsors[j] is not None else 0
+            means = (inner + cut * (low + high)) / n
+            yield g, n, j, float(np.std(means, ddof=1)), [], [], []
+
+    def fn(batches):
+        held = None
+        names = [group, "n", "level", "se", "inner", "low", "high"]
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held = b if held is None else pd.concat([held, b], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            key = pd.MultiIndex.from_arrays([held[group], held["_c"]]).to_numpy()
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[edge[1:], len(held)]
+            # The last chunk may go on in the next batch.
+            done = len(edge) - (b is not None)
+            rows = [r for s, e in zip(edge[:done], ends[:done])
+                    for r in one(held[group].iat[s], int(held["_n"].iat[s]), int(held["_c"].iat[s]),
+                                 held["_x"].to_numpy(np.float64)[s:e])]
+            held = held.iloc[edge[done]:] if done < len(edge) else None
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
     return fn
 
 
 def _bootstrap_many(values: DataFrame, group: str, x: str, n_boot: int, winsors: tuple,
-                    max_group: int) -> DataFrame:
+                    chunk: int = CHUNK_ROWS) -> DataFrame:
     """Per-group bootstrap standard errors, one column ``se<j>`` per winsor level
-    (``None`` = plain), from the *same* draws, in grouped numpy tasks.
-
-    Group sizes are measured first; only groups of at most ``max_group`` rows
-    are handed to a task whole (a proven bound); larger groups take the closed
-    form.  Small groups are hashed into as many buckets as there are shuffle
-    partitions, so Python is entered once per bucket, not once per group, and
-    no bucket holds more than its share of values plus one bounded group.
-    """
+    (``None`` = plain), from the *same* draws; ``n`` and ``method``."""
     if n_boot < 2:
         raise ValueError("n_boot must be >= 2")
     ship_package(values.sparkSession)
     vals = values.select(F.col(group), F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    sizes = vals.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_x").alias("_sdp"))
-    small_keys = sizes.filter(F.col("n") <= max_group).select(group)
-    shuffle = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(shuffle, 1)
+    ranked = group_ordinal(salted(vals), [group], ["_x", "_salt"], out="_r", total="_n")
     gtype = dict(vals.dtypes)[group]
-    ses = ", ".join(f"se{j} double" for j in range(len(winsors)))
-    schema = f"`{group}` {gtype}, n long, {ses}"
-    bucketed = (vals.join(small_keys, group, "left_semi")
-                .withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(n_buckets))))
-    boot = (bucketed.groupBy("_bucket").applyInPandas(
-        lambda pdf: _boot_bucket_fn(group, n_boot, winsors)(pdf.drop(columns=["_bucket"])), schema)
-        .withColumn("method", F.lit("bootstrap")))
-    closed = F.round(F.col("_sdp") / F.sqrt(F.col("n")), 6)
-    large = sizes.filter(F.col("n") > max_group).select(
-        group, "n", *[closed.alias(f"se{j}") for j in range(len(winsors))], F.lit("closed_form").alias("method"))
-    return boot.unionByName(large)
+    schema = (f"`{group}` {gtype}, n long, level int, se double, inner array<double>, "
+              "low array<double>, high array<double>")
+    parts = (ranked.select(group, "_x", "_n", "_r", F.expr(f"(_r - 1) div {chunk}").alias("_c"))
+             .repartition(group, "_c").sortWithinPartitions(group, "_c", "_r").select(group, "_x", "_n", "_c")
+             .mapInPandas(_chunks(group, n_boot, winsors, chunk), schema))
+    parts = cut_lineage(parts)  # read twice; one row per chunk and level
+    whole = parts.filter(F.col("se").isNotNull()).select(group, "n", "level", "se")
+    cuts = F.element_at(F.array(*[F.lit(float(w or 0.0)) for w in winsors]), F.col("level") + 1)
+    real = lambda c: F.max(F.when(~F.isnan(c), F.col(c)))
+    means = (parts.filter(F.col("se").isNull())
+             .select(group, "n", "level", F.posexplode(F.arrays_zip("inner", "low", "high")).alias("b", "z"))
+             .select(group, "n", "level", "b", "z.*").groupBy(group, "n", "level", "b")
+             .agg(F.sum("inner").alias("inner"), real("low").alias("low"), real("high").alias("high"))
+             .withColumn("m", (F.col("inner") + F.floor(cuts * F.col("n")) * (F.col("low") + F.col("high")))
+                         / F.col("n")))
+    split = means.groupBy(group, "n", "level").agg(F.stddev_samp("m").alias("se"))
+    wide = whole.unionByName(split).groupBy(group, "n").agg(*[
+        F.round(F.max(F.when(F.col("level") == j, F.col("se"))), 6).alias(f"se{j}") for j in range(len(winsors))])
+    return wide.withColumn("method", F.lit("bootstrap"))
 
 
 def _bootstrap(values: DataFrame, group: str, x: str, n_boot: int, winsor: float | None,
-               max_group: int) -> DataFrame:
-    return _bootstrap_many(values, group, x, n_boot, (winsor,), max_group).withColumnRenamed("se0", "se") \
+               chunk: int) -> DataFrame:
+    return _bootstrap_many(values, group, x, n_boot, (winsor,), chunk).withColumnRenamed("se0", "se") \
         .select(group, "n", "se", "method")
 
 
 def bootstrap_se(values: DataFrame, group: str, x: str, n_boot: int = 1000,
-                 max_group: int = DEFAULT_MAX_GROUP) -> DataFrame:
+                 chunk: int = CHUNK_ROWS) -> DataFrame:
     """Standard deviation (ddof=1) of ``n_boot`` resampled means per group."""
-    return _bootstrap(values, group, x, n_boot, None, max_group)
+    return _bootstrap(values, group, x, n_boot, None, chunk)
 
 
 def winsorized_bootstrap(values: DataFrame, group: str, x: str, p: float = 0.25,
-                         n_boot: int = 1000, max_group: int = DEFAULT_MAX_GROUP) -> DataFrame:
+                         n_boot: int = 1000, chunk: int = CHUNK_ROWS) -> DataFrame:
     """As G4 but each resample is winsorised at ``int(p·n)`` ranks per side."""
-    return _bootstrap(values, group, x, n_boot, p, max_group)
+    return _bootstrap(values, group, x, n_boot, p, chunk)
 
 
 def spread_report(bank: DataFrame, ann: DataFrame, key: str = "question_ref", answer: str = "answer",
-                  expected: str = "expected_answer", n_boot: int = 1000, p: float = 0.25,
-                  max_group: int = DEFAULT_MAX_GROUP) -> DataFrame:
+                  expected: str = "expected_answer", n_boot: int = 1000, p: float = 0.25) -> DataFrame:
     """Spread statistics with ``std``, ``boot_se`` and ``wins_se`` as
     separate columns (the reference overwrote one with the other).  Both
     standard errors come from one pass over the same draws."""
     base = annotator_spread(bank, ann, key, answer, expected)
     v = spread_values(bank, ann, key, answer, expected)
-    se = _bootstrap_many(v, key, "x", n_boot, (None, p), max_group).select(
+    se = _bootstrap_many(v, key, "x", n_boot, (None, p)).select(
         key, F.col("se0").alias("boot_se"), F.col("se1").alias("wins_se"))
     return base.join(se, key, "left")

@@ -241,6 +241,16 @@ def q_annotator_spread(spark: SparkSession, sf: str) -> DataFrame:
     return stats.annotator_spread(*_spread_inputs(spark, sf))
 
 
+@register("annotator_spread_rows", "G2", lambda: f"""
+WITH {_spread_values_sql()}
+SELECT question_ref, x, is_expected, count(*) OVER w AS n, round(avg(x) OVER w, 6) AS mean,
+       round(median(x) OVER w, 6) AS median, round(stddev_samp(x) OVER w, 6) AS std,
+       max(CASE WHEN is_expected THEN x END) OVER w AS expected_value
+FROM v WINDOW w AS (PARTITION BY question_ref)""")
+def q_annotator_spread_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.spread_rows(*_spread_inputs(spark, sf))
+
+
 @register("flag_spread_outliers", "G3", lambda: f"""
 WITH {_spread_values_sql()},
 st AS (SELECT question_ref, stddev_samp(x) AS sd, max(CASE WHEN is_expected THEN x END) AS e

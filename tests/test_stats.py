@@ -54,24 +54,66 @@ def test_draws_are_deterministic_and_in_range():
     assert len(set(d1.ravel().tolist())) > 5
 
 
-def test_winsor_clip_counts():
-    v = np.array([1.0, 2.0, 3.0])
-    # n = 3 at p = 0.25: int(0.75) = 0 -> nothing clipped, same as plain bootstrap
-    assert np.allclose(stats._replicate_means(v, 1, 20, 0.25), stats._replicate_means(v, 1, 20, None))
-    # n = 4: one value clipped per side, checked against a direct computation
-    v4 = np.array([1.0, 2.0, 3.0, 100.0])
-    got = stats._replicate_means(v4, 11, 30, 0.25)
-    for b in range(30):
-        sample = v4[stats.draw_indices(11, np.array([b]), np.arange(4), 4)]
-        s = np.sort(sample)
-        assert abs(got[b] - np.clip(sample, s[1], s[2]).mean()) < 1e-12
-
-
-def test_bootstrap_groups_and_closed_form(spark):
-    df = spark.createDataFrame([("a", float(x)) for x in range(10)] + [("b", float(x)) for x in range(30)],
-                               "g string, x double")
-    got = {r["g"]: (r["method"], r["n"]) for r in stats.bootstrap_se(df, "g", "x", n_boot=50, max_group=20).collect()}
-    assert got == {"a": ("bootstrap", 10), "b": ("closed_form", 30)}
+def whole_sample_means(v, draws, p):
+    """Means of resamples given as ranks, winsorised by sorting each sample."""
+    v, n = np.sort(v), len(v)
+    k = int(p * n) if p else 0
+    out = []
+    for ranks in draws:
+        x = np.sort(v[ranks])
+        out.append(np.clip(x, x[k], x[n - 1 - k]).mean())
+    return np.array(out)
+
+
+def test_chunks_give_the_sample_of_all_their_draws():
+    """Sums over chunks of any size equal those of the whole sample they draw."""
+    rng = np.random.default_rng(5)
+    v = np.sort(np.r_[rng.normal(size=95), rng.choice([0.0, 50.0], size=8)])
+    for chunk in (7, 20, 103, 500):
+        n, n_boot, levels = len(v), 40, (None, 0.25, 0.1)
+        parts, draws = [], [[] for _ in range(n_boot)]
+        for c in range(-(-n // chunk)):
+            below, here = stats.chunk_draws(3, n, chunk, c, n_boot)
+            own = v[c * chunk:(c + 1) * chunk]
+            assert (below == [len(d) for d in draws]).all()
+            for b in range(n_boot):
+                at = stats.draw_indices(c, np.array([b]), np.arange(here[b]), len(own))
+                draws[b].extend(at + c * chunk)
+            parts.append(stats.chunk_sums(own, c, n, below, here, levels))
+        assert all(len(d) == n for d in draws)
+        for j, p in enumerate(levels):
+            cut = int(p * n) if p else 0
+            low, high = (np.nanmax([x[j][i] for x in parts], axis=0) for i in (1, 2))
+            means = (sum(x[j][0] for x in parts) + cut * (low + high)) / n
+            assert np.allclose(means, whole_sample_means(v, draws, p))
+
+
+def test_bootstrap_is_one_definition_at_every_size(spark):
+    rng = np.random.default_rng(2)
+    big = np.r_[rng.normal(10, 2, size=24_980), np.full(20, 1e6)]  # a third of the rows, with outliers
+    rows = [("big", float(x)) for x in big] + [(f"g{i % 3000}", float(i % 17)) for i in range(50_000)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(8)
+    got = {r["g"]: r for r in stats.winsorized_bootstrap(df, "g", "x", n_boot=60).collect()}
+    assert len(got) == 3001 and {r["method"] for r in got.values()} == {"bootstrap"}
+    assert got["big"]["n"] == 25_000
+    direct = whole_sample_means(big, rng.integers(0, 25_000, size=(60, 25_000)), 0.25)
+    assert 0.6 < got["big"]["se"] / direct.std(ddof=1) < 1.6  # the winsorised statistic, not std / sqrt(n)
+    one = {r["g"]: r["se"] for r in stats.winsorized_bootstrap(df.filter("g = 'g7'"), "g", "x", n_boot=60).collect()}
+    assert one["g7"] == got["g7"]["se"]
+    plain = stats.bootstrap_se(df.filter("g = 'big'"), "g", "x", n_boot=60).first()
+    assert 0.6 < plain["se"] / (big.std() / 25_000 ** 0.5) < 1.6
+
+
+def test_a_value_held_by_most_rows_is_ranked_by_many_tasks(spark):
+    from evalspark.operators.ordinals import global_ordinal
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 < 2, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    o = global_ordinal(stats.salted(df), ["v", "_salt"], num_partitions=20, out="o")
+    sizes = [r["n"] for r in o.groupBy(F.floor((F.col("o") - 1) / 3000)).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 3000
+    counts = stats.salted(df).repartitionByRange(20, "v", "_salt").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in counts) < 2 * 60_000 / 20
+    med = stats.exact_median(df.withColumn("k", F.lit("a")), "k", "v").first()["median"]
+    assert med == float(np.median([5.0 if i % 3 < 2 else i for i in range(60_000)]))
 
 
 def test_quantile_bins_fallbacks(spark):
