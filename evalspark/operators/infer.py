@@ -10,6 +10,7 @@ asset URIs, resumption, bucketing) is plain DataFrame expressions.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import Protocol, runtime_checkable
 
@@ -126,9 +127,8 @@ def resolve_assets(df: DataFrame, uri_map: DataFrame, key: str = "question_ref",
 def length_buckets(df: DataFrame, images: str, batch_size: int, key: str = "question_ref") -> DataFrame:
     """Batches that hold one image count only, longest lists first.
 
-    Adds ``n_images``, ``batch_in_bucket`` and ``batch_key``; rows of a batch
-    are co-partitioned with ``repartition(batch_key)`` by the caller of
-    :func:`infer` when batching matters.
+    Adds ``n_images``, ``batch_in_bucket`` and ``batch_key``, which
+    :func:`infer` takes as its ``batch_key``.
     """
     n = df.withColumn("n_images", F.size(images))
     o = group_ordinal(n, ["n_images"], [key], out="_o")
@@ -217,14 +217,19 @@ def response_column(provider_name: str) -> str:
 
 def infer(df: DataFrame, provider: Provider, batch_size: int = 1,
           key: str = "question_ref", inputs: tuple[str, ...] = ("question_text", "image_lists"),
-          keep: tuple[str, ...] = (), final_answer: bool = True) -> DataFrame:
+          keep: tuple[str, ...] = (), final_answer: bool = True,
+          batch_key: str | None = None) -> DataFrame:
     """Run ``provider`` over every row; Arrow batches, model loaded once per task.
 
-    A batch that raises yields null responses (D17: checked per row), so a
-    transient failure never kills the job and the rows are retried by
-    :func:`pending`.  Output: ``key``, ``keep`` columns, ``<name>_response``
-    (after :func:`extract_final_answer` when ``final_answer``), ``raw_response``,
-    ``q_answered`` and the run settings; helper columns are dropped.
+    A batch that raises yields null responses (D17: checked per row) and its
+    exception in ``error``, so a transient failure never kills the job, the
+    rows are retried by :func:`pending`, and a programming error shows.
+    ``batch_key`` (G17: one image count) names a column whose values are never
+    mixed in a model call: rows are dealt by it and sorted, and a call ends
+    where it changes, also across Arrow batches.  Output: ``key``, ``keep``
+    columns, ``<name>_response`` (after :func:`extract_final_answer` when
+    ``final_answer``), ``raw_response``, ``error``, ``q_answered`` and the run
+    settings; helper columns are dropped.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
@@ -232,29 +237,51 @@ def infer(df: DataFrame, provider: Provider, batch_size: int = 1,
     cols = [key, *keep, *[c for c in inputs if c in df.columns]]
     if "content" in df.columns and "content" not in cols:
         cols.append("content")
-    src = df.select(*cols)
+    src = df.select(*cols, *([F.col(batch_key).alias("_batch")] if batch_key else []))
+    if batch_key:
+        src = src.repartition("_batch").sortWithinPartitions("_batch", key)
     out_fields = [src.schema[key], *[src.schema[c] for c in keep],
-                  T.StructField("raw_response", T.StringType())]
+                  T.StructField("raw_response", T.StringType()), T.StructField("error", T.StringType())]
     schema = T.StructType(out_fields)
     keep_cols = [key, *keep]
     req_cols = [c for c in cols if c not in keep_cols or c in inputs]
 
+    def call(chunk: list[dict]) -> tuple[list, str | None]:
+        try:
+            res = list(provider.respond(chunk))
+        except Exception as e:  # noqa: BLE001 - any model failure -> retry later
+            return [None] * len(chunk), f"{type(e).__name__}: {e}"
+        if len(res) != len(chunk):
+            return [None] * len(chunk), f"{len(res)} responses to {len(chunk)} requests"
+        return [None if g is None else str(g) for g in res], None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider.load()
-        for pdf in batches:
-            reqs = pdf[req_cols].to_dict("records")
-            got: list = []
-            for start in range(0, len(reqs), batch_size):
-                chunk = reqs[start:start + batch_size]
-                try:
-                    res = list(provider.respond(chunk))
-                    if len(res) != len(chunk):
-                        res = [None] * len(chunk)
-                except Exception:  # noqa: BLE001 - any model failure -> retry later
-                    res = [None] * len(chunk)
-                got.extend(None if g is None else str(g) for g in res)
-            out = pdf[keep_cols].copy()
-            out["raw_response"] = got
+        held = None  # rows of a batch key that may go on in the next Arrow batch
+        for pdf in itertools.chain(batches, [None]):
+            if batch_key and held is not None:
+                pdf, last, held = (held, True, None) if pdf is None else (
+                    pd.concat([held, pdf], ignore_index=True), False, None)
+            else:
+                last = False
+            if pdf is None or not len(pdf):
+                continue
+            cuts = [0, len(pdf)]
+            if batch_key:
+                b = pdf["_batch"]
+                same = (b == b.shift()) | (b.isna() & b.shift().isna())
+                cuts = [i for i in range(len(pdf)) if i == 0 or not same.iat[i]] + [len(pdf)]
+                if not last:
+                    held, cuts = pdf.iloc[cuts[-2]:], cuts[:-1]
+            got, errors = [], []
+            reqs = pdf[req_cols].iloc[:cuts[-1]].to_dict("records")
+            for lo, hi in zip(cuts, cuts[1:]):
+                for start in range(lo, hi, batch_size):
+                    res, error = call(reqs[start:min(hi, start + batch_size)])
+                    got.extend(res)
+                    errors.extend([error] * len(res))
+            out = pdf[keep_cols].iloc[:cuts[-1]].copy()
+            out["raw_response"], out["error"] = got, errors
             yield out
 
     raw = src.mapInPandas(run, schema)
@@ -266,38 +293,3 @@ def infer(df: DataFrame, provider: Provider, batch_size: int = 1,
             .withColumn("model", F.lit(provider.name))
             .withColumn("temperature", F.lit(float(provider.temperature)))
             .withColumn("max_new_tokens", F.lit(int(provider.max_new_tokens))))
-
-
-# ------------------------------------------------- deterministic providers
-class RuleProvider(ProviderBase):
-    """Deterministic provider for tests and oracles.
-
-    Answers ``I see <n> images. Final answer: <len(question) mod 50> miles``;
-    raises for any batch holding a question whose text length is a multiple
-    of ``fail_every`` (to exercise failure isolation).
-    """
-
-    def __init__(self, name: str = "rule", fail_every: int = 0, **kw) -> None:
-        super().__init__(name, **kw)
-        self.fail_every = fail_every
-
-    def respond(self, requests: list[dict]) -> list[str | None]:
-        out = []
-        for r in requests:
-            q = r.get("question_text") or ""
-            if self.fail_every and len(q) % self.fail_every == 0:
-                raise RuntimeError("simulated model failure")
-            imgs = r.get("image_lists")
-            n = 0 if imgs is None else len(imgs)
-            out.append(f"I see {n} images. Final answer: {len(q) % 50} miles")
-        return out
-
-
-class EchoProvider(ProviderBase):
-    """Echoes the question (checks plumbing, like the echoed-prompt runs, D24)."""
-
-    def __init__(self, name: str = "echo", **kw) -> None:
-        super().__init__(name, **kw)
-
-    def respond(self, requests: list[dict]) -> list[str | None]:
-        return [r.get("question_text") for r in requests]

@@ -167,13 +167,14 @@ def chunk_draws(seed: int, n: int, chunk: int, at: int, n_boot: int) -> tuple[np
 
 
 def chunk_sums(values: np.ndarray, seed: int, n: int, below: np.ndarray, here: np.ndarray,
-               winsors: tuple, block: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+               winsors: tuple) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each winsor level (None: plain) and replicate: the sum of the chunk's
     draws whose rank in the whole sample is kept, and the sample's lowest and
     highest kept values if they are drawn here (else NaN).
 
     ``values`` are the chunk's, rising; ``seed`` is the chunk's own."""
     size, n_boot = values.size, below.size
+    block = max(1, 262_144 // max(size, int(here.max(initial=1))))  # replicates at a time
     out = [tuple(np.full(n_boot, np.nan) for _ in range(3)) for _ in winsors]
     for b0 in range(0, n_boot, block):
         b = np.arange(b0, min(n_boot, b0 + block))

@@ -33,6 +33,55 @@ def q_read_bank(spark: SparkSession, sf: str) -> DataFrame:
     return _bank_flat(io.read_bank(spark, path, multi_line=False))
 
 
+@register("read_bank_array", "S1", lambda: f"SELECT {BANK_FLAT_SQL} FROM ({standins.bank_sql()})")
+def q_read_bank_array(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 in its array form: files that are each one JSON array of records."""
+    record = F.to_json(F.struct(*[c for c in standins.bank(spark, sf).columns if c not in ("source", "lang", "doc_id")]))
+    bank = standins.bank(spark, sf)
+    # One file per hundred records, holding one JSON array.
+    arrays = (bank.select(F.floor(F.col("doc_id") / 100).alias("part"), record.alias("r"))
+              .groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value")))
+    path = scratch_path(spark, "bank_arrays")
+    arrays.write.partitionBy("part").text(path)
+    return _bank_flat(io.read_bank(spark, f"{path}/*", multi_line=True))
+
+
+@register("read_bank_columns", "S2", lambda: f"""
+SELECT question_ref, answer_type, map_count FROM ({standins.bank_sql()})""")
+def q_read_bank_columns(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "bank_json")
+    standins.bank(spark, sf).drop("source", "lang", "doc_id").write.json(path)
+    return io.read_bank(spark, path, multi_line=False, columns=["question_ref", "answer_type", "map_count"])
+
+
+@register("sort_by_ref", "T1", lambda: f"""
+SELECT question_ref, row_number() OVER (ORDER BY question_ref) AS position FROM ({standins.bank_sql()})""")
+def q_sort_by_ref(spark: SparkSession, sf: str) -> DataFrame:
+    """The sorted rows, written and read back with their place in the order."""
+    from evalspark.operators import basic, ordinals
+    bank = standins.bank(spark, sf).select("question_ref")
+    path = scratch_path(spark, "bank_sorted")
+    basic.sort_by_ref(bank).write.parquet(path)
+    placed = ordinals.global_ordinal(spark.read.parquet(path), ["question_ref"], out="position")
+    return placed.select("question_ref", "position")
+
+
+@register("asset_files", "S5", """
+SELECT CAST(page_id % 10 AS VARCHAR) AS folder, count(*) AS n
+FROM pages GROUP BY page_id % 10""")
+def q_asset_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S5's file reader: files laid out in ten folders are listed and told apart."""
+    pages = read_table(spark, sf, "pages").select("page_id", (F.col("page_id") % 10).alias("k"))
+    path = scratch_path(spark, "asset_files")
+    pages.repartition("k").write.partitionBy("k").parquet(path)
+    files = io.asset_manifest(spark, path, extensions=("parquet",))
+    rows = (spark.read.option("basePath", path).parquet(path)
+            .groupBy(F.col("_metadata.file_name").alias("name"), F.col("k").cast("string").alias("k"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    j = files.join(rows, (F.col("dir") == F.concat(F.lit("k="), F.col("k"))) & (files["name"] == rows["name"]))
+    return j.groupBy(F.col("k").alias("folder")).agg(F.sum("n").alias("n"))
+
+
 @register("read_annotations", "S3", lambda: f"""
 SELECT question_ref, event_id AS id, answer, epoch_us("timestamp") AS ts_us, "user" AS user_id,
        nullif(lower(trim(necessary)), '') AS necessary, validity, map_count, question_text,

@@ -9,6 +9,7 @@ from evalspark.functions.text import extract_final_answer
 from evalspark.operators import infer
 from evalspark.plans import sqlfrag as S
 from evalspark.plans import standins
+from evalspark.plans.providers import RuleProvider
 from evalspark.plans.context import ASSET_BANK_SQL, MANIFEST_SQL, _asset_bank, _manifest
 from evalspark.plans.registry import register
 from evalspark.session import read_table
@@ -137,7 +138,7 @@ SELECT question_ref,
        'rule' AS model, CAST(0.0 AS DOUBLE) AS temperature, 2048 AS max_new_tokens
 FROM ({LISTS_SQL()})""")
 def q_infer(spark: SparkSession, sf: str) -> DataFrame:
-    provider = infer.RuleProvider("rule", fail_every=FAIL_EVERY)
+    provider = RuleProvider("rule", fail_every=FAIL_EVERY)
     out = infer.infer(_lists(spark, sf), provider, batch_size=1)
     return out.select("question_ref", "rule_response", F.col("q_answered").cast("int").alias("q_answered"),
                       "model", "temperature", "max_new_tokens")

@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from evalspark import schemas
 from evalspark.operators import assign, ordinals
-from evalspark.operators.infer import RuleProvider
 from evalspark.plans import sqlfrag as S
 from evalspark.plans import standins
 from evalspark.plans.annotators import _reasons_sql
+from evalspark.plans.providers import RuleProvider
 from evalspark.plans.registry import register
 from evalspark.session import scratch_path
 from evalspark.streaming import annotations as sa

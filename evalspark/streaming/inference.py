@@ -34,7 +34,7 @@ def answer_batch(bank: DataFrame, provider: Provider, out_dir: str, batch_id: in
         todo = pending(bank, done, response=response_column(provider.name))
     lists = build_image_list(todo, distractor)
     res = infer(lists, provider, batch_size=batch_size)
-    ok = res.filter(F.col("q_answered")).drop("raw_response")
+    ok = res.filter(F.col("q_answered")).drop("raw_response", "error")
     (ok.withColumn("batch_id", F.lit(batch_id)).write.mode("append")
      .partitionBy("batch_id").parquet(out_dir))
 

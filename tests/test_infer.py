@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+
+from evalspark.plans.providers import EchoProvider, RuleProvider
 from evalspark.operators import infer
+from evalspark.operators.infer import ProviderBase
 
 
 def bank(spark):
@@ -34,17 +37,17 @@ def test_prompt_styles(spark):
 
 def test_infer_failure_isolation_and_pending(spark):
     b = infer.build_image_list(bank(spark), distractor=True)
-    out = {r["question_ref"]: r for r in infer.infer(b, infer.RuleProvider("rule", fail_every=97)).collect()}
+    out = {r["question_ref"]: r for r in infer.infer(b, RuleProvider("rule", fail_every=97)).collect()}
     assert out["q1"]["rule_response"] == "10 miles" and out["q1"]["q_answered"]
     assert out["q2"]["rule_response"] is None and not out["q2"]["q_answered"]
-    answered = infer.infer(b, infer.RuleProvider("rule", fail_every=97))
+    answered = infer.infer(b, RuleProvider("rule", fail_every=97))
     todo = infer.pending(bank(spark), answered, response="rule_response")
     assert [r["question_ref"] for r in todo.collect()] == ["q2"]
 
 
 def test_infer_batches_fail_together(spark):
     b = infer.build_image_list(bank(spark), distractor=False).coalesce(1)
-    out = infer.infer(b, infer.RuleProvider("rule", fail_every=97), batch_size=2)
+    out = infer.infer(b, RuleProvider("rule", fail_every=97), batch_size=2)
     assert all(r["rule_response"] is None for r in out.collect())
 
 
@@ -68,8 +71,8 @@ def test_length_buckets(spark):
 
 
 def test_provider_protocol():
-    assert isinstance(infer.RuleProvider(), infer.Provider)
-    p = infer.EchoProvider()
+    assert isinstance(RuleProvider(), infer.Provider)
+    p = EchoProvider()
     assert p.temperature == 0.0 and p.max_new_tokens == 2048 and repr(p) == "echo"
 
 
@@ -91,8 +94,34 @@ def test_upload_assets_and_echo_flag(spark):
 def test_pending_and_answered_partition_the_bank(spark):
     """Property: pending ∪ answered = bank, disjoint."""
     b = bank(spark)
-    answered = infer.infer(infer.build_image_list(b, False), infer.RuleProvider("rule", fail_every=97))
+    answered = infer.infer(infer.build_image_list(b, False), RuleProvider("rule", fail_every=97))
     ok = infer.drop_failed_responses(answered, "rule_response").select("question_ref")
     todo = infer.pending(b, answered, response="rule_response").select("question_ref")
     assert ok.join(todo, "question_ref").count() == 0
     assert sorted(r[0] for r in ok.union(todo).collect()) == sorted(r[0] for r in b.select("question_ref").collect())
+
+
+def test_a_call_holds_one_image_count(spark):
+    # A local class, so that workers need not import this file.
+    class CountingProvider(ProviderBase):
+        """Answers with the image counts of its call; fails on a call that mixes them."""
+
+        def respond(self, requests):
+            counts = sorted({len(r["image_lists"]) for r in requests})
+            if len(requests) > 4 or len(counts) > 1:
+                raise ValueError(f"mixed {counts}")
+            return [f"{counts[0]}/{len(requests)}" for _ in requests]
+
+    df = spark.range(500).select(
+        F.format_string("q_%03d", "id").alias("question_ref"), F.lit("t").alias("question_text"),
+        F.transform(F.sequence(F.lit(1), F.col("id") % 3 + 1), lambda i: F.lit("a.png")).alias("image_lists"))
+    b = infer.length_buckets(df, "image_lists", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        good = infer.infer(b, CountingProvider("c"), batch_size=4, batch_key="batch_key").collect()
+        mixed = infer.infer(b, CountingProvider("c"), batch_size=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(good) == 500 and all(r["error"] is None and r["q_answered"] for r in good)
+    assert sum(r["raw_response"].endswith("/4") for r in good) >= 490  # full calls but for a bucket's last
+    assert any(r["error"] and r["error"].startswith("ValueError: mixed") for r in mixed)

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from evalspark import schemas
-from evalspark.operators.infer import RuleProvider
+from evalspark.plans.providers import RuleProvider
 from evalspark.streaming import annotations as sa
 from evalspark.streaming import inference as si
 from pyspark.sql import types as T
