@@ -13,8 +13,10 @@ shuffle, so the ranking is *blocked*:
 3. a final window over ``question`` keeps the best ``k`` of the
    ``k × chunks`` survivors (bounded per question).
 
-Compute is the exact brute force (nothing is sampled or capped), but the
-shuffled volume is ``k`` rows per query per chunk instead of the pair count.
+Compute is the exact brute force (nothing is sampled or capped).  No pair rows
+exist, but each query travels to every candidate chunk of its folder and the
+reverse, so a folder of ``n`` files moves about ``2 n² / block`` input rows:
+raise ``block`` with the executors' memory for very large folders.
 Ties rank by the rounded score, then by candidate id/path, on every engine.
 """
 
@@ -123,14 +125,17 @@ def knn_context(targets: DataFrame, vectors: DataFrame, k: int = 10, block: int
 
     ``targets``: ``question_ref, target_pos, vec_id`` (the target's own id);
     ``vectors``: ``vec_id, embedding, dir``.  Targets are not excluded (D1):
-    a target ranks first among its own neighbours.  Output:
-    ``question_ref, target_pos, rank, vec_id, score``.
+    a target ranks first among its own neighbours.  Targets without a vector,
+    and questions whose first target has none (no folder), have no rows here;
+    :func:`append_contextual_by_vector` gives those questions the sentinel.
+    Output: ``question_ref, target_pos, rank, vec_id, score``.
     """
     v = vectors.select("vec_id", F.col("embedding").alias("vec"), "dir")
     first = (targets.filter(F.col("target_pos") == 1).select("question_ref", "vec_id")
              .join(v.select("vec_id", "dir"), "vec_id", "inner").select("question_ref", "dir"))
     q = (targets.join(v.select("vec_id", "vec"), "vec_id", "inner").join(first, "question_ref", "inner")
-         .select(F.concat_ws("#", "question_ref", F.col("target_pos").cast("string")).alias("qid"),
+         # The number stands first: a question's name may hold any character.
+         .select(F.concat_ws(":", F.col("target_pos").cast("string"), "question_ref").alias("qid"),
                  F.col("dir").alias("dir"), F.col("vec").alias("vec")))
     c = vectors.select(F.col("vec_id").alias("cid"), F.col("dir").alias("dir"),
                        F.col("embedding").alias("vec"))
@@ -138,8 +143,8 @@ def knn_context(targets: DataFrame, vectors: DataFrame, k: int = 10, block: int
     partial = (qb.groupBy(*keys).cogroup(cb.groupBy(*keys))
                .applyInPandas(_ip_cell(k), "qid string, cid bigint, score double"))
     top = _merge_topk(partial, k, descending=True)
-    parts = F.split("qid", "#")
-    return top.select(parts[0].alias("question_ref"), parts[1].cast("int").alias("target_pos"),
+    parts = F.split("qid", ":", 2)
+    return top.select(parts[1].alias("question_ref"), parts[0].cast("int").alias("target_pos"),
                       "rank", F.col("cid").alias("vec_id"), "score")
 
 
@@ -255,6 +260,33 @@ def asset_set(bank: DataFrame, columns: tuple[str, ...] = ("image_urls", "contex
     return bank.select(F.explode(arr).alias("path")).distinct()
 
 
+def append_contextual_by_vector(bank: DataFrame, vectors: DataFrame, k: int = 10,
+                                block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The embedding form of the contextual step: per-target neighbours (J7),
+    merged round robin (W9) into one ``contextual_urls`` list per question.
+
+    ``bank``: ``question_ref, image_urls``; ``vectors``: ``vec_id, path,
+    embedding, dir``.  A question with a target that has no vector, or with no
+    target, gets the sentinel.
+    """
+    known = vectors.filter(F.col("embedding").isNotNull())
+    chk = check_assets(bank, known)
+    lost = F.col("missing_asset") | (F.coalesce(F.size("image_urls"), F.lit(0)) <= 0)
+    flagged = (bank.drop("contextual_urls").join(chk.select("question_ref", "missing_asset"), "question_ref", "left")
+               .withColumn("missing_asset", F.coalesce(lost, F.lit(True))))
+    targets = (flagged.filter(~F.col("missing_asset"))
+               .select("question_ref", F.posexplode("image_urls").alias("pos", "path"))
+               .join(known.select("path", "vec_id"), "path")
+               .select("question_ref", (F.col("pos") + 1).alias("target_pos"), "vec_id"))
+    ranked = interleave_ranked(knn_context(targets, known, k, block), k)
+    lists = (ranked.join(known.select("vec_id", "path"), "vec_id").groupBy("question_ref")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda s: s["path"])
+                  .alias("contextual_urls")))
+    return (flagged.join(lists, "question_ref", "left")
+            .withColumn("contextual_urls", F.when(F.col("missing_asset"), F.array(F.lit(SENTINEL_MISSING)))
+                        .otherwise(F.coalesce("contextual_urls", F.array().cast("array<string>")))))
+
+
 def append_contextual(bank: DataFrame, manifest: DataFrame, k: int = 10, exclude_targets: bool = False,
                       block: int = DEFAULT_BLOCK) -> DataFrame:
     """The whole contextual step: sentinel for missing targets, else the

@@ -168,6 +168,29 @@ def q_interleave_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return context.interleave_ranked(r, k=K)
 
 
+@register("append_contextual_by_vector", "J7/W9", f"""
+WITH {KNN_SQL},
+top AS (SELECT * FROM r WHERE rank <= {K}),
+b AS (SELECT question_ref, vec_id, min((rank, target_pos)) AS best FROM top GROUP BY question_ref, vec_id),
+o AS (SELECT question_ref, vec_id, row_number() OVER (PARTITION BY question_ref ORDER BY best) AS pos FROM b)
+SELECT q.question_ref, CAST(q.miss AS INTEGER) AS missing_asset,
+       CASE WHEN q.miss THEN 'CANNOT FIND IMAGE'
+            ELSE (SELECT string_agg('v/' || vec_id, '|' ORDER BY pos) FROM o
+                  WHERE o.question_ref = q.question_ref AND pos <= {K}) END AS contextual_urls
+FROM (SELECT question_ref, bool_or(vec_id % 18 = 0) AS miss FROM t GROUP BY question_ref) q""")
+def q_append_contextual_by_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ninth question also names a target that has no vector."""
+    targets, vectors = _vec_targets(spark, sf)
+    path = F.concat(F.lit("v/"), F.col("vec_id").cast("string"))
+    lost = F.when(F.max((F.col("vec_id") % 18 == 0).cast("int")) == 1, F.array(F.lit("v/none")))
+    bank = targets.groupBy("question_ref").agg(F.concat(
+        F.transform(F.array_sort(F.collect_list(F.struct("target_pos", path.alias("path")))), lambda s: s["path"]),
+        F.coalesce(lost, F.array().cast("array<string>"))).alias("image_urls"))
+    out = context.append_contextual_by_vector(bank, vectors.withColumn("path", path), k=K)
+    return out.select("question_ref", F.col("missing_asset").cast("int").alias("missing_asset"),
+                      F.array_join("contextual_urls", "|").alias("contextual_urls"))
+
+
 def _asset_bank(spark: SparkSession, sf: str) -> DataFrame:
     t = _name_targets(spark, sf)
     p = read_table(spark, sf, "pages").select(F.format_string("q_%04d", "page_id").alias("question_ref"),

@@ -111,3 +111,17 @@ def test_check_assets_and_order_and_asset_set(spark):
     assert order[:7] == ["image1.png", "image2.png", "image3.png", "image4.png", "image5.png",
                          "image5_a2.png", "image5_m0.png"]
     assert context.asset_set(bank).count() == 4
+
+
+def test_vector_step_odd_names_and_missing_vectors(spark):
+    vecs = [(i, f"a/{i}", [float(i == j) for j in range(4)], "a") for i in range(4)] + [(9, "a/9", None, "a")]
+    vectors = spark.createDataFrame(vecs, "vec_id long, path string, embedding array<float>, dir string")
+    bank = spark.createDataFrame([("q#7:x", ["a/1", "a/2"]), ("no", ["a/0", "a/none"]), ("null", ["a/9"]),
+                                  ("empty", []), ("none", None)], "question_ref string, image_urls array<string>")
+    got = {r["question_ref"]: r["contextual_urls"]
+           for r in context.append_contextual_by_vector(bank, vectors, k=3, block=2).collect()}
+    assert got["q#7:x"][:2] == ["a/1", "a/2"] and len(got["q#7:x"]) == 3
+    assert all(got[q] == ["CANNOT FIND IMAGE"] for q in ("no", "null", "empty", "none"))
+    targets = spark.createDataFrame([("q#7:x", 7, 1), ("q#7:x", 1, 2)], "question_ref string, target_pos int, vec_id long")
+    rows = context.knn_context(targets, vectors.filter("embedding is not null"), k=1).collect()
+    assert sorted((r["question_ref"], r["target_pos"], r["vec_id"]) for r in rows) == [("q#7:x", 1, 2), ("q#7:x", 7, 1)]
