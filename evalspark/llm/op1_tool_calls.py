@@ -1,10 +1,10 @@
 """Tool-call linking for chat data.
 
 Calls and their results meet in a hash join on (conversation, call id).  Calls
-are put in topological order by peeling: a round gives the next level to the
-calls whose dependencies all have one, and touches only the edges that leave
-the last level, so a long conversation is no single task's work.  Arguments
-are parsed as variants, checked against a schema per tool, and written back as
+are put in topological order by the length of the longest chain of
+dependencies below them, found by pointer doubling (``levels``): a chain of n
+calls takes about log2(n) joins, and a long conversation is no single task's
+work.  Arguments are parsed as variants, checked against a schema per tool, and written back as
 canonical JSON (sorted keys, no white space).
 
 Only DataFrame functions are used.  The schemas are code: they become
@@ -32,6 +32,8 @@ from evalspark.llm.common import materialise, table
 
 QUERY = "op1_tool_calls"
 
+ENDLESS = 1 << 30  # the level of calls in or behind a cycle
+
 TYPES = {  # JSON type: pattern of a variant's schema
     "string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*",
     "boolean": "BOOLEAN", "array": "ARRAY<.*>", "object": "OBJECT<.*>", "null": "VOID",
@@ -72,25 +74,47 @@ def argument_errors(args: Column, name: Column, schemas: dict) -> Column:
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv, call_id, level) of every call that is not in or behind a cycle.
-    ``edges``: conv, before, after (distinct, both calls)."""
-    last = materialise(calls.join(edges.select("conv", F.col("after").alias("call_id")),
-                                  ["conv", "call_id"], "left_anti")
-                       .select("conv", "call_id", F.lit(0).alias("level")), "chat-level")
-    open_ = edges.groupBy("conv", F.col("after").alias("call_id")).agg(F.count(F.lit(1)).alias("missing"))
-    parts, n = [last], 0
-    while last.limit(1).count():
-        n += 1
-        met = (edges.join(last.select("conv", F.col("call_id").alias("before")), ["conv", "before"])
-               .groupBy("conv", F.col("after").alias("call_id")).agg(F.count(F.lit(1)).alias("met")))
-        open_ = materialise(
-            open_.join(met, ["conv", "call_id"], "left")
-            .select("conv", "call_id", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing")),
-            "chat-open")
-        last = open_.filter("missing = 0").select("conv", "call_id", F.lit(n).alias("level"))
-        open_ = open_.filter("missing > 0")
-        parts.append(last)
-    return reduce(DataFrame.unionByName, parts)
+    """(conv, call_id, level) of every call: the length of the longest chain of
+    dependencies below it, null in or behind a cycle.  ``calls``: conv, call_id,
+    issued; ``edges``: conv, before, after (distinct, both calls).
+
+    Every call follows one dependency at first, the one issued last.  Pointer
+    doubling gives the lengths of these chains in as many rounds as the longest
+    has binary digits.  A call with a dependency that is higher than the one it
+    follows then follows that one, and the doubling is repeated until there is
+    none: the lengths are then the longest.  A chain that meets no end is in or
+    behind a cycle, which counts as higher than any length.
+    """
+    largest = calls.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    issued = calls.select("conv", F.col("call_id").alias("before"), "issued")
+    up = (edges.join(issued, ["conv", "before"]).groupBy("conv", F.col("after").alias("call_id"))
+          .agg(F.max(F.struct("issued", "before"))["before"].alias("up")))
+    while True:
+        up = materialise(up, "chat-up")
+        at = materialise(calls.select("conv", "call_id").join(up, ["conv", "call_id"], "left").select(
+            "conv", "call_id", F.coalesce("up", "call_id").alias("end"),
+            F.col("up").isNotNull().cast("int").alias("far"), F.col("up").isNull().alias("done")), "chat-chains")
+        for _ in range(largest.bit_length() + 1):
+            going = at.filter(~F.col("done"))
+            if not going.limit(1).count():
+                break
+            step = at.select("conv", F.col("call_id").alias("end"), F.col("end").alias("next_end"),
+                             F.col("far").alias("more"), F.col("done").alias("ended"))
+            at = materialise(at.filter("done").unionByName(going.join(step, ["conv", "end"]).select(
+                "conv", "call_id", F.col("next_end").alias("end"), (F.col("far") + F.col("more")).alias("far"),
+                F.col("ended").alias("done"))), "chat-chains")
+        high = at.select("conv", "call_id", F.when(F.col("done"), F.col("far")).otherwise(ENDLESS).alias("level"))
+        over = high.select("conv", F.col("call_id").alias("before"), "level")
+        best = materialise(
+            edges.join(over, ["conv", "before"]).groupBy("conv", F.col("after").alias("call_id"))
+            .agg(F.max(F.struct("level", "before")).alias("best")), "chat-best")
+        better = materialise(
+            best.join(high, ["conv", "call_id"])
+            .filter(F.least(F.col("best.level") + 1, F.lit(ENDLESS)) > F.col("level"))
+            .select("conv", "call_id", F.col("best.before").alias("up")), "chat-better")
+        if not better.limit(1).count():
+            return high.withColumn("level", F.when(F.col("level") < ENDLESS, F.col("level")))
+        up = up.join(better.select("conv", "call_id"), ["conv", "call_id"], "left_anti").unionByName(better)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
@@ -104,7 +128,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     answers = (results.groupBy("conv", "call_id")
                .agg(F.min(F.struct("issued", "content")).alias("_r"), F.count(F.lit(1)).alias("n_results"))
                .select("conv", "call_id", F.col("_r.content").alias("content"), "n_results"))
-    ids = calls.select("conv", "call_id")
+    ids = calls.select("conv", "call_id", "issued")
     wanted = calls.select("conv", F.col("call_id").alias("after"),
                           F.explode(F.array_distinct("depends_on")).alias("before"))
     there = ids.select("conv", F.col("call_id").alias("before"), F.lit(True).alias("there"))

@@ -25,6 +25,31 @@ def test_levels_cycles_and_missing_dependencies(spark):
     assert got[1, "a"]["valid"] and got[1, "a"]["status"] == "unanswered"
 
 
+def test_levels_of_random_graphs_and_long_chains(spark):
+    import random
+    r = random.Random(4)
+    calls, want = [], {}
+    for conv in range(12):
+        n = 130 if conv == 0 else r.randint(1, 14)
+        deps = {}
+        for i in range(n):
+            if conv == 0:  # a chain whose shortcuts are issued after it
+                deps[i] = [i - 1] * (i > 0) + [i - 7] * (i > 9)
+            else:  # any direction, so cycles too
+                deps[i] = [j for j in range(n) if j != i and r.random() < 0.09]
+        level = {}
+        for _ in range(n + 1):
+            for i in range(n):
+                if i not in level and all(j in level for j in deps[i]):
+                    level[i] = 1 + max((level[j] for j in deps[i]), default=-1)
+        for i in range(n):
+            issued = -i if conv == 0 else i  # the last issued dependency is the wrong one to follow
+            calls.append((conv, str(i), issued, "add", '{"a": 1}', [str(j) for j in deps[i]]))
+            want[conv, str(i)] = level.get(i)
+    got = link(spark, calls, [])
+    assert {k: r["level"] for k, r in got.items()} == want
+
+
 def test_arguments_and_canonical_json(spark):
     cases = {'{"b": 1.50, "a": 2}': [], '{"a": -1}': ["a: beyond minimum"], '{"b": 1}': ["a: missing"],
              '{"a": "1"}': ["a: not integer"], '{"a": 1, "z": 0, "c": 0}': ["c: unknown", "z: unknown"],
