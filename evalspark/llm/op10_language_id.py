@@ -93,8 +93,8 @@ def _ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> tuple[np.ndarray, np
     """Least-squares weights and bias, solved in the rows (fewer than columns)."""
     mean, base = x.mean(axis=0), y.mean(axis=0)
     xc, yc = x - mean, y - base
-    dual = np.linalg.solve(xc @ xc.T + penalty * np.eye(len(x)), yc)
-    w = xc.T @ dual
+    gram = (xc @ xc.T).astype(np.float64)
+    w = xc.T @ np.linalg.solve(gram + penalty * np.eye(len(x)), yc).astype(x.dtype)
     return w, base - mean @ w
 
 
@@ -160,7 +160,7 @@ def _sample_features(docs: DataFrame, s: Settings) -> tuple[np.ndarray, list[str
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             xs.append(np.frombuffer(r["x"], dtype=np.float32))
             langs.append(r["lang"])
-    return np.array(xs, dtype=np.float64).reshape(-1, s.dims), langs
+    return np.array(xs, dtype=np.float32).reshape(-1, s.dims), langs
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
