@@ -73,3 +73,28 @@ def test_ship_package_zips_into_checkpoint_folder(spark):
     assert zips
     names = zipfile.ZipFile(os.path.join(folder, zips[0])).namelist()
     assert "evalspark/operators/infer.py" in names and "evalspark/__init__.py" in names
+
+
+@pytest.mark.parametrize("master,allowed", [("local[4]", True), ("yarn", False), ("local-cluster[2,1,1024]", False)])
+def test_checkpoint_folder_must_be_named_off_local_masters(master, allowed):
+    from types import SimpleNamespace
+    from evalspark.session import ensure_checkpoint_dir
+    conf = {"spark.master": master}
+    context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda p: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(
+        get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__))
+    if allowed:
+        assert ensure_checkpoint_dir(session) == conf["spark.checkpoint.dir"]
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(session)
+
+
+def test_a_damaged_table_is_not_an_empty_one(spark, tmp_dir):
+    import os
+    from evalspark.session import read_if_exists
+    assert read_if_exists(spark, os.path.join(tmp_dir, "none")) is None
+    with open(os.path.join(tmp_dir, "part-0.parquet"), "wb") as f:
+        f.write(b"not a parquet file")
+    with pytest.raises(Exception, match="FAILED_READ_FILE|not a Parquet|CANNOT_READ"):
+        read_if_exists(spark, tmp_dir).count()
