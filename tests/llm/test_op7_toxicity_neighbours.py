@@ -93,3 +93,21 @@ def test_odd_rows(spark, tmp_dir, setting):
     rows = op.score(docs, model).select("text", "_toxic.*").collect()
     bare = {r["score"] for r in rows if not r["text"]}
     assert bare == {model.base} and model.base < 0.7
+
+
+def test_texts_without_a_telling_term_are_searched(spark, setting):
+    path, docs, labels = setting
+    more = [(1000 + i, f"zorb{'abcdefgh'[i]}x quill{'hgfedcba'[i]}y mist{'abcdefgh'[i]}z", "en", "s", 0) for i in range(8)]
+    frame = spark.createDataFrame(docs + more, no_docs(spark).schema)
+    y = spark.createDataFrame(labels + [(i, 1, 1) for i, *_ in more], "doc_id bigint, quality int, toxic int")
+    model = op.train(frame, y)
+    rows = op.score(spark.createDataFrame(more, frame.schema), model).select("doc_id", "_toxic.*").collect()
+    for r in rows:  # a copy of a labelled toxic text finds it and is rejected
+        assert r["evidence"][0]["doc_id"] == r["doc_id"] and r["evidence"][0]["similarity"] > 0.999
+        assert r["predicted"] == 1
+    # Exact cosine over all words, against a dense computation.
+    n, cosine = model.index.nearest(model.index.vector(docs[1][1]))
+    words = lambda x: op.Counter(op._WORD.findall(x.lower()))
+    df = op.Counter(w for d in docs + more for w in words(d[1]))
+    assert set(model.index.terms.tolist()) >= {op.word_terms(w, frozenset(), model.settings)[0] for w in df}
+    assert docs[1][0] == model.index.ids[n[0]] and len(n) == model.settings.neighbours
