@@ -122,3 +122,20 @@ def test_odd_rows(spark):
     got = op.near_duplicates(docs, carry=("source",)).collect()
     assert sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in got), key=str) == brute_classes(rows)
     assert op.near_duplicates(no_docs(spark)).collect() == []
+
+
+def test_pairs_in_a_shared_template(spark):
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(9000)]
+    draw = lambda n: [r.choice(vocab) for _ in range(n)]
+    template, docs = draw(75), []
+    for _ in range(150):  # 100 words, 75 of them in all texts; four changed in the copy
+        w = template + draw(25)
+        v = list(w)
+        for i in r.sample(range(100), 4):
+            v[i] = r.choice(vocab)
+        docs += [" ".join(w), " ".join(v)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(5)
+    at = {x["doc_id"]: x["class_id"] for x in op.near_duplicates(df).collect()}
+    found = sum(at[2 * i] == at[2 * i + 1] for i in range(150))
+    assert found >= 149
