@@ -139,3 +139,15 @@ def test_pairs_in_a_shared_template(spark):
     at = {x["doc_id"]: x["class_id"] for x in op.near_duplicates(df).collect()}
     found = sum(at[2 * i] == at[2 * i + 1] for i in range(150))
     assert found >= 149
+
+
+def test_chains_of_texts_are_one_class(spark):
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(9000)]
+    docs = []
+    for _ in range(60):  # 100 ~ 98 ~ 79 words, 100 and 79 too far apart
+        w = [r.choice(vocab) for _ in range(100)]
+        docs += [" ".join(w[:n]) for n in (100, 98, 79)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(5)
+    got = op.near_duplicates(df).collect()
+    assert sorted(((x["doc_id"], x["class_id"], x["class_size"]) for x in got), key=str) == brute_classes(list(enumerate(docs)))
