@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ("op1_tool_calls", "op2_warc_chunks", "op3_source_mix", "op4_token_counts",
            "op5_order_fingerprint", "op6_length_packing", "op7_toxicity_neighbours",
-           "op8_stream_dedup", "op9_order_near_dups", "op10_language_id", "op11_prefix_trie",
+           "op8_stream_dedup", "op9_order_near_dups", "op10_language_id", "op11_prefix_trie", "op12_pii_spans",
            "op13_collocations")
 
 
