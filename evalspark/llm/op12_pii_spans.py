@@ -18,7 +18,7 @@ neither.  The model takes such runs apart.
   sum over all of them for the fit.
 * The model is fitted on islands of a bounded sample of texts
   (``SAMPLE_DOCS``), whose base spans are the labels; islands in which a pattern
-  ran past its largest number of digits are left out there.  Equal examples
+  ran past its largest number of digits, or two kinds overlap, are left out there.  Equal examples
   count once with their number, and the ``EXAMPLES`` most frequent are used.
 
 Base spans always stay, and no added span overlaps one.  Offsets are code
@@ -307,7 +307,9 @@ def labelled(text: str) -> Iterator[str]:
         lo, hi = min(c[3] for c in candidates), max(c[4] for c in candidates)
         if any(a < hi and lo < b for _, a, b in over):
             continue
-        gold = [(i, j, k) for i, j, k, a, b, _ in candidates if (k, a, b) in spans]
+        gold = sorted((i, j, k) for i, j, k, a, b, _ in candidates if (k, a, b) in spans)
+        if any(x[1] > y[0] for x, y in zip(gold, gold[1:])):
+            continue
         yield json.dumps([n, [(i, j, k, f) for i, j, k, _, _, f in candidates], gold])
 
 

@@ -154,6 +154,13 @@ def test_neighbours_that_a_pattern_runs_together_are_taken_apart(spark, tmp_dir)
     assert [(k, spelt[x:y]) for k, x, y in pii.find(spelt, weights, pairs)[1]] == [("email", "jo.doe (at) mail.example.com")]
 
 
+def test_ambiguous_islands_teach_nothing():
+    both = "+4111 1111 1111 1111"[:19]
+    for text in ("+4111 1111 1111 11", both, "x +41111111111111 y", "4111111111111111 4111111111111111"):
+        examples = list(pii.labelled(text))
+        pii.fit([(e, 1) for e in examples], rounds=2)  # no overlapping labels reach the fit
+
+
 def check_rows(docs, got):
     """Every row's base columns by the patterns; added spans valid and apart from them."""
     texts = sorted((str(r["doc_id"]), r["text"] or "") for r in docs.collect())
