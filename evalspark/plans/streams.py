@@ -9,8 +9,6 @@ oracle recomputes in SQL.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,9 +58,9 @@ UNION ALL SELECT event_id, 'rejected', 'duplicate' FROM ok WHERE rn > 1
 UNION ALL SELECT event_id, 'rejected', array_to_string(r, ',') FROM v WHERE len(r) > 0""")
 def q_ingest_annotations(spark: SparkSession, sf: str) -> DataFrame:
     out = _ingested(spark, sf)
-    acc = spark.read.parquet(os.path.join(out, "accepted")).select(
+    acc = sa.read_accepted(spark, out).select(
         "event_id", F.lit("accepted").alias("status"), F.lit("").alias("reasons"))
-    rej = spark.read.parquet(os.path.join(out, "quarantine")).select(
+    rej = sa.read_quarantine(spark, out).select(
         "event_id", F.lit("rejected").alias("status"), F.array_join("reasons", ",").alias("reasons"))
     return acc.unionByName(rej)
 
@@ -72,8 +70,7 @@ WITH {_valid_sql()}
 SELECT event_id, {S.ustrip('"user"')} AS "user", {S.ustrip('question_ref')} AS question_ref FROM ok WHERE rn = 1""")
 def q_first_write_wins(spark: SparkSession, sf: str) -> DataFrame:
     """The row that won each key, by arrival order."""
-    return (spark.read.parquet(os.path.join(_ingested(spark, sf), "accepted"))
-            .select("event_id", "user", "question_ref"))
+    return sa.read_accepted(spark, _ingested(spark, sf)).select("event_id", "user", "question_ref")
 
 
 @register("first_write_wins_bounded", "R2", lambda: f"""
@@ -99,7 +96,7 @@ WITH {_valid_sql()}
 SELECT DISTINCT trim("user") AS user_id, trim("user") AS name FROM v WHERE len(r) = 0""")
 def q_upsert_users(spark: SparkSession, sf: str) -> DataFrame:
     out = _ingested(spark, sf)
-    return spark.read.parquet(os.path.join(out, "users")).select("user_id", "name")
+    return sa.read_users(spark, out)
 
 
 def _progress_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,9 +124,9 @@ JOIN p ON x.user_id = p.user_id AND x.question_ref = p.question_ref GROUP BY p.u
 def q_progress(spark: SparkSession, sf: str) -> DataFrame:
     pages = _progress_pages(spark, sf)
     src = _feed(spark, sf)
-    out = scratch_path(spark, "progress_out")
-    sa.run_progress(spark, src, pages, SUBMISSION_WITH_ID, scratch_path(spark, "progress_ckpt"), out)
-    return sa.read_progress(spark, out).select("user_id", "last_idx")
+    checkpoint = scratch_path(spark, "progress_ckpt")
+    sa.run_progress(spark, src, pages, SUBMISSION_WITH_ID, checkpoint)
+    return sa.read_progress(spark, checkpoint).select("user_id", "last_idx")
 
 
 @register("resumable_inference", "R5", lambda: f"""

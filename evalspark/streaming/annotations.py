@@ -3,17 +3,22 @@
 Form posts land as JSON files; a file-source stream validates every
 micro-batch (P10), keeps the *first* valid write per ``(user, question_ref)``
 forever (the store's unique constraint, D19), quarantines everything else
-with a reason, and creates users on first sight (R3).
-
-Exactly-once: each micro-batch writes its output into its own
-``batch_id=<n>`` partition with dynamic partition overwrite, so a replayed
-batch (after a crash between write and checkpoint commit) replaces its own
-output instead of duplicating it, and the anti-join against earlier writes
-reads only partitions ``< batch_id``.  Accepted keys and users are laid out in
-``KEY_BUCKETS`` buckets of their hash, and a batch reads only the buckets that
-its own keys fall in, so a trigger's cost follows the batch rather than the
-stream's history; :func:`first_write_wins_bounded` is the constant-state
-alternative (watermark + ``dropDuplicatesWithinWatermark``).
+with a reason, and creates users on first sight (R3).  Three streams follow
+each other, each with its own checkpoint:
+
+1. posts -> ``staged``: validated posts, numbered within their micro-batch;
+2. ``staged`` -> ``posts``: keyed streaming state (RocksDB, no expiry) holds the
+   winner of every key as ``min(struct(batch, order, content, number))``.  The
+   least struct is found before the shuffle too, so a key flooded with posts is
+   one row per task.  A post is accepted if it is its key's winner;
+3. ``seen_users`` -> ``users``: users of the accepted posts, told apart by the
+   same kind of state.
+
+A run reads its own files and the state of its own keys, and none of the
+tables written before.  A replayed micro-batch writes the same folders again
+(dynamic partition overwrite), so nothing is stored twice.
+:func:`first_write_wins_bounded` is the alternative whose state is bounded
+(watermark + ``dropDuplicatesWithinWatermark``).
 """
 
 from __future__ import annotations
@@ -25,91 +30,88 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.operators.annotations import validate_annotation
-from evalspark.session import read_if_exists
+from evalspark.session import read_if_exists, rocksdb_state
 
 KEY = ["user", "question_ref"]
-KEY_BUCKETS = 16
-BUCKET = "key_bucket"
+ACCEPTED, REJECTED = "accepted", "rejected"
+NUMBER, CONTENT, MARK = "_number", "_content", "_mark"
 
 
-def key_bucket(cols: list[str], buckets: int = KEY_BUCKETS):
-    return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
+def _write_batch(df: DataFrame, path: str, batch_id: int | None = None, by: tuple[str, ...] = ()) -> None:
+    if batch_id is not None:
+        df = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*by, "batch_id").parquet(path))
 
 
-def prior_keys(spark: SparkSession, path: str, batch_id: int, cols: list[str],
-               touched: list[int]) -> DataFrame | None:
-    """Keys that earlier batches stored in the touched buckets (partition pruning)."""
-    df = read_if_exists(spark, path)
-    if df is None:
-        return None
-    return df.filter((F.col("batch_id") < batch_id) & F.col(BUCKET).isin(touched)).select(*cols)
+def stage_batch(posts: DataFrame, batch_id: int, out_dir: str) -> None:
+    """Validate one micro-batch of posts, number them and write them down.
+
+    One more row says that the batch is there, so that the next stream knows
+    which batches it was given even if no post of a batch is valid.
+    """
+    v = (validate_annotation(posts).withColumn(CONTENT, F.xxhash64(*posts.columns))
+         .withColumn(NUMBER, F.monotonically_increasing_id()).withColumn(MARK, F.lit(None).cast("bigint")))
+    mark = v.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias(MARK))
+    _write_batch(v.unionByName(mark, allowMissingColumns=True), os.path.join(out_dir, "staged"), batch_id)
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int, bucket_by: list[str] | None = None) -> None:
-    parts = ["batch_id"]
-    if bucket_by:
-        # One writer per bucket: few files, and a replay writes the same folders.
-        df = df.withColumn(BUCKET, key_bucket(bucket_by)).repartition(BUCKET)
-        parts.append(BUCKET)
-    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+def winners(staged: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """R2: the first valid post of every key: by batch, then ``order`` (nulls
+    first), then content; on a stream, of all batches so far."""
+    valid = staged.filter(F.col("accepted") | F.col(MARK).isNotNull())
+    return valid.groupBy(*KEY, MARK).agg(F.min(F.struct("batch_id", *order, CONTENT, NUMBER)).alias("first"))
 
 
-def _touched(df: DataFrame, cols: list[str]) -> list[int]:
-    """Buckets that hold a key of ``df``: at most KEY_BUCKETS numbers."""
-    return [r[0] for r in df.select(key_bucket(cols)).distinct().collect()]
+def classify_batches(found: DataFrame, run: int, out_dir: str) -> None:
+    """Write the posts of the batches that ``found`` marks, by their status.
+
+    ``found``: winners of the keys in these batches, whenever they won.
+    """
+    spark = found.sparkSession
+    path = os.path.join(out_dir, "winners", f"run={run}")
+    found.select(*KEY, MARK, F.col("first.batch_id").alias("batch_id"), F.col(f"first.{NUMBER}").alias(NUMBER)) \
+        .write.mode("overwrite").parquet(path)
+    won = spark.read.parquet(path)
+    batches = [r[0] for r in won.filter(F.col(MARK).isNotNull()).select(MARK).collect()]
+    won = won.filter(F.col(MARK).isNull() & F.col("batch_id").isin(batches))
+    here = spark.read.parquet(os.path.join(out_dir, "staged")).filter(F.col("batch_id").isin(batches))
+    first = won.select("batch_id", NUMBER, F.lit(True).alias("_first"))
+    posts = (here.filter(F.col(MARK).isNull()).join(first, ["batch_id", NUMBER], "left")
+             .withColumn("status", F.when(F.col("_first"), ACCEPTED).otherwise(REJECTED))
+             .withColumn("reasons", F.when(F.col("accepted") & F.col("_first").isNull(), F.array(F.lit("duplicate")))
+                         .otherwise(F.col("reasons")))
+             .drop("_first", "accepted", CONTENT, NUMBER, MARK))
+    _write_batch(posts, os.path.join(out_dir, "posts"), by=("status",))
+    _write_batch(won.select(F.col("user").alias("user_id"), "batch_id").distinct(), os.path.join(out_dir, "seen_users"))
 
 
 def process_batch(batch: DataFrame, batch_id: int, out_dir: str,
                   order: tuple[str, ...] = ("timestamp",)) -> None:
-    """One micro-batch of R1+R2+R3 (also usable on a static DataFrame)."""
-    # Ties fall by content, so a replay picks the same winner; rows that tie
-    # there too are equal.
-    v = (validate_annotation(batch).withColumn("_hash", F.xxhash64(*batch.columns))
-         .withColumn("_row", F.struct("_hash", F.monotonically_increasing_id().alias("_id"))).drop("_hash").cache())
-    try:
-        _store_batch(batch, v, batch_id, out_dir, order)
-    finally:
-        v.unpersist()
-
-
-def _store_batch(batch: DataFrame, v: DataFrame, batch_id: int, out_dir: str, order: tuple[str, ...]) -> None:
-    spark = batch.sparkSession
-    accepted_path = os.path.join(out_dir, "accepted")
-    quarantine_path = os.path.join(out_dir, "quarantine")
-    users_path = os.path.join(out_dir, "users")
-    valid = v.filter(F.col("accepted"))
-    # First valid write per key inside the batch: ``min(struct(order, row))``
-    # is combined map-side, so even a flood of posts for one key never lands
-    # in one task's sort; the winner is joined back (AQE splits a hot key).
-    best = valid.groupBy(*KEY).agg(F.min(F.struct(*[F.col(c) for c in order], F.col("_row"))).alias("_b"))
-    marked = (valid.join(best.select(*KEY, F.col("_b._row").alias("_win")), KEY, "inner")
-              .withColumn("_rn", F.when(F.col("_row") == F.col("_win"), F.lit(1)).otherwise(F.lit(2)))
-              .drop("_win"))
-    ranked = marked
-    first = ranked.filter(F.col("_rn") == 1).drop("_rn")
-    prior = prior_keys(spark, accepted_path, batch_id, KEY, _touched(first, KEY))
-    if prior is not None:
-        # Semi-join reduction: only earlier keys that occur in this batch.
-        batch_keys = first.select(*KEY).distinct()
-        clash = prior.join(batch_keys, KEY, "left_semi").distinct()
-        new = first.join(clash, KEY, "left_anti")
-        dup_prior = first.join(clash, KEY, "left_semi")
-    else:
-        new, dup_prior = first, first.limit(0)
-    dups = ranked.filter(F.col("_rn") > 1).drop("_rn").unionByName(dup_prior)
-    rejected = v.filter(~F.col("accepted")).select(*batch.columns, "reasons")
-    quarantine = rejected.unionByName(dups.select(*batch.columns, F.array(F.lit("duplicate")).alias("reasons")))
-    cols = [c for c in batch.columns]
-    _write_batch(new.select(*cols), accepted_path, batch_id, KEY)
-    _write_batch(quarantine, quarantine_path, batch_id)
-
-    # Users on first sight, name defaults to the id
-    seen = valid.select(F.col("user").alias("user_id")).distinct()
-    prior_users = prior_keys(spark, users_path, batch_id, ["user_id"], _touched(seen, ["user_id"]))
-    if prior_users is not None:
-        seen = seen.join(prior_users, "user_id", "left_anti")
-    _write_batch(seen.withColumn("name", F.col("user_id")), users_path, batch_id, ["user_id"])
+    """R1–R3 for posts that are all there: one static batch without earlier posts."""
+    stage_batch(batch, batch_id, out_dir)
+    staged = batch.sparkSession.read.parquet(os.path.join(out_dir, "staged")).filter(F.col("batch_id") == batch_id)
+    classify_batches(winners(staged, order), batch_id, out_dir)
+    upsert_users(batch.sparkSession, out_dir, os.path.join(out_dir, f"users_checkpoint_{batch_id}"))
+
+
+def _run(stream: DataFrame, sink, checkpoint: str, mode: str = "append"):
+    q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def upsert_users(spark: SparkSession, out_dir: str, checkpoint: str) -> None:
+    """Users on first sight, named by their id; the state holds every user once."""
+    path = os.path.join(out_dir, "seen_users")
+    seen = read_if_exists(spark, path)
+    if seen is None:
+        return
+    with rocksdb_state(spark):
+        users = (spark.readStream.schema(seen.schema).parquet(path).select("user_id")
+                 .dropDuplicates(["user_id"]).withColumn("name", F.col("user_id")))
+        _run(users, lambda df, run: _write_batch(df, os.path.join(out_dir, "users"), run), checkpoint)
 
 
 def ingest_annotations(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
@@ -117,18 +119,40 @@ def ingest_annotations(spark: SparkSession, source_dir: str, out_dir: str, check
                        order: tuple[str, ...] = ("timestamp",)):
     """File-source stream -> validated, de-duplicated tables; ``availableNow``.
 
-    Returns the (finished) streaming query.
+    ``checkpoint`` holds the state, so it belongs to ``out_dir`` for good.
+    Returns the (finished) query that decides about the posts.
     """
     reader = spark.readStream.schema(schema).option("multiLine", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.json(source_dir)
-    q = (stream.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, out_dir, order))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(reader.json(source_dir), lambda df, bid: stage_batch(df, bid, out_dir), os.path.join(checkpoint, "staged"))
+    path = os.path.join(out_dir, "staged")
+    staged = read_if_exists(spark, path)
+    if staged is None:
+        return None
+    with rocksdb_state(spark):
+        # Without a limit on files a run takes whole batches.
+        q = _run(winners(spark.readStream.schema(staged.schema).parquet(path), order),
+                 lambda df, run: classify_batches(df, run, out_dir), os.path.join(checkpoint, "posts"), "update")
+    upsert_users(spark, out_dir, os.path.join(checkpoint, "users"))
     return q
 
 
+def read_accepted(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The winning post of every key."""
+    return (spark.read.parquet(os.path.join(out_dir, "posts")).filter(F.col("status") == ACCEPTED)
+            .drop("status", "reasons"))
+
+
+def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
+    """All other posts, with their reasons."""
+    return spark.read.parquet(os.path.join(out_dir, "posts")).filter(F.col("status") == REJECTED).drop("status")
+
+
+def read_users(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(out_dir, "users")).select("user_id", "name")
+
+
 def first_write_wins_bounded(stream: DataFrame, delay: str = "30 days",
                              event_time: str = "timestamp") -> DataFrame:
     """R2, constant-state variant: duplicates within ``delay`` of the first
@@ -149,26 +173,28 @@ def progress(answered: DataFrame, pages: DataFrame) -> DataFrame:
             .groupBy("user_id").agg(F.max("page_idx").alias("last_idx")))
 
 
-def run_progress(spark: SparkSession, source_dir: str, pages: DataFrame, schema: T.StructType,
-                 checkpoint: str, out_path: str) -> None:
-    """R4 as a stream: accepted-answer files -> per-user progress table.
+def run_progress(spark: SparkSession, source_dir: str, pages: DataFrame, schema: T.StructType, checkpoint: str):
+    """R4 as a stream: accepted-answer files -> each user's last answered page.
 
-    ``update`` mode: each micro-batch emits only the users whose maximum
-    changed, written into that batch's own partition (idempotent on replay);
-    :func:`read_progress` takes the latest maximum per user.  No trigger ever
-    rewrites the whole state table.
+    The table is the query's own state, one row per user, which
+    :func:`read_progress` reads; no trigger writes any output.
     """
     answered = spark.readStream.schema(schema).json(source_dir)
     agg = progress(validate_annotation(answered).filter(F.col("accepted")), pages)
-
-    def sink(df: DataFrame, bid: int) -> None:
-        _write_batch(df, out_path, bid)
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocksdb_state(spark):
+        q = (agg.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    return q
 
 
-def read_progress(spark: SparkSession, out_path: str) -> DataFrame:
-    """Current progress: the largest recorded index per user across batches."""
-    return spark.read.parquet(out_path).groupBy("user_id").agg(F.max("last_idx").alias("last_idx"))
+def read_progress(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Current progress (``user_id``, ``last_idx``) as of the last committed
+    batch, from the state of :func:`run_progress`; no batch yet: no rows."""
+    try:
+        state = spark.read.format("statestore").load(checkpoint)
+    except Exception as e:  # noqa: BLE001 - looked at below
+        if "STDS_" not in str(e) or "BATCH" not in str(e):
+            raise
+        return spark.createDataFrame([], "user_id string, last_idx bigint")
+    return state.select("key.user_id", F.col("value.max").cast("bigint").alias("last_idx"))
