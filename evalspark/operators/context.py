@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.assets import SENTINEL_MISSING, parse_asset, split_path
-from evalspark.operators.ordinals import group_ordinal
-from evalspark.session import ship_package
+from evalspark.operators.ordinals import global_ordinal, group_ordinal
+from evalspark.session import cut_lineage, ship_package
 
 DEFAULT_BLOCK = 4096
-IP_DECIMALS = 9
-DIST_DECIMALS = 6
+UNIT = 100.0  # a step of the image number, in hundredths of distance
 
 
 # ------------------------------------------------------------ the blocking
@@ -75,9 +74,13 @@ def _empty(cid_dtype) -> pd.DataFrame:
                          "score": pd.Series([], dtype="float64")})
 
 
-def _topk_rows(qids: np.ndarray, scores: np.ndarray, cids: np.ndarray, k: int, descending: bool) -> pd.DataFrame:
+def _topk_rows(qids: np.ndarray, scores: np.ndarray, cids: np.ndarray, k: int, descending: bool,
+               slack: float = 0.0, rescore=None) -> pd.DataFrame:
     """Top-k per row of a dense (n_q × n_c) score matrix; ties by candidate id.
 
+    ``rescore(rows, columns)`` gives the scores of single pairs where those of
+    the matrix may be off by up to ``slack``.
+
     Vectorised: a per-row ``np.partition`` threshold keeps the k best (plus
     ties at the threshold), then one ``lexsort`` over the survivors orders
     them by (row, score, candidate id) and the first k per row are kept.
@@ -89,9 +92,13 @@ def _topk_rows(qids: np.ndarray, scores: np.ndarray, cids: np.ndarray, k: int, d
     key = np.where(np.isfinite(key), key, np.inf)
     kk = min(k, key.shape[1])
     thr = np.partition(key, kk - 1, axis=1)[:, kk - 1]
-    rows, cols = np.nonzero((key <= thr[:, None]) & np.isfinite(key))
+    rows, cols = np.nonzero((key <= thr[:, None] + 2 * slack) & np.isfinite(key))
     if rows.size == 0:
         return pd.DataFrame({"qid": [], "cid": [], "score": []})
+    if rescore is not None:
+        sc = sc.copy()
+        sc[rows, cols] = rescore(rows, order_cid[cols])
+        key[rows, cols] = -sc[rows, cols] if descending else sc[rows, cols]
     vals = key[rows, cols]
     o = np.lexsort((cols, vals, rows))
     rows, cols = rows[o], cols[o]
@@ -103,33 +110,37 @@ def _topk_rows(qids: np.ndarray, scores: np.ndarray, cids: np.ndarray, k: int, d
 
 
 # ---------------------------------------------------------- J7: by vectors
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
 def _ip_cell(k: int):
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return _empty("int64")
-        cv = np.stack(c["vec"].to_numpy()).astype(np.float64)
+        cv = _matrix(c["vec"])
         cids = c["cid"].to_numpy()
+        longest = float(np.sqrt((cv * cv).sum(axis=1).max()))
         parts = []
         for s0 in range(0, len(q), SUB_CHUNK):
             qq = q.iloc[s0:s0 + SUB_CHUNK]
-            qv = np.stack(qq["vec"].to_numpy()).astype(np.float64)
-            scores = np.round(qv @ cv.T, IP_DECIMALS)
-            parts.append(_topk_rows(qq["qid"].to_numpy(object), scores, cids, k, True))
+            qv = _matrix(qq["vec"])
+            # A matrix product may sum equal vectors in different orders; single pairs never are.
+            slack = 1e-12 * longest * float(np.sqrt((qv * qv).sum(axis=1).max()))
+            parts.append(_topk_rows(qq["qid"].to_numpy(object), qv @ cv.T, cids, k, True, slack,
+                                    lambda r, c_, qv=qv: (qv[r] * cv[c_]).sum(axis=1)))
         return pd.concat(parts, ignore_index=True).astype({"cid": "int64"})
     return fn
 
 
-def knn_context(targets: DataFrame, vectors: DataFrame, k: int = 10, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Per target image, the ``k`` nearest vectors by inner product in
-    the question's folder (the first target's folder, D5).
+def _ip_cells(q: DataFrame, c: DataFrame, group: str, k: int, block: int) -> DataFrame:
+    qb, cb, keys = _blocked(q, c, group, block)
+    return (qb.groupBy(*keys).cogroup(cb.groupBy(*keys))
+            .applyInPandas(_ip_cell(k), "qid string, cid bigint, score double"))
 
-    ``targets``: ``question_ref, target_pos, vec_id`` (the target's own id);
-    ``vectors``: ``vec_id, embedding, dir``.  Targets are not excluded (D1):
-    a target ranks first among its own neighbours.  Targets without a vector,
-    and questions whose first target has none (no folder), have no rows here;
-    :func:`append_contextual_by_vector` gives those questions the sentinel.
-    Output: ``question_ref, target_pos, rank, vec_id, score``.
-    """
+
+def _vector_sides(targets: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries ``qid, dir, vec``, candidates ``cid, dir, vec``)."""
     v = vectors.select("vec_id", F.col("embedding").alias("vec"), "dir")
     first = (targets.filter(F.col("target_pos") == 1).select("question_ref", "vec_id")
              .join(v.select("vec_id", "dir"), "vec_id", "inner").select("question_ref", "dir"))
@@ -137,17 +148,179 @@ def knn_context(targets: DataFrame, vectors: DataFrame, k: int = 10, block: int
          # The number stands first: a question's name may hold any character.
          .select(F.concat_ws(":", F.col("target_pos").cast("string"), "question_ref").alias("qid"),
                  F.col("dir").alias("dir"), F.col("vec").alias("vec")))
-    c = vectors.select(F.col("vec_id").alias("cid"), F.col("dir").alias("dir"),
-                       F.col("embedding").alias("vec"))
-    qb, cb, keys = _blocked(q, c, "dir", block)
-    partial = (qb.groupBy(*keys).cogroup(cb.groupBy(*keys))
-               .applyInPandas(_ip_cell(k), "qid string, cid bigint, score double"))
-    top = _merge_topk(partial, k, descending=True)
+    return q, vectors.select(F.col("vec_id").alias("cid"), F.col("dir").alias("dir"), F.col("embedding").alias("vec"))
+
+
+def _ranked_vectors(top: DataFrame) -> DataFrame:
     parts = F.split("qid", ":", 2)
     return top.select(parts[1].alias("question_ref"), parts[0].cast("int").alias("target_pos"),
                       "rank", F.col("cid").alias("vec_id"), "score")
 
 
+def knn_context(targets: DataFrame, vectors: DataFrame, k: int = 10, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Per target image, the ``k`` nearest vectors by inner product in
+    the question's folder (the first target's folder, D5).
+
+    ``targets``: ``question_ref, target_pos, vec_id`` (the target's own id);
+    ``vectors``: ``vec_id, embedding, dir``.  Targets are not excluded (D1):
+    a target ranks first among its own neighbours.  Targets without a vector,
+    and questions whose first target has none (no folder), have no rows here;
+    :func:`append_contextual_by_vector` gives those questions the sentinel.
+    Output: ``question_ref, target_pos, rank, vec_id, score``.
+
+    Folders of more than ``block`` vectors are cut in cells around sampled
+    vectors.  A cell's centre and radius bound every inner product in it, so a
+    target meets its cells in order of that bound, twice as many each round,
+    and stops once the next bound is below its k-th best.  Exact; how much is
+    skipped depends on how far the vectors cluster.
+    """
+    q, c = _vector_sides(targets, vectors)
+    largest = c.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= block:
+        return _ranked_vectors(_merge_topk(_ip_cells(q, c, "dir", k, block), k, descending=True))
+    return _ranked_vectors(search_cells(q, c, k, block)[0])
+
+
+MOST_CELLS = 256  # cells of a folder
+
+
+def _assign(c: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """Each vector's nearest centre and its distance."""
+    if c.empty:
+        return pd.DataFrame({n: pd.Series([], dtype=object) for n in ("cid", "dir", "vec", "cell", "away")})
+    x, m = _matrix(c["vec"]), _matrix(centres.sort_values("cell")["vec"])
+    near = ((m * m).sum(axis=1)[None, :] - 2 * (x @ m.T)).argmin(axis=1)
+    gap = x - m[near]
+    return pd.DataFrame({"cid": c["cid"], "dir": c["dir"], "vec": c["vec"], "cell": near,
+                         "away": np.sqrt((gap * gap).sum(axis=1))})
+
+
+def _bounds(q: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    """Each query's cells, by falling upper bound of the inner product."""
+    if q.empty or cells.empty:
+        return pd.DataFrame({n: pd.Series([], dtype=object) for n in ("qid", "dir", "vec", "cells", "bounds")})
+    cells = cells.sort_values("cell")
+    m, r = _matrix(cells["vec"]), cells["radius"].to_numpy(np.float64)
+    x = _matrix(q["vec"])
+    size = np.sqrt((x * x).sum(axis=1))[:, None]
+    bound = x @ m.T + size * r[None, :]
+    bound += 1e-9 * (np.abs(bound) + size * r[None, :]) + 1e-12  # rounding must not lower it
+    order = np.argsort(-bound, axis=1, kind="stable")
+    return pd.DataFrame({"qid": q["qid"], "dir": q["dir"], "vec": q["vec"],
+                         "cells": list(cells["cell"].to_numpy()[order]),
+                         "bounds": list(np.take_along_axis(bound, order, axis=1))})
+
+
+def vector_cells(q: DataFrame, c: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates with their ``cell``, queries with ``cells`` and ``bounds``).
+
+    Equal vectors of a folder tie by id, so the first ``k`` of them suffice.
+    """
+    ship_package(q.sparkSession)
+    same = Window.partitionBy("dir", "vec").orderBy("cid")
+    c = cut_lineage(c.withColumn("_same", F.row_number().over(same)).filter(F.col("_same") <= k).drop("_same"))
+    sizes = c.groupBy("dir").agg(F.count(F.lit(1)).alias("_n"))
+    picked = Window.partitionBy("dir").orderBy(F.xxhash64("cid"), "cid")
+    centres = (c.withColumn("cell", F.row_number().over(picked) - 1).filter(F.col("cell") < MOST_CELLS).join(sizes, "dir")
+               .filter(F.col("cell") < F.ceil(F.col("_n") / block))
+               # new names: the vectors themselves are on the other side below
+               .select(F.col("dir").alias("dir"), "cell", F.col("vec").alias("vec")))
+    vec = dict(c.dtypes)["vec"]
+    spread = lambda df, key: (df.join(sizes, "dir")
+                              .withColumn("_part", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / block))).drop("_n"))
+    copied = lambda df: (df.join(sizes, "dir").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_n") / block) - 1))).drop("_n"))
+    by = ["dir", "_part"]
+    placed = cut_lineage(spread(c, "cid").groupBy(*by).cogroup(copied(centres).groupBy(*by))
+                         .applyInPandas(_assign, f"cid bigint, dir string, vec {vec}, cell int, away double"))
+    radii = placed.groupBy("dir", "cell").agg(F.max("away").alias("radius"))
+    cells = cut_lineage(centres.join(radii, ["dir", "cell"]))
+    asked = cut_lineage(spread(q, "qid").groupBy(*by).cogroup(copied(cells).groupBy(*by)).applyInPandas(
+        _bounds, f"qid string, dir string, vec {vec}, cells array<int>, bounds array<double>"))
+    return placed, asked
+
+
+def search_cells(q: DataFrame, c: DataFrame, k: int, block: int) -> tuple[DataFrame, list[int]]:
+    """The top ``k`` per query and, per round, how many (query, cell) pairs were searched."""
+    placed, left = vector_cells(q, c, k, block)
+    group = lambda cell: F.concat_ws("/", cell.cast("string"), F.col("dir"))
+    placed = placed.select("cid", "vec", group(F.col("cell")).alias("_grp"))
+    best, done, take, visits = None, 0, 2, []
+    while True:
+        here = cut_lineage(left.select("qid", "vec", "dir", F.explode(F.slice("cells", done + 1, take)).alias("_cell"))
+                           .select("qid", "vec", group(F.col("_cell")).alias("_grp")))
+        visits.append(here.count())
+        found = _ip_cells(here, placed, "_grp", k, block)
+        every = found if best is None else found.unionByName(best.drop("rank"))
+        best = cut_lineage(_merge_topk(every, k, descending=True))
+        done, take = done + take, 2 * take
+        kth = best.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
+        after = F.try_element_at("bounds", F.lit(done + 1))
+        left = cut_lineage(left.join(kth, "qid", "left")
+                           .filter(after.isNotNull() & ((F.coalesce("_n", F.lit(0)) < k) | (after >= F.col("_kth"))))
+                           .drop("_n", "_kth"))
+        if left.isEmpty():
+            return best, visits
+
+
+def _signs(planes: np.ndarray, probes: bool):
+    """Bucket numbers of vectors, one per table; with ``probes`` also those that differ in one bit."""
+    tables, bits, _ = planes.shape
+
+    def fn(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x = _matrix(b["vec"])
+            use = b["_bits"].to_numpy(np.int64)
+            live = np.arange(bits)[None, :] < use[:, None]
+            out = []
+            for t in range(tables):
+                on = (x @ planes[t].T > 0) & live
+                key = (on << np.arange(bits)).sum(axis=1)
+                flips = range(-1, bits) if probes else (-1,)
+                for f in flips:
+                    rows = np.flatnonzero(live[:, f]) if f >= 0 else np.arange(len(b))
+                    part = b.iloc[rows].drop(columns="_bits")
+                    part["_grp"] = [f"{t}/{v}/{d}" for v, d in zip(key[rows] ^ (1 << f if f >= 0 else 0), part["dir"])]
+                    out.append(part.drop(columns="dir"))
+            yield pd.concat(out, ignore_index=True)
+    return fn
+
+
+def knn_context_approximate(targets: DataFrame, vectors: DataFrame, k: int = 10, block: int = DEFAULT_BLOCK,
+                            tables: int = 8, seed: int = 1) -> DataFrame:
+    """J7 by locality-sensitive buckets, for callers that accept missed neighbours.
+
+    Vectors fall in buckets by the signs of their products with random
+    directions, as many as bring a folder's buckets down to about ``block``
+    vectors, in ``tables`` independent tables.  A target meets its own buckets
+    and those that differ in one sign; what it meets is ranked by the exact inner
+    product.  Folders of at most ``block`` vectors are searched whole.  Fit for
+    vectors of about equal length; :func:`recall` tells what was found.
+    """
+    ship_package(targets.sparkSession)
+    q, c = _vector_sides(targets, vectors)
+    c = cut_lineage(c)
+    row = c.select(F.size("vec").alias("d")).limit(1).collect()
+    sizes = c.groupBy("dir").agg(F.count(F.lit(1)).alias("_n"))
+    bits = F.least(F.lit(20), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_n") / block)))).cast("int")
+    sizes = cut_lineage(sizes.select("dir", bits.alias("_bits")))
+    most = max(1, sizes.agg(F.max("_bits")).first()[0] or 0)
+    planes = np.random.default_rng(seed).normal(size=(tables, most, row[0][0] if row else 1))
+    vec = dict(c.dtypes)["vec"]
+    cb = c.join(sizes, "dir").mapInPandas(_signs(planes, False), f"cid bigint, vec {vec}, _grp string")
+    qb = q.join(sizes, "dir").mapInPandas(_signs(planes, True), f"qid string, vec {vec}, _grp string")
+    found = _ip_cells(qb, cb, "_grp", k, block).groupBy("qid", "cid").agg(F.max("score").alias("score"))
+    return _ranked_vectors(_merge_topk(found, k, descending=True))
+
+
+def recall(found: DataFrame, exact: DataFrame, key: tuple[str, ...] = ("question_ref", "target_pos", "vec_id")) -> float:
+    """Share of the exact neighbours that ``found`` holds (1 if there are none)."""
+    n = exact.count()
+    return exact.join(found.select(*key), list(key), "left_semi").count() / n if n else 1.0
+
+
 def interleave_ranked(ranked: DataFrame, k: int = 10, item: str = "vec_id") -> DataFrame:
     """Rank-major round robin over targets, first occurrence wins, cut at k.
 
@@ -182,9 +355,10 @@ def _name_cell(k: int, exclude_targets: bool):
             tm = sub["main"].to_numpy(np.int64)[:, None]
             tl = sub["letter_sum"].to_numpy(np.int64)[:, None]
             ts = sub["sub"].to_numpy(np.int64)[:, None]
-            d = np.abs(tm - cm).astype(np.float64) + 0.01 * (np.abs(tl - cl) + np.abs(ts - cs))
+            # Hundredths are whole numbers, so equal distances compare equal.
+            d = UNIT * np.abs(tm - cm).astype(np.float64) + np.abs(tl - cl) + np.abs(ts - cs)
             starts = first[u0:u0 + SUB_CHUNK] - lo
-            dmin = np.round(np.minimum.reduceat(d, starts, axis=0), DIST_DECIMALS)
+            dmin = np.minimum.reduceat(d, starts, axis=0)
             if exclude_targets:
                 row_of = np.searchsorted(starts, np.arange(len(sub)), side="right") - 1
                 for r, path in zip(row_of, sub["target_path"].to_numpy(object)):
@@ -197,9 +371,58 @@ def _name_cell(k: int, exclude_targets: bool):
 
 
 def _parsed(df: DataFrame, name_col: str) -> DataFrame:
+    """Parsed names, and their place on a line on which no two files lie farther
+    apart than their distance (in hundredths)."""
     p = parse_asset(F.col(name_col))
-    return df.withColumn("main", p["main"]).withColumn("letter_sum", p["letter_sum"]) \
-        .withColumn("sub", p["sub"])
+    return (df.withColumns({c: p[c] for c in ("main", "letter_sum", "sub")})
+            .withColumn("place", UNIT * F.col("main").cast("double") + F.col("letter_sum") + F.col("sub")))
+
+
+def named_bands(targets: DataFrame, files: DataFrame, k: int, spare: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files of each folder in bands of ``block`` by place, and each target's home
+    band: (files with ``band``, targets with ``home`` and ``bands``, edges of the bands).
+
+    Files of equal parsed names tie by path for every target, so the first
+    ``k + spare`` of them are all that a question can get (``spare``: targets
+    that it leaves out).
+    """
+    same = Window.partitionBy("dir", "main", "letter_sum", "sub").orderBy("cid")
+    files = (files.withColumn("_same", F.row_number().over(same)).filter(F.col("_same") <= k + spare).drop("_same"))
+    files = global_ordinal(files, ["dir", "place", "cid"], out="_g")
+    starts = files.groupBy("dir").agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    files = (files.join(starts, "dir").withColumn("band", F.expr(f"(_g - _start) div {block}"))
+             .drop("_g", "_start", "_n"))
+    # Files before a target: its number among files and targets less that among targets.
+    spots = targets.select("dir", "place").distinct()
+    mixed = files.select("dir", "place", F.lit(1).alias("_file")).unionByName(spots.withColumn("_file", F.lit(0)))
+    mixed = global_ordinal(mixed, ["dir", "place", "_file"], out="_u").filter("_file = 0").drop("_file")
+    spots = global_ordinal(spots, ["dir", "place"], out="_t").join(mixed, ["dir", "place"]).join(starts, "dir")
+    home = F.expr(f"least((_u - _t - _start + 1) div {block}, (_n - 1) div {block})")
+    homes = spots.select("dir", "place", home.alias("home"), F.expr(f"(_n - 1) div {block} + 1").alias("bands"))
+    edges = files.groupBy("dir", "band").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    return files, cut_lineage(targets.join(homes, ["dir", "place"])), cut_lineage(edges)
+
+
+def routed(targets: DataFrame, near: int, far: int) -> DataFrame:
+    """Targets at the bands more than ``near`` and at most ``far`` away from home."""
+    bands = F.sequence(F.greatest(F.lit(0), F.col("home") - far), F.least(F.col("bands") - 1, F.col("home") + far))
+    return targets.withColumn("band", F.explode(F.filter(bands, lambda b: F.abs(b - F.col("home")) > near)))
+
+
+def _open_targets(targets: DataFrame, best: DataFrame, edges: DataFrame, k: int, far: int) -> DataFrame:
+    """Targets of questions for which a file beyond the searched bands could still count."""
+    beyond = (targets.withColumns({"_l": F.col("home") - far - 1, "_r": F.col("home") + far + 1})
+              .join(edges.select("dir", F.col("band").alias("_l"), F.col("last").alias("_left")), ["dir", "_l"], "left")
+              .join(edges.select("dir", F.col("band").alias("_r"), F.col("first").alias("_right")), ["dir", "_r"], "left"))
+    gap = F.least(F.col("place") - F.col("_left"), F.col("_right") - F.col("place"))  # null beyond the ends
+    gaps = beyond.groupBy("qid").agg(F.min(gap).alias("_gap"))
+    kth = best.groupBy("qid").agg(F.count(F.lit(1)).alias("_found"), F.max("score").alias("_kth"))
+    # Places of far numbers are rounded; a little slack keeps the bound safe.
+    slack = F.lit(1e-12) * F.abs("_gap") + F.lit(1e-6)
+    todo = (gaps.join(kth, "qid", "left")
+            .filter(F.col("_gap").isNotNull() & ((F.coalesce("_found", F.lit(0)) < k) | (F.col("_kth") >= F.col("_gap") - slack)))
+            .select("qid"))
+    return cut_lineage(targets.join(todo, "qid", "left_semi"))
 
 
 def nearest_named(targets: DataFrame, manifest: DataFrame, k: int = 10, exclude_targets: bool = False,
@@ -212,20 +435,53 @@ def nearest_named(targets: DataFrame, manifest: DataFrame, k: int = 10, exclude_
     over targets; ties by path.  Targets stay eligible unless
     ``exclude_targets`` (D1).  A folder with at most ``k`` files returns all
     of them in rank order (J11, D6).  Output: ``question_ref, rank, path, score``.
+
+    Folders of more than ``block`` files are searched in bands: each target
+    meets its home band and the next ones, and further bands (twice as far each
+    round) only while its question's k-th distance reaches beyond the bands
+    searched.  So a folder's work grows with its files and targets, not with
+    their product, and the result is exact.
     """
     t = targets.withColumn("_sp", split_path(F.col("path")))
     first = t.filter(F.col("target_pos") == 1).select("question_ref", F.col("_sp.dir").alias("dir"))
     q = _parsed(t.select(F.col("question_ref").alias("qid"), F.col("_sp.name").alias("_name"),
                          F.col("path").alias("target_path")), "_name") \
         .join(first.withColumnRenamed("question_ref", "qid"), "qid", "inner") \
-        .select("qid", "dir", "main", "letter_sum", "sub", "target_path")
+        .select("qid", "dir", "main", "letter_sum", "sub", "target_path", "place")
     c = _parsed(manifest.select(F.col("path").alias("cid"), "dir", "name").distinct(), "name") \
-        .select("cid", "dir", "main", "letter_sum", "sub")
-    qb, cb, keys = _blocked(q, c, "dir", block)
-    partial = (qb.groupBy(*keys).cogroup(cb.groupBy(*keys))
-               .applyInPandas(_name_cell(k, exclude_targets), "qid string, cid string, score double"))
-    top = _merge_topk(partial, k, descending=False)
-    return top.select(F.col("qid").alias("question_ref"), "rank", F.col("cid").alias("path"), "score")
+        .select("cid", "dir", "main", "letter_sum", "sub", "place")
+    largest = manifest.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= block:
+        top = _merge_topk(_name_cells(q, c, "dir", k, exclude_targets, block), k, descending=False)
+    else:
+        top = _search_bands(q, c, k, exclude_targets, block)
+    return top.select(F.col("qid").alias("question_ref"), "rank", F.col("cid").alias("path"),
+                      (F.col("score") / UNIT).alias("score"))
+
+
+def _name_cells(q: DataFrame, c: DataFrame, group: str, k: int, exclude_targets: bool, block: int) -> DataFrame:
+    qb, cb, keys = _blocked(q.drop("place"), c.drop("place"), group, block)
+    return (qb.groupBy(*keys).cogroup(cb.groupBy(*keys))
+            .applyInPandas(_name_cell(k, exclude_targets), "qid string, cid string, score double"))
+
+
+def _search_bands(q: DataFrame, c: DataFrame, k: int, exclude_targets: bool, block: int) -> DataFrame:
+    q = cut_lineage(q)
+    spare = q.groupBy("qid").count().agg(F.max("count")).first()[0] or 0 if exclude_targets else 0
+    files, left, edges = named_bands(q, c, k, spare, block)
+    group = F.concat_ws("/", F.col("band").cast("string"), F.col("dir"))  # the number stands first
+    files = files.withColumn("_grp", group).drop("dir", "band")
+    best, near, far = None, -1, 1
+    while True:
+        here = routed(left, near, far).withColumn("_grp", group).drop("dir", "band", "home", "bands")
+        found = _name_cells(here, files, "_grp", k, exclude_targets, block)
+        # A file that several targets of a question met in different rounds counts once.
+        every = found if best is None else found.unionByName(best.drop("rank"))
+        best = cut_lineage(_merge_topk(every.groupBy("qid", "cid").agg(F.min("score").alias("score")), k, descending=False))
+        left = _open_targets(left, best, edges, k, far)
+        if left.isEmpty():
+            return best
+        near, far = far, 2 * far
 
 
 # ------------------------------------------------------ J10, T5, G14, all

@@ -162,12 +162,13 @@ def judge_queue(scored: DataFrame, key: list[str] | None = None,
     """Undecided rows -> judge input ``(keys.., expected, response, prompt)``.
 
     ``expected``/``response`` are the normalised token lists rendered as the
-    reference's prompt renders them.
+    reference's prompt renders them.  There is nothing to judge in a question
+    that the model skipped: only rows with a response are queued.
     """
     key = key or ["question_ref", "model", "setting"]
     exp = list_repr(normalise_list(as_answer_list("expected_answer")))
     resp = list_repr(normalise_list(as_answer_list("response")))
-    return (scored.filter(F.col(correct).isNull())
+    return (scored.filter(F.col(correct).isNull() & F.col("response").isNotNull())
             .select(*key, exp.alias("expected"), resp.alias("response"))
             .withColumn("prompt", judge_prompt(F.col("question_ref"), F.col("expected"),
                                                F.col("response"))))

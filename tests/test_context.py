@@ -16,7 +16,6 @@ def targets(spark, rows):
 
 
 def brute_named(tpaths, files, k):
-    from evalspark.operators.context import DIST_DECIMALS
     import re
 
     def parse(name):
@@ -33,9 +32,9 @@ def brute_named(tpaths, files, k):
     scored = []
     for c in cands:
         cm, cl, cs = parse(c.rsplit("/", 1)[1])
-        d = min(abs(tm - cm) + 0.01 * (abs(tl - cl) + abs(ts - cs))
+        d = min(100 * abs(tm - cm) + abs(tl - cl) + abs(ts - cs)
                 for tm, tl, ts in (parse(t.rsplit("/", 1)[1]) for t in tpaths))
-        scored.append((round(d, DIST_DECIMALS), c))
+        scored.append((d, c))
     return [c for _, c in sorted(scored)[:k]]
 
 
@@ -125,3 +124,107 @@ def test_vector_step_odd_names_and_missing_vectors(spark):
     targets = spark.createDataFrame([("q#7:x", 7, 1), ("q#7:x", 1, 2)], "question_ref string, target_pos int, vec_id long")
     rows = context.knn_context(targets, vectors.filter("embedding is not null"), k=1).collect()
     assert sorted((r["question_ref"], r["target_pos"], r["vec_id"]) for r in rows) == [("q#7:x", 1, 2), ("q#7:x", 7, 1)]
+
+
+def random_folder(seed, n, hot=0.0):
+    """Files with clustered numbers, far outliers, repeated names and unnumbered ones."""
+    rng = np.random.default_rng(seed)
+    out = set()
+    while len(out) < n:
+        main = 7 if rng.random() < hot else int(rng.choice([rng.integers(0, 50), rng.integers(0, 3000), 10 ** int(rng.integers(5, 15))]))
+        tail = str(rng.choice(["", f"_{rng.integers(0, 9)}", f"_m{rng.integers(0, 40)}", f"_zz{rng.integers(0, 200)}"]))
+        out.add(f"d/{rng.choice(['image', 'image', 'x_image', 'plan'])}{main}{tail}.{rng.choice(['png', 'jpg'])}")
+    return sorted(out)
+
+
+def test_banded_search_equals_brute_force(spark):
+    for seed, hot, exclude in ((1, 0.0, False), (2, 0.5, False), (3, 0.3, True)):
+        files = random_folder(seed, 300, hot) + ["e/image1.png"]
+        rng = np.random.default_rng(seed)
+        picks = {f"q{i}": [str(p) for p in rng.choice(files[:-1], size=int(rng.integers(1, 4)), replace=False)] for i in range(12)}
+        t = targets(spark, [(q, i + 1, p) for q, ps in picks.items() for i, p in enumerate(ps)])
+        got = context.nearest_named(t, manifest(spark, files), k=7, exclude_targets=exclude, block=16)
+        by_q = {}
+        for r in got.orderBy("question_ref", "rank").collect():
+            by_q.setdefault(r["question_ref"], []).append(r["path"])
+        for q, ps in picks.items():
+            pool = [f for f in files if not exclude or f not in ps]
+            assert by_q[q] == brute_named(ps, pool, 7), (seed, q)
+
+
+def test_copies_grow_with_the_folder_and_not_with_its_square(spark):
+    """Rows that meet in the first round: targets at three bands each, whatever the size."""
+    met = {}
+    for n in (400, 1600):
+        files = [f"d/image{i}_{i % 5}.png" for i in range(n)]
+        t = targets(spark, [(f"q{i}", 1, files[i]) for i in range(0, n, 4)])
+        q = context._parsed(t.select(F.col("question_ref").alias("qid"), F.lit("d").alias("dir"),
+                                     F.element_at(F.split("path", "/"), -1).alias("_n"), F.col("path").alias("target_path")), "_n")
+        c = context._parsed(manifest(spark, files).select(F.col("path").alias("cid"), "dir", "name"), "name")
+        banded, homes, edges = context.named_bands(q.drop("_n"), c.drop("name"), 5, 0, 32)
+        assert banded.groupBy("band").count().agg(F.max("count")).first()[0] <= 32
+        qb, cb, _ = context._blocked(context.routed(homes, -1, 1).withColumn("g", F.col("band").cast("string")).drop("dir"),
+                                     banded.withColumn("g", F.col("band").cast("string")).drop("dir"), "g", 32)
+        met[n] = qb.count() + cb.count()
+        # The first round is enough for every target here.
+        best = context._search_bands(q.drop("_n"), c.drop("name"), 5, False, 32)
+        assert context._open_targets(homes, best, edges, 5, 1).count() == 0
+    assert met[1600] <= 4.5 * met[400]
+
+
+def vector_case(spark, seed, n, dims, clusters):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims)) * 3
+    v = centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dims)) * 0.3
+    v[n // 2:n // 2 + n // 6] = v[0]  # copies of one vector
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    vdf = spark.createDataFrame([(i, v[i].tolist(), "a" if i % 10 else "b") for i in range(n)],
+                                "vec_id long, embedding array<float>, dir string")
+    picks = [int(i) for i in rng.choice(n, 25, replace=False)]
+    tdf = spark.createDataFrame([(f"q{i}", 1, i) for i in picks], "question_ref string, target_pos int, vec_id long")
+    w = v.astype(np.float64)
+    want = {}
+    for i in picks:
+        same = [j for j in range(n) if bool(j % 10) == bool(i % 10)]
+        score = (w[i] * w[same]).sum(axis=1)
+        want[f"q{i}"] = [same[j] for j in np.lexsort((same, -score))[:6]]
+    return tdf, vdf, want
+
+
+def test_cells_with_bounds_equal_brute_force(spark):
+    share = {}
+    for name, clusters in (("clustered", 12), ("spread", 600)):
+        tdf, vdf, want = vector_case(spark, 3, 600, 16, clusters)
+        got = {}
+        for r in context.knn_context(tdf, vdf, k=6, block=30).orderBy("question_ref", "rank").collect():
+            got.setdefault(r["question_ref"], []).append(r["vec_id"])
+        assert got == want
+        q, c = context._vector_sides(tdf, vdf)
+        placed, asked = context.vector_cells(q, c, 6, 30)
+        every = asked.agg(F.sum(F.size("cells"))).first()[0]
+        share[name] = sum(context.search_cells(q, c, 6, 30)[1]) / every
+    assert share["clustered"] < 0.5 and share["spread"] <= 1.0
+
+
+def test_approximate_neighbours_find_nine_of_ten(spark):
+    tdf, vdf, _ = vector_case(spark, 4, 900, 16, 40)
+    exact = context.knn_context(tdf, vdf, k=6, block=30)
+    near = context.knn_context_approximate(tdf, vdf, k=6, block=30)
+    assert near.columns == exact.columns
+    assert context.recall(near, exact) >= 0.9
+    # A folder that fits a block is searched whole.
+    whole = context.knn_context_approximate(tdf, vdf, k=6, block=1000)
+    assert context.recall(whole, exact) == 1.0
+
+
+def test_copies_of_a_vector_rank_by_id(spark):
+    """Scores are not rounded, yet equal vectors tie exactly."""
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=33)
+    rows = [(i, (base if i % 2 else rng.normal(size=33)).astype(float).tolist(), "d") for i in range(200)]
+    rows.append((500, (base * (1 + 1e-13)).tolist(), "d"))
+    vdf = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dir string")
+    tdf = spark.createDataFrame([("q", 1, 1)], "question_ref string, target_pos int, vec_id long")
+    for block in (4096, 16):
+        got = [r["vec_id"] for r in context.knn_context(tdf, vdf, k=5, block=block).orderBy("rank").collect()]
+        assert got == [500, 1, 3, 5, 7]
