@@ -12,6 +12,9 @@ executor cannot reshuffle rows between the count and the numbering.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,16 +63,18 @@ def global_ordinal(df: DataFrame, order: list, out: str = "ordinal",
 
 def group_ordinal(df: DataFrame, group: list[str], order: list, out: str = "ordinal",
                   total: str | None = None) -> DataFrame:
-    """1-based position within each group, skew-safe.
+    """1-based position within each group, skew-safe; null groups are groups too.
 
     The global ordinal over ``(group, order)`` spreads a hot group across many
     range partitions; each group's first ordinal and size come from one
     aggregate (map-side combined) joined back on the group key.
     """
     g = global_ordinal(df, [*group, *order], out="_g")
-    starts = g.groupBy(*group).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_total"))
+    starts = g.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group]).agg(
+        F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_total"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
     # one row per group: AQE broadcasts it when small, else splits skewed keys
-    res = (g.join(starts, group, "inner")
+    res = (g.join(starts, same, "inner").drop(*[f"_of_{c}" for c in group])
            .withColumn(out, F.col("_g") - F.col("_start") + 1))
     if total:
         res = res.withColumnRenamed("_total", total)

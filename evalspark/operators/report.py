@@ -198,19 +198,18 @@ def log_scale(c: Column, base: float | None = None) -> Column:
 def exact_quantiles(values: DataFrame, col: str, probs: tuple[float, ...]) -> list[float]:
     """Exact linear-interpolation quantiles without gathering the column.
 
-    The values are ranked with a range-partitioned global ordinal; only the
-    (at most ``2·len(probs)``) rows at the needed ranks reach the driver.
+    Only the (at most ``2·len(probs)``) values at the needed ranks reach the
+    driver; they are found over counted values (:func:`stats.select_ranks`).
     """
-    from evalspark.operators.ordinals import global_ordinal
-    from evalspark.operators.stats import salted
+    from evalspark.operators.stats import select_ranks
     v = values.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     n = v.count()
     if n == 0:
         return []
     pos = [(n - 1) * p for p in probs]
     need = sorted({int(math.floor(h)) + 1 for h in pos} | {int(math.ceil(h)) + 1 for h in pos})
-    o = global_ordinal(salted(v), ["_v", "_salt"], out="_o")
-    at = {r["_o"]: r["_v"] for r in o.filter(F.col("_o").isin(need)).collect()}
+    wanted = values.sparkSession.createDataFrame([(0, r) for r in need], "_k int, rank bigint")
+    at = {r["rank"]: r["_v"] for r in select_ranks(v.withColumn("_k", F.lit(0)), wanted, "_k", "_v").collect()}
     out = []
     for h in pos:
         lo, hi = at[int(math.floor(h)) + 1], at[int(math.ceil(h)) + 1]
@@ -226,7 +225,7 @@ def quantile_bins(values: DataFrame, col: str,
     Exact linear interpolation (numpy's default), distinct edges; when at most
     two distinct edges remain the distinct positive values are the edges
     instead; ``[0, 1]`` when there are no positives.  Quantiles come from a
-    distributed ranking (:func:`exact_quantiles`), so no task ever holds the
+    distributed rank selection (:func:`exact_quantiles`), so no task ever holds the
     whole column; the fallback edges stay a distributed ``distinct``.
     ``approx_accuracy`` opts into ``percentile_approx`` (one pass, bounded
     sketch) instead; never the default.

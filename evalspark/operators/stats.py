@@ -18,7 +18,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import first_number, split_answers
@@ -26,6 +26,8 @@ from evalspark.operators.ordinals import group_ordinal
 from evalspark.session import cut_lineage, ship_package
 
 CHUNK_ROWS = 4096
+SPLITS = 1024           # steps of a range in one round of rank selection
+WHOLE_GROUP = 100_000   # rows of a group whose counted values are one aggregate
 
 
 def salted(values: DataFrame) -> DataFrame:
@@ -61,16 +63,57 @@ def spread_values(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
     return vals.unionByName(exp)
 
 
-def exact_median(values: DataFrame, key: str, x: str = "x") -> DataFrame:
+def select_ranks(values: DataFrame, wanted: DataFrame, key: str, x: str = "x") -> DataFrame:
+    """(``key``, ``rank``, ``x``): the values at the 1-based ``wanted`` (key, rank) among a key's values.
+
+    Equal values are counted first (combined on the map side).  Then every
+    wanted rank is narrowed down: the counts between its bounds fall in
+    ``SPLITS`` equal steps, and the step that holds the rank gives the next
+    bounds, until they meet.  No value is sorted, a round shuffles at most
+    ``SPLITS`` sums per rank and task, and a key or a value may have any number of rows.
+    """
+    counts = cut_lineage(values.groupBy(key, x).agg(F.count(F.lit(1)).alias("_c")))
+    ends = counts.groupBy(key).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    open_ = wanted.select(key, "rank", F.lit(0).cast("bigint").alias("_before")).join(ends, key)
+    found = None
+    while True:
+        # Halves keep the range of any two doubles finite.
+        step = F.floor((F.col(x) / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * SPLITS)
+        steps = (counts.join(open_, key).filter(F.col(x).between(F.col("_lo"), F.col("_hi")))
+                 .withColumn("_s", F.when(F.col("_lo") == F.col("_hi"), 0).otherwise(F.least(F.lit(SPLITS - 1), step)))
+                 .groupBy(key, "rank", "_before", "_s")
+                 .agg(F.sum("_c").alias("_c"), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+        upto = F.sum("_c").over(Window.partitionBy(key, "rank").orderBy("_s"))
+        open_ = cut_lineage(
+            steps.withColumn("_upto", F.col("_before") + upto)
+            .filter((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_c")))
+            .select(key, "rank", (F.col("_upto") - F.col("_c")).alias("_before"), "_lo", "_hi"))
+        done = open_.filter("_lo = _hi").select(key, "rank", F.col("_lo").alias(x))
+        found = done if found is None else found.unionByName(done)
+        open_ = open_.filter("_lo < _hi")
+        if open_.isEmpty():
+            return found
+
+
+def exact_median(values: DataFrame, key: str, x: str = "x", sizes: DataFrame | None = None,
+                 whole: int = WHOLE_GROUP) -> DataFrame:
     """Exact per-group median (mean of the two middle values for even n).
 
-    Ranks come from the skew-safe :func:`group_ordinal` (range-partitioned, ties
-    salted), so a group or a value holding a third of all rows is spread over
-    many tasks; only the one or two middle rows per group are aggregated.
+    Groups of at most ``whole`` rows are one aggregate over their counted
+    values; larger ones find their middle ranks by :func:`select_ranks`.
+    ``sizes`` (key, n) saves counting them.
     """
-    r = group_ordinal(salted(values.select(key, x)), [key], [x, "_salt"], out="_r", total="_n")
-    mid = (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.ceil((F.col("_n") + 1) / 2))
-    return r.filter(mid).groupBy(key).agg(F.avg(x).alias("median"))
+    values = values.select(key, x)
+    sizes = cut_lineage(values.groupBy(key).agg(F.count(F.lit(1)).alias("n"))) if sizes is None else sizes.select(key, "n")
+    large = sizes.filter(F.col("n") > whole)
+    if large.isEmpty():
+        return values.groupBy(key).agg(F.percentile(x, F.lit(0.5)).alias("median"))
+    large = cut_lineage(large)
+    small = (values.join(large, key, "left_anti").groupBy(key).agg(F.percentile(x, F.lit(0.5)).alias("median")))
+    middle = large.select(key, F.explode(F.array_distinct(F.array(
+        F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)))).alias("rank"))
+    picked = select_ranks(values.join(large.select(key), key, "left_semi"), middle, key, x)
+    return small.unionByName(picked.groupBy(key).agg(F.avg(x).alias("median")))
 
 
 def annotator_spread(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
@@ -82,12 +125,12 @@ def annotator_spread(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
     exact and distributed (:func:`exact_median`).
     """
     v = spread_values(bank, ann, key, answer, expected)
-    moments = v.groupBy(key).agg(
+    moments = cut_lineage(v.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("x"), 6).alias("mean"),
         F.round(F.stddev_samp("x"), 6).alias("std"),
-        F.max(F.when(F.col("is_expected"), F.col("x"))).alias("expected_value"))
-    med = exact_median(v, key, "x").select(key, F.round("median", 6).alias("median"))
+        F.max(F.when(F.col("is_expected"), F.col("x"))).alias("expected_value")))
+    med = exact_median(v, key, "x", moments).select(key, F.round("median", 6).alias("median"))
     return moments.join(med, key, "inner").select(key, "n", "mean", "median", "std", "expected_value")
 
 

@@ -154,7 +154,8 @@ WITH {KNN_SQL}
 SELECT question_ref, target_pos, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {K}""")
 def q_knn_context(spark: SparkSession, sf: str) -> DataFrame:
     r = context.knn_context(*_vec_targets(spark, sf), k=K)
-    return r.select("question_ref", "target_pos", "rank", "vec_id", F.round("score", 6).alias("score"))
+    # The oracle rounds the same way: to nine places, then to six.
+    return r.select("question_ref", "target_pos", "rank", "vec_id", F.round(F.round("score", 9), 6).alias("score"))
 
 
 @register("interleave_ranked", "W9", f"""

@@ -153,3 +153,33 @@ def test_arc_layout_explicit_child_order(spark):
     b1, b2 = rows[("Border", "Single")], rows[("Border", "Multi")]
     assert b1["p_start"] == 90.0 and b1["c_start"] == 90.0 and b1["c_end"] == b2["c_start"]
     assert abs(b2["c_end"] - b1["p_end"]) < 1e-6 and abs(b1["p_end"] - (90 - 360 * 71 / 125)) < 1e-6
+
+
+def test_rank_selection_equals_sorting(spark):
+    rng = np.random.default_rng(1)
+    groups = {"dense": rng.normal(size=500), "ties": rng.integers(0, 4, 800).astype(float), "one": np.array([3.5]),
+              "wide": np.concatenate([rng.normal(size=50) * 10.0 ** rng.integers(-300, 300, 50), [1.7e308, -1.7e308]]),
+              "same": np.full(300, -2.0), "near": 1.0 + np.arange(40) * 2.0 ** -52}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    wanted = [(g, r) for g, xs in groups.items() for r in {1, len(xs), (len(xs) + 1) // 2, len(xs) // 3 + 1}]
+    got = stats.select_ranks(df, spark.createDataFrame(wanted, "k string, rank bigint"), "k").collect()
+    assert sorted((r["k"], r["rank"]) for r in got) == sorted(wanted)
+    for r in got:
+        assert r["x"] == np.sort(groups[r["k"]])[r["rank"] - 1]
+    for whole in (0, 100, 10 ** 6):
+        med = {r["k"]: r["median"] for r in stats.exact_median(df, "k", "x", whole=whole).collect()}
+        assert med == {g: float(np.median(xs)) for g, xs in groups.items()}
+
+
+def test_large_groups_do_not_sort_their_values(spark):
+    df = spark.range(1000).selectExpr("'a' AS k", "cast(id % 7 AS double) AS x")
+    plan = stats.exact_median(df, "k", "x", whole=10)
+    assert plan.first()["median"] == 3.0
+
+
+def test_null_groups_are_numbered_too(spark):
+    from evalspark.operators.ordinals import group_ordinal
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 3), ("b", 9)], "g string, v int")
+    got = sorted(((r["g"] or "", r["v"], r["i"], r["n"]) for r in group_ordinal(df, ["g"], ["v"], "i", "n").collect()))
+    assert got == [("", 1, 1, 2), ("", 2, 2, 2), ("a", 1, 1, 2), ("a", 3, 2, 2), ("b", 9, 1, 1)]
