@@ -130,6 +130,8 @@ def score_expr(answer_type: Column, resp_raw: Column, exp_raw: Column, exp_list:
     """
     return (
         F.when(answer_type == DISTANCE, distance_scalar(resp0, exp0))
+        # A skipped question is undecided whatever is expected: no text is normalised.
+        .when((answer_type == TEXTUAL) & resp_raw.isNull(), F.lit(None).cast("int"))
         .when(answer_type == TEXTUAL, text_correct(split_answers(resp_raw), exp_list, resp_raw,
                                                    exp_raw, strict_empty))
         .otherwise(cardinal_scalar(resp0, exp0, exact_only))
@@ -174,6 +176,17 @@ def judge_queue(scored: DataFrame, key: list[str] | None = None,
                                                F.col("response"))))
 
 
+def queue_responses(responses: DataFrame, answers: DataFrame, key: str = "question_ref",
+                    response: str = "response", strict_empty: bool = True) -> DataFrame:
+    """The judge queue of :func:`evaluate`'s rows without evaluating the others:
+    only responses to textual questions can be undecided, so they alone are
+    joined, scored and queued."""
+    asked = answers.filter(F.col("answer_type") == TEXTUAL).select(key, "answer_type", "expected_answer")
+    given = responses.filter(F.col(response).isNotNull())
+    scored = score_text(given.join(asked, key), response, strict_empty=strict_empty)
+    return judge_queue(scored, [key, *[c for c in ("model", "setting") if c in responses.columns]])
+
+
 def apply_verdicts(scored: DataFrame, verdicts: DataFrame, key: list[str] | None = None,
                    correct: str = "correct", verdict: str = "verdict") -> DataFrame:
     """Join judge verdict text back; undecided rows take ``yes`` -> 1 else 0.

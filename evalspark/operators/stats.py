@@ -125,13 +125,19 @@ def annotator_spread(bank: DataFrame, ann: DataFrame, key: str = "question_ref",
     exact and distributed (:func:`exact_median`).
     """
     v = spread_values(bank, ann, key, answer, expected)
-    moments = cut_lineage(v.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("x"), 6).alias("mean"),
-        F.round(F.stddev_samp("x"), 6).alias("std"),
-        F.max(F.when(F.col("is_expected"), F.col("x"))).alias("expected_value")))
-    med = exact_median(v, key, "x", moments).select(key, F.round("median", 6).alias("median"))
-    return moments.join(med, key, "inner").select(key, "n", "mean", "median", "std", "expected_value")
+    moments = [F.count(F.lit(1)).alias("n"),
+               F.round(F.avg("x"), 6).alias("mean"),
+               F.round(F.stddev_samp("x"), 6).alias("std"),
+               F.max(F.when(F.col("is_expected"), F.col("x"))).alias("expected_value")]
+    # Rows per question, from the key column alone, bound what one aggregate holds.
+    rows = ann.select(key).unionByName(bank.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if (rows.agg(F.max("n")).first()[0] or 0) <= WHOLE_GROUP:
+        out = v.groupBy(key).agg(*moments, F.round(F.percentile("x", F.lit(0.5)), 6).alias("median")) \
+            .filter(F.col(key).isNotNull())
+    else:
+        stats = cut_lineage(v.groupBy(key).agg(*moments))
+        out = stats.join(exact_median(v, key, "x", stats).select(key, F.round("median", 6).alias("median")), key)
+    return out.select(key, "n", "mean", "median", "std", "expected_value")
 
 
 def spread_rows(bank: DataFrame, ann: DataFrame, key: str = "question_ref",

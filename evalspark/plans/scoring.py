@@ -82,8 +82,7 @@ SELECT question_ref, model, setting,
            'Answer strictly ''yes'' or ''no''.') AS prompt_md5
 FROM s WHERE correct IS NULL AND response IS NOT NULL""")
 def q_judge_queue(spark: SparkSession, sf: str) -> DataFrame:
-    scored = scoring.evaluate(standins.responses(spark, sf), standins.answers(spark, sf))
-    jq = scoring.judge_queue(scored)
+    jq = scoring.queue_responses(standins.responses(spark, sf), standins.answers(spark, sf))
     return jq.withColumn("prompt_md5", F.md5("prompt")).drop("prompt")
 
 

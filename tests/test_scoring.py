@@ -134,3 +134,21 @@ def test_null_and_repeated_verdicts(spark):
     got = sorted((r["question_ref"], r["correct"]) for r in
                  scoring.apply_verdicts(scored, verdicts, ["question_ref"]).collect())
     assert got == [("a", None), ("b", 1), ("c", 0), ("d", 0)]
+
+
+def test_judge_is_asked_about_answers_only(spark):
+    answers = spark.createDataFrame([("q1", "textual", "a lake"), ("q2", "textual", "a river"), ("q3", "textual", "12"),
+                                     ("q4", "distance", "5 km"), ("q5", "textual", "")],
+                                    "question_ref string, answer_type string, expected_answer string")
+    rows = [("q1", "A", "s", "the lake"), ("q2", "A", "s", "a river"), ("q3", "A", "s", "13"), ("q4", "A", "s", "9 km"),
+            ("q5", "A", "s", "!"), ("q1", "B", "s", "pond"), ("q2", "B", "s", None), ("zz", "B", "s", "no such question"),
+            (None, "B", "s", "x")]
+    responses = spark.createDataFrame(rows, "question_ref string, model string, setting string, response string")
+    whole = scoring.judge_queue(scoring.evaluate(responses, answers))
+    direct = scoring.queue_responses(responses, answers)
+    assert whole.columns == direct.columns
+    for queue in (whole, direct):
+        got = sorted((r["question_ref"], r["model"]) for r in queue.collect())
+        assert got == [("q1", "A"), ("q1", "B"), ("q5", "A")]
+        assert queue.filter("prompt is null or response is null").count() == 0
+    assert sorted(map(str, whole.collect())) == sorted(map(str, direct.collect()))
