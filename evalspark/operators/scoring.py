@@ -130,8 +130,6 @@ def score_expr(answer_type: Column, resp_raw: Column, exp_raw: Column, exp_list:
     """
     return (
         F.when(answer_type == DISTANCE, distance_scalar(resp0, exp0))
-        # A skipped question is undecided whatever is expected: no text is normalised.
-        .when((answer_type == TEXTUAL) & resp_raw.isNull(), F.lit(None).cast("int"))
         .when(answer_type == TEXTUAL, text_correct(split_answers(resp_raw), exp_list, resp_raw,
                                                    exp_raw, strict_empty))
         .otherwise(cardinal_scalar(resp0, exp0, exact_only))
