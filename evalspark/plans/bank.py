@@ -46,6 +46,17 @@ def q_read_bank_array(spark: SparkSession, sf: str) -> DataFrame:
     return _bank_flat(io.read_bank(spark, f"{path}/*", multi_line=True))
 
 
+@register("read_bank_split", "S1", lambda: f"SELECT {BANK_FLAT_SQL} FROM ({standins.bank_sql()})")
+def q_read_bank_split(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 from arrays that several tasks read: the same files, cut at byte ranges."""
+    record = F.to_json(F.struct(*[c for c in standins.bank(spark, sf).columns if c not in ("source", "lang", "doc_id")]))
+    arrays = (standins.bank(spark, sf).select(F.floor(F.col("doc_id") / 1000).alias("part"), record.alias("r"))
+              .groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value")))
+    path = scratch_path(spark, "bank_arrays")
+    arrays.write.partitionBy("part").text(path)
+    return _bank_flat(io.read_bank(spark, f"{path}/*", split=True))
+
+
 @register("read_bank_columns", "S2", lambda: f"""
 SELECT question_ref, answer_type, map_count FROM ({standins.bank_sql()})""")
 def q_read_bank_columns(spark: SparkSession, sf: str) -> DataFrame:

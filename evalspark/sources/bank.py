@@ -1,16 +1,15 @@
 """Readers and writers for banks, rosters, annotation exports, responses and
 the hosted-batch request/result files (S1, S3–S8, S10).
 
-JSON-array banks (``multiLine``) and quoted multi-line CSV exports cannot be
-split inside a file, so each file is one task; they are small at source and
-are landed once as Parquet (partitioned, column-pruned, predicate-pushed) for
-every downstream job.
+Quoted multi-line CSV exports, and JSON-array banks on request, are read from
+byte ranges by many tasks (:mod:`evalspark.sources.pieces`); by default a
+JSON array is one task, as most banks are small.
 """
 
 from __future__ import annotations
 
+import csv
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +17,25 @@ from pyspark.sql import types as T
 
 from evalspark import schemas
 from evalspark.functions.assets import split_path, strip_leading_slash
-from evalspark.session import read_if_exists
+from evalspark.functions.text import let
+from evalspark.session import cut_lineage, read_if_exists
+from evalspark.sources.pieces import csv_records, json_records
 
 
 # ----------------------------------------------------------------- S1 / S2
 def read_bank(spark: SparkSession, path: str, multi_line: bool = True,
-              schema: T.StructType = schemas.BANK, columns: list[str] | None = None) -> DataFrame:
+              schema: T.StructType = schemas.BANK, columns: list[str] | None = None,
+              split: bool = False) -> DataFrame:
     """Question bank from JSON (array-of-records files by default).
 
     The explicit schema covers every bank variant; absent fields read as null.
     ``columns`` is a projection (S2) — on Parquet it prunes the scan.
+    ``split`` reads one array by many tasks, for files too large for one.
     """
-    df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    if split:
+        df = json_records(spark, path).select(F.from_json("record", schema).alias("_r")).select("_r.*")
+    else:
+        df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return df.select(*columns) if columns else df
 
 
@@ -51,24 +57,37 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     ``None``/'' answers kept as they are (the scorer decides), timestamps with
     a ``+00`` suffix parsed as UTC.
 
-    Exports with different headers may share a folder: files are grouped by
-    their first line (one row per distinct header reaches the driver), each
-    group is read by its own header, and the groups are unioned by name.
+    Exports with different headers may share a folder: every file's first
+    record is joined to its other records, and only the distinct headers (one
+    per version of the export) reach the driver, to name the columns.  Files
+    are read once, in byte ranges.  Repeated column names keep the first.
     """
-    first = (spark.read.option("wholetext", False).text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.monotonically_increasing_id().alias("line"))
-             .groupBy("file").agg(F.min_by("value", "line").alias("header")))
-    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    if len(groups) <= 1:
-        return _typed_annotations(_read_csv(spark, path))
-    return reduce(DataFrame.unionByName, [_typed_annotations(_read_csv(spark, sorted(g["files"])))
-                                          for g in sorted(groups, key=lambda g: g["header"] or "")])
-
-
-def _read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return (spark.read.option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path))
+    rows = csv_records(spark, path)
+    headers = cut_lineage(rows.filter("first").select("file", F.col("record").alias("header")))
+    out = rows.filter(~F.col("first")).join(headers, "file")
+    fields = F.lit(None)
+    for h in sorted(r[0] for r in headers.select("header").distinct().collect()):
+        names = next(csv.reader([h.replace("\n", " ")]))
+        positions = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        cells = F.from_csv("record", F.lit(positions.simpleString()[len("struct<"):-1].replace(":", " ")), CSV_OPTIONS)
+        known = {}
+        for i, n in enumerate(names):
+            known.setdefault("question_ref" if n == "question_id" and "question_ref" not in names else n, f"_c{i}")
+        parsed = let(cells, _columns_of(known))
+        fields = F.when(F.col("header") == h, parsed).otherwise(fields)
+    if fields is None or not headers.take(1):
+        empty = T.StructType([T.StructField(n, T.StringType()) for n in schemas.ANNOTATION_COLUMNS])
+        return _typed_annotations(spark.createDataFrame([], empty))
+    return _typed_annotations(out.select(fields.alias("_f")).select("_f.*"))
+
+
+def _columns_of(known: dict[str, str]):
+    """The annotation columns of parsed cells; ``known`` names the cell of each that is there."""
+    return lambda c: F.struct(*[(c[known[n]] if n in known else F.lit(None).cast("string")).alias(n)
+                                for n in schemas.ANNOTATION_COLUMNS])
+
+
+CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
 
 
 def _typed_annotations(raw: DataFrame) -> DataFrame:

@@ -137,3 +137,79 @@ def test_batch_results_repeats_bad_lines_and_nested_text(spark, tmp_dir):
     assert got == [("a", "ok", "yes"), ("b", "ok", "north"), (None, "bad_line", "not json")]
     keys = spark.createDataFrame([("a",), ("z",)], "key string")
     assert {r["status"] for r in io.read_batch_results(spark, path, keys).collect()} == {"ok", "missing", "bad_line"}
+
+
+def test_csv_cut_anywhere_equals_the_whole_file(spark, tmp_dir):
+    """Cells with commas, quotes, line breaks and only blanks; ranges that end inside them."""
+    import csv as writer
+    import random
+    rng = random.Random(1)
+    cells = ["plain", "a,b", 'say "hi"', "two\nlines", "\n", ",\n\"\n,", "", " ", "x" * 300, "é\n" * 40, "5 km", '""', "q\r\nr"]
+    for k in range(2):
+        with open(os.path.join(tmp_dir, f"f{k}.csv"), "w", newline="") as f:
+            w = writer.writer(f, lineterminator="\r\n" if k else "\n")
+            w.writerow(["id", "question_ref", "answer", "noinfo_reason"])
+            for i in range(100):
+                w.writerow([k * 1000 + i, f"q{i}", rng.choice(cells), rng.choice(cells)])
+    read = lambda: sorted((r["id"], r["question_ref"], r["answer"] or "", (r["noinfo_reason"] or "").replace("\r\n", "\n"))
+                          for r in io.read_annotations(spark, tmp_dir).collect())
+    fix = lambda rows: [(a, b, c.replace("\r\n", "\n"), d) for a, b, c, d in rows]
+    whole = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(tmp_dir)
+             .selectExpr("cast(id AS bigint) AS id", "question_ref", "answer", "noinfo_reason"))
+    want = sorted((r[0], r[1], (r[2] or "").replace("\r\n", "\n"), (r[3] or "").replace("\r\n", "\n")) for r in whole.collect())
+    assert len(want) == 200 and fix(read()) == want
+    with small_ranges(spark, 1000):
+        from evalspark.sources.pieces import read_pieces
+        ranges = read_pieces(spark, os.path.join(tmp_dir, "f0.csv"), "\n").select("range").distinct().count()
+        assert ranges >= 8
+        assert fix(read()) == want
+    with small_ranges(spark, 400):
+        assert fix(read()) == want
+
+
+class small_ranges:
+    """Files are cut in ranges of about so many bytes."""
+
+    def __init__(self, spark, size):
+        self.spark, self.new = spark, {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+
+    def __enter__(self):
+        self.old = {k: self.spark.conf.get(k) for k in self.new}
+        for k, v in self.new.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_):
+        for k, v in self.old.items():
+            self.spark.conf.set(k, v)
+
+
+def test_empty_annotation_files(spark, tmp_dir):
+    for name, text in (("a", ""), ("b", "id,question_ref,answer\n"), ("c", "\n\n")):
+        with open(os.path.join(tmp_dir, name + ".csv"), "w") as f:
+            f.write(text)
+    assert io.read_annotations(spark, tmp_dir).collect() == []
+
+
+def test_json_array_cut_anywhere_equals_the_whole_file(spark, tmp_dir):
+    import json
+    import random
+    rng = random.Random(2)
+    texts = ["plain", "a } b", "{[", '"}', "\\", "\\\\\"}", "two\nlines", "", "é🙂}" * 30, "]}, {", None]
+    rows = [{"question_ref": f"q{i}", "question_text": rng.choice(texts), "expected_answer": rng.choice(texts),
+             "image_urls": [t for t in rng.sample(texts, rng.randrange(3)) if t is not None]} for i in range(80)]
+    one, pretty, none = (os.path.join(tmp_dir, n) for n in ("one.json", "pretty.json", "none.json"))
+    for path, value, style in ((one, rows, {}), (pretty, rows, {"indent": 2}), (none, [], {})):
+        with open(path, "w") as f:
+            json.dump(value, f, ensure_ascii=path == one, **style)
+    key = lambda df: sorted(map(str, df.collect()))
+    for path in (one, pretty):
+        want = key(io.read_bank(spark, path))
+        assert len(want) == 80
+        assert key(io.read_bank(spark, path, split=True)) == want
+        for size in (800, 400):
+            with small_ranges(spark, size):
+                assert key(io.read_bank(spark, path, split=True)) == want
+                from evalspark.sources.pieces import read_pieces
+                assert read_pieces(spark, path, "}").select("range").distinct().count() >= 8
+    assert key(io.read_bank(spark, none, split=True)) == []
+    assert io.read_bank(spark, one, split=True, columns=["question_ref"]).columns == ["question_ref"]
