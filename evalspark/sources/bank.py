@@ -19,6 +19,7 @@ from evalspark import schemas
 from evalspark.functions.assets import split_path, strip_leading_slash
 from evalspark.functions.text import let
 from evalspark.session import cut_lineage, read_if_exists
+from evalspark.sources.listing import can_walk, walk_files
 from evalspark.sources.pieces import csv_records, json_records
 
 
@@ -149,12 +150,16 @@ def asset_manifest(spark: SparkSession, root: str,
                    recursive: bool = True) -> DataFrame:
     """Image files under ``root`` as ``(dir, name, path)``, relative to root.
 
-    ``binaryFile`` lists files in parallel; only ``path`` is selected, so file
-    contents are never read.  The root may be a plain path or a URI; it is
-    qualified the way the listed paths are.  The listing itself is held by the
-    driver: a store of many millions of files should come as a table of paths
-    instead (:func:`manifest_from_paths`).
+    Executors list the folders (:mod:`evalspark.sources.listing`), and file
+    contents are never read.  The root may be a plain path or a URI.  A store that
+    only Spark can open is listed by Spark's driver, which then holds the list.
+    Hidden names (``.x``, ``_x``) are left out.
     """
+    if can_walk(root):
+        name = F.element_at(F.split("path", "/"), -1)
+        files = walk_files(spark, root, recursive).filter(
+            name.contains(".") & F.element_at(F.split(name, r"\."), -1).isin(list(extensions)))
+        return manifest_from_paths(files, "path")
     pattern = "*.{" + ",".join(extensions) + "}"
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", recursive).load(root).select("path"))

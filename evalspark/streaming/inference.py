@@ -1,8 +1,9 @@
 """Resumable inference as a file stream.
 
 The bank arrives as files; every micro-batch keeps only questions without a
-usable answer yet (J5 against *all* stored responses), runs the provider (I1)
-and appends successes under its ``batch_id``.  The table is append-only: a
+usable answer yet (J5 against the bucketed keys of all stored responses),
+runs the provider (I1) and appends successes under its ``batch_id``.  No
+trigger reads stored answers, but its own of a try before.  The table is append-only: a
 replayed batch finds what it stored before and asks only for the rest, and
 nothing that was answered is ever replaced.  Failed rows (null responses) are
 not written, so a later :func:`retry_pending` pass — a plain batch job over
@@ -15,28 +16,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.operators.infer import Provider, build_image_list, infer, pending, response_column
+from evalspark.operators.infer import Provider, build_image_list, infer
 from evalspark.session import read_if_exists, scratch_path
+from evalspark.sources.answered import AnsweredKeys
 
 FILES_PER_SLICE = 4
 FIRST_RETRY = 1_000_000  # batch ids of retries start here, above any stream batch
 
 
+def answered_keys(spark: SparkSession, out_dir: str) -> AnsweredKeys:
+    """Keys of the answers stored in ``out_dir``, beside it."""
+    return AnsweredKeys(spark, out_dir.rstrip("/") + ".keys")
+
+
+def _missing(spark: SparkSession, bank: DataFrame, keys: AnsweredKeys, out_dir: str, batch_id: int) -> DataFrame:
+    """Rows of ``bank`` without a stored answer.  An earlier try of this batch may
+    have stored answers and died before it noted their keys; only its own folder
+    is read for that."""
+    mine = read_if_exists(spark, f"{out_dir}/batch_id={batch_id}")
+    if mine is not None:
+        keys.add(mine.join(keys.stored(mine), "question_ref", "left_anti"))
+    return keys.pending(bank)
+
+
 def answer_batch(bank: DataFrame, provider: Provider, out_dir: str, batch_id: int,
                  distractor: bool = False, batch_size: int = 1) -> None:
     spark = bank.sparkSession
-    todo = bank
-    done = read_if_exists(spark, out_dir)
-    if done is not None:
-        # Semi-join reduction: only answers to questions of this batch are
-        # compared (the batch side is small; AQE broadcasts it by size).
-        done = done.join(bank.select("question_ref").distinct(), "question_ref", "left_semi")
-        todo = pending(bank, done, response=response_column(provider.name))
+    keys = answered_keys(spark, out_dir)
+    todo = _missing(spark, bank, keys, out_dir, batch_id)
     lists = build_image_list(todo, distractor)
     res = infer(lists, provider, batch_size=batch_size)
     ok = res.filter(F.col("q_answered")).drop("raw_response", "error")
     (ok.withColumn("batch_id", F.lit(batch_id)).write.mode("append")
      .partitionBy("batch_id").parquet(out_dir))
+    done = read_if_exists(spark, f"{out_dir}/batch_id={batch_id}")
+    if done is not None:
+        keys.add(done)
 
 
 def resumable_inference(spark: SparkSession, bank_dir: str, out_dir: str, checkpoint: str,

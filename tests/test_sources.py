@@ -213,3 +213,46 @@ def test_json_array_cut_anywhere_equals_the_whole_file(spark, tmp_dir):
                 assert read_pieces(spark, path, "}").select("range").distinct().count() >= 8
     assert key(io.read_bank(spark, none, split=True)) == []
     assert io.read_bank(spark, one, split=True, columns=["question_ref"]).columns == ["question_ref"]
+
+
+def test_listing_walks_folders_in_tasks(spark, tmp_dir):
+    from evalspark.sources.listing import walk_files
+    names = [f"d{i}/e{i % 3}/f/x{i}.png" for i in range(30)] + ["top.png", "_hidden/a.png", ".b.png", "k=1/c.jpg", "d0/n.txt", "_p=2/z.png"]
+    for rel in names:
+        os.makedirs(os.path.dirname(os.path.join(tmp_dir, rel)) or tmp_dir, exist_ok=True)
+        open(os.path.join(tmp_dir, rel), "wb").close()
+    got = sorted(r[0] for r in walk_files(spark, tmp_dir).collect())
+    assert got == sorted(n for n in names if n not in ("_hidden/a.png", ".b.png"))
+    assert [r[0] for r in walk_files(spark, tmp_dir, recursive=False).collect()] == ["top.png"]
+    assert io.asset_manifest(spark, tmp_dir).count() == 33
+    assert [r["path"] for r in io.asset_manifest(spark, tmp_dir, ("jpg",)).collect()] == ["k=1/c.jpg"]
+    with pytest.raises(FileNotFoundError):
+        walk_files(spark, os.path.join(tmp_dir, "none"))
+
+
+def test_answered_keys_are_joined_without_moving_the_history(spark, tmp_dir):
+    from evalspark.sources import answered
+    keys = answered.AnsweredKeys(spark, os.path.join(tmp_dir, "keys"), buckets=4, per_bucket=50)
+    named = lambda a, b: spark.range(a, b).selectExpr("concat('q', id) AS question_ref", "id")
+    assert keys.pending(named(0, 5)).count() == 5
+    keys.add(named(0, 100))
+    keys.add(named(0, 10))  # a replay stores them again
+    assert keys._state()[0] == 4
+    batch = named(90, 2500)
+    assert keys.stored(batch).count() == 10 and keys.pending(batch).count() == 2400
+    plan = keys.stored(batch)._jdf.queryExecution().executedPlan().toString()
+    history = plan[plan.index("FileScan"):] if plan.count("FileScan") == 1 else plan
+    above = plan[:plan.index("FileScan")].splitlines()
+    # Between the join and the history's scan: no exchange (a one-sided one deals the batch).
+    right = [line for line in above if ":" not in line.split("-")[0] or line.strip().startswith("+-")]
+    assert "Bucketed: true" in history and "SelectedBucketsCount: 4 out of 4" in history
+    assert not any("Exchange" in line for line in right[next(i for i, x in enumerate(right) if "SortMergeJoin" in x):])
+    few = keys.stored(named(99, 101))
+    assert [r[0] for r in few.collect()] == ["q99"]
+    assert "SelectedBucketsCount" in few._jdf.queryExecution().executedPlan().toString()
+    keys.add(named(100, 900))  # outgrows its buckets
+    assert keys._state()[0] == 64
+    again = answered.AnsweredKeys(spark, os.path.join(tmp_dir, "keys"), buckets=4, per_bucket=50)
+    assert sorted(r["id"] for r in again.pending(named(0, 2000)).collect()) == list(range(900, 2000))
+    odd = spark.createDataFrame([(None, 1), ("q1", 2), ("x", 3)], "question_ref string, id int")
+    assert sorted(r["id"] for r in again.pending(odd).collect()) == [1, 3]
