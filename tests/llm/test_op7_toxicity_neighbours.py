@@ -41,6 +41,7 @@ def test_nearest_is_exact():
         w = rng.random(len(t)) + 0.1
         vectors.append((t, (w / np.sqrt(w @ w)).astype(np.float32)))
     index = op.Index(terms, np.ones(40), vectors, list(range(150)), np.zeros(150), np.ones(150), s)
+    assert sorted(index.ids.tolist()) == list(range(150))
     dense = np.zeros((150, 40))
     for row, i in enumerate(index.ids):
         dense[row, vectors[i][0]] = vectors[i][1]
@@ -51,6 +52,33 @@ def test_nearest_is_exact():
         assert np.allclose(got, want, atol=1e-6) and np.allclose(cosine[n], got, atol=1e-6)
 
 
+def test_blocks_below_the_kth_best_are_not_scored(tmp_dir):
+    """Examples of six kinds that share no common term: other kinds' blocks are skipped, nothing is lost."""
+    rng = np.random.default_rng(2)
+    s = op.Settings(block=16, neighbours=5, common=10_000)
+    vectors = []
+    for i in range(600):
+        t = np.sort(rng.choice(30, size=8, replace=False)) + 30 * (i % 6)
+        w = rng.random(8) + 0.1
+        vectors.append((t, (w / np.sqrt(w @ w)).astype(np.float32)))
+    built = op.Index(np.arange(180, dtype=np.uint64), np.ones(180), vectors, list(range(600)), np.zeros(600), np.ones(600), s)
+    assert (built.row >= 0).all()  # every term has block maxima
+    built.save(tmp_dir)
+    index = op.Index.load(tmp_dir, s, frozenset())
+    dense = np.zeros((600, 180))
+    for row, i in enumerate(index.ids):
+        dense[row, vectors[i][0]] = vectors[i][1]
+    for t, w in vectors[:60]:
+        for skip in (-1, 7):
+            cosine = dense[:, t] @ w
+            if skip >= 0:
+                cosine[skip] = 0
+            n, got = index.nearest((t, w), skip)
+            assert np.allclose(got, np.sort(cosine)[::-1][:5], atol=1e-6) and np.allclose(cosine[n], got, atol=1e-6)
+            assert skip not in n
+    assert index.visited[0] < 0.5 * index.visited[1]
+
+
 def test_isotonic_rises_and_pools():
     x, y = np.array([0.1, 0.2, 0.2, 0.3, 0.9]), np.array([0, 1, 0, 0, 1])
     steps, scores = op.isotonic(x, y, np.ones(5), 0.5)
@@ -111,3 +139,18 @@ def test_texts_without_a_telling_term_are_searched(spark, setting):
     df = op.Counter(w for d in docs + more for w in words(d[1]))
     assert set(model.index.terms.tolist()) >= {op.word_terms(w, frozenset(), model.settings)[0] for w in df}
     assert docs[1][0] == model.index.ids[n[0]] and len(n) == model.settings.neighbours
+    text = dict((d[0], d[1]) for d in docs + more)
+    whole = np.zeros((len(model.index.ids), len(model.index.terms)))
+    for i, d in enumerate(model.index.ids.tolist()):
+        t, w = model.index.vector(text[d])
+        whole[i, t] = w
+    for d in (docs[1], docs[4], more[2]):
+        t, w = model.index.vector(d[1])
+        want = np.sort(whole[:, t] @ w)[::-1][:model.settings.neighbours]
+        n, cosine = model.index.nearest((t, w))
+        assert np.allclose(cosine, want[want > 0], atol=1e-5)
+        # The score is the calibrated vote of these neighbours.
+        vote = (cosine * model.index.weight[n] * model.index.toxic[n]).sum() / model.index.weight[n].sum()
+        row = op.score(spark.createDataFrame([d], frame.schema), model).select("_toxic.*").first()
+        assert abs(row["score"] - model.score(vote)) < 1e-9
+        assert [e["doc_id"] for e in row["evidence"]] == model.index.ids[n].tolist()
