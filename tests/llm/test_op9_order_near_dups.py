@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from llm_cases import SF, no_docs, odd_docs
 
 from evalspark.llm import op9_order_near_dups as op
@@ -79,6 +80,34 @@ def test_a_large_group_and_a_shared_passage(spark):
     assert sizes == [2] * 80 + [150] * 150
 
 
+@pytest.mark.parametrize("shared, changed", [(0, 12), (78, 12), (78, 6), (75, 4)])
+def test_recall_near_the_limit(spark, shared, changed):
+    """Pairs of 100 words, ``shared`` of them in all texts: at least 0.9 are found."""
+    r = random.Random(shared + changed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    head, docs, pairs = [word() for _ in range(shared)], [], 1000
+    for _ in range(pairs):
+        w = head + [word() for _ in range(100 - shared)]
+        x = list(w)
+        for i in r.sample(range(100), changed):
+            x[i] = word()
+        docs += [" ".join(w), " ".join(x)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(5)
+    found = {x["doc_id"]: x["class_id"] for x in op.near_duplicates(df).collect()}
+    recall = sum(found[2 * i] == found[2 * i + 1] for i in range(pairs)) / pairs
+    print(f"recall {recall}")
+    assert recall >= 0.9
+
+
+def test_smallest_is_argsort():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 129, 3000):
+        v = rng.integers(0, 2 ** 64, size=(6, n), dtype=np.uint64)
+        most = min(8, n)
+        assert (op.smallest(v, most) == np.argsort(v, axis=1)[:, :most]).all()
+        assert (op.smallest(v // np.uint64(2 ** 40) + np.uint64(2 ** 63), most).shape == (6, most))
+
+
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
@@ -111,7 +140,7 @@ def test_keys_do_not_depend_on_the_step(monkeypatch):
     s = op.Settings()
     tokens = [f"w{i % 97}" for i in range(30_000)]
     one = op.Sketcher(s).keys(tokens)
-    assert len(one) == s.tables and (one == op.Sketcher(s).keys(tokens)).all()
+    assert len(one) == s.tables * s.picks * (s.picks - 1) // 2 and (one == op.Sketcher(s).keys(tokens)).all()
     assert len(op.Sketcher(s).keys([])) == 0
     assert len(np.unique(op.Sketcher(s).keys(["a", "b"]))) == s.tables
 
