@@ -32,6 +32,20 @@ def test_histogram_cells(spark):
         assert r["n"] > 4096 or r["c"] == r["n"]
 
 
+def test_long_lengths_are_exact_and_compressed_only_beyond_the_cells(spark):
+    lengths = [5000 + 7 * i for i in range(400)] + [20_000 + i * i for i in range(50)]
+    df = spark.createDataFrame([(x,) for x in lengths], "n bigint")
+    got, counts = op.histogram(df, "n", 450)
+    assert got.tolist() == lengths and set(counts.tolist()) == {1}
+    want, padding = op.optimal_bounds(np.array(lengths), np.ones(450, dtype=int), 16)
+    rows = op.pack(df, "n", ["n"]).collect()
+    assert sorted({r["bucket"] for r in rows}) == want and sum(r["padding"] for r in rows) == padding
+    for most in (449, 100):
+        cells, counts = op.histogram(df, "n", most)
+        assert counts.sum() == 450 and (len(cells) <= most or len(cells) <= 3 * 2048)
+        assert all(r["padding"] >= 0 for r in op.pack(df, "n", ["n"], op.Settings(cells=most)).collect())
+
+
 @pytest.mark.parametrize("budget", [50, 1000])
 def test_batches_hold_the_budget(spark, budget):
     df = spark.range(3000).select(F.col("id").alias("doc_id"),
@@ -61,7 +75,7 @@ def test_batches_hold_the_budget(spark, budget):
 
 
 def test_odd_rows(spark):
-    docs = odd_docs(spark).withColumn("n", op.word_length("text"))
+    docs = op.token_lengths(odd_docs(spark), "n")
     rows = op.pack(docs, "n", ["doc_id", "text"]).collect()
     assert len(rows) == docs.count()
     assert all((r["batch"] is None) == (r["n"] == 0) for r in rows)
