@@ -8,6 +8,7 @@ import corpus_pipeline as pipe
 from evalspark.llm import op3_source_mix, op6_length_packing, op7_toxicity_neighbours
 from evalspark.llm import op9_order_near_dups as near
 from evalspark.llm.common import materialise, table
+from evalspark.llm.op4_token_counts import vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +68,11 @@ def test_mixing(spark, stages):
             if r["taken"]}
     assert got == want
     assert after.filter("n_chars <> length(text)").count() == 0
-    assert after.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    sizes = {r["doc_id"]: r["w"] for r in before.withColumn("w", op3_source_mix.word_count(F.col("text"))).collect()}
+    assert all(w <= 3 * sizes[i] for i, w in got.items())
+    # Every row is an unbroken part of its document.
+    old = texts(before)
+    assert all(r["text"] in old[r["doc_id"]] for r in after.collect())
 
 
 def test_packing(stages):
@@ -79,8 +84,12 @@ def test_packing(stages):
     sizes = {}
     for r in rows:
         sizes[r["batch"]] = sizes.get(r["batch"], 0) + r["bucket"]
-        assert r["n_words"] + r["padding"] == r["bucket"]
-    assert all(v <= max(op6_length_packing.Settings().budget, 20_000) for v in sizes.values())
+        assert r["n_tokens"] + r["padding"] == r["bucket"]
+    longest = max(r["n_tokens"] for r in rows)
+    assert all(v <= max(op6_length_packing.Settings().budget, longest) for v in sizes.values())
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary())
+    assert all(r["n_tokens"] == len(library.encode(r["text"])) for r in rows[:200])
 
 
 def test_run_gives_the_last_stage(spark, stages):
