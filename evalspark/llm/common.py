@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from evalspark.session import ensure_checkpoint_dir, scratch_path
 
+# What a Python worker keeps between tasks; the next operator's tasks clear it.
+KEPT: dict = {}
+
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
