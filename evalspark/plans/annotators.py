@@ -210,7 +210,7 @@ def _spread_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     a = standins.answers(spark, sf).filter(F.col("answer_type") == "distance")
     li = read_table(spark, sf, "lineitem")
     ann = li.select(
-        F.format_string("d%07d", "l_orderkey").alias("question_ref"),
+        standins._numbered("d", F.col("l_orderkey")).alias("question_ref"),
         F.when(F.col("l_suppkey") % 13 == 0, F.lit("None"))
         .when(F.col("l_suppkey") % 17 == 0, F.lit(""))
         .otherwise(F.concat(F.lit("about "), F.col("l_quantity").cast("string"), F.lit(" miles")))

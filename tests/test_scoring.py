@@ -152,3 +152,39 @@ def test_judge_is_asked_about_answers_only(spark):
         assert got == [("q1", "A"), ("q1", "B"), ("q5", "A")]
         assert queue.filter("prompt is null or response is null").count() == 0
     assert sorted(map(str, whole.collect())) == sorted(map(str, direct.collect()))
+
+
+def test_skipped_questions_can_be_queued(spark):
+    """The registered queue holds every undecided row, those without a response too."""
+    answers = spark.createDataFrame([("q1", "textual", "a lake"), ("q2", "textual", "a river"), ("q3", "distance", "5"),
+                                     ("q2", "textual", "a brook"), (None, "textual", "x")],
+                                    "question_ref string, answer_type string, expected_answer string")
+    rows = [("q1", "A", "s", "the lake"), ("q2", "A", "s", "a river"), ("q3", "B", "s", "5"), ("q1", "B", "s", None),
+            ("q2", None, "s", "pond"), ("q1", "A", "s", "pond"), ("zz", "C", "s", "no such question")]
+    responses = spark.createDataFrame(rows, "question_ref string, model string, setting string, response string")
+    scored = scoring.evaluate(responses, answers)
+    whole = scoring.judge_queue(scored, skipped=True)
+    direct = scoring.queue_responses(responses, answers, skipped=True)
+    assert whole.columns == direct.columns
+    assert sorted(map(str, whole.collect())) == sorted(map(str, direct.collect()))
+    assert direct.count() == scored.filter("correct is null").count() > direct.filter("response is not null").count()
+
+
+def test_skipped_runs_are_those_of_a_full_align(spark):
+    """Null runs, repeated responses and answers, and more runs than one long has bits."""
+    from evalspark.operators.shape import align
+    rows = [(f"q{i % 3}", f"m{i}", "s", f"r{i}") for i in range(70)] + [
+        ("q0", "m0", "s", "again"), ("q0", None, "s", "x"), ("q1", "m1", None, "y"), (None, "m1", "s", "z"), ("zz", "m2", "s", "w")]
+    responses = spark.createDataFrame(rows, "question_ref string, model string, setting string, response string")
+    answers = spark.createDataFrame([("q0", "textual", "a"), ("q1", "distance", "1"), ("q1", "cardinal", "North"),
+                                     ("q9", "textual", "b"), (None, "textual", "c")],
+                                    "question_ref string, answer_type string, expected_answer string")
+    wanted = answers.select("question_ref").distinct().crossJoin(responses.select("model", "setting").distinct())
+    plain = (align(responses, wanted, ["question_ref", "model", "setting"]).join(answers, "question_ref", "left")
+             .filter("question_ref is not null"))
+    got = scoring.evaluate(responses, answers)
+    assert got.columns == [*plain.columns, "correct"]
+    assert sorted(map(str, got.drop("correct").collect())) == sorted(map(str, plain.collect()))
+    none = scoring.evaluate(responses.limit(0), answers)
+    assert sorted(map(str, none.select("question_ref", "model", "response").collect())) == sorted(
+        f"Row(question_ref='{q}', model=None, response=None)" for q in ("q0", "q1", "q1", "q9"))
