@@ -80,9 +80,9 @@ SELECT question_ref, model, setting,
            {_repr_sql(S.normalise_list(S.split_answers('response')))} || chr(10) || chr(10) ||
            'Does the response correctly answer the question based on expected answer? ' ||
            'Answer strictly ''yes'' or ''no''.') AS prompt_md5
-FROM s WHERE correct IS NULL AND response IS NOT NULL""")
+FROM s WHERE correct IS NULL""")
 def q_judge_queue(spark: SparkSession, sf: str) -> DataFrame:
-    jq = scoring.queue_responses(standins.responses(spark, sf), standins.answers(spark, sf))
+    jq = scoring.queue_responses(standins.responses(spark, sf), standins.answers(spark, sf), skipped=True)
     return jq.withColumn("prompt_md5", F.md5("prompt")).drop("prompt")
 
 
