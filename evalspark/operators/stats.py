@@ -245,20 +245,102 @@ def chunk_sums(values: np.ndarray, seed: int, n: int, below: np.ndarray, here: n
     return out
 
 
+FEW = 16                # draws of a sample that are sorted by comparing columns
+BLOCK_DRAWS = 1 << 18   # draws of several groups made at once
+
+
+def sample_ranks(seeds: np.ndarray, n: int, n_boot: int) -> list[np.ndarray]:
+    """The ``n`` ranks that every replicate of every group (rows, columns) draws,
+    lowest first: those of :func:`draw_indices`, whose integers modulo 2**31
+    need only the low 32 bits."""
+    u, low = np.uint32, np.uint32(MIX_MOD - 1)
+    start = seeds.astype(np.uint32)[:, None] + np.arange(n_boot, dtype=np.uint32)[None] * u(MIX_B)
+    at = []
+    for i in range(n):
+        x = ((start + u(i * MIX_I)) & low) * u(MIX_A1) + u(MIX_C1) & low
+        x ^= x >> u(13)
+        x = x * u(MIX_A2) + u(MIX_C2) & low
+        x ^= x >> u(17)
+        at.append((x - x // u(n) * u(n)).astype(np.uint8))
+    for odd in range(n):  # odd-even transposition
+        for i in range(odd % 2, n - 1, 2):
+            at[i], at[i + 1] = np.minimum(at[i], at[i + 1]), np.maximum(at[i], at[i + 1])
+    return at
+
+
+def small_group_errors(values: np.ndarray, seeds: np.ndarray, n_boot: int, winsors: tuple) -> np.ndarray:
+    """Standard errors (groups x winsor levels) of groups of one size, at most
+    ``FEW``; ``values`` holds a group's in a row, rising."""
+    groups, n = values.shape
+    out = np.empty((groups, len(winsors)))
+    step = max(1, BLOCK_DRAWS // (n * n_boot))
+    for g0 in range(0, groups, step):
+        v = values[g0:g0 + step]
+        flat, row = v.ravel(), (np.arange(len(v)) * n)[:, None]
+        drawn = [flat[at + row] for at in sample_ranks(seeds[g0:g0 + step], n, n_boot)]
+        for j, w in enumerate(winsors):
+            cut = int(w * n) if w is not None else 0
+            total = sum(drawn[cut + 1:n - cut], drawn[cut])
+            if cut:
+                total = total + cut * (drawn[cut] + drawn[n - 1 - cut])
+            out[g0:g0 + step, j] = np.std(total / n, axis=1, ddof=1)
+    return out
+
+
+def group_errors(names: list, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, n_boot: int,
+                 winsors: tuple) -> np.ndarray:
+    """Standard errors of whole groups (rows) by winsor level (columns); a
+    group's rising values are the ``sizes`` ones from ``starts`` in ``flat``."""
+    seeds = np.fromiter(map(group_seed, names), dtype=np.int64, count=len(names))
+    out = np.empty((len(names), len(winsors)))
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        if n <= FEW:
+            some = flat[starts[rows][:, None] + np.arange(n)]
+            out[rows] = small_group_errors(some, seeds[rows], n_boot, winsors)
+            continue
+        none, all_ = np.zeros(n_boot, dtype=np.int64), np.full(n_boot, n, dtype=np.int64)
+        for r in rows:
+            sums = chunk_sums(flat[starts[r]:starts[r] + n], int(seeds[r]), int(n), none, all_, winsors)
+            for j, (inner, low, high) in enumerate(sums):
+                cut = int(winsors[j] * n) if winsors[j] is not None else 0
+                out[r, j] = np.std((inner + cut * (low + high)) / n, ddof=1)
+    return out
+
+
+def _with_errors(groups: DataFrame, group: str, listed: str, n_boot: int, winsors: tuple, names: list[str]) -> DataFrame:
+    """``groups`` with the standard errors of the rising values in ``listed``, which goes."""
+    kept = [c for c in groups.columns if c != listed]
+    schema = ", ".join([*[f"`{c}` {dict(groups.dtypes)[c]}" for c in kept], *[f"{x} double" for x in names]])
+
+    def fn(batches):
+        import pyarrow as pa
+        for b in batches:
+            lists = b.column(listed)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            se = group_errors(b.column(group).to_pylist(), offsets[:-1], np.diff(offsets),
+                              lists.values.to_numpy(zero_copy_only=False), n_boot, winsors)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(x) for x in se.T]],
+                                             names=[*kept, *names])
+
+    return groups.mapInArrow(fn, schema).select(*kept, *[F.round(x, 6).alias(x) for x in names])
+
+
 def _chunks(group: str, n_boot: int, winsors: tuple, chunk: int):
     """Stream of sorted (group, chunk) rows -> one row per chunk and winsor level."""
     def one(g, n: int, c: int, values: np.ndarray):
-        seed = group_seed(g)
-        below, here = chunk_draws(seed, n, chunk, c, n_boot)
-        whole = n <= chunk
-        sums = chunk_sums(values, seed if whole else group_seed(f"{g}/{c}"), n, below, here, winsors)
-        for j, (inner, low, high) in enumerate(sums):
-            if not whole:
-                yield g, n, j, None, inner, low, high
-                continue
-            cut = int(winsors[j] * n) if winsors[j] is not None else 0
-            means = (inner + cut * (low + high)) / n
-            yield g, n, j, float(np.std(means, ddof=1)), [], [], []
+        below, here = chunk_draws(group_seed(g), n, chunk, c, n_boot)
+        for j, sums in enumerate(chunk_sums(values, group_seed(f"{g}/{c}"), n, below, here, winsors)):
+            yield g, n, j, None, *sums
+
+    def several(names: list, n: np.ndarray, c: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray):
+        whole = np.flatnonzero(n <= chunk)
+        errors = group_errors([names[i] for i in whole], starts[whole], sizes[whole], values, n_boot, winsors)
+        for i, se in zip(whole, errors):
+            for j, x in enumerate(se):
+                yield names[i], int(n[i]), j, float(x), [], [], []
+        for i in np.flatnonzero(n > chunk):
+            yield from one(names[i], int(n[i]), int(c[i]), values[starts[i]:starts[i] + sizes[i]])
 
     def fn(batches):
         held = None
@@ -273,9 +355,9 @@ def _chunks(group: str, n_boot: int, winsors: tuple, chunk: int):
             ends = np.r_[edge[1:], len(held)]
             # The last chunk may go on in the next batch.
             done = len(edge) - (b is not None)
-            rows = [r for s, e in zip(edge[:done], ends[:done])
-                    for r in one(held[group].iat[s], int(held["_n"].iat[s]), int(held["_c"].iat[s]),
-                                 held["_x"].to_numpy(np.float64)[s:e])]
+            s = edge[:done]
+            rows = list(several([held[group].iat[i] for i in s], held["_n"].to_numpy()[s], held["_c"].to_numpy()[s],
+                                s, ends[:done] - s, held["_x"].to_numpy(np.float64)))
             held = held.iloc[edge[done]:] if done < len(edge) else None
             if rows:
                 yield pd.DataFrame(rows, columns=names)
@@ -336,8 +418,36 @@ def spread_report(bank: DataFrame, ann: DataFrame, key: str = "question_ref", an
     """Spread statistics with ``std``, ``boot_se`` and ``wins_se`` as
     separate columns (the reference overwrote one with the other).  Both
     standard errors come from one pass over the same draws."""
+    if n_boot < 2:
+        raise ValueError("n_boot must be >= 2")
+    rows = ann.select(key).unionByName(bank.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if (rows.agg(F.max("n")).first()[0] or 0) <= CHUNK_ROWS:
+        return _spread_report_whole(bank, ann, key, answer, expected, n_boot, p)
     base = annotator_spread(bank, ann, key, answer, expected)
     v = spread_values(bank, ann, key, answer, expected)
     se = _bootstrap_many(v, key, "x", n_boot, (None, p)).select(
         key, F.col("se0").alias("boot_se"), F.col("se1").alias("wins_se"))
     return base.join(se, key, "left")
+
+
+def _spread_report_whole(bank: DataFrame, ann: DataFrame, key: str, answer: str, expected: str,
+                         n_boot: int, p: float) -> DataFrame:
+    """:func:`spread_report` where no question has more rows than one chunk: a
+    single shuffle, since statistics and sorted values are one aggregate over
+    answers and questions alike (groups without a question go)."""
+    ship_package(bank.sparkSession)
+    told = _answer_values(ann, key, answer).withColumn("asked", F.lit(False))
+    asked = bank.select(key, first_number(F.col(expected)).alias("x"), F.lit(True).alias("is_expected"),
+                        F.lit(True).alias("asked"))
+    x = F.col("x")
+    groups = (told.unionByName(asked).filter(F.col(key).isNotNull()).groupBy(key)
+              .agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"),
+                   F.round(F.stddev_samp("x"), 6).alias("std"),
+                   F.max(F.when(F.col("is_expected"), x)).alias("expected_value"),
+                   F.sort_array(F.collect_list("x")).alias("_v"), F.bool_or("asked").alias("_asked"))
+              .filter("_asked and n > 0"))
+    middle = lambda i: F.get("_v", F.floor(i).cast("int"))
+    median = (middle((F.col("n") - 1) / 2) + middle(F.col("n") / 2)) / 2
+    out = _with_errors(groups.select(key, "n", "mean", F.round(median, 6).alias("median"), "std", "expected_value", "_v"),
+                       key, "_v", n_boot, (None, p), ["boot_se", "wins_se"])
+    return out.select(key, "n", "mean", "median", "std", "expected_value", "boot_se", "wins_se")

@@ -183,3 +183,31 @@ def test_null_groups_are_numbered_too(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 3), ("b", 9)], "g string, v int")
     got = sorted(((r["g"] or "", r["v"], r["i"], r["n"]) for r in group_ordinal(df, ["g"], ["v"], "i", "n").collect()))
     assert got == [("", 1, 1, 2), ("", 2, 2, 2), ("a", 1, 1, 2), ("a", 3, 2, 2), ("b", 9, 1, 1)]
+
+
+def test_small_groups_at_once_are_the_same_bootstrap():
+    """Blocks of equally large groups give the errors that each group gives by itself."""
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 3, 4, 5, 5, 5, 8, 9, 16, 17, 40]
+    names = [f"g{i}" for i in range(len(sizes))]
+    offsets = np.r_[0, np.cumsum(sizes)]
+    flat = np.concatenate([np.sort(rng.integers(0, 50, n).astype(float)) for n in sizes])
+    got = stats.group_errors(names, offsets[:-1], np.diff(offsets), flat, 200, (None, 0.25, 0.1))
+    for g, n, s, row in zip(names, sizes, offsets, got):
+        none, all_ = np.zeros(200, dtype=np.int64), np.full(200, n, dtype=np.int64)
+        sums = stats.chunk_sums(flat[s:s + n], stats.group_seed(g), n, none, all_, (None, 0.25, 0.1))
+        want = [np.std((inner + int((w or 0) * n) * (low + high)) / n, ddof=1)
+                for (inner, low, high), w in zip(sums, (None, 0.25, 0.1))]
+        assert np.allclose(row, want, rtol=1e-12, atol=1e-12)
+
+
+def test_spread_report_in_one_pass_equals_the_joined_one(spark, monkeypatch):
+    rows = [("a", "1 km"), ("a", "3"), ("a", "None"), ("b", ""), ("c", "7"), ("x", "9"), (None, "4"), ("d", "2"), ("d", "2")]
+    ann = spark.createDataFrame(rows, "question_ref string, answer string")
+    bank = spark.createDataFrame([("a", "2"), ("b", "5 m"), ("c", None), ("d", "no"), ("d", "8"), ("e", None), (None, "1")],
+                                 "question_ref string, expected_answer string")
+    one = sorted(map(str, stats.spread_report(bank, ann, n_boot=60).collect()))
+    monkeypatch.setattr(stats, "CHUNK_ROWS", 0)
+    joined = stats.spread_report(bank, ann, n_boot=60)
+    assert sorted(map(str, joined.collect())) == one
+    assert [x.split("'")[1] for x in one] == ["a", "b", "c", "d"]
