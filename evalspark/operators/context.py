@@ -67,6 +67,7 @@ def _merge_topk(partial: DataFrame, k: int, descending: bool) -> DataFrame:
 
 
 SUB_CHUNK = 512  # queries scored at once inside a cell (bounds the score matrix)
+CELL_PAIRS = 1 << 18  # entries of a matrix of name distances
 
 
 def _empty(cid_dtype) -> pd.DataFrame:
@@ -348,24 +349,28 @@ def _name_cell(k: int, exclude_targets: bool):
         qids_all = q["qid"].to_numpy(object)
         uniq, first = np.unique(qids_all, return_index=True)
         parts = []
-        for u0 in range(0, len(uniq), SUB_CHUNK):
+        # As many questions, and as many of their targets, at once as keep a matrix at CELL_PAIRS.
+        step = min(SUB_CHUNK, max(1, CELL_PAIRS // len(cids)))
+        for u0 in range(0, len(uniq), step):
             lo = first[u0]
-            hi = first[u0 + SUB_CHUNK] if u0 + SUB_CHUNK < len(uniq) else len(qids_all)
-            sub = q.iloc[lo:hi]
-            tm = sub["main"].to_numpy(np.int64)[:, None]
-            tl = sub["letter_sum"].to_numpy(np.int64)[:, None]
-            ts = sub["sub"].to_numpy(np.int64)[:, None]
-            # Hundredths are whole numbers, so equal distances compare equal.
-            d = UNIT * np.abs(tm - cm).astype(np.float64) + np.abs(tl - cl) + np.abs(ts - cs)
-            starts = first[u0:u0 + SUB_CHUNK] - lo
-            dmin = np.minimum.reduceat(d, starts, axis=0)
+            hi = first[u0 + step] if u0 + step < len(uniq) else len(qids_all)
+            row_of = np.searchsorted(first[u0:u0 + step], np.arange(lo, hi), side="right") - 1
+            dmin = np.full((row_of[-1] + 1, len(cids)), np.inf)
+            for r0 in range(lo, hi, step):
+                sub = q.iloc[r0:min(hi, r0 + step)]
+                tm = sub["main"].to_numpy(np.int64)[:, None]
+                tl = sub["letter_sum"].to_numpy(np.int64)[:, None]
+                ts = sub["sub"].to_numpy(np.int64)[:, None]
+                # Hundredths are whole numbers, so equal distances compare equal.
+                d = UNIT * np.abs(tm - cm).astype(np.float64) + np.abs(tl - cl) + np.abs(ts - cs)
+                rows, starts = np.unique(row_of[r0 - lo:r0 - lo + len(sub)], return_index=True)
+                dmin[rows] = np.minimum(dmin[rows], np.minimum.reduceat(d, starts, axis=0))
             if exclude_targets:
-                row_of = np.searchsorted(starts, np.arange(len(sub)), side="right") - 1
-                for r, path in zip(row_of, sub["target_path"].to_numpy(object)):
+                for r, path in zip(row_of, q["target_path"].to_numpy(object)[lo:hi]):
                     j = pos_of.get(path)
                     if j is not None:
                         dmin[r, j] = np.inf
-            parts.append(_topk_rows(uniq[u0:u0 + SUB_CHUNK], dmin, cids, k, False))
+            parts.append(_topk_rows(uniq[u0:u0 + step], dmin, cids, k, False))
         return pd.concat(parts, ignore_index=True) if parts else _empty(object)
     return fn
 
