@@ -8,10 +8,10 @@ paired with one centre, the same text in all tables where possible, so a
 bucket of any size gives one pair per member.  Members that do not match their
 centre's class are paired again with a new centre among themselves, for
 ``Settings.rounds`` rounds.  Then every bucket that still holds texts of two
-classes, members of a centre's class among them, is split: up to
-``Settings.group`` texts have all their pairs of different classes aligned,
-more are dealt anew by longer tuples (``Settings.finer`` picks), and what no
-tuple splits by chance.  A pair is a link when the edit distance of the two
+classes, members of a centre's class among them, has all its pairs of different
+classes tried.  In buckets of more than ``Settings.group`` texts a lower bound
+of the edit distance (word counts in bins) comes first, in cells of two blocks
+of members, so that only pairs that can be links are aligned; none is left out.  A pair is a link when the edit distance of the two
 word sequences, found by a bit-parallel alignment inside the band that the
 threshold allows, is at most 20 % of the longer one.  Classes are the
 connected components of the links.
@@ -52,8 +52,9 @@ class Settings:
     picks: int = 4         # smallest shingles of a function; every two make a key
     similarity: float = 0.8
     rounds: int = 3
-    finer: tuple = (4, 8)  # picks of the tuples that split large buckets
-    group: int = 32        # texts whose pairs are all aligned
+    group: int = 32        # texts whose pairs are all aligned without a bound
+    block: int = 512       # texts of a larger bucket that one side of a cell holds
+    bins: int = 128        # word counts of a text, for the bound
 
 
 def words(text: str) -> list[str]:
@@ -99,14 +100,10 @@ class Sketcher:
 
     def keys(self, tokens: list[str]) -> np.ndarray:
         """64-bit keys, those of a table together; none for a text without a word."""
-        return self.ladder(tokens)[0]
-
-    def ladder(self, tokens: list[str]) -> list[np.ndarray]:
-        """The keys, and one key per table of each finer tuple."""
         h = kmers(self.hashes(tokens), self.s.shingle)
         if not len(h):
-            return [np.zeros(0, dtype=np.int64)] * (1 + len(self.s.finer))
-        g, most = label(h), min(max(self.s.picks, *self.s.finer), len(h))
+            return np.zeros(0, dtype=np.int64)
+        g, most = label(h), min(self.s.picks, len(h))
         at = np.empty((self.s.tables, most), dtype=np.int64)
         step = max(1, 400_000 // len(h))
         for t in range(0, self.s.tables, step):
@@ -118,10 +115,8 @@ class Sketcher:
                 out = mix(out * np.uint64(3) + h[i])
             return out.view(np.int64)
 
-        few = np.sort(at[:, :self.s.picks], axis=1).T
-        two = list(combinations(few, 2)) or [few]  # a lone shingle is a key by itself
-        return [np.stack([key(p) for p in two], axis=1).ravel(),
-                *[key(np.sort(at[:, :n], axis=1).T) for n in self.s.finer]]
+        two = list(combinations(np.sort(at, axis=1).T, 2)) or [at.T]  # a lone shingle is a key by itself
+        return np.stack([key(p) for p in two], axis=1).ravel()
 
     @staticmethod
     def identity(tokens: list[str]) -> bytes:
@@ -211,33 +206,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a binary, b binary")
 
 
-def _rest(members: DataFrame, names: DataFrame, finer: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a < b) of texts of different classes that stand in one bucket of
-    at most ``s.group`` texts, after larger buckets are dealt by finer tuples."""
+def _bags(texts: DataFrame, s: Settings) -> DataFrame:
+    """(text_id, words, bag): a text's number of words, and how many fall in each bin."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Sketcher(s)
+        for p in batches:
+            found = [words(x) for x in p["text"]]
+            bins = [np.bincount((own.hashes(w) % np.uint64(s.bins)).astype(np.int64), minlength=s.bins) for w in found]
+            yield pd.DataFrame({"text_id": p["text_id"], "words": [len(w) for w in found],
+                                "bag": [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in bins]})
+
+    return texts.select("text_id", "text").mapInPandas(count, "text_id binary, words int, bag binary")
+
+
+def possible_pairs(p: pd.DataFrame, s: Settings) -> pd.DataFrame:
+    """Pairs (a < b) of a cell, one of each block, of different classes that may
+    be similar: an edit changes the number of words by at most one and the word
+    counts by at most two in all."""
+    lo, hi = p["lo"].iat[0], p["hi"].iat[0]
+    ids, at = p["text_id"].to_numpy(object), p["block"].to_numpy()
+    n, mine = p["words"].to_numpy(np.int64), pd.factorize(p["mine"])[0]
+    bags = np.frombuffer(b"".join(p["bag"]), dtype=np.uint16).reshape(len(p), s.bins).astype(np.int32)
+    coarse = bags.reshape(len(p), -1, 4).sum(axis=2)
+    left, right, found = np.flatnonzero(at == lo), np.flatnonzero(at == hi), []
+    for l0 in range(0, len(left), 64):
+        l = left[l0:l0 + 64]
+        most = ((1 - s.similarity) * np.maximum(n[l][:, None], n[right][None]) + 1e-9).astype(np.int64)
+        may = (mine[l][:, None] != mine[right][None]) & (np.abs(n[l][:, None] - n[right][None]) <= most)
+        may &= np.abs(coarse[l][:, None] - coarse[right][None]).sum(axis=2) <= 2 * most
+        i, j = np.nonzero(may)
+        good = np.abs(bags[l[i]] - bags[right[j]]).sum(axis=1) <= 2 * most[i, j]
+        found += [(min(x, y), max(x, y)) for x, y in zip(ids[l[i[good]]], ids[right[j[good]]])]
+    return pd.DataFrame(list(dict.fromkeys(found)), columns=["a", "b"])
+
+
+def _rest(members: DataFrame, names: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a < b) of texts of different classes that stand in one bucket: all
+    of them, but in buckets of more than ``s.group`` texts those that word
+    counts show to be no links."""
     mine = names.select(F.col("node").alias("text_id"), F.col("component").alias("mine"))
-    left = materialise(members.join(mine, "text_id", "left")
+    left = materialise(members.select("key", "text_id").join(mine, "text_id", "left")
                        .withColumn("mine", F.coalesce("mine", "text_id")), "near-members")
-    found = []
-    for level in range(len(s.finer) + 1):
-        groups = materialise(left.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("mine").alias("lo"), F.max("mine").alias("hi"))
-            .filter("lo <> hi").select("key", "n"), "near-groups")
-        left = materialise(left.join(groups, "key"), "near-members")
-        found.append(left.filter(F.col("n") <= s.group).select("key", "text_id", "mine"))
-        left = left.filter(F.col("n") > s.group)
-        if level < len(s.finer):
-            left = (left.join(finer, "text_id")
-                    .withColumn("key", F.xxhash64("key", F.col("finer")[level][F.col("table")])).drop("n", "finer"))
-    # What no tuple splits is dealt by chance into groups of about that size.
-    part = F.pmod(F.xxhash64("text_id", "key"), F.ceil(F.col("n") / s.group))
-    found.append(left.select(F.xxhash64("key", part).alias("key"), "text_id", "mine"))
-    pairs = None
-    for rows in found:
-        one = rows.select("key", F.col("text_id").alias("a"), F.col("mine").alias("a_in"))
-        two = rows.select("key", F.col("text_id").alias("b"), F.col("mine").alias("b_in"))
-        own = one.join(two, "key").filter("a < b and a_in <> b_in").select("a", "b")
-        pairs = own if pairs is None else pairs.unionByName(own)
-    return pairs.distinct()
+    groups = materialise(left.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("mine").alias("lo"), F.max("mine").alias("hi"))
+        .filter("lo <> hi").select("key", "n"), "near-groups")
+    left = materialise(left.join(groups, "key"), "near-members")
+    few = left.filter(F.col("n") <= s.group)
+    one = few.select("key", F.col("text_id").alias("a"), F.col("mine").alias("a_in"))
+    two = few.select("key", F.col("text_id").alias("b"), F.col("mine").alias("b_in"))
+    pairs = one.join(two, "key").filter("a < b and a_in <> b_in").select("a", "b")
+    # A text's buckets travel together to its bag, and part again in cells.
+    many = left.filter(F.col("n") > s.group).groupBy("text_id", "mine").agg(
+        F.collect_list(F.struct("key", "n")).alias("at"))
+    bags = _bags(texts.join(many.select("text_id"), "text_id", "left_semi"), s)
+    blocks = F.ceil(F.col("n") / s.block)
+    cells = (many.join(bags, "text_id").select("text_id", "mine", "words", "bag", F.inline("at"))
+             .withColumn("block", F.pmod(F.xxhash64("text_id"), blocks))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+             .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                     "block", "text_id", "mine", "words", "bag"))
+
+    def cell(p: pd.DataFrame) -> pd.DataFrame:
+        return possible_pairs(p, s)
+
+    return pairs.unionByName(cells.groupBy("key", "lo", "hi").applyInPandas(cell, "a binary, b binary")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -255,12 +287,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = _sketch_udf(s)
     sketched = materialise(
         rows.withColumn("_s", sketch("text")).withColumn("row", F.monotonically_increasing_id())
-        .select("doc_id", *carry, "x", "y", "row", "_s.text_id", "_s.keys", "_s.finer"), "near-sketches")
+        .select("doc_id", *carry, "x", "y", "row", "_s.text_id", "_s.keys"), "near-sketches")
 
     # Buckets with at least two texts, and their centre.
     texts_of = sketched.groupBy("text_id").agg(F.first("keys").alias("keys"))
-    member = (texts_of.select("text_id", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "key"))
-              .select("key", "text_id", F.expr(f"cast(at div (n div {s.tables}) as int)").alias("table")))
+    member = texts_of.select(F.explode("keys").alias("key"), "text_id")
     # Aggregates are written before they are joined: a join that stands alone
     # in its stage is one whose large partitions Spark can split.
     h = F.xxhash64("text_id")
@@ -305,8 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if new.limit(1).count():
             names = add_links(names, new)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    finer = sketched.groupBy("text_id").agg(F.first("finer").alias("finer"))
-    pairs = materialise(_rest(members, names, finer, s).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    pairs = materialise(_rest(members, names, texts, s).join(tried, ["a", "b"], "left_anti"), "near-rest")
     new = materialise(_verified(pairs, texts, s), "near-links")
     if new.limit(1).count():
         names = add_links(names, new)
@@ -326,14 +356,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sketch_udf(s: Settings):
-    @F.pandas_udf("text_id binary, keys array<bigint>, finer array<array<bigint>>")
+    @F.pandas_udf("text_id binary, keys array<bigint>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Sketcher(s)
         for texts in batches:
             tokens = [words(t) for t in texts]
-            keys = [own.ladder(t) for t in tokens]
-            yield pd.DataFrame({"text_id": [own.identity(t) for t in tokens],
-                                "keys": [k[0] for k in keys], "finer": [k[1:] for k in keys]})
+            yield pd.DataFrame({"text_id": [own.identity(t) for t in tokens], "keys": [own.keys(t) for t in tokens]})
 
     return sketch
 

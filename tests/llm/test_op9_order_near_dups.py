@@ -180,3 +180,41 @@ def test_chains_of_texts_are_one_class(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(5)
     got = op.near_duplicates(df).collect()
     assert sorted(((x["doc_id"], x["class_id"], x["class_size"]) for x in got), key=str) == brute_classes(list(enumerate(docs)))
+
+
+def test_cells_hold_every_similar_pair():
+    """The word-count bound leaves out no pair of different classes that is a link."""
+    import pandas as pd
+    r = random.Random(3)
+    s, vocab = op.Settings(), [f"w{i}" for i in range(300)]
+    base = [r.choice(vocab) for _ in range(40)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randrange(14)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        texts.append(w[r.randrange(6):])
+    own = op.Sketcher(s)
+    bag = lambda w: np.bincount((own.hashes(w) % np.uint64(s.bins)).astype(int), minlength=s.bins).astype(np.uint16).tobytes()
+    p = pd.DataFrame({"text_id": [b"%03d" % i for i in range(90)], "mine": [b"%d" % (i % 4) for i in range(90)],
+                      "words": [len(w) for w in texts], "bag": [bag(w) for w in texts], "block": [i % 2 for i in range(90)]})
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        cell = p[p["block"].isin([lo, hi])].assign(lo=lo, hi=hi)
+        got = {(int(x), int(y)) for x, y in op.possible_pairs(cell, s)[["a", "b"]].itertuples(index=False)}
+        want = {(i, j) for i in range(90) for j in range(i + 1, 90)
+                if sorted((i % 2, j % 2)) == [lo, hi] and i % 4 != j % 4 and op.similar(texts[i], texts[j], s.similarity)}
+        assert want and want <= got and all(i % 4 != j % 4 for i, j in got)
+
+
+def test_no_pair_of_a_large_bucket_is_dropped(spark):
+    """Texts that share one bucket only: each pair of different classes comes out that the bound allows."""
+    n = 100
+    texts = [" ".join([f"w{i}_{k}" for k in range(20)]) for i in range(n // 2)]
+    texts += [t + " more" for t in texts]
+    rows = spark.createDataFrame([(b"%03d" % i, t) for i, t in enumerate(texts)], "text_id binary, text string")
+    members = rows.selectExpr("cast(7 as bigint) key", "text_id")
+    names = rows.selectExpr("text_id node", "text_id component").limit(0)
+    for block in (512, 16):
+        got = op._rest(members, names, rows, op.Settings(block=block)).collect()
+        pairs = [(int(x["a"]), int(x["b"])) for x in got]
+        assert len(set(pairs)) == len(pairs) and {(i, i + n // 2) for i in range(n // 2)} <= set(pairs)
