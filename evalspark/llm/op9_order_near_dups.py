@@ -8,12 +8,14 @@ paired with one centre, the same text in all tables where possible, so a
 bucket of any size gives one pair per member.  Members that do not match their
 centre's class are paired again with a new centre among themselves, for
 ``Settings.rounds`` rounds.  Then every bucket that still holds texts of two
-classes, members of a centre's class among them, has all its pairs of different
-classes tried.  In buckets of more than ``Settings.group`` texts a lower bound
-of the edit distance (word counts in bins) comes first, in cells of two blocks
-of members, so that only pairs that can be links are aligned; none is left out.  A pair is a link when the edit distance of the two
-word sequences, found by a bit-parallel alignment inside the band that the
-threshold allows, is at most 20 % of the longer one.  Classes are the
+two classes, members of a centre's class among them, has all its pairs of different
+classes tried.  In buckets of more than ``Settings.group`` texts this is done in
+cells of two blocks of members: lower bounds of the edit distance (word counts,
+in bins and in full) leave the pairs that can be links, these are aligned in the
+cell, and only links that join two classes leave it, fewer than it has texts.  A
+pair is a link when the edit distance of the two word sequences, found by a
+bit-parallel alignment inside the band that the threshold allows, is at most
+20 % of the longer one.  Classes are the
 connected components of the links.
 
 Equal word sequences are one text throughout, so copies are never expanded to
@@ -53,7 +55,8 @@ class Settings:
     similarity: float = 0.8
     rounds: int = 3
     group: int = 32        # texts whose pairs are all aligned without a bound
-    block: int = 512       # texts of a larger bucket that one side of a cell holds
+    block: int = 2048      # texts of a larger bucket that one side of a cell holds, on average
+    block_chars: int = 4_000_000  # and their characters
     bins: int = 128        # word counts of a text, for the bound
 
 
@@ -194,7 +197,9 @@ def similar(a: list, b: list, least: float) -> bool:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+    """The pairs (a, b) whose texts are similar.
+
+    A centre is the ``b`` of many pairs, so its text is joined to narrow rows."""
     left = texts.select(F.col("text_id").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("text_id").alias("b"), F.col("text").alias("b_text"))
 
@@ -203,47 +208,105 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
             good = [similar(words(x), words(y), s.similarity) for x, y in zip(p["a_text"], p["b_text"])]
             yield p.loc[good, ["a", "b"]]
 
-    return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a binary, b binary")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text").mapInPandas(check, "a binary, b binary")
 
 
-def _bags(texts: DataFrame, s: Settings) -> DataFrame:
-    """(text_id, words, bag): a text's number of words, and how many fall in each bin."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashed(texts: DataFrame, s: Settings) -> DataFrame:
+    """(text_id, tokens): the 64-bit hashes of a text's words, in order."""
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Sketcher(s)
         for p in batches:
-            found = [words(x) for x in p["text"]]
-            bins = [np.bincount((own.hashes(w) % np.uint64(s.bins)).astype(np.int64), minlength=s.bins) for w in found]
-            yield pd.DataFrame({"text_id": p["text_id"], "words": [len(w) for w in found],
-                                "bag": [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in bins]})
+            yield pd.DataFrame({"text_id": p["text_id"], "tokens": [own.hashes(words(x)).tobytes() for x in p["text"]]})
+
+    return texts.select("text_id", "text").mapInPandas(hashes, "text_id binary, tokens binary")
 
-    return texts.select("text_id", "text").mapInPandas(count, "text_id binary, words int, bag binary")
+
+def _possible(n: np.ndarray, bags: np.ndarray, mine: np.ndarray, at: np.ndarray, lo: int, hi: int,
+              s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the texts of possible links, slab by slab; see ``possible_pairs``."""
+    coarse = bags.reshape(len(n), -1, 4).sum(axis=2)
+    left, right = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
+    step = max(1, 32_768 // max(1, len(right)))
+    for l0 in range(0, len(left), step):
+        l = left[l0:l0 + step]
+        most = ((1 - s.similarity) * np.maximum(n[l][:, None], n[right][None]) + 1e-9).astype(np.int64)
+        may = (mine[l][:, None] != mine[right][None]) & (np.abs(n[l][:, None] - n[right][None]) <= most)
+        if lo == hi:
+            may &= l[:, None] < right[None]
+        i, j = np.nonzero(may)
+        good = np.abs(coarse[l[i]] - coarse[right[j]]).sum(axis=1) <= 2 * most[i, j]
+        i, j = i[good], j[good]
+        good = np.abs(bags[l[i]] - bags[right[j]]).sum(axis=1) <= 2 * most[i, j]
+        yield l[i[good]], right[j[good]]
 
 
 def possible_pairs(p: pd.DataFrame, s: Settings) -> pd.DataFrame:
     """Pairs (a < b) of a cell, one of each block, of different classes that may
     be similar: an edit changes the number of words by at most one and the word
     counts by at most two in all."""
-    lo, hi = p["lo"].iat[0], p["hi"].iat[0]
-    ids, at = p["text_id"].to_numpy(object), p["block"].to_numpy()
-    n, mine = p["words"].to_numpy(np.int64), pd.factorize(p["mine"])[0]
+    ids, mine = p["text_id"].to_numpy(object), pd.factorize(p["mine"])[0]
     bags = np.frombuffer(b"".join(p["bag"]), dtype=np.uint16).reshape(len(p), s.bins).astype(np.int32)
-    coarse = bags.reshape(len(p), -1, 4).sum(axis=2)
-    left, right, found = np.flatnonzero(at == lo), np.flatnonzero(at == hi), []
-    for l0 in range(0, len(left), 64):
-        l = left[l0:l0 + 64]
-        most = ((1 - s.similarity) * np.maximum(n[l][:, None], n[right][None]) + 1e-9).astype(np.int64)
-        may = (mine[l][:, None] != mine[right][None]) & (np.abs(n[l][:, None] - n[right][None]) <= most)
-        may &= np.abs(coarse[l][:, None] - coarse[right][None]).sum(axis=2) <= 2 * most
-        i, j = np.nonzero(may)
-        good = np.abs(bags[l[i]] - bags[right[j]]).sum(axis=1) <= 2 * most[i, j]
-        found += [(min(x, y), max(x, y)) for x, y in zip(ids[l[i[good]]], ids[right[j[good]]])]
+    found = [(min(x, y), max(x, y)) for i, j in _possible(
+        p["words"].to_numpy(np.int64), bags, mine, p["block"].to_numpy(), p["lo"].iat[0], p["hi"].iat[0], s)
+        for x, y in zip(ids[i], ids[j])]
     return pd.DataFrame(list(dict.fromkeys(found)), columns=["a", "b"])
 
 
+def cell_links(p: pd.DataFrame, s: Settings) -> pd.DataFrame:
+    """Links (a < b) that join the classes of a cell as all its links would: at
+    most one fewer than it has classes.  Every pair of different classes, one of
+    each block, is aligned unless word counts show it to be no link, a link
+    found here has joined its classes, or it is the work of another bucket (the
+    smallest that both texts are in)."""
+    ids, mine, key = p["text_id"].to_numpy(object), pd.factorize(p["mine"])[0], p["key"].iat[0]
+    tokens = [np.frombuffer(x, dtype=np.uint64) for x in p["tokens"]]
+    buckets, shared = list(p["keys"]), {}
+    bags = np.stack([np.minimum(np.bincount((x % np.uint64(s.bins)).astype(np.int64), minlength=s.bins), 65535)
+                     for x in tokens]).astype(np.int32)
+    up = list(range(mine.max() + 1))
+    counts: dict[int, np.ndarray] = {}
+    lists: dict[int, list] = {}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    def once(made: dict, make, i: int):
+        if i not in made:
+            made[i] = make(tokens[i])
+        return made[i]
+
+    def here(i: int, j: int) -> bool:
+        for k in (i, j):
+            if k not in shared:
+                shared[k] = frozenset(x for x in buckets[k] if x < key)
+        return shared[i].isdisjoint(shared[j])
+
+    found = []
+    n = np.array([len(x) for x in tokens], dtype=np.int64)
+    for left, right in _possible(n, bags, mine, p["block"].to_numpy(), p["lo"].iat[0], p["hi"].iat[0], s):
+        for i, j in zip(left.tolist(), right.tolist()):
+            x, y = root(mine[i]), root(mine[j])
+            if x == y or not here(i, j):
+                continue
+            longest = max(n[i], n[j])
+            both = np.concatenate([once(counts, label, i), once(counts, label, j)])
+            both.sort()
+            # An edit takes at most one word off those that the texts have in common.
+            if (both[1:] == both[:-1]).sum() < longest - int((1 - s.similarity) * longest + 1e-9):
+                continue
+            if similar(once(lists, np.ndarray.tolist, i), once(lists, np.ndarray.tolist, j), s.similarity):
+                up[x] = y
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
 def _rest(members: DataFrame, names: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a < b) of texts of different classes that stand in one bucket: all
-    of them, but in buckets of more than ``s.group`` texts those that word
-    counts show to be no links."""
+    of them, but in buckets of more than ``s.group`` texts links only, as many
+    as join the classes like all links would.  So the pairs grow with the
+    buckets' texts, not with their square."""
     mine = names.select(F.col("node").alias("text_id"), F.col("component").alias("mine"))
     left = materialise(members.select("key", "text_id").join(mine, "text_id", "left")
                        .withColumn("mine", F.coalesce("mine", "text_id")), "near-members")
@@ -255,19 +318,24 @@ def _rest(members: DataFrame, names: DataFrame, texts: DataFrame, s: Settings) -
     one = few.select("key", F.col("text_id").alias("a"), F.col("mine").alias("a_in"))
     two = few.select("key", F.col("text_id").alias("b"), F.col("mine").alias("b_in"))
     pairs = one.join(two, "key").filter("a < b and a_in <> b_in").select("a", "b")
-    # A text's buckets travel together to its bag, and part again in cells.
-    many = left.filter(F.col("n") > s.group).groupBy("text_id", "mine").agg(
-        F.collect_list(F.struct("key", "n")).alias("at"))
-    bags = _bags(texts.join(many.select("text_id"), "text_id", "left_semi"), s)
-    blocks = F.ceil(F.col("n") / s.block)
-    cells = (many.join(bags, "text_id").select("text_id", "mine", "words", "bag", F.inline("at"))
-             .withColumn("block", F.pmod(F.xxhash64("text_id"), blocks))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    # A text's large buckets travel together to its words, and part again in cells.
+    many = left.filter(F.col("n") > s.group)
+    deal = materialise(
+        many.join(texts.select("text_id", F.length("text").alias("chars")), "text_id")
+        .groupBy("key").agg(F.max("n").alias("n"), F.sum("chars").alias("chars"))
+        .select("key", F.greatest(F.ceil(F.col("n") / s.block), F.ceil(F.col("chars") / s.block_chars)).alias("blocks")),
+        "near-deal")
+    many = many.join(deal, "key").groupBy("text_id", "mine").agg(F.collect_list(F.struct("key", "blocks")).alias("at"))
+    hashed = _hashed(texts.join(many.select("text_id"), "text_id", "left_semi"), s)
+    cells = (many.join(hashed, "text_id")
+             .select("text_id", "mine", "tokens", F.col("at.key").alias("keys"), F.inline("at"))
+             .withColumn("block", F.pmod(F.xxhash64("text_id"), "blocks"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
              .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                     "block", "text_id", "mine", "words", "bag"))
+                     "block", "text_id", "mine", "tokens", "keys"))
 
     def cell(p: pd.DataFrame) -> pd.DataFrame:
-        return possible_pairs(p, s)
+        return cell_links(p, s)
 
     return pairs.unionByName(cells.groupBy("key", "lo", "hi").applyInPandas(cell, "a binary, b binary")).distinct()
 

@@ -218,3 +218,50 @@ def test_no_pair_of_a_large_bucket_is_dropped(spark):
         got = op._rest(members, names, rows, op.Settings(block=block)).collect()
         pairs = [(int(x["a"]), int(x["b"])) for x in got]
         assert len(set(pairs)) == len(pairs) and {(i, i + n // 2) for i in range(n // 2)} <= set(pairs)
+
+
+def template_texts(n):
+    """``n`` texts of 100 words, 82 of them in all: most pairs pass the word counts in bins; each has a copy, two words off."""
+    r = random.Random(12)
+    template = [f"t{i}" for i in range(60)]
+    common = [f"c{i}" for i in range(30)]
+    texts = []
+    for i in range(n // 2):
+        w = template + r.sample(common, 22) + [f"x{i}_{k}" for k in range(18)]
+        texts += [w, w[:50] + ["new", "words"] + w[52:]]
+    return [" ".join(w) for w in texts]
+
+
+def test_pairs_of_a_large_bucket_grow_with_its_texts(spark):
+    """Buckets of n texts, the same in each, give fewer than n pairs; they join the classes as all links do."""
+    for n, block in ((120, 2048), (240, 2048), (240, 50)):
+        texts = template_texts(n)
+        rows = spark.createDataFrame([(b"%03d" % i, t) for i, t in enumerate(texts)], "text_id binary, text string")
+        members = rows.selectExpr("explode(array(7L, 9L)) key", "text_id")
+        names = rows.selectExpr("text_id node", "text_id component").limit(0)
+        pairs = [(int(x["a"]), int(x["b"])) for x in op._rest(members, names, rows, op.Settings(block=block)).collect()]
+        assert len(set(pairs)) == len(pairs) < n
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for a, b in pairs:
+            assert op.similar(op.words(texts[a]), op.words(texts[b]), 0.8)
+            parent[find(a)] = find(b)
+        want = brute_classes(list(enumerate(texts)))
+        assert sorted((i, min(j for j in range(n) if find(j) == find(i))) for i in range(n)) == sorted(x[:2] for x in want)
+
+
+def test_long_texts_are_dealt_by_their_characters(spark):
+    """However few characters a block holds, no link of a large bucket is lost."""
+    texts = template_texts(80)
+    rows = spark.createDataFrame([(b"%03d" % i, t) for i, t in enumerate(texts)], "text_id binary, text string")
+    members = rows.selectExpr("cast(7 as bigint) key", "text_id")
+    names = rows.selectExpr("text_id node", "text_id component").limit(0)
+    joined = set()
+    for chars in (4_000_000, 3_000):
+        got = op._rest(members, names, rows, op.Settings(block_chars=chars)).collect()
+        joined.add(frozenset(i for x in got for i in (int(x["a"]), int(x["b"]))))
+    assert joined == {frozenset(range(80))}
