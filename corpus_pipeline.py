@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which ``run``
 writes to the shared folder and reads again as the next stage's ``docs``.  All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``.  ``docs`` is a table as read,
+whose rows are known by their place in its files (any other frame is written
+first), so that texts are neither copied nor shuffled more than once.
 
 1. toxicity: documents that the neighbour vote rejects go; labels outside the
    held-out fold teach it.
@@ -20,6 +22,7 @@ stage's own are kept, but in the last stage, whose columns replace them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,15 @@ from evalspark.llm.common import materialise, table, written
 from evalspark.session import ensure_checkpoint_dir
 
 
+def addressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_at``, a row's place in the files that it is read from."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.withColumn("_at", F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
+    except AnalysisException:
+        return addressed(materialise(docs, "pipeline-rows"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op7_toxicity_neighbours.learn(spark, docs, sf_dir)
     scored = op7_toxicity_neighbours.score(docs, model)
@@ -54,15 +66,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    mixed = op3_source_mix.mix(rows, carry=("_row",))
-    return (op3_source_mix.taken_texts(mixed, rows, "_row")
+    rows = addressed(docs)
+    mixed = op3_source_mix.mix(rows, carry=("_at",))
+    return (op3_source_mix.taken_texts(mixed, rows, "_at")
             .withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = materialise(op6_length_packing.token_lengths(docs), "pipeline-tokens")
-    return op6_length_packing.pack(docs, "n_tokens", ["doc_id", "n_tokens", "text"])
+    # Narrow rows are numbered; the texts are joined to them in one shuffle.
+    rows = addressed(docs)
+    counted = op6_length_packing.token_lengths(rows)
+    lengths = materialise(counted.select("_at", "n_tokens", op6_length_packing.order_hash(
+        ["doc_id", "n_tokens", "text"]).alias("_hash")), "pipeline-tokens")
+    packed = op6_length_packing.pack(lengths, "n_tokens", ["_at"], hashed=F.col("_hash")).drop("_hash")
+    own = ["bucket", "batch", "slot", "padding"]
+    columns = [c for c in counted.columns if c not in ("_at", *own)]
+    return rows.drop("n_tokens", *own).join(packed, "_at").select(*columns, *own)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("near dedup", near_dedup),

@@ -107,10 +107,17 @@ def histogram(docs: DataFrame, length: str, most: int) -> tuple[np.ndarray, np.n
             np.array([r["n"] for r in rows], dtype=np.int64))
 
 
-def pack(docs: DataFrame, length: str, order: list, settings: Settings = Settings()) -> DataFrame:
+def order_hash(order: list, settings: Settings = Settings()) -> Column:
+    return F.xxhash64(*order, F.lit(settings.seed))
+
+
+def pack(docs: DataFrame, length: str, order: list, settings: Settings = Settings(),
+         hashed: Column | None = None) -> DataFrame:
     """``docs`` with bucket (its bound), batch (unique over all buckets, from 0),
     slot (from 0 within the batch) and padding; they replace input columns of
-    these names.  ``order`` (hashed) numbers the documents of a bucket."""
+    these names.  ``order`` (hashed) numbers the documents of a bucket.  All
+    columns are shuffled, so wide ones are better joined afterwards; ``hashed``
+    is an ``order_hash`` taken while they were there."""
     s = settings
     docs = docs.drop("bucket", "batch", "slot", "padding")
     lengths, counts = histogram(docs, length, s.cells)
@@ -133,7 +140,7 @@ def pack(docs: DataFrame, length: str, order: list, settings: Settings = Setting
     pick = lambda d: F.create_map(*[F.lit(x).cast("bigint") for kv in d.items() for x in kv])[F.col("bucket")]
     numbered = running_total(
         rows.filter("bucket is not null")
-        .withColumn("_h", F.xxhash64(*order, F.lit(s.seed)))
+        .withColumn("_h", order_hash(order, s) if hashed is None else hashed)
         .withColumn("_cell", F.pmod("_h", F.lit(cells))),
         ["bucket"], "_cell", ["_h", *order], None, "_n").withColumn("_each", pick(each))
     packed = numbered.select(

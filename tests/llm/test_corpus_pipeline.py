@@ -114,3 +114,23 @@ def test_odd_tables(spark, tmp_dir):
             # 11 rows; 1, 4, 4 and 7 are equal but for case, 2 and 3 are empty.
             assert (n["toxicity"], n["exact dedup"]) == (11, 7)
             assert n["near dedup"] == 6  # white space alone has no word, as the empty text
+
+
+def test_mixing_and_packing_write_no_text(spark, stages, monkeypatch):
+    """Only narrow rows go to the shared folder; a frame that no file holds gives the same rows."""
+    seen = []
+
+    def watched(df, name):
+        seen.append(df.columns)
+        return materialise(df, name)
+    for module in (pipe, op3_source_mix, op6_length_packing):
+        monkeypatch.setattr(module, "materialise", watched)
+    for name in ("mixing", "packing"):
+        before, after = stages[name]
+        stage = dict(pipe.STAGES)[name]
+        want = sorted(map(tuple, after.collect()), key=str)
+        assert sorted(map(tuple, stage(spark, before, SF).collect()), key=str) == want
+        assert seen and not any("text" in c for c in seen)
+        made = spark.createDataFrame(before.collect(), before.schema)
+        assert stage(spark, made, SF).select("doc_id", "text").exceptAll(after.select("doc_id", "text")).count() == 0
+        seen.clear()
