@@ -10,7 +10,8 @@ centre's class are paired again with a new centre among themselves, for
 ``Settings.rounds`` rounds.  Then every bucket that still holds texts of two
 two classes, members of a centre's class among them, has all its pairs of different
 classes tried.  In buckets of more than ``Settings.group`` texts this is done in
-cells of two blocks of members: lower bounds of the edit distance (word counts,
+cells, of a block of members with itself and then, for classes that are still
+apart, of two blocks: lower bounds of the edit distance (word counts,
 in bins and in full) leave the pairs that can be links, these are aligned in the
 cell, and only links that join two classes leave it, fewer than it has texts.  A
 pair is a link when the edit distance of the two word sequences, found by a
@@ -302,14 +303,85 @@ def cell_links(p: pd.DataFrame, s: Settings) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"])
 
 
+def _blocks(n, chars, s: Settings):
+    return F.greatest(F.lit(1).cast("bigint"), F.ceil(n / s.block), F.ceil(chars / s.block_chars))
+
+
+def _with_words(many: DataFrame, at, deal: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Members of large buckets with their words: text_id, mine, tokens, keys (all
+    large buckets of the text) and the columns of ``at``, a row for each of its
+    buckets in ``deal``.  A text's buckets travel together to its words."""
+    many = (many.join(deal, "key", "left").groupBy("text_id", "mine")
+            .agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("all").isNotNull(), at)).alias("at"))
+            .filter(F.size("at") > 0))
+    hashed = _hashed(texts.join(many.select("text_id"), "text_id", "left_semi"), s)
+    return many.join(hashed, "text_id").select("text_id", "mine", "tokens", "keys", F.inline("at"))
+
+
+def _own_cells(many: DataFrame, deal: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The cells of each block with itself: every member (key, text_id, mine) once."""
+    return (_with_words(many, F.struct("key", "all"), deal, texts, s)
+            .withColumn("block", F.pmod(F.xxhash64("text_id"), "all"))
+            .select("key", F.col("block").alias("lo"), F.col("block").alias("hi"),
+                    "block", "text_id", "mine", "tokens", "keys"))
+
+
+def _cross_cells(many: DataFrame, deal: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The cells of two blocks, for buckets of several blocks that still hold two classes.
+
+    Texts of one class are not paired, so the largest class of a bucket may have
+    blocks of its own (below 0) that only meet blocks of the other members: where
+    a bucket is one class and some strangers, its rows grow with its texts and
+    the strangers are what is repeated.  A bucket is dealt this way or all alike,
+    as in ``_own_cells``, whichever makes fewer rows.  Members of different
+    classes throughout (a passage that unrelated texts share) meet block by block."""
+    sizes = materialise(
+        many.join(deal.filter("all > 1"), "key").join(texts.select("text_id", F.length("text").cast("bigint").alias("chars")), "text_id")
+        .groupBy("key", "all", "mine").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "near-sizes")
+    n, chars, main = F.col("n"), F.col("chars"), F.col("main")
+    alike, split = n * (F.col("all") - 1), n * F.col("rest") + (n - main.n) * F.col("own")
+    deal = materialise(
+        sizes.groupBy("key", "all").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"),
+                                        F.max(F.struct("n", "mine", "chars")).alias("main"))
+        .filter(n > main.n)
+        .withColumns({"own": _blocks(main.n, main.chars, s), "rest": _blocks(n - main.n, chars - main.chars, s)})
+        .withColumn("split", split < alike)
+        .select("key", "all", "split", main.mine.alias("main"),
+                F.when(F.col("split"), F.col("own")).otherwise(F.lit(0)).alias("own"),
+                F.when(F.col("split"), F.col("rest")).otherwise(F.col("all")).alias("rest")), "near-deal")
+    at = F.struct("key", "split", (F.col("split") & (F.col("mine") == main)).alias("is_main"), "own", "rest")
+    h = F.xxhash64("text_id")
+    return (_with_words(many, at, deal, texts, s)
+            .withColumn("block", F.when(F.col("is_main"), -1 - F.pmod(h, "own")).otherwise(F.pmod(h, "rest")))
+            .withColumn("others", F.sequence(
+                F.when(F.col("is_main"), F.lit(0).cast("bigint")).otherwise(-F.col("own")), F.col("rest") - 1))
+            .withColumn("other", F.explode(F.expr("filter(others, o -> split or o <> block)")))
+            .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                    "block", "text_id", "mine", "tokens", "keys"))
+
+
 def _rest(members: DataFrame, names: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a < b) of texts of different classes that stand in one bucket: all
     of them, but in buckets of more than ``s.group`` texts links only, as many
     as join the classes like all links would.  So the pairs grow with the
-    buckets' texts, not with their square."""
-    mine = names.select(F.col("node").alias("text_id"), F.col("component").alias("mine"))
-    left = materialise(members.select("key", "text_id").join(mine, "text_id", "left")
-                       .withColumn("mine", F.coalesce("mine", "text_id")), "near-members")
+    buckets' texts, not with their square.
+
+    In large buckets each block is tried with itself first, which takes every
+    member once and joins most near copies; what is of different classes then
+    is tried across blocks."""
+    def mine(names: DataFrame) -> DataFrame:
+        return names.select(F.col("node").alias("text_id"), F.col("component").alias("mine"))
+
+    def classed(rows: DataFrame, names: DataFrame) -> DataFrame:
+        return rows.join(mine(names), "text_id", "left").withColumn("mine", F.coalesce("mine", "text_id"))
+
+    def cell(p: pd.DataFrame) -> pd.DataFrame:
+        return cell_links(p, s)
+
+    def links(cells: DataFrame) -> DataFrame:
+        return materialise(cells.groupBy("key", "lo", "hi").applyInPandas(cell, "a binary, b binary"), "near-cells")
+
+    left = materialise(classed(members.select("key", "text_id"), names), "near-members")
     groups = materialise(left.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("mine").alias("lo"), F.max("mine").alias("hi"))
         .filter("lo <> hi").select("key", "n"), "near-groups")
@@ -318,26 +390,18 @@ def _rest(members: DataFrame, names: DataFrame, texts: DataFrame, s: Settings) -
     one = few.select("key", F.col("text_id").alias("a"), F.col("mine").alias("a_in"))
     two = few.select("key", F.col("text_id").alias("b"), F.col("mine").alias("b_in"))
     pairs = one.join(two, "key").filter("a < b and a_in <> b_in").select("a", "b")
-    # A text's large buckets travel together to its words, and part again in cells.
-    many = left.filter(F.col("n") > s.group)
+    many = left.filter(F.col("n") > s.group).select("key", "text_id", "mine")
     deal = materialise(
-        many.join(texts.select("text_id", F.length("text").alias("chars")), "text_id")
-        .groupBy("key").agg(F.max("n").alias("n"), F.sum("chars").alias("chars"))
-        .select("key", F.greatest(F.ceil(F.col("n") / s.block), F.ceil(F.col("chars") / s.block_chars)).alias("blocks")),
-        "near-deal")
-    many = many.join(deal, "key").groupBy("text_id", "mine").agg(F.collect_list(F.struct("key", "blocks")).alias("at"))
-    hashed = _hashed(texts.join(many.select("text_id"), "text_id", "left_semi"), s)
-    cells = (many.join(hashed, "text_id")
-             .select("text_id", "mine", "tokens", F.col("at.key").alias("keys"), F.inline("at"))
-             .withColumn("block", F.pmod(F.xxhash64("text_id"), "blocks"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-             .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                     "block", "text_id", "mine", "tokens", "keys"))
-
-    def cell(p: pd.DataFrame) -> pd.DataFrame:
-        return cell_links(p, s)
-
-    return pairs.unionByName(cells.groupBy("key", "lo", "hi").applyInPandas(cell, "a binary, b binary")).distinct()
+        many.join(texts.select("text_id", F.length("text").cast("bigint").alias("chars")), "text_id")
+        .groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+        .select("key", _blocks(F.col("n"), F.col("chars"), s).alias("all")), "near-deal")
+    own = links(_own_cells(many, deal, texts, s))
+    pairs = pairs.unionByName(own)
+    if deal.filter("all > 1").limit(1).count():
+        if own.limit(1).count():
+            many = classed(many.drop("mine"), add_links(names, own))
+        pairs = pairs.unionByName(links(_cross_cells(many, deal, texts, s)))
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -265,3 +265,59 @@ def test_long_texts_are_dealt_by_their_characters(spark):
         got = op._rest(members, names, rows, op.Settings(block_chars=chars)).collect()
         joined.add(frozenset(i for x in got for i in (int(x["a"]), int(x["b"]))))
     assert joined == {frozenset(range(80))}
+
+
+def class_and_strangers(n):
+    """``n`` texts of 100 words: near copies of one text, but for eight that share half of it; of these 1 is
+    linked to 0, and 5 to no one but a near copy in the large class."""
+    r = random.Random(21)
+    base = [f"t{i}" for i in range(100)]
+    texts = []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(100), 6):
+            w[k] = f"x{i}_{k}"
+        texts.append(w)
+    for i in range(8):
+        texts[i] = base[:50] + [f"y{i}_{k}" for k in range(50)]
+    texts[1] = texts[0][:90] + [f"z{k}" for k in range(10)]
+    texts[5] = texts[n - 1][:82] + [f"v{k}" for k in range(18)]
+    return [" ".join(w) for w in texts]
+
+
+@pytest.mark.parametrize("size", ["block", "block_chars"])
+def test_strangers_of_a_large_class_are_what_is_repeated(spark, monkeypatch, size):
+    """Rows of the cells grow with a bucket's texts, not with their square, and no link is lost."""
+    made = []
+
+    def group(self, *by, groupBy=type(spark.range(0)).groupBy):
+        if by == ("key", "lo", "hi"):
+            made.append(self.count())
+        return groupBy(self, *by)
+    monkeypatch.setattr(type(spark.range(0)), "groupBy", group)
+    for n in (100, 200):
+        texts = class_and_strangers(n)
+        rows = spark.createDataFrame([(b"%03d" % i, t) for i, t in enumerate(texts)], "text_id binary, text string")
+        members = rows.selectExpr("cast(7 as bigint) key", "text_id")
+        names = rows.selectExpr("text_id node", "case when text_id < cast('008' as binary) then text_id else cast('008' as binary) end component")
+        made.clear()
+        settings = op.Settings(block=10) if size == "block" else op.Settings(block_chars=5_000)
+        got = {(int(x["a"]), int(x["b"])) for x in op._rest(members, names, rows, settings).collect()}
+        assert n <= sum(made) <= 4 * n
+        assert (0, 1) in got and any(a == 5 and b >= 8 for a, b in got)
+        for a, b in got:
+            assert op.similar(op.words(texts[a]), op.words(texts[b]), 0.8)
+
+
+def test_blocks_of_a_large_bucket_meet_once(spark):
+    """Whatever bucket a pair's texts share and however they are dealt, each pair of different classes is in a cell."""
+    n = 90
+    texts = [f"a{i // 2} b{i // 2} c{i // 2} d{i // 2} e{i // 2}" + " f" * (i % 2) for i in range(n)]
+    rows = spark.createDataFrame([(b"%03d" % i, t) for i, t in enumerate(texts)], "text_id binary, text string")
+    members = (rows.selectExpr("cast(7 as bigint) key", "text_id").filter("text_id < cast('070' as binary)")
+               .unionByName(rows.selectExpr("cast(5 as bigint) key", "text_id").filter("text_id >= cast('030' as binary)"))
+               .unionByName(rows.selectExpr("cast(9 as bigint) key", "text_id")))
+    names = rows.selectExpr("text_id node", "text_id component").limit(0)
+    for block in (2048, 40, 7):
+        got = {(int(x["a"]), int(x["b"])) for x in op._rest(members, names, rows, op.Settings(block=block)).collect()}
+        assert got == {(i, i + 1) for i in range(0, n, 2)}
