@@ -1,7 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import folder, no_docs, odd_docs
 
@@ -106,6 +110,67 @@ def test_odd_tables(spark, tmp_dir):
     assert co.query(spark, folder(spark, tmp_dir, "none", documents=no_docs(spark))).collect() == []
 
 
+def peak_mb(fn):
+    tracemalloc.start()
+    try:
+        out = fn()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_numbers_not_phrases():
+    # All phrases pass: some 480,000 of one chunk.
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 400), pa.array(texts)], names=["lang", "text"])
+    full = SimpleNamespace(value=np.full((1 << co.FILTER_LOG2) // 8, 255, np.uint8))
+    bounds = sorted({(b"en", b"w%d" % i) for i in range(2500, 20_000, 2500)})
+
+    def run():
+        got, rows = Counter(), 0
+        for b in co._transducers(3, [full] * 3, bounds, 12 << 20, 1000)(iter([batch])):
+            for r, a in zip(b.column("range").to_pylist(), b.column("automaton").to_pylist()):
+                if r >= 0:
+                    rows += 1
+                    got[r] += int(wa.loads(a).rows()[1].sum())
+        return got, rows
+
+    (got, rows), mb = peak_mb(run)
+    assert rows == len(got) == len(bounds) + 1
+    assert sum(got.values()) == 400 * (400 + 399 + 398)
+    assert mb < 80, mb
+
+
+def test_union_reads_one_automaton_after_the_other():
+    want = {(b"%d" % i, b"%d" % (i % 7), b"%d" % (i % 11)): i + 1 for i in range(2000)}
+    data = wa.build(sorted(want.items())).dumps()
+    got, mb = peak_mb(lambda: dict(wa.union(wa.loads(data) for _ in range(300))))
+    assert got == {p: 300 * c for p, c in want.items()}
+    assert mb < 50
+
+
+def test_ranges_stay_small_whatever_lengths_the_phrases_have(spark, monkeypatch):
+    # 30 words, 900 pairs, but 25,000 triples, most of them behind few pairs.
+    monkeypatch.setattr(co, "RANGE_PHRASES", 1000)
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(30)]
+    rows = [("en", " ".join(rng.choices(words, k=200))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    counts, _, bounds = co.phrase_counts(df, 2, 3)
+    sizes = [r["count"] for r in counts.filter("words IS NOT NULL").groupBy("range").count().collect()]
+    assert sum(sizes) > 20_000 and len(sizes) == len(bounds) + 1
+    assert max(sizes) < 3000
+
+
+def test_language_names_may_hold_blanks(spark):
+    rows = [(g, t) for g in ("e n", " ", "e") for t in ["a b c. a b", "b c"] * 5]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = {tuple(r) for r in co.collocations(df, least=5, held=4).collect()}
+    assert got == brute(rows, 5, 3) and {g[0] for g in got} == {"e n", " ", "e"}
+
+
 # ------------------------------------------------------------ automata
 def random_phrases(seed, n=400):
     rng = random.Random(seed)
@@ -134,6 +199,27 @@ def test_automaton_is_minimal():
         wa.build([((b"b",), 1), ((b"b",), 1)])
 
 
+def test_states_are_one_at_any_depth_and_if_all_hashes_clash(monkeypatch):
+    # "b c", "c" behind "a b" and "c" at the start lead on alike.
+    phrases = [((b"a", b"b", b"c"), 2), ((b"a", b"c"), 2), ((b"b", b"c"), 2), ((b"c", b"b", b"c"), 2), ((b"c", b"c"), 2)]
+    want = wa.build(phrases)
+    assert [len(s) for s in want.states] == [0, 1, 2] and dict(want) == dict(phrases)
+    sets = [sorted((p, c) for p, c in random_phrases(s).items()) for s in range(3)]
+    before = [wa.build(x) for x in sets]
+    for name in "ABCD":
+        monkeypatch.setattr(wa, name, np.uint64(0))
+    for a, x in zip(before, sets):
+        b = wa.build(x)
+        assert list(b) == x and len(b.states) == len(a.states) == len(set(b.states))
+
+
+def test_order_of_rows_too_wide_for_one_number():
+    rng = np.random.default_rng(2)
+    cols = [rng.integers(0, 2, 500).astype(np.int32) * (2 ** 31 - 1 - j) for j in range(3)]
+    rows = list(zip(*[c.tolist() for c in cols]))
+    assert [rows[i] for i in wa._order(cols).tolist()] == sorted(rows)
+
+
 def test_union_sums_and_compose_looks_up():
     sets = [random_phrases(s) for s in range(4)]
     total = Counter()
